@@ -100,19 +100,21 @@ def letters_only(c: Column | str) -> Column:
 
 
 def tokens(c: Column | str) -> Column:
-    """Whitespace tokens as Python ``str.split()``: empty array for blank text."""
-    s = collapse_whitespace(_c(c))
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, " "))
+    """Whitespace tokens as Python ``str.split()``: empty array for blank text.
+
+    The input is referenced once, so an expensive argument is evaluated once per row.
+    """
+    return F.filter(F.split(collapse_whitespace(_c(c)), " "), lambda x: x != "")
 
 
 def word_count(c: Column | str) -> Column:
-    return F.size(tokens(c))
+    return F.size(tokens(c)).cast("bigint")
 
 
 def text_length(c: Column | str, null_as: str | None = "nan") -> Column:
     """Characters of the text; a null text counts as the string ``nan`` unless disabled."""
     c = _c(c)
-    return F.length(F.coalesce(c, F.lit(null_as)) if null_as is not None else c)
+    return F.length(F.coalesce(c, F.lit(null_as)) if null_as is not None else c).cast("bigint")
 
 
 def _in_list(x: Column, words: Iterable[str]) -> Column:
@@ -189,13 +191,18 @@ def lookup_tokens_df(df: DataFrame, key: str, col: str, table: DataFrame, form:
     return res.drop("_looked_up")
 
 
-def bigrams(token_array: Column) -> Column:
-    """Adjacent token pairs joined by a space; empty for fewer than two tokens."""
-    n = F.size(token_array)
-    return F.when(n >= 2, F.transform(
-        F.sequence(F.lit(1), n - 1),
-        lambda i: F.concat_ws(" ", F.element_at(token_array, i), F.element_at(token_array, i + 1)),
-    )).otherwise(F.array().cast("array<string>"))
+def bigrams(token_array: Column | str) -> Column:
+    """Adjacent token pairs joined by a space; empty for fewer than two tokens.
+
+    Pass a column (a materialised token array): the array is read twice, by two slices
+    zipped together, which is linear in the number of tokens. ``sequence`` + ``element_at``
+    would count down on one-token input and re-evaluate an unmaterialised argument per pair.
+    """
+    a = _c(token_array)
+    pairs = F.arrays_zip(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))),
+                         F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))))
+    return F.transform(F.filter(pairs, lambda p: p["1"].isNotNull()),
+                       lambda p: F.concat_ws(" ", p["0"], p["1"]))
 
 
 def truncate_tokens(c: Column | str, max_tokens: int = 512) -> Column:

@@ -143,7 +143,8 @@ def _top_per_group(counts: DataFrame, item: str, top_n: int, by: str | None) ->
         return counts.orderBy(F.col("count").desc(), F.col(item)).limit(top_n)
     # row_number ≤ k is planned with a partial WindowGroupLimit before the shuffle
     w = Window.partitionBy(by).orderBy(F.col("count").desc(), F.col(item))
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    return (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+            .withColumn("rank", F.col("rank").cast("bigint")))
 
 
 def word_frequencies(df: DataFrame, text_col: str, top_n: int = 100,
@@ -155,7 +156,8 @@ def word_frequencies(df: DataFrame, text_col: str, top_n: int = 100,
     map task before the shuffle.
     """
     keys = [by] if by else []
-    words = df.select(*keys, F.explode(_filtered_tokens(text_col, stopwords)).alias("word"))
+    toks = df.select(*keys, _filtered_tokens(text_col, stopwords).alias("_toks"))
+    words = toks.select(*keys, F.explode("_toks").alias("word"))
     counts = words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("count"))
     return _top_per_group(counts, "word", top_n, by)
 
@@ -164,7 +166,8 @@ def bigram_frequencies(df: DataFrame, text_col: str, top_n: int = 100,
                        stopwords: Iterable[str] | None = None, by: str | None = None) -> DataFrame:
     """Top two-word collocations of adjacent (stop-word-filtered) tokens."""
     keys = [by] if by else []
-    grams = df.select(*keys, F.explode(X.bigrams(_filtered_tokens(text_col, stopwords))).alias("bigram"))
+    toks = df.select(*keys, _filtered_tokens(text_col, stopwords).alias("_toks"))
+    grams = toks.select(*keys, F.explode(X.bigrams("_toks")).alias("bigram"))
     counts = grams.groupBy(*keys, "bigram").agg(F.count(F.lit(1)).alias("count"))
     return _top_per_group(counts, "bigram", top_n, by)
 

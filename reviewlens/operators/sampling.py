@@ -44,7 +44,8 @@ def stratified_head(df: DataFrame, key_col: str, quota: Sequence[tuple[str, int]
     order = F.create_map(*[x for i, (lab, _) in enumerate(quota) for x in (F.lit(lab), F.lit(i))])
     w = Window.partitionBy(label_col).orderBy(key_col)
     ranked = (df.where(F.col(label_col).isin(labels))
-              .withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= kmax))
+              .withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= kmax)
+              .withColumn("_rank", F.col("_rank").cast("bigint")))
     return (ranked.where(F.col("_rank") <= F.element_at(q, F.col(label_col)))
             .withColumn("_order", F.element_at(order, F.col(label_col)))
             .orderBy("_order", "_rank").drop("_order"))

@@ -28,8 +28,8 @@ def clean_pipeline(df: DataFrame, text_col: str, keep_original: bool = True) ->
 
     ``keep_original`` is accepted for API parity and ignored (the input column stays).
     """
-    basic = X.clean_basic(text_col)
-    return df.withColumns({"clean_text": basic, "clean_text_advanced": X.clean_advanced(basic)})
+    out = df.withColumn("clean_text", X.clean_basic(text_col))
+    return out.withColumn("clean_text_advanced", X.clean_advanced("clean_text"))
 
 
 @dataclass(frozen=True)
@@ -43,6 +43,27 @@ class LexiconScorer:
     def __call__(self, text: Column) -> Column:
         return S.lexicon_struct(text, self.positive, self.negative, self.neutral_logit)
 
+    def apply(self, df: DataFrame, text_col: str) -> DataFrame:
+        """Staged form used by ``score_sentiment``: tokens, then hit counts, then softmax.
+
+        Each stage is its own projection, so the regex cleaning runs once per row and the
+        hit counts (referenced several times by the softmax) are computed once. When the
+        frame already holds ``clean_text_advanced`` derived from ``clean_text`` (the
+        ``clean_pipeline`` contract), those tokens are reused.
+        """
+        if text_col == "clean_text" and "clean_text_advanced" in df.columns:
+            toks = X.tokens("clean_text_advanced")
+        else:
+            toks = X.tokens(X.clean_advanced(text_col))
+        t = df.withColumn("_lx_toks", toks)
+        t = t.withColumns({"_lx_neg": X.count_in(F.col("_lx_toks"), self.negative),
+                           "_lx_pos": X.count_in(F.col("_lx_toks"), self.positive)})
+        res = S.neutral_on_empty(text_col, S.sentiment_from_logits("_lx_neg", F.lit(self.neutral_logit), "_lx_pos"))
+        t = t.withColumn("_lx", res)
+        return t.withColumns({"sentiment": F.col("_lx.sentiment"),
+                              "sentiment_score": F.col("_lx.sentiment_score")}) \
+            .drop("_lx_toks", "_lx_neg", "_lx_pos", "_lx")
+
 
 @dataclass(frozen=True)
 class BatchScorer:
@@ -101,13 +122,18 @@ def score_sentiment(df: DataFrame, text_col: str = "clean_text",
                T.StructField("sentiment_score", T.DoubleType())])
         base = df.drop("sentiment", "sentiment_score")
         return base.mapInPandas(_batch_score_fn(scorer, text_col, out_schema), out_schema)
+    base = df.drop("sentiment", "sentiment_score")
+    if hasattr(scorer, "apply"):
+        return scorer.apply(base, text_col)
     s = scorer(F.col(text_col))
-    return df.withColumns({"sentiment": s["sentiment"], "sentiment_score": s["sentiment_score"]})
+    return base.withColumn("_scored", s).withColumns(
+        {"sentiment": F.col("_scored.sentiment"), "sentiment_score": F.col("_scored.sentiment_score")}).drop("_scored")
 
 
 def sentiment_from_logits_df(df: DataFrame, neg: str, neu: str, pos: str) -> DataFrame:
     s = S.sentiment_from_logits(neg, neu, pos)
-    return df.withColumns({"sentiment": s["sentiment"], "sentiment_score": s["sentiment_score"]})
+    return df.withColumn("_scored", s).withColumns(
+        {"sentiment": F.col("_scored.sentiment"), "sentiment_score": F.col("_scored.sentiment_score")}).drop("_scored")
 
 
 def trained_scorer_model(train: DataFrame, text_col: str, label_col: str,

@@ -975,7 +975,7 @@ def title_case(spark, sf):
 
 @q("score_sentiment", W("SELECT review_id, sentiment, round_even(sentiment_score, 9) AS sentiment_score FROM scored"))
 def score_sentiment(spark, sf):
-    s = scored(spark, sf)
+    s = FX.scored_plan(spark, sf)
     return s.select("review_id", "sentiment", R("sentiment_score", 9).alias("sentiment_score"))
 
 
@@ -1007,14 +1007,14 @@ def neutral_on_empty(spark, sf):
 def truncate_tokens(spark, sf):
     s = scored(spark, sf)
     return s.select("review_id", X.truncate_tokens("clean_text", 512).alias("model_input"),
-                    F.least(F.size(X.tokens("clean_text")), F.lit(512)).alias("n_tokens"))
+                    F.least(F.size(X.tokens("clean_text")), F.lit(512)).cast("bigint").alias("n_tokens"))
 
 
 @q("lexicon_score", W("""SELECT review_id, CAST(_neg AS BIGINT) AS negative_hits, CAST(_pos AS BIGINT) AS positive_hits, sentiment,
   round_even(sentiment_score, 9) AS sentiment_score
 FROM scored JOIN (SELECT review_id AS rid, _neg, _pos FROM hits) ON rid = review_id"""))
 def lexicon_score(spark, sf):
-    s = scored(spark, sf)
+    s = FX.scored_plan(spark, sf)
     toks = X.tokens("clean_text_advanced")
     return s.select("review_id", X.count_in(toks, FX.NEGATIVE_WORDS).cast("bigint").alias("negative_hits"),
                     X.count_in(toks, FX.POSITIVE_WORDS).cast("bigint").alias("positive_hits"), "sentiment",

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewlens.operators.charts import rating_sentiment_crosstab
-from reviewlens.plans.fixtures import scored
+from reviewlens.plans.fixtures import scored_plan
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rating_sentiment_crosstab(scored(spark, sf_dir), "stars")
+    return rating_sentiment_crosstab(scored_plan(spark, sf_dir), "stars")
