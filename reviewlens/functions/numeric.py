@@ -46,35 +46,27 @@ def pct(part: Column, whole: Column, digits: int = 2) -> Column:
     return round_half_even(F.try_divide(part.cast("double"), whole.cast("double")) * 100.0, digits)
 
 
+def _fixed(c: Column, digits: int) -> Column:
+    # DecimalFormat rounds half-even on the exact binary value, as Python's formatter does
+    return F.regexp_replace(F.format_number(c, digits), ",", "")
+
+
 def format_percent(c: Column | str, digits: int = 2) -> Column:
     """Python ``f'{x:.2%}'`` for a fraction x, e.g. 0.98765 → ``98.77%``.
 
-    Built from the integer ``rint(x * 10^(d+2))`` so there is no half-up formatter involved.
+    Python multiplies by 100 and rounds the exact binary value of the product; Java's
+    ``DecimalFormat`` (behind ``format_number``) rounds the same way, so the two agree
+    where a ``rint(x * 10^4)`` shortcut would not (0.98765 · 10^4 = 9876.4999…).
     """
     c = _c(c).cast("double")
-    unit = 10 ** digits
-    n = F.rint(F.abs(c) * F.lit(float(100 * unit))).cast("bigint")
-    whole = (n / F.lit(unit)).cast("bigint")
-    frac = n - whole * F.lit(unit)
-    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
-    body = F.concat(sign, whole.cast("string"))
-    if digits > 0:
-        body = F.concat(body, F.lit("."), F.lpad(frac.cast("string"), digits, "0"))
-    return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(F.concat(body, F.lit("%")))
+    return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(
+        F.concat(_fixed(c * F.lit(100.0), digits), F.lit("%")))
 
 
 def format_fixed(c: Column | str, digits: int = 1) -> Column:
-    """Python ``f'{x:.1f}'``: half-even on the scaled double, fixed decimals, no grouping."""
+    """Python ``f'{x:.1f}'``: fixed decimals, no grouping."""
     c = _c(c).cast("double")
-    unit = 10 ** digits
-    n = F.rint(F.abs(c) * F.lit(float(unit))).cast("bigint")
-    whole = (n / F.lit(unit)).cast("bigint")
-    frac = n - whole * F.lit(unit)
-    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
-    body = F.concat(sign, whole.cast("string"))
-    if digits > 0:
-        body = F.concat(body, F.lit("."), F.lpad(frac.cast("string"), digits, "0"))
-    return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(body)
+    return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(_fixed(c, digits))
 
 
 def format_thousands(c: Column | str) -> Column:

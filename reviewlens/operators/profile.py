@@ -7,6 +7,8 @@ aggregation map-side, so a heavily duplicated row is combined before the shuffle
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -285,25 +287,79 @@ def iqr_outliers(df: DataFrame, columns: list[str] | None = None,
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pairwise Pearson correlation over numeric columns, as ``(col_a, col_b, corr)`` rows.
 
-    Pairwise-complete rows, NULL for a constant column, empty result for < 2 columns.
+    Pairwise-complete rows (as pandas), NULL for a constant column, empty for < 2 columns.
+
+    Two passes of plain sums instead of one Welford aggregate per pair: pass 1 gets each
+    column's mean and missing count (one small row on the driver); pass 2 sums products of
+    mean-shifted values, which is numerically stable and cheap to code-generate. Columns
+    without missing values share their per-column sums; only pairs that involve a column
+    with missing values get pair-specific sums over their complete rows.
     """
     cols = numeric_columns(df, columns)
     schema = "col_a string, col_b string, corr double"
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], schema)
-    aggs, idx = [], {}
+    v = {c: N.nan_to_null(c) for c in cols}
+    p1 = df.agg(*[F.avg(v[c]).alias(f"_m{i}") for i, c in enumerate(cols)],
+                *[F.count(v[c]).alias(f"_n{i}") for i, c in enumerate(cols)],
+                F.count(F.lit(1)).alias("_rows")).first()
+    rows = p1["_rows"]
+    mean = {c: (p1[f"_m{i}"] or 0.0) for i, c in enumerate(cols)}
+    full = {c: p1[f"_n{i}"] == rows for i, c in enumerate(cols)}
+    # shifted values as plain columns: the aggregate then reads k inputs (keeps the
+    # generated code small enough to compile)
+    shifted = df.select(*[(v[c] - F.lit(float(mean[c]))).alias(f"_x{i}") for i, c in enumerate(cols)])
+    x = {c: F.col(f"_x{i}") for i, c in enumerate(cols)}
+    v = x
+    aggs: dict[str, Column] = {"_n": F.count(F.lit(1))}
+    for i, c in enumerate(cols):
+        if full[c]:
+            aggs[f"_s{i}"] = F.sum(x[c])
+            aggs[f"_q{i}"] = F.sum(x[c] * x[c])
+    pairs = []
     for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
+        for j in range(i + 1, len(cols)):
             b = cols[j]
-            idx[(i, j)] = f"_r{i}_{j}"
-            aggs.append(N.guarded_corr(F.col(a), F.col(b)).alias(f"_r{i}_{j}"))
-    one = df.agg(*aggs)
-    rows = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            name = idx[(min(i, j), max(i, j))]
-            val = F.col(name)
-            if i == j:  # pandas reports exactly 1.0 on the diagonal of a non-constant column
-                val = F.when(val.isNotNull(), F.lit(1.0))
-            rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), val.alias("corr")))
-    return one.select(F.inline(F.array(*rows)))
+            key = f"{i}_{j}"
+            aggs[f"_p{key}"] = F.sum(x[a] * x[b])
+            if not (full[a] and full[b]):
+                both = v[a].isNotNull() & v[b].isNotNull()
+                aggs[f"_c{key}"] = F.count_if(both)
+                aggs[f"_sa{key}"] = F.sum(F.when(both, x[a]))
+                aggs[f"_sb{key}"] = F.sum(F.when(both, x[b]))
+                aggs[f"_qa{key}"] = F.sum(F.when(both, x[a] * x[a]))
+                aggs[f"_qb{key}"] = F.sum(F.when(both, x[b] * x[b]))
+            pairs.append((i, j, a, b, key))
+    for i, c in enumerate(cols):  # diagonal of a column with missing values
+        if not full[c]:
+            aggs[f"_c{i}_{i}"] = F.count(v[c])
+            aggs[f"_sa{i}_{i}"] = F.sum(x[c])
+            aggs[f"_qa{i}_{i}"] = F.sum(x[c] * x[c])
+    # one row of O(k²) sums; the correlations are finished from it on the driver
+    r = shifted.agg(*[e.alias(k) for k, e in aggs.items()]).first()
+
+    def corr_of(n, sa, sb, qa, qb, p):
+        if not n or sa is None or sb is None:
+            return None
+        va, vb = qa - sa * sa / n, qb - sb * sb / n
+        if va <= 0 or vb <= 0:
+            return None
+        return (p - sa * sb / n) / math.sqrt(va * vb)
+
+    def diag(i, c):
+        if full[c]:
+            n, s1, q1 = r["_n"], r[f"_s{i}"], r[f"_q{i}"]
+        else:
+            n, s1, q1 = r[f"_c{i}_{i}"], r[f"_sa{i}_{i}"], r[f"_qa{i}_{i}"]
+        return 1.0 if n and s1 is not None and q1 - s1 * s1 / n > 0 else None
+
+    val = {}
+    for i, j, a, b, key in pairs:
+        if full[a] and full[b]:
+            e = corr_of(float(r["_n"]), r[f"_s{i}"], r[f"_s{j}"], r[f"_q{i}"], r[f"_q{j}"], r[f"_p{key}"])
+        else:
+            e = corr_of(float(r[f"_c{key}"]), r[f"_sa{key}"], r[f"_sb{key}"], r[f"_qa{key}"], r[f"_qb{key}"],
+                        r[f"_p{key}"])
+        val[(i, j)] = val[(j, i)] = e
+    out = [(a, b, diag(i, a) if i == j else val[(i, j)]) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(out, schema)

@@ -65,6 +65,12 @@ def T(spark, sf, name):
     return FX.table(spark, sf, name)
 
 
+def TB(spark, sf, name, key):
+    """A table for heavy per-row aggregation, spread over the cores when its scan is
+    narrower than the cluster (see ``io.balanced``)."""
+    return io.balanced(FX.table(spark, sf, name), key)
+
+
 def reviews(spark, sf):
     return FX.reviews(spark, sf)
 
@@ -96,17 +102,11 @@ def pct_sql(part: str, whole: str, d: int = 2) -> str:
 
 
 def fmt_pct_sql(x: str, digits: int = 2) -> str:
-    unit = 10 ** digits
-    n = f"CAST(round_even(abs({x}) * {float(100 * unit)}, 0) AS BIGINT)"
-    return (f"CASE WHEN {x} IS NULL THEN NULL ELSE (CASE WHEN {x} < 0 THEN '-' ELSE '' END) || "
-            f"CAST({n} // {unit} AS VARCHAR) || '.' || lpad(CAST({n} % {unit} AS VARCHAR), {digits}, '0') || '%' END")
+    return f"printf('%.{digits}f%%', ({x}) * 100.0)"
 
 
 def fmt_fixed_sql(x: str, digits: int = 1) -> str:
-    unit = 10 ** digits
-    n = f"CAST(round_even(abs({x}) * {float(unit)}, 0) AS BIGINT)"
-    return (f"CASE WHEN {x} IS NULL THEN NULL ELSE (CASE WHEN {x} < 0 THEN '-' ELSE '' END) || "
-            f"CAST({n} // {unit} AS VARCHAR) || '.' || lpad(CAST({n} % {unit} AS VARCHAR), {digits}, '0') END")
+    return f"printf('%.{digits}f', {x})"
 
 
 def fmt_thousands_sql(x: str) -> str:
@@ -536,7 +536,7 @@ def _iqr_sql() -> str:
 
 @q("iqr_outliers", _iqr_sql())
 def iqr_outliers(spark, sf):
-    return profile.iqr_outliers(T(spark, sf, "events"))
+    return profile.iqr_outliers(TB(spark, sf, "events", "event_id"))
 
 
 def _corr_sql() -> str:
@@ -607,8 +607,8 @@ def _describe_sql() -> str:
     parts = []
     for _, c in LINEITEM_NUM:
         v = f"CAST({c} AS DOUBLE)"
-        parts.append(f"SELECT '{c}' AS column_name, count({v}) AS count, round_even(avg({v}), 6) AS mean, "
-                     f"round_even(stddev_samp({v}), 6) AS std, min({v}) AS min, "
+        parts.append(f"SELECT '{c}' AS column_name, count({v}) AS count, round_even(avg({v}), 9) AS mean, "
+                     f"round_even(stddev_samp({v}), 9) AS std, min({v}) AS min, "
                      f"round_even(quantile_cont({v}, 0.25), 6) AS p25, round_even(quantile_cont({v}, 0.5), 6) AS p50, "
                      f"round_even(quantile_cont({v}, 0.75), 6) AS p75, max({v}) AS max FROM lineitem")
     return " UNION ALL ".join(parts)
@@ -616,8 +616,8 @@ def _describe_sql() -> str:
 
 @q("describe_numeric", _describe_sql())
 def describe_numeric(spark, sf):
-    d = profile.describe_numeric(T(spark, sf, "lineitem"))
-    return d.select("column_name", "count", *[R(c).alias(c) for c in ("mean", "std")], "min",
+    d = profile.describe_numeric(TB(spark, sf, "lineitem", "l_orderkey"))
+    return d.select("column_name", "count", *[R(c, 9).alias(c) for c in ("mean", "std")], "min",
                     *[R(c).alias(c) for c in ("p25", "p50", "p75")], "max")
 
 
