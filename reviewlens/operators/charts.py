@@ -128,8 +128,8 @@ def length_distribution(df: DataFrame, text_col: str, label_col: str = "sentimen
                     F.col("_q")[2].alias("q3"), "max", "mean", "std"))
 
 
-def _filtered_tokens(text_col: str, stopwords: Iterable[str] | None):
-    toks = X.tokens(X.clean_advanced(F.col(text_col)))
+def _filtered_tokens(text_col: str, stopwords: Iterable[str] | None, cleaned: bool = False):
+    toks = X.tokens(F.col(text_col) if cleaned else X.clean_advanced(F.col(text_col)))
     if stopwords is None:
         from reviewlens.functions.stopwords import ENGLISH
 
@@ -148,25 +148,28 @@ def _top_per_group(counts: DataFrame, item: str, top_n: int, by: str | None) ->
 
 
 def word_frequencies(df: DataFrame, text_col: str, top_n: int = 100,
-                     stopwords: Iterable[str] | None = None, by: str | None = None) -> DataFrame:
+                     stopwords: Iterable[str] | None = None, by: str | None = None,
+                     cleaned: bool = False) -> DataFrame:
     """Top ``top_n`` words of the cleaned text, stop-words removed, count desc then word.
 
     With ``by`` (e.g. ``sentiment``) the top words are computed per group in the same job.
     Counting is a partial-aggregated ``groupBy(word)``: frequent words are combined in each
-    map task before the shuffle.
+    map task before the shuffle. ``cleaned=True`` when ``text_col`` already holds
+    ``clean_advanced`` output (e.g. ``clean_text_advanced``), which skips a second cleaning.
     """
     keys = [by] if by else []
-    toks = df.select(*keys, _filtered_tokens(text_col, stopwords).alias("_toks"))
+    toks = df.select(*keys, _filtered_tokens(text_col, stopwords, cleaned).alias("_toks"))
     words = toks.select(*keys, F.explode("_toks").alias("word"))
     counts = words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("count"))
     return _top_per_group(counts, "word", top_n, by)
 
 
 def bigram_frequencies(df: DataFrame, text_col: str, top_n: int = 100,
-                       stopwords: Iterable[str] | None = None, by: str | None = None) -> DataFrame:
+                       stopwords: Iterable[str] | None = None, by: str | None = None,
+                       cleaned: bool = False) -> DataFrame:
     """Top two-word collocations of adjacent (stop-word-filtered) tokens."""
     keys = [by] if by else []
-    toks = df.select(*keys, _filtered_tokens(text_col, stopwords).alias("_toks"))
+    toks = df.select(*keys, _filtered_tokens(text_col, stopwords, cleaned).alias("_toks"))
     grams = toks.select(*keys, F.explode(X.bigrams("_toks")).alias("bigram"))
     counts = grams.groupBy(*keys, "bigram").agg(F.count(F.lit(1)).alias("count"))
     return _top_per_group(counts, "bigram", top_n, by)

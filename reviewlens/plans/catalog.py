@@ -726,7 +726,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY coun
 
 @q("word_frequencies", WORDS_SQL)
 def word_frequencies(spark, sf):
-    return charts.word_frequencies(scored(spark, sf), "clean_text", 100, STOPWORDS, by="sentiment")
+    return charts.word_frequencies(scored(spark, sf), "clean_text_advanced", 100, STOPWORDS, by="sentiment",
+                                   cleaned=True)
 
 
 BIGRAMS_SQL = W(f""", t AS (SELECT sentiment, {stop_filter_sql('clean_text_advanced')} AS toks FROM scored),
@@ -738,7 +739,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY coun
 
 @q("bigram_frequencies", BIGRAMS_SQL)
 def bigram_frequencies(spark, sf):
-    return charts.bigram_frequencies(scored(spark, sf), "clean_text", 100, STOPWORDS, by="sentiment")
+    return charts.bigram_frequencies(scored(spark, sf), "clean_text_advanced", 100, STOPWORDS, by="sentiment",
+                                     cleaned=True)
 
 
 @q("dashboard_bundle", W("""SELECT panel, key, metric, round_even(value, 9) AS value FROM (

@@ -73,6 +73,9 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         stamp = None
     key = (id(spark), os.path.abspath(sf_dir), stamp)
     path = _STAGED.get(key)
+    local = path[len("file:"):] if path and path.startswith("file:") else path
+    if path is not None and "://" not in path and not os.path.exists(local):
+        path = None  # the scratch folder was cleaned up: stage again
     if path is None:
         path = shared_dir(spark, "scored") + "/scored.parquet"
         scored_plan(spark, sf_dir).write.mode("overwrite").parquet(path)
