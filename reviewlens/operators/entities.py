@@ -36,20 +36,20 @@ def entity_count_histogram(df: DataFrame, id_col: str, bins: int = 50) -> DataFr
     """
     counts = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("x"))
     counts = counts.select(F.col("x").cast("double").alias("x"))
-    # min / max over one row per entity, joined back as a one-row side
-    rng = counts.agg(F.min("x").alias("mn0"), F.max("x").alias("mx0")).select(
-        F.when(F.col("mn0") == F.col("mx0"), F.col("mn0") - 0.5).otherwise(F.col("mn0")).alias("mn"),
-        F.when(F.col("mn0") == F.col("mx0"), F.col("mx0") + 0.5).otherwise(F.col("mx0")).alias("mx"))
-    rng = F.broadcast(rng)
-    b = F.least(F.floor((F.col("x") - F.col("mn")) * F.lit(float(bins)) / (F.col("mx") - F.col("mn")))
-                .cast("bigint"), F.lit(bins - 1))
-    hist = counts.join(rng, how="inner", on=F.lit(True)).groupBy(b.alias("bin")) \
-        .agg(F.count(F.lit(1)).alias("count"))
+    # pass 1: min / max over one row per entity — two numbers reach the driver
+    lo, hi = counts.agg(F.min("x"), F.max("x")).first()
     spark = df.sparkSession
-    allbins = spark.range(bins).select(F.col("id").alias("bin")).join(rng, how="inner", on=F.lit(True))
-    width = (F.col("mx") - F.col("mn")) / F.lit(float(bins))
+    schema = "bin bigint, bin_start double, bin_end double, count bigint"
+    if lo is None:
+        return spark.createDataFrame([], schema)
+    mn, mx = (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
+    width = (mx - mn) / bins
+    b = F.least(F.floor((F.col("x") - F.lit(mn)) * F.lit(float(bins)) / F.lit(mx - mn)).cast("bigint"),
+                F.lit(bins - 1))
+    hist = counts.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    allbins = spark.range(bins).select(F.col("id").alias("bin"))
     return (allbins.join(hist, "bin", "left")
-            .select("bin", (F.col("mn") + F.col("bin") * width).alias("bin_start"),
-                    (F.col("mn") + (F.col("bin") + 1) * width).alias("bin_end"),
+            .select("bin", (F.lit(mn) + F.col("bin") * F.lit(width)).alias("bin_start"),
+                    (F.lit(mn) + (F.col("bin") + 1) * F.lit(width)).alias("bin_end"),
                     F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
             .orderBy("bin"))

@@ -50,10 +50,8 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], partitions:
     ranked = local.join(F.broadcast(offsets.select("pid", "off")), "pid") \
         .select("v", (F.col("off") + F.col("cum_local") - F.col("c")).alias("lo"),
                 (F.col("off") + F.col("cum_local")).alias("hi"))
-    n = vals.agg(F.sum("c").alias("n"))
-    targets = spark.createDataFrame([(float(p),) for p in probs], "p double")
-    t = F.broadcast(targets).join(F.broadcast(n), how="inner", on=F.lit(True)) \
-        .select("p", (F.col("p") * (F.col("n") - 1)).alias("pos"))
+    n = vals.agg(F.sum("c")).first()[0] or 0  # one number on the driver
+    t = spark.createDataFrame([(float(p), float(p) * (n - 1)) for p in probs], "p double, pos double")
     t = t.select("p", "pos", F.floor("pos").cast("bigint").alias("r0"),
                  F.least(F.floor("pos").cast("bigint") + 1, F.ceil("pos").cast("bigint")).alias("r1"))
     at0 = ranked.join(F.broadcast(t), (F.col("r0") >= F.col("lo")) & (F.col("r0") < F.col("hi"))) \
