@@ -40,18 +40,49 @@ def _groupable(df: DataFrame) -> list[str]:
     return cols
 
 
+# Candidate hash keys up to this many are broadcast for the exact second phase.
+DUP_CANDIDATE_BROADCAST_LIMIT = 1_000_000
+
+
+def _row_key(df: DataFrame) -> list[Column]:
+    """A 96-bit row fingerprint (xxhash64 + murmur3). Floats are normalised first
+    (−0.0 → 0.0, one NaN) so equal-by-grouping values hash equally."""
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            c = F.when(F.isnan(c), F.lit(float("nan"))).otherwise(c + F.lit(0.0))
+        cols.append(c)
+    return [F.xxhash64(*cols).alias("_h1"), F.hash(*cols).alias("_h2")]
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows equal to an earlier row on all columns (nulls and NaN compare equal).
 
-    One row: ``total_rows``, ``distinct_rows``, ``duplicate_rows``.
+    One row: ``total_rows``, ``distinct_rows``, ``duplicate_rows``. Exact, without
+    shuffling whole rows: phase 1 groups a 96-bit row fingerprint (12 bytes per row,
+    pre-aggregated map-side); a fingerprint seen once is a distinct row. Phase 2 compares
+    whole rows only for fingerprints seen more than once — their keys are broadcast below
+    a checked count, otherwise the exact ``groupBy`` over all columns is used.
     """
     cols = _groupable(df)
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    return g.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("total_rows"),
-        F.count(F.lit(1)).cast("bigint").alias("distinct_rows"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"),
-    )
+    keyed = df.select(*_row_key(df), *cols)
+    fp = keyed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
+    s1 = fp.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total"),
+                F.count_if(F.col("_n") == 1).alias("singles"),
+                F.count_if(F.col("_n") > 1).alias("multi")).first()
+    total, singles, multi = int(s1["total"]), int(s1["singles"]), int(s1["multi"])
+    spark = df.sparkSession
+    if multi == 0:
+        distinct = singles
+    elif multi <= DUP_CANDIDATE_BROADCAST_LIMIT:
+        cand = F.broadcast(fp.where(F.col("_n") > 1).select("_h1", "_h2"))
+        exact = keyed.join(cand, ["_h1", "_h2"], "left_semi").groupBy(*cols).count().count()
+        distinct = singles + exact
+    else:
+        distinct = df.groupBy(*cols).count().count()
+    return spark.createDataFrame([(total, distinct, total - distinct)],
+                                 "total_rows bigint, distinct_rows bigint, duplicate_rows bigint")
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:
@@ -66,28 +97,18 @@ def _cells(df: DataFrame) -> DataFrame:
     return df.agg(*aggs)
 
 
-def _row_groups(df: DataFrame) -> DataFrame:
-    """Distinct rows with their multiplicity ``_n``; every whole-table metric derives from it.
+def table_overview(df: DataFrame) -> DataFrame:
+    """total_rows, total_columns, missing_values, duplicate_rows (one row).
 
-    One shuffle of the row bytes (needed for exact duplicate detection anyway); partial
-    aggregation merges copies of a hot row before the exchange.
+    Missing cells come from one map-side aggregation; duplicates from ``duplicate_rows``.
     """
-    return df.groupBy(*_groupable(df)).agg(F.count(F.lit(1)).alias("_n"))
-
-
-def _weighted(cond: Column) -> Column:
-    return F.coalesce(F.sum(F.when(cond, F.col("_n"))), F.lit(0)).cast("bigint")
-
-
-def table_overview(df: DataFrame) -> DataFrame:
-    """total_rows, total_columns, missing_values, duplicate_rows (one row, one pass)."""
     k = len(df.columns)
-    missing = sum((_weighted(_missing_expr(df, c)) for c in df.columns), F.lit(0).cast("bigint"))
-    return _row_groups(df).agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("total_rows"),
-        F.lit(k).cast("bigint").alias("total_columns"),
-        missing.cast("bigint").alias("missing_values"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+    cells = _cells(df).first()
+    missing = sum(int(cells[f"_m{i}"]) for i in range(k))
+    d = duplicate_rows(df).first()
+    return df.sparkSession.createDataFrame([(int(cells["_rows"]), k, missing, int(d["duplicate_rows"]))],
+                                           "total_rows bigint, total_columns bigint, missing_values bigint, "
+                                           "duplicate_rows bigint")
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:
@@ -143,23 +164,25 @@ def table_bytes(df: DataFrame) -> DataFrame:
 
 def quality_report(df: DataFrame, text_col: str | None = None, rating_col: str | None = None
                    ) -> DataFrame:
-    """One row with every data-quality metric, from one pass over the distinct rows.
+    """One row with every data-quality metric.
 
     completeness (total_cells, missing_cells, completeness_score), consistency
     (duplicate_rows, unique_ratio), validity (text_empty_count, text_valid_pct,
     rating_valid_pct) and overall_quality_score. Percentages are rounded to 2 dp before
     they are weighted, the score to 1 dp; without a text column the two remaining weights
-    are renormalised (divided by 0.7).
+    are renormalised (divided by 0.7). One map-side aggregation for the cell counts plus
+    ``duplicate_rows`` (fingerprint shuffle); the final arithmetic is on one row.
     """
     k = len(df.columns)
-    aggs = [F.coalesce(F.sum("_n"), F.lit(0)).alias("_rows"), F.count(F.lit(1)).alias("_distinct"),
-            sum((_weighted(_missing_expr(df, c)) for c in df.columns), F.lit(0).cast("bigint")).alias("_missing")]
+    aggs = [F.count(F.lit(1)).alias("_rows"),
+            sum((F.count_if(_missing_expr(df, c)) for c in df.columns), F.lit(0)).alias("_missing")]
     if text_col:
         blank = X.collapse_whitespace(F.coalesce(F.col(text_col), F.lit("nan"))) == ""
-        aggs.append(_weighted(blank).alias("_blank"))
+        aggs.append(F.count_if(blank).alias("_blank"))
     if rating_col:
-        aggs.append(_weighted(N.nan_to_null(rating_col).isNotNull()).alias("_rvalid"))
-    j = _row_groups(df).agg(*aggs)
+        aggs.append(F.count(N.nan_to_null(rating_col)).alias("_rvalid"))
+    distinct = int(duplicate_rows(df).first()["distinct_rows"])
+    j = df.agg(*aggs).withColumn("_distinct", F.lit(distinct).cast("bigint"))
     total_cells = F.col("_rows") * F.lit(k)
     completeness = N.round_half_even(
         (F.lit(1.0) - F.try_divide(F.col("_missing").cast("double"), total_cells)) * 100.0, 2)

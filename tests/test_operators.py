@@ -279,3 +279,16 @@ def test_streaming_timeline(spark, tmp_path):
                         checkpoint=str(tmp_path / "ck"))
     rows = {(str(r.day), r.sentiment): r["count"] for r in out.collect()}
     assert rows.get(("2024-01-01", "positive")) == 1 and rows.get(("2024-01-02", "positive")) == 1
+
+
+def test_duplicates_fingerprint_paths(spark, monkeypatch):
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, "a"), (nan, "a"), (-0.0, "b"), (0.0, "b"), (1.0, None), (None, "1.0")],
+                               "x double, s string")
+    d = profile.duplicate_rows(df).first()
+    assert (d.total_rows, d.distinct_rows, d.duplicate_rows) == (6, 4, 2)
+    monkeypatch.setattr(profile, "DUP_CANDIDATE_BROADCAST_LIMIT", 0)   # force the exact groupBy path
+    d2 = profile.duplicate_rows(df).first()
+    assert (d2.total_rows, d2.distinct_rows, d2.duplicate_rows) == (6, 4, 2)
+    big = spark.range(3000).select((F.col("id") % 1000).alias("k"), F.lit("x").alias("v"))
+    assert profile.duplicate_rows(big).first().duplicate_rows == 2000
