@@ -90,6 +90,29 @@ def clean_advanced(c: Column | str) -> Column:
     return F.when(c.isNull() | (c == ""), F.lit("")).otherwise(out)
 
 
+def clean_advanced_df(df: DataFrame, in_col: str, out_col: str) -> DataFrame:
+    """``clean_advanced`` as staged projections with literal guards (same result).
+
+    Each regex runs only on rows containing the literal it needs (``http``/``www``, ``@``,
+    ``am``/``pm`` after lower-casing); on other rows it could not match. Each stage is its
+    own projection over a column reference, so the guard does not duplicate the upstream
+    expression and Catalyst keeps the stages apart (the column is referenced three times).
+    """
+    s1, s2, s3 = "_ca1", "_ca2", "_ca3"
+    x = F.col(in_col)
+    out = df.withColumn(s1, lowercase(x))
+    c1 = F.col(s1)
+    out = out.withColumn(s2, F.when((F.instr(c1, "http") > 0) | (F.instr(c1, "www") > 0), strip_urls(c1))
+                         .otherwise(c1))
+    c2 = F.col(s2)
+    out = out.withColumn(s3, F.when(F.instr(c2, "@") > 0, strip_emails(c2)).otherwise(c2))
+    c3 = F.col(s3)
+    ampm = F.when((F.instr(c3, "am") > 0) | (F.instr(c3, "pm") > 0), strip_ampm(c3)).otherwise(c3)
+    rest = collapse_whitespace(strip_punctuation(strip_digits(ampm)))
+    out = out.withColumn(out_col, F.when(x.isNull() | (x == ""), F.lit("")).otherwise(rest))
+    return out.drop(s1, s2, s3)
+
+
 def newline_to_space(c: Column | str) -> Column:
     return F.replace(_c(c), F.lit("\n"), F.lit(" "))
 

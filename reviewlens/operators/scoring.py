@@ -29,7 +29,7 @@ def clean_pipeline(df: DataFrame, text_col: str, keep_original: bool = True) ->
     ``keep_original`` is accepted for API parity and ignored (the input column stays).
     """
     out = df.withColumn("clean_text", X.clean_basic(text_col))
-    return out.withColumn("clean_text_advanced", X.clean_advanced("clean_text"))
+    return X.clean_advanced_df(out, "clean_text", "clean_text_advanced")
 
 
 @dataclass(frozen=True)
