@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from reviewlens.functions import numeric as N
 from reviewlens.functions import text as X
 from reviewlens.functions.sentiment import LABELS
-from reviewlens.operators.quantiles import quantile_exprs
+from reviewlens.operators.quantiles import group_quantiles, quantile_exprs
 
 
 def _labels(df: DataFrame) -> DataFrame:
@@ -39,9 +39,17 @@ def sentiment_percentages(df: DataFrame, label_col: str = "sentiment") -> DataFr
     return agg.select(F.inline(F.array(*rows)))
 
 
+def _median(df: DataFrame, score_col: str) -> DataFrame:
+    """One row ``(_k, median)`` (no row when every score is missing); exact, distributed."""
+    return group_quantiles(df.select(F.lit(0).alias("_k"), F.col(score_col)), ["_k"], score_col, [0.5]) \
+        .select("_k", F.col("value").alias("median_sentiment_score"))
+
+
 def sentiment_score_overview(df: DataFrame, score_col: str = "sentiment_score") -> DataFrame:
-    return df.agg(F.avg(score_col).alias("average_sentiment_score"),
-                  F.median(score_col).cast("double").alias("median_sentiment_score"))
+    avg = df.agg(F.avg(score_col).alias("average_sentiment_score")).withColumn("_k", F.lit(0))
+    # one row joined to at most one row
+    return avg.join(F.broadcast(_median(df, score_col)), "_k", "left") \
+        .select("average_sentiment_score", "median_sentiment_score")
 
 
 def confidence_by_sentiment(df: DataFrame, label_col: str = "sentiment",
@@ -59,7 +67,7 @@ def sentiment_statistics(df: DataFrame, label_col: str = "sentiment",
     average confidence per label present.
     """
     lab, s = F.col(label_col), F.col(score_col)
-    aggs = [F.count(F.lit(1)).alias("_n"), F.avg(s).alias("_avg"), F.median(s).alias("_med")]
+    aggs = [F.count(F.lit(1)).alias("_n"), F.avg(s).alias("_avg")]
     for i, name in enumerate(LABELS):
         aggs += [F.count_if(lab == name).alias(f"_c{i}"), F.avg(F.when(lab == name, s)).alias(f"_a{i}")]
     a = df.agg(*aggs)
@@ -75,11 +83,14 @@ def sentiment_statistics(df: DataFrame, label_col: str = "sentiment",
                      F.col(f"_a{i}").alias("value")),
         ]
     rows += [F.struct(F.lit("average_sentiment_score").alias("metric"), F.lit(None).cast("string").alias("key"),
-                      F.col("_avg").alias("value")),
-             F.struct(F.lit("median_sentiment_score").alias("metric"), F.lit(None).cast("string").alias("key"),
-                      F.col("_med").cast("double").alias("value"))]
-    return a.select(F.inline(F.array(*rows))).where(
-        F.col("value").isNotNull() | F.col("metric").isin("average_sentiment_score", "median_sentiment_score"))
+                      F.col("_avg").alias("value"))]
+    tidy = a.select(F.inline(F.array(*rows))).where(
+        F.col("value").isNotNull() | (F.col("metric") == "average_sentiment_score"))
+    # the median row is always present (NULL when no score), like the average
+    med = a.select(F.lit(0).alias("_k")).join(F.broadcast(_median(df, score_col)), "_k", "left") \
+        .select(F.lit("median_sentiment_score").alias("metric"), F.lit(None).cast("string").alias("key"),
+                F.col("median_sentiment_score").alias("value"))
+    return tidy.unionByName(med)
 
 
 def stars_by_sentiment(df: DataFrame, rating_col: str, label_col: str = "sentiment") -> DataFrame:
@@ -109,13 +120,21 @@ def _summary(v, probs=(0.25, 0.5, 0.75)):
 
 def confidence_distribution(df: DataFrame, label_col: str = "sentiment",
                             score_col: str = "sentiment_score") -> DataFrame:
-    """Per label: count, min, Q1, median, Q3, max, mean of the score (box / violin data)."""
-    s = F.col(score_col).cast("double")
-    return (df.where(F.col(label_col).isin(list(LABELS))).groupBy(F.col(label_col).alias("sentiment"))
-            .agg(F.count(s).alias("count"), F.min(s).alias("min"), _summary(s).alias("_q"),
-                 F.max(s).alias("max"), F.avg(s).alias("mean"))
-            .select("sentiment", "count", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                    F.col("_q")[2].alias("q3"), "max", "mean"))
+    """Per label: count, min, Q1, median, Q3, max, mean of the score (box / violin data).
+
+    Scores are unbounded doubles and one label may hold most rows, so the quartiles come
+    from ``group_quantiles`` (range-partitioned ranks), not a per-label value map.
+    """
+    base = (df.where(F.col(label_col).isin(list(LABELS)))
+            .select(F.col(label_col).alias("sentiment"), F.col(score_col).cast("double").alias("s")))
+    stats = base.groupBy("sentiment").agg(F.count("s").alias("count"), F.min("s").alias("min"),
+                                          F.max("s").alias("max"), F.avg("s").alias("mean"))
+    probs = (0.25, 0.5, 0.75)
+    q = (group_quantiles(base, ["sentiment"], "s", probs).groupBy("sentiment")
+         .agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in zip(probs, ("q1", "median", "q3"))]))
+    # at most one row per label on each side
+    return stats.join(F.broadcast(q), "sentiment", "left").select(
+        "sentiment", "count", "min", "q1", "median", "q3", "max", "mean")
 
 
 def length_distribution(df: DataFrame, text_col: str, label_col: str = "sentiment") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from reviewlens.functions import numeric as N
 from reviewlens.functions import text as X
-from reviewlens.operators.quantiles import quantile_exprs
+from reviewlens.operators.quantiles import quantile_exprs, wide_quantiles
 
 
 def _missing_expr(df: DataFrame, name: str) -> Column:
@@ -244,39 +244,63 @@ def quality_score(df: DataFrame, text_col: str | None = None) -> DataFrame:
 
 def describe_numeric(df: DataFrame, columns: list[str] | None = None,
                      accuracy: int | None = None) -> DataFrame:
-    """count, mean, std, min, 25/50/75 %, max per numeric column (exact quantiles by default)."""
+    """count, mean, std, min, 25/50/75 %, max per numeric column (exact quantiles by default).
+
+    Moments and extremes come from one map-side aggregation; the exact quartiles of every
+    column come from one shared range-partitioned ranking (``wide_quantiles``), so no task
+    holds a column's distinct values. ``accuracy`` switches to ``percentile_approx``.
+    """
     cols = numeric_columns(df, columns)
-    aggs = []
-    for i, c in enumerate(cols):
-        v = N.nan_to_null(c)
-        q = quantile_exprs(v, [0.25, 0.5, 0.75], accuracy)
-        aggs += [F.count(v).alias(f"_n{i}"), F.avg(v).alias(f"_a{i}"), F.stddev_samp(v).alias(f"_s{i}"),
-                 F.min(v).alias(f"_lo{i}"), q.alias(f"_q{i}"), F.max(v).alias(f"_hi{i}")]
     if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, count bigint, mean double, "
                                                "std double, min double, p25 double, p50 double, "
                                                "p75 double, max double")
+    probs = [0.25, 0.5, 0.75]
+    aggs = []
+    for i, c in enumerate(cols):
+        v = N.nan_to_null(c)
+        aggs += [F.count(v).alias(f"_n{i}"), F.avg(v).alias(f"_a{i}"), F.stddev_samp(v).alias(f"_s{i}"),
+                 F.min(v).alias(f"_lo{i}"), F.max(v).alias(f"_hi{i}")]
+        if accuracy is not None:
+            aggs.append(quantile_exprs(v, probs, accuracy).alias(f"_q{i}"))
     one = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"_n{i}").cast("bigint").alias("count"),
+    rows = [F.struct(F.lit(i).alias("_ord"), F.lit(c).alias("column_name"),
+                     F.col(f"_n{i}").cast("bigint").alias("count"),
                      F.col(f"_a{i}").alias("mean"), F.col(f"_s{i}").alias("std"),
-                     F.col(f"_lo{i}").cast("double").alias("min"), F.col(f"_q{i}")[0].alias("p25"),
-                     F.col(f"_q{i}")[1].alias("p50"), F.col(f"_q{i}")[2].alias("p75"),
+                     F.col(f"_lo{i}").cast("double").alias("min"),
+                     *([F.col(f"_q{i}")[j].alias(n) for j, n in enumerate(("p25", "p50", "p75"))]
+                       if accuracy is not None else []),
                      F.col(f"_hi{i}").cast("double").alias("max"))
             for i, c in enumerate(cols)]
-    return one.select(F.inline(F.array(*rows)))
+    stats = one.select(F.inline(F.array(*rows)))
+    if accuracy is None:
+        q = (wide_quantiles(df, cols, probs)
+             .groupBy("column_name")
+             .agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
+                    for p, n in zip(probs, ("p25", "p50", "p75"))]))
+        # both sides have one row per column: a bounded join
+        stats = stats.join(F.broadcast(q), "column_name", "left")
+    return stats.orderBy("_ord").select("column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def iqr_bounds(df: DataFrame, columns: list[str] | None = None,
                accuracy: int | None = None) -> dict[str, tuple[float, float]]:
-    """Pass 1 of ``iqr_outliers``: Q1−1.5·IQR and Q3+1.5·IQR per column (one small row)."""
+    """Pass 1 of ``iqr_outliers``: Q1−1.5·IQR and Q3+1.5·IQR per column (two numbers each)."""
     cols = numeric_columns(df, columns)
     if not cols:
         return {}
-    row = df.agg(*[quantile_exprs(N.nan_to_null(c), [0.25, 0.75], accuracy).alias(f"_q{i}")
-                   for i, c in enumerate(cols)]).first()
+    if accuracy is not None:
+        row = df.agg(*[quantile_exprs(N.nan_to_null(c), [0.25, 0.75], accuracy).alias(f"_q{i}")
+                       for i, c in enumerate(cols)]).first()
+        qs = {c: row[f"_q{i}"] for i, c in enumerate(cols)}
+    else:
+        qs = {}
+        # at most 2 rows per column reach the driver
+        for r in wide_quantiles(df, cols, [0.25, 0.75]).collect():
+            qs.setdefault(r.column_name, [None, None])[0 if r.p == 0.25 else 1] = r.value
     out = {}
-    for i, c in enumerate(cols):
-        q = row[f"_q{i}"]
+    for c in cols:
+        q = qs.get(c)
         if q is None or q[0] is None:
             continue
         iqr = q[1] - q[0]

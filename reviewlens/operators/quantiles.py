@@ -1,10 +1,13 @@
-"""Quantile expressions.
+"""Quantile expressions and the distributed exact quantile operator.
 
-``percentile`` is exact with linear interpolation (pandas / numpy ``linear``); it keeps a
-value → count map per group, so its state grows with the number of *distinct* values.
-That is small for ratings, lengths and word counts. For high-cardinality columns at scale
-pass ``accuracy`` to use ``percentile_approx`` (rank error ≤ 1/accuracy), or use
-``exact_quantiles`` below, which ranks values with a range shuffle instead of one map.
+``percentile`` is exact with linear interpolation (pandas / numpy ``linear``), but it keeps
+a value → count map per group and merges every partial map in the one task that finalises
+the group. Its state therefore grows with the number of *distinct* values: fine for bounded
+domains (ratings, text lengths, word counts), not for arbitrary doubles at scale. For those,
+``group_quantiles`` ranks the pre-aggregated distinct values with a range shuffle, so no
+task ever holds more than one range partition, and a group holding a third of all rows is
+spread over many tasks. ``accuracy`` selects ``percentile_approx`` instead (rank error
+≤ 1/accuracy).
 """
 
 from __future__ import annotations
@@ -16,47 +19,85 @@ from pyspark.sql import functions as F
 
 
 def quantile_exprs(v: Column, probs: Sequence[float], accuracy: int | None = None) -> Column:
-    """Array of quantiles of ``v`` (exact by default)."""
+    """Array of quantiles of ``v`` (exact by default); for bounded value domains."""
     v = v.cast("double")
     if accuracy is None:
         return F.percentile(v, list(probs))
     return F.percentile_approx(v, list(probs), accuracy)
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], partitions: int | None = None
-                    ) -> DataFrame:
-    """Exact linear-interpolation quantiles without a single-task value map.
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
+                    partitions: int | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles of ``value`` per ``keys`` group.
+
+    Returns rows ``(*keys, p, value)``, one per group with at least one non-missing value
+    and per probability (NULL/NaN values are skipped, as pandas does).
 
-    1. distinct values with their counts (partial aggregation, so a hot value is one row);
-    2. range-partition the distinct values and number them inside each partition;
-    3. partition totals (one row per partition) give each partition's starting rank;
-    4. the rows holding ranks ``floor(p·(n−1))`` and ``+1`` are picked and interpolated.
+    1. ``(keys, v) → count`` with partial aggregation: a hot value is one row per task;
+    2. range-partition the distinct values on ``(keys, v)``; inside each range partition a
+       running sum gives each value's local rank (the window is clustered on
+       ``(partition, keys)``, so a hot group is split across all range partitions);
+    3. per-(partition, group) totals — at most partitions × groups rows — give each
+       partition's rank offset and each group's size;
+    4. the two ranks around ``p·(n−1)`` are looked up with a range condition and
+       interpolated as Spark's ``percentile`` does.
 
-    Returns one row per probability: ``(p, value)``.
+    ``keys`` must have a schema-bounded domain (column names, sentiment labels): the
+    offsets and the rank lookups are broadcast, and their size is partitions × groups and
+    2 × groups × probabilities. No value reaches the driver.
     """
     spark = df.sparkSession
+    keys = list(keys)
+    if not keys:  # one group: a constant key keeps every window and join keyed
+        out = group_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, partitions)
+        return out.drop("_all")
     parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    vals = (df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-            .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
-    ranged = vals.repartitionByRange(parts, "v").withColumn("pid", F.spark_partition_id())
+    v = F.col(value).cast("double")
+    vals = (df.select(*keys, v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+            .groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c")))
+    ranged = vals.repartitionByRange(parts, *[F.col(k) for k in keys], F.col("v")) \
+        .withColumn("pid", F.spark_partition_id())
     local = ranged.withColumn(
-        "cum_local", F.sum("c").over(Window.partitionBy("pid").orderBy("v")
-                                     .rowsBetween(Window.unboundedPreceding, 0)))
-    totals = ranged.groupBy("pid").agg(F.sum("c").alias("t"))
-    # one row per partition: bounded by the partition count, safe to broadcast
+        "cum", F.sum("c").over(Window.partitionBy("pid", *keys).orderBy("v")
+                               .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    totals = local.groupBy("pid", *keys).agg(F.sum("c").alias("t"))
     offsets = totals.withColumn(
-        "off", F.coalesce(F.sum("t").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)),
-                          F.lit(0)))
-    ranked = local.join(F.broadcast(offsets.select("pid", "off")), "pid") \
-        .select("v", (F.col("off") + F.col("cum_local") - F.col("c")).alias("lo"),
-                (F.col("off") + F.col("cum_local")).alias("hi"))
-    n = vals.agg(F.sum("c")).first()[0] or 0  # one number on the driver
-    t = spark.createDataFrame([(float(p), float(p) * (n - 1)) for p in probs], "p double, pos double")
-    t = t.select("p", "pos", F.floor("pos").cast("bigint").alias("r0"),
-                 F.least(F.floor("pos").cast("bigint") + 1, F.ceil("pos").cast("bigint")).alias("r1"))
-    at0 = ranked.join(F.broadcast(t), (F.col("r0") >= F.col("lo")) & (F.col("r0") < F.col("hi"))) \
-        .select("p", "pos", "r0", F.col("v").alias("v0"))
-    at1 = ranked.join(F.broadcast(t.select("p", "r1")), (F.col("r1") >= F.col("lo")) & (F.col("r1") < F.col("hi"))) \
-        .select(F.col("p").alias("p1"), F.col("v").alias("v1"))
-    return at0.join(at1, at0["p"] == at1["p1"]).select(
-        "p", (F.col("v0") + (F.col("pos") - F.col("r0")) * (F.col("v1") - F.col("v0"))).alias("value"))
+        "off", F.coalesce(F.sum("t").over(Window.partitionBy(*keys).orderBy("pid")
+                                          .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # rank interval [lo, hi) of every distinct value inside its group
+    ranked = local.join(F.broadcast(offsets.select("pid", *keys, "off")), ["pid", *keys]) \
+        .select(*keys, "v", (F.col("off") + F.col("cum") - F.col("c")).alias("lo"),
+                (F.col("off") + F.col("cum")).alias("hi"))
+    sizes = totals.groupBy(*keys).agg(F.sum("t").alias("n"))
+    probs_col = F.array(*[F.lit(float(p)) for p in probs])
+    targets = (sizes.select(*keys, "n", F.explode(probs_col).alias("p"))
+               .withColumn("pos", F.col("p") * (F.col("n") - 1))
+               .withColumn("r0", F.floor("pos").cast("bigint"))
+               .withColumn("r1", F.ceil("pos").cast("bigint")))
+    lookups = targets.select(*keys, "p", "pos", "r0", "r1",
+                             F.explode(F.array(F.col("r0"), F.col("r1"))).alias("r")).distinct()
+    hits = ranked.join(F.broadcast(lookups), keys).where((F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
+    pairs = hits.groupBy(*keys, "p", "pos", "r0", "r1").agg(
+        F.max(F.when(F.col("r") == F.col("r0"), F.col("v"))).alias("v0"),
+        F.max(F.when(F.col("r") == F.col("r1"), F.col("v"))).alias("v1"))
+    interp = (F.col("r1") - F.col("pos")) * F.col("v0") + (F.col("pos") - F.col("r0")) * F.col("v1")
+    return pairs.select(*keys, "p", F.when((F.col("r0") == F.col("r1")) | (F.col("v0") == F.col("v1")), F.col("v0"))
+                        .otherwise(interp).alias("value"))
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], partitions: int | None = None
+                    ) -> DataFrame:
+    """Exact quantiles of one column: rows ``(p, value)`` (see ``group_quantiles``)."""
+    return group_quantiles(df, [], col, probs, partitions)
+
+
+def wide_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                   partitions: int | None = None) -> DataFrame:
+    """Exact quantiles of several columns in one pass: rows ``(column_name, p, value)``.
+
+    The columns are unpivoted into ``(column_name, v)`` pairs, so every column shares the
+    same aggregation, range shuffle and rank lookup.
+    """
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])))
+    return group_quantiles(long, ["column_name"], "v", probs, partitions)

@@ -96,6 +96,35 @@ def test_exact_quantiles_match_percentile(spark):
         assert math.isclose(got[p], w, rel_tol=1e-12)
 
 
+def test_group_quantiles_match_percentile_with_hot_group(spark):
+    # group "hot" holds ~90% of rows and one value repeated 2000 times; "one" has a single
+    # value, "gone" only NULL/NaN (no output row), as pandas skips missing values
+    base = spark.range(0, 20000).select(
+        F.when(F.col("id") % 10 == 0, F.lit("cold")).otherwise(F.lit("hot")).alias("g"),
+        F.when(F.col("id") < 2000, F.lit(42.5)).otherwise(((F.col("id") * 7919) % 4099) / 7.0).alias("v"))
+    odd = spark.createDataFrame([("one", 3.0), ("gone", None), ("gone", float("nan")), ("hot", float("nan"))],
+                                "g string, v double")
+    df = base.unionByName(odd)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    want = {r.g: r.q for r in df.where(~F.isnan("v")).groupBy("g").agg(F.percentile("v", probs).alias("q")).collect()}
+    got = {}
+    for r in quantiles.group_quantiles(df, ["g"], "v", probs, partitions=6).collect():
+        got.setdefault(r.g, {})[r.p] = r.value
+    assert set(got) == {"hot", "cold", "one"} and want["gone"] is None
+    for g in got:
+        for p, w in zip(probs, want[g]):
+            assert math.isclose(got[g][p], w, rel_tol=1e-12), (g, p, got[g][p], w)
+
+
+def test_wide_quantiles_one_pass_per_column(spark):
+    df = spark.createDataFrame([(1.0, 10), (2.0, None), (2.0, 30), (5.0, 40), (None, 50)], "a double, b int")
+    got = {(r.column_name, r.p): r.value for r in quantiles.wide_quantiles(df, ["a", "b"], [0.5, 0.75]).collect()}
+    want = df.agg(F.percentile("a", [0.5, 0.75]).alias("a"), F.percentile("b", [0.5, 0.75]).alias("b")).first()
+    for c in ("a", "b"):
+        for p, w in zip((0.5, 0.75), want[c]):
+            assert math.isclose(got[(c, p)], w, rel_tol=1e-12)
+
+
 def test_dates_and_elapsed_days(spark):
     df = spark.createDataFrame([("2024-01-05",), ("2024-01-05 10:00:00",), ("junk",), (None,)], "d string")
     p = [r.parsed_date for r in temporal.parse_dates(df, "d").collect()]
