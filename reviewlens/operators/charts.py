@@ -147,16 +147,34 @@ def length_distribution(df: DataFrame, text_col: str, label_col: str = "sentimen
                     F.col("_q")[2].alias("q3"), "max", "mean", "std"))
 
 
-def _filtered_tokens(text_col: str, stopwords: Iterable[str] | None, cleaned: bool = False):
-    toks = X.tokens(F.col(text_col) if cleaned else X.clean_advanced(F.col(text_col)))
+def _stop_list(stopwords: Iterable[str] | None) -> list[str]:
     if stopwords is None:
         from reviewlens.functions.stopwords import ENGLISH
 
         stopwords = ENGLISH
-    stop = list(stopwords)
+    return list(stopwords)
+
+
+def _filtered_tokens(text_col: str, stopwords: Iterable[str] | None, cleaned: bool = False):
+    """Token array without stop-words (for pairing adjacent tokens)."""
+    stop = _stop_list(stopwords)
+    if cleaned:  # one array filter over a plain split, no whitespace regex
+        return F.filter(X.split_clean(text_col), lambda x: (x != "") & ~x.isin(stop))
+    toks = X.tokens(X.clean_advanced(F.col(text_col)))
     return F.filter(toks, lambda x: ~x.isin(stop)) if stop else toks
 
 
+def _words(df: DataFrame, keys: list[str], text_col: str, stopwords: Iterable[str] | None,
+           cleaned: bool) -> DataFrame:
+    """One row per kept token. The stop-word test runs after ``explode`` as a codegen'd
+    ``InSet`` instead of an interpreted array lambda."""
+    stop = _stop_list(stopwords)
+    toks = X.split_clean(text_col) if cleaned else X.tokens(X.clean_advanced(F.col(text_col)))
+    w = F.col("word")
+    keep = (w != "") & ~w.isin(stop) if stop else (w != "")
+    return df.select(*keys, F.explode(toks).alias("word")).where(keep)
+
+
 def _top_per_group(counts: DataFrame, item: str, top_n: int, by: str | None) -> DataFrame:
     if by is None:
         return counts.orderBy(F.col("count").desc(), F.col(item)).limit(top_n)
@@ -177,8 +195,7 @@ def word_frequencies(df: DataFrame, text_col: str, top_n: int = 100,
     ``clean_advanced`` output (e.g. ``clean_text_advanced``), which skips a second cleaning.
     """
     keys = [by] if by else []
-    toks = df.select(*keys, _filtered_tokens(text_col, stopwords, cleaned).alias("_toks"))
-    words = toks.select(*keys, F.explode("_toks").alias("word"))
+    words = _words(df, keys, text_col, stopwords, cleaned)
     counts = words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("count"))
     return _top_per_group(counts, "word", top_n, by)
 
@@ -189,7 +206,12 @@ def bigram_frequencies(df: DataFrame, text_col: str, top_n: int = 100,
     """Top two-word collocations of adjacent (stop-word-filtered) tokens."""
     keys = [by] if by else []
     toks = df.select(*keys, _filtered_tokens(text_col, stopwords, cleaned).alias("_toks"))
-    grams = toks.select(*keys, F.explode(X.bigrams("_toks")).alias("bigram"))
+    # explode the (left, right) neighbours and join each pair after the explode, where
+    # the concatenation is code-generated (no per-row array lambda)
+    n = F.greatest(F.size("_toks") - 1, F.lit(0))
+    pairs = toks.select(*keys, F.explode(F.arrays_zip(F.slice("_toks", 1, n).alias("l"),
+                                                      F.slice("_toks", 2, n).alias("r"))).alias("_p"))
+    grams = pairs.select(*keys, F.concat_ws(" ", F.col("_p.l"), F.col("_p.r")).alias("bigram"))
     counts = grams.groupBy(*keys, "bigram").agg(F.count(F.lit(1)).alias("count"))
     return _top_per_group(counts, "bigram", top_n, by)
 
