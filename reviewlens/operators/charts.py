@@ -40,16 +40,22 @@ def sentiment_percentages(df: DataFrame, label_col: str = "sentiment") -> DataFr
 
 
 def _median(df: DataFrame, score_col: str) -> DataFrame:
-    """One row ``(_k, median)`` (no row when every score is missing); exact, distributed."""
-    return group_quantiles(df.select(F.lit(0).alias("_k"), F.col(score_col)), ["_k"], score_col, [0.5]) \
-        .select("_k", F.col("value").alias("median_sentiment_score"))
+    """Exactly one row ``(median_sentiment_score)``, NULL when every score is missing.
+
+    ``group_quantiles`` gives at most one row; a global ``max`` over it always yields one.
+    """
+    m = group_quantiles(df.select(F.col(score_col)), [], score_col, [0.5])
+    return m.agg(F.max("value").alias("median_sentiment_score"))
 
 
 def sentiment_score_overview(df: DataFrame, score_col: str = "sentiment_score") -> DataFrame:
-    avg = df.agg(F.avg(score_col).alias("average_sentiment_score")).withColumn("_k", F.lit(0))
-    # one row joined to at most one row
-    return avg.join(F.broadcast(_median(df, score_col)), "_k", "left") \
-        .select("average_sentiment_score", "median_sentiment_score")
+    avg = df.agg(F.avg(score_col).alias("average_sentiment_score"),
+                 F.lit(None).cast("double").alias("median_sentiment_score"))
+    med = _median(df, score_col).select(F.lit(None).cast("double").alias("average_sentiment_score"),
+                                        "median_sentiment_score")
+    # two one-row frames folded into one row (no join)
+    return avg.unionByName(med).agg(F.max("average_sentiment_score").alias("average_sentiment_score"),
+                                    F.max("median_sentiment_score").alias("median_sentiment_score"))
 
 
 def confidence_by_sentiment(df: DataFrame, label_col: str = "sentiment",
@@ -87,9 +93,9 @@ def sentiment_statistics(df: DataFrame, label_col: str = "sentiment",
     tidy = a.select(F.inline(F.array(*rows))).where(
         F.col("value").isNotNull() | (F.col("metric") == "average_sentiment_score"))
     # the median row is always present (NULL when no score), like the average
-    med = a.select(F.lit(0).alias("_k")).join(F.broadcast(_median(df, score_col)), "_k", "left") \
-        .select(F.lit("median_sentiment_score").alias("metric"), F.lit(None).cast("string").alias("key"),
-                F.col("median_sentiment_score").alias("value"))
+    med = _median(df, score_col).select(F.lit("median_sentiment_score").alias("metric"),
+                                        F.lit(None).cast("string").alias("key"),
+                                        F.col("median_sentiment_score").alias("value"))
     return tidy.unionByName(med)
 
 

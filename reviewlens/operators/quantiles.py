@@ -48,8 +48,12 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     """
     spark = df.sparkSession
     keys = list(keys)
-    if not keys:  # one group: a constant key keeps every window and join keyed
-        out = group_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, partitions)
+    if not keys:
+        # one group. The key is 0 on every row that is kept (NULL values are dropped), but it
+        # is built from the value column: a literal would be constant-folded out of the join
+        # condition, turning the keyed rank lookup into a nested-loop join.
+        one = F.when(F.col(value).isNull(), F.lit(1)).otherwise(F.lit(0))
+        out = group_quantiles(df.withColumn("_all", one), ["_all"], value, probs, partitions)
         return out.drop("_all")
     parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     v = F.col(value).cast("double")
@@ -95,9 +99,13 @@ def wide_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
                    partitions: int | None = None) -> DataFrame:
     """Exact quantiles of several columns in one pass: rows ``(column_name, p, value)``.
 
-    The columns are unpivoted into ``(column_name, v)`` pairs, so every column shares the
-    same aggregation, range shuffle and rank lookup.
+    The columns are unpivoted into ``(column index, v)`` pairs, so every column shares the
+    same aggregation, range shuffle and rank lookup; an integer key hashes and sorts
+    cheaper than the name, which is attached to the few result rows.
     """
+    columns = list(columns)
     long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])))
-    return group_quantiles(long, ["column_name"], "v", probs, partitions)
+        F.struct(F.lit(i).alias("_ci"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])))
+    names = F.array(*[F.lit(c) for c in columns])
+    return group_quantiles(long, ["_ci"], "v", probs, partitions).select(
+        F.element_at(names, F.col("_ci") + 1).alias("column_name"), "p", "value")

@@ -37,3 +37,20 @@ def test_staged_table_reused(spark):
     a = FX.scored(spark, SF001)
     b = FX.scored(spark, SF001)
     assert a.inputFiles() == b.inputFiles()
+
+
+def test_unbounded_quantiles_are_range_partitioned(spark):
+    # scores and arbitrary numeric columns: no single-task percentile map (a global aggregate
+    # still gathers one partial row per task, which is bounded)
+    for key in ["describe_numeric", "confidence_distribution", "sentiment_statistics", "sentiment_score_overview"]:
+        df = catalog.QUERIES[key](spark, SF001)
+        df.collect()  # final adaptive plan
+        p = _plan(df)
+        assert "percentile(" not in p, key
+        assert "rangepartitioning" in p, key
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, key
+
+
+def test_word_counts_filter_stopwords_after_explode(spark):
+    p = catalog.QUERIES["word_frequencies"](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" in p and "lambdafunction" not in p
