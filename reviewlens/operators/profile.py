@@ -56,14 +56,15 @@ def _row_key(df: DataFrame) -> list[Column]:
     return [F.xxhash64(*cols).alias("_h1"), F.hash(*cols).alias("_h2")]
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows equal to an earlier row on all columns (nulls and NaN compare equal).
-
-    One row: ``total_rows``, ``distinct_rows``, ``duplicate_rows``. Exact, without
-    shuffling whole rows: phase 1 groups a 96-bit row fingerprint (12 bytes per row,
-    pre-aggregated map-side); a fingerprint seen once is a distinct row. Phase 2 compares
-    whole rows only for fingerprints seen more than once — their keys are broadcast below
-    a checked count, otherwise the exact ``groupBy`` over all columns is used.
+def distinct_count(df: DataFrame) -> tuple[int, int]:
+    """``(rows, distinct rows)`` of ``df`` over all its columns (nulls and NaN compare equal).
+
+    Exact, without shuffling whole rows: phase 1 groups a 96-bit row fingerprint (12 bytes
+    per row, pre-aggregated map-side); a fingerprint seen once is a distinct row. Phase 2
+    compares whole rows only for fingerprints seen more than once — their keys are
+    broadcast below a checked count, otherwise the exact ``groupBy`` over all columns is
+    used. Copies of one row, however many, are one fingerprint key and are combined in
+    each map task before any shuffle.
     """
     cols = _groupable(df)
     keyed = df.select(*_row_key(df), *cols)
@@ -72,7 +73,6 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
                 F.count_if(F.col("_n") == 1).alias("singles"),
                 F.count_if(F.col("_n") > 1).alias("multi")).first()
     total, singles, multi = int(s1["total"]), int(s1["singles"]), int(s1["multi"])
-    spark = df.sparkSession
     if multi == 0:
         distinct = singles
     elif multi <= DUP_CANDIDATE_BROADCAST_LIMIT:
@@ -81,8 +81,17 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
         distinct = singles + exact
     else:
         distinct = df.groupBy(*cols).count().count()
-    return spark.createDataFrame([(total, distinct, total - distinct)],
-                                 "total_rows bigint, distinct_rows bigint, duplicate_rows bigint")
+    return total, distinct
+
+
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """Rows equal to an earlier row on all columns (nulls and NaN compare equal).
+
+    One row: ``total_rows``, ``distinct_rows``, ``duplicate_rows`` (see ``distinct_count``).
+    """
+    total, distinct = distinct_count(df)
+    return df.sparkSession.createDataFrame([(total, distinct, total - distinct)],
+                                           "total_rows bigint, distinct_rows bigint, duplicate_rows bigint")
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:

@@ -54,10 +54,19 @@ def length_overview(df: DataFrame, text_col: str) -> DataFrame:
                   F.max(n).cast("bigint").alias("max_length"))
 
 
+def _distinct_texts(df: DataFrame, text_col: str) -> int:
+    """Distinct non-null texts, exact; shuffles 12-byte fingerprints instead of the texts
+    (``count(DISTINCT text)`` would shuffle every task's distinct full texts)."""
+    from reviewlens.operators.profile import distinct_count
+
+    return distinct_count(df.where(F.col(text_col).isNotNull()).select(text_col))[1]
+
+
 def text_cardinality(df: DataFrame, text_col: str) -> DataFrame:
     """Null texts and distinct non-null texts."""
+    unique = _distinct_texts(df, text_col)
     return df.agg(F.count_if(F.col(text_col).isNull()).cast("bigint").alias("empty_count"),
-                  F.count_distinct(F.col(text_col)).cast("bigint").alias("unique_count"))
+                  F.lit(unique).cast("bigint").alias("unique_count"))
 
 
 def text_statistics(df: DataFrame, text_col: str) -> DataFrame:
@@ -71,4 +80,4 @@ def text_statistics(df: DataFrame, text_col: str) -> DataFrame:
         N.trunc_int(F.avg(w)).alias("words_mean"), N.trunc_int(F.median(w)).alias("words_median"),
         F.min(w).cast("bigint").alias("words_min"), F.max(w).cast("bigint").alias("words_max"),
         F.count_if(F.col(text_col).isNull()).cast("bigint").alias("empty_count"),
-        F.count_distinct(F.col(text_col)).cast("bigint").alias("unique_count"))
+        F.lit(_distinct_texts(df, text_col)).cast("bigint").alias("unique_count"))

@@ -321,3 +321,15 @@ def test_duplicates_fingerprint_paths(spark, monkeypatch):
     assert (d2.total_rows, d2.distinct_rows, d2.duplicate_rows) == (6, 4, 2)
     big = spark.range(3000).select((F.col("id") % 1000).alias("k"), F.lit("x").alias("v"))
     assert profile.duplicate_rows(big).first().duplicate_rows == 2000
+
+
+def test_distinct_count_exact_with_hot_copy(spark):
+    from reviewlens.operators import textstats
+
+    rows = [("a",)] * 500 + [("b",), ("c",), (None,), (None,)] + [(f"t{i}",) for i in range(100)]
+    df = spark.createDataFrame(rows, "text string")
+    # a, b, c, NULL (NULLs group together, as in pandas duplicated) and 100 singletons
+    assert profile.distinct_count(df) == (len(rows), 104)
+    r = textstats.text_cardinality(df, "text").first()
+    assert (r.empty_count, r.unique_count) == (2, 103)
+    assert profile.duplicate_rows(df).first().duplicate_rows == len(rows) - 104
