@@ -158,8 +158,11 @@ def _in_list(x: Column, words: Iterable[str]) -> Column:
 
 
 def count_in(token_array: Column, words: Iterable[str]) -> Column:
-    """Number of tokens that are in ``words`` (whole-token match, never ``\\b`` regex)."""
-    words = list(words)
+    """Number of tokens that are in ``words`` (whole-token match, never ``\\b`` regex).
+
+    '' is never a word (no whitespace token is empty), so ``split_clean`` arrays may be passed.
+    """
+    words = [w for w in words if w != ""]
     return F.size(F.filter(token_array, lambda x: _in_list(x, words)))
 
 

@@ -51,10 +51,12 @@ class LexiconScorer:
         frame already holds ``clean_text_advanced`` derived from ``clean_text`` (the
         ``clean_pipeline`` contract), those tokens are reused.
         """
+        # ``clean_advanced`` output is whitespace-normalised, so a plain split gives its tokens
+        # (plus one '' for empty text, which no lexicon word matches): no second regex pass
         if text_col == "clean_text" and "clean_text_advanced" in df.columns:
-            toks = X.tokens("clean_text_advanced")
+            toks = X.split_clean("clean_text_advanced")
         else:
-            toks = X.tokens(X.clean_advanced(text_col))
+            toks = X.split_clean(X.clean_advanced(text_col))
         t = df.withColumn("_lx_toks", toks)
         t = t.withColumns({"_lx_neg": X.count_in(F.col("_lx_toks"), self.negative),
                            "_lx_pos": X.count_in(F.col("_lx_toks"), self.positive)})
