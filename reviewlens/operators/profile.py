@@ -66,22 +66,42 @@ def distinct_count(df: DataFrame) -> tuple[int, int]:
     used. Copies of one row, however many, are one fingerprint key and are combined in
     each map task before any shuffle.
     """
+    total, distinct, _ = _fingerprint_pass(df)
+    return total, distinct
+
+
+def _fingerprint_pass(df: DataFrame, sums: dict[str, Column] | None = None
+                      ) -> tuple[int, int, dict[str, int]]:
+    """``distinct_count`` plus the totals of per-row integer expressions ``sums``.
+
+    The sums ride along in the phase-1 fingerprint aggregation, so a profile that needs
+    both cell counts and duplicates reads the table once instead of twice.
+    """
     cols = _groupable(df)
-    keyed = df.select(*_row_key(df), *cols)
-    fp = keyed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
+    sums = sums or {}
+    extra = {f"_x{i}": e for i, e in enumerate(sums.values())}
+    keyed = df.select(*_row_key(df), *cols, *[e.cast("bigint").alias(n) for n, e in extra.items()])
+    fp = keyed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(n).alias(n) for n in extra])
     s1 = fp.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total"),
                 F.count_if(F.col("_n") == 1).alias("singles"),
-                F.count_if(F.col("_n") > 1).alias("multi")).first()
+                F.count_if(F.col("_n") > 1).alias("multi"),
+                *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in extra]).first()
     total, singles, multi = int(s1["total"]), int(s1["singles"]), int(s1["multi"])
     if multi == 0:
         distinct = singles
     elif multi <= DUP_CANDIDATE_BROADCAST_LIMIT:
         cand = F.broadcast(fp.where(F.col("_n") > 1).select("_h1", "_h2"))
-        exact = keyed.join(cand, ["_h1", "_h2"], "left_semi").groupBy(*cols).count().count()
+        exact = keyed.select("_h1", "_h2", *cols).join(cand, ["_h1", "_h2"], "left_semi") \
+            .groupBy(*cols).count().count()
         distinct = singles + exact
     else:
         distinct = df.groupBy(*cols).count().count()
-    return total, distinct
+    return total, distinct, {name: int(s1[n]) for name, n in zip(sums, extra)}
+
+
+def _missing_in_row(df: DataFrame) -> Column:
+    """Missing cells of one row (as ``_missing_expr`` counts them)."""
+    return sum((F.when(_missing_expr(df, c), F.lit(1)).otherwise(F.lit(0)) for c in df.columns), F.lit(0))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -109,13 +129,12 @@ def _cells(df: DataFrame) -> DataFrame:
 def table_overview(df: DataFrame) -> DataFrame:
     """total_rows, total_columns, missing_values, duplicate_rows (one row).
 
-    Missing cells come from one map-side aggregation; duplicates from ``duplicate_rows``.
+    One read of the table: missing cells are summed inside the duplicate check's
+    fingerprint aggregation (``_fingerprint_pass``).
     """
     k = len(df.columns)
-    cells = _cells(df).first()
-    missing = sum(int(cells[f"_m{i}"]) for i in range(k))
-    d = duplicate_rows(df).first()
-    return df.sparkSession.createDataFrame([(int(cells["_rows"]), k, missing, int(d["duplicate_rows"]))],
+    total, distinct, x = _fingerprint_pass(df, {"missing": _missing_in_row(df)})
+    return df.sparkSession.createDataFrame([(total, k, x["missing"], total - distinct)],
                                            "total_rows bigint, total_columns bigint, missing_values bigint, "
                                            "duplicate_rows bigint")
 
@@ -179,19 +198,21 @@ def quality_report(df: DataFrame, text_col: str | None = None, rating_col: str |
     (duplicate_rows, unique_ratio), validity (text_empty_count, text_valid_pct,
     rating_valid_pct) and overall_quality_score. Percentages are rounded to 2 dp before
     they are weighted, the score to 1 dp; without a text column the two remaining weights
-    are renormalised (divided by 0.7). One map-side aggregation for the cell counts plus
-    ``duplicate_rows`` (fingerprint shuffle); the final arithmetic is on one row.
+    are renormalised (divided by 0.7). The cell counts are summed inside the duplicate
+    check's fingerprint aggregation (one read of the table); the arithmetic is on one row.
     """
     k = len(df.columns)
-    aggs = [F.count(F.lit(1)).alias("_rows"),
-            sum((F.count_if(_missing_expr(df, c)) for c in df.columns), F.lit(0)).alias("_missing")]
+    one = lambda cond: F.when(cond, F.lit(1)).otherwise(F.lit(0))
+    sums = {"_missing": _missing_in_row(df)}
     if text_col:
-        blank = X.collapse_whitespace(F.coalesce(F.col(text_col), F.lit("nan"))) == ""
-        aggs.append(F.count_if(blank).alias("_blank"))
+        sums["_blank"] = one(X.collapse_whitespace(F.coalesce(F.col(text_col), F.lit("nan"))) == "")
     if rating_col:
-        aggs.append(F.count(N.nan_to_null(rating_col)).alias("_rvalid"))
-    distinct = int(duplicate_rows(df).first()["distinct_rows"])
-    j = df.agg(*aggs).withColumn("_distinct", F.lit(distinct).cast("bigint"))
+        sums["_rvalid"] = one(N.nan_to_null(rating_col).isNotNull())
+    # one read of the table: the counts ride along in the fingerprint aggregation
+    total, distinct, x = _fingerprint_pass(df, sums)
+    names = ["_rows", *sums, "_distinct"]
+    j = df.sparkSession.createDataFrame([(total, *[x[n] for n in sums], distinct)],
+                                        ", ".join(f"{n} bigint" for n in names))
     total_cells = F.col("_rows") * F.lit(k)
     completeness = N.round_half_even(
         (F.lit(1.0) - F.try_divide(F.col("_missing").cast("double"), total_cells)) * 100.0, 2)
