@@ -210,44 +210,51 @@ def normalize_columns(df: DataFrame, roles: ColumnRoles) -> DataFrame:
 
 
 def validate_table(df: DataFrame, roles: ColumnRoles) -> DataFrame:
-    """Validation findings as ``(level, code, value)`` rows (one aggregation + duplicates).
+    """Validation findings as ``(level, code, value)`` rows.
+
+    One aggregation for every scalar finding, one ``groupBy`` for the rating distribution
+    (one row per distinct rating), and the fingerprint duplicate check.
 
     error ``no_text_column``; warnings ``null_texts``, ``short_texts`` (mean length < 20),
     ``duplicate_rows``; info ``rating_range``, ``rating_distribution`` (``value:count``
     pairs in value order) and ``table_mb``. ``is_valid`` is a row of its own.
     """
-    from reviewlens.operators.profile import duplicate_rows, table_bytes
+    from reviewlens.operators.profile import _bytes_expr, duplicate_rows
 
     spark = _spark(df)
     parts = []
     if roles.text is None:
         parts.append(spark.createDataFrame([("error", "no_text_column", "No text column detected")],
                                            "level string, code string, value string"))
-    else:
+    # every scalar finding from one aggregation (one read of the table)
+    aggs = [sum((_bytes_expr(f) for f in df.schema.fields), F.lit(0)).cast("bigint").alias("_bytes")]
+    rows = []
+    if roles.text is not None:
         t = F.col(roles.text)
-        a = df.agg(F.count_if(t.isNull()).alias("_nulls"), F.avg(X.text_length(roles.text)).alias("_avg"))
-        parts.append(a.select(F.inline(F.array(
-            F.struct(F.lit("warning").alias("level"), F.lit("null_texts").alias("code"),
-                     F.when(F.col("_nulls") > 0, F.col("_nulls").cast("string")).alias("value")),
-            F.struct(F.lit("warning").alias("level"), F.lit("short_texts").alias("code"),
-                     F.when(F.col("_avg") < 20, F.rint(F.col("_avg")).cast("bigint").cast("string"))
-                     .alias("value"))))))
+        aggs += [F.count_if(t.isNull()).alias("_nulls"), F.avg(X.text_length(roles.text)).alias("_avg")]
+        rows += [("warning", "null_texts", F.when(F.col("_nulls") > 0, F.col("_nulls").cast("string"))),
+                 ("warning", "short_texts", F.when(F.col("_avg") < 20,
+                                                   F.rint(F.col("_avg")).cast("bigint").cast("string")))]
+    if roles.rating is not None:
+        r = N.nan_to_null(roles.rating)
+        aggs.append(F.concat_ws(" - ", F.min(r).cast("string"), F.max(r).cast("string")).alias("_range"))
+        rows.append(("info", "rating_range", F.col("_range")))
+    mb = N.round_half_even(F.col("_bytes") / F.lit(1024.0 ** 2), 2)
+    rows.append(("info", "table_mb", F.format_string("%.2f MB", mb)))
+    parts.append(df.agg(*aggs).select(F.inline(F.array(*[
+        F.struct(F.lit(lv).alias("level"), F.lit(code).alias("code"), v.alias("value")) for lv, code, v in rows]))))
     if roles.rating is not None:
         r = N.nan_to_null(roles.rating)
-        rng = df.agg(F.concat_ws(" - ", F.min(r).cast("string"), F.max(r).cast("string")).alias("value")) \
-            .select(F.lit("info").alias("level"), F.lit("rating_range").alias("code"), "value")
         dist = (df.where(r.isNotNull()).groupBy(r.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
                 .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_v", "_c"))),
                                               lambda s: F.concat(s["_v"].cast("string"), F.lit(":"),
                                                                  s["_c"].cast("string"))), ", ").alias("value"))
                 .select(F.lit("info").alias("level"), F.lit("rating_distribution").alias("code"), "value"))
-        parts += [rng, dist]
+        parts.append(dist)
     dups = duplicate_rows(df).select(F.lit("warning").alias("level"), F.lit("duplicate_rows").alias("code"),
                                      F.when(F.col("duplicate_rows") > 0, F.col("duplicate_rows").cast("string"))
                                      .alias("value"))
-    mb = table_bytes(df).select(F.lit("info").alias("level"), F.lit("table_mb").alias("code"),
-                                F.format_string("%.2f MB", F.col("table_mb")).alias("value"))
-    parts += [dups, mb]
+    parts.append(dups)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
