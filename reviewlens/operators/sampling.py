@@ -24,11 +24,14 @@ def preview(df: DataFrame, key_col: str, n: int = 10) -> DataFrame:
 def random_sample(df: DataFrame, n: int, key_col: str, seed: int = 0) -> DataFrame:
     """``min(n, rows)`` rows without replacement, reproducible for a given seed.
 
-    Rows are ranked by ``xxhash64(key, seed)`` and the ``n`` smallest taken: a distributed
-    top-k (each task keeps n candidates), uniform over rows with distinct keys.
+    Rows are ranked by ``md5('<key>:<seed>')`` and the ``n`` smallest taken: a distributed
+    top-k (each task keeps n candidates), uniform over rows with distinct keys. MD5 of the
+    key's text is computed identically by SQL engines, so a sample can be re-drawn (and
+    checked) outside Spark.
     """
-    h = F.xxhash64(F.col(key_col), F.lit(seed))
-    return df.withColumn("_h", h).orderBy("_h", key_col).limit(n).drop("_h")
+    h = F.md5(F.concat(F.col(key_col).cast("string"), F.lit(f":{seed}")))
+    return (df.withColumn("_h", h).orderBy(F.col("_h").asc_nulls_last(), F.col(key_col).asc_nulls_last())
+            .limit(n).drop("_h"))
 
 
 def stratified_head(df: DataFrame, key_col: str, quota: Sequence[tuple[str, int]] = DEFAULT_QUOTA,

@@ -819,7 +819,9 @@ def top_entities_100(spark, sf):
     return entities.top_entities(T(spark, sf, "orders"), "o_custkey", 100)
 
 
-@q("random_sample")
+@q("random_sample", W(f"""SELECT review_id, sentiment, round_even(sentiment_score, 9) AS sentiment_score FROM scored
+WHERE sentiment = 'negative' ORDER BY md5(CAST(review_id AS VARCHAR) || ':{SAMPLE_SEED}') NULLS LAST, review_id NULLS LAST
+LIMIT 3"""))
 def random_sample(spark, sf):
     neg = filters.filter_sentiment_in(scored(spark, sf), ["negative"])
     s = sampling.random_sample(neg, 3, "review_id", SAMPLE_SEED)
