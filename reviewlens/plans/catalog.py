@@ -1128,7 +1128,9 @@ def executive_prompt(spark, sf):
     return prompts.executive_prompt(scored(spark, sf))
 
 
-@q("request_payload")
+@q("request_payload", f"""WITH rp AS ({ORACLE["review_prompt"]})
+SELECT review_id, CAST(to_json({{'model': 'analysis-model', 'messages': [{{'role': 'user', 'content': prompt}}],
+  'reasoning': {{'enabled': true}}}}) AS VARCHAR) AS request FROM rp""")
 def request_payload(spark, sf):
     p = prompts.first_conversation(prompts.review_prompt(scored(spark, sf), "text"))
     return prompts.request_payload(p, "messages", model="analysis-model", reasoning=True).select("review_id", "request")
