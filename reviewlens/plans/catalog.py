@@ -1192,7 +1192,8 @@ def _stub_completion(requests):
     return out
 
 
-@q("map_completions")
+@q("map_completions", f"""WITH rp AS ({ORACLE["review_prompt"]})
+SELECT review_id, 'chars=' || CAST(length(prompt) AS VARCHAR) AS content FROM rp""")
 def map_completions(spark, sf):
     p = prompts.first_conversation(prompts.review_prompt(scored(spark, sf), "text"))
     req = prompts.request_payload(p, "messages", model="analysis-model").select("review_id", "request")
