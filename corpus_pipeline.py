@@ -7,24 +7,59 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlens.llm import classifier, mixing, packing, quality_rules, simhash
 from reviewlens.llm import common as C
-from reviewlens.llm import mixing
+from reviewlens.llm.queries import SIMHASH, THRESHOLD
 from reviewlens.session import shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on ``labels``, does not reject."""
+    model = classifier.fit(docs, C.table(spark, sf_dir, "labels"))
+    return classifier.classify(docs.select(*COLUMNS), model, threshold=THRESHOLD).filter("predicted = 1").select(*COLUMNS)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, without the lines over the limits."""
+    out = quality_rules.quality_rules(docs.select(*COLUMNS), with_text=True).filter("kept")
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id (a document without id stays).
+
+    Rows that repeat an id are copies of one document; one of them stays.
+    """
+    groups = simhash.simhash_components(docs.select("doc_id", "text"), **SIMHASH)
+    first = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
+    named = docs.select(*COLUMNS).filter("doc_id is not null")
+    kept = named.join(C.staged(first, "dedup-first"), F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.union(docs.select(*COLUMNS).filter("doc_id is null"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by their source's rate (some dropped, none more than three times)."""
     mixed = mixing.mix_sources(docs.select(*COLUMNS), C.n_words(F.col("text")))
     return mixing.emit_copies(mixed).select(*COLUMNS)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in training sequences (see ``packing.pack_documents``)."""
+    sizes = docs.select("doc_id", C.n_words(F.col("text")).alias("n_tokens"))
+    return packing.pack_documents(sizes, F.col("n_tokens"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", classify),
+    ("quality rules", rules),
+    ("simhash near-dedup", dedup),
     ("source mixing", mix),
+    ("best-fit packing", pack),
 ]
 
-#: The stages train a model and call Python: no SQL twin.
+#: The first stage trains a model and SimHash has no SQL form: no SQL twin.
 ORACLE_SQL = None
 
 

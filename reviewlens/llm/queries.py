@@ -8,7 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import common as C
-from reviewlens.llm import mixing, sharding
+from reviewlens.llm import classifier, mixing, packing, quality_rules, sharding, simhash
+
+
+#: Production parameters, shared with the pipeline.
+SIMHASH = {"shingle": 3, "max_bits": 2}
+THRESHOLD = 0.3
+
+
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.simhash_components(docs, **SIMHASH).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return quality_rules.quality_rules(docs).drop("source")
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,9 +65,27 @@ def op5_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", C.n_words(F.col("text")).alias("n_tokens"))
+    return packing.pack_documents(docs, F.col("n_tokens"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    model = classifier.fit(docs, C.table(spark, sf_dir, "labels"),
+                           in_training=F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(5)) != 0)
+    return classifier.classify(docs, model, threshold=THRESHOLD).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op4_source_mixing": op4_source_mixing,
     "op5_ring_sharding": op5_ring_sharding,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 _SQL = {"op4_source_mixing": OP4_SQL}
 
