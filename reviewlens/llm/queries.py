@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import common as C
-from reviewlens.llm import classifier, mixing, packing, quality_rules, sharding, simhash
+from reviewlens.llm import classifier, embeddings, mixing, packing, quality_rules, sharding, simhash
 
 
 #: Production parameters, shared with the pipeline.
@@ -65,6 +65,10 @@ def op5_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_dedup(C.table(spark, sf_dir, "embeddings"), min_cosine=0.95)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", C.n_words(F.col("text")).alias("n_tokens"))
     return packing.pack_documents(docs, F.col("n_tokens"))
@@ -84,6 +88,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_source_mixing": op4_source_mixing,
     "op5_ring_sharding": op5_ring_sharding,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_classifier": op10_quality_classifier,
 }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.llm.common import fresh, staged
 from reviewlens.llm.components import connected_components
+from reviewlens.llm.forest import Forest, groups
 
 #: Members of a grid cell that are compared in one piece; larger cells are compared piece by piece.
 CHUNK = 1024
@@ -81,36 +82,28 @@ def cell_masks(max_bits: int, blocks: int, width: int = 2) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _forest(group: np.ndarray, fp: np.ndarray, code: np.ndarray, part: np.ndarray, max_bits: int,
-            cross: bool) -> Iterator[tuple[int, int]]:
-    """Links that connect what the pairs of one unit connect: (member, smallest member reached)."""
-    near = np.bitwise_count(code[:, None] ^ code[None, :]) <= max_bits  # the lower bound
+def _links(fp: np.ndarray, code: np.ndarray, part: np.ndarray, max_bits: int, cross: bool) -> list[tuple[int, int]]:
+    """Links that connect what the close pairs of one unit connect: (member, root)."""
+    forest = Forest()
+    left, right = (part == part.min(), part == part.max()) if cross else (slice(None), slice(None))
+    bits, codes = fp.view(np.uint64), code.view(np.uint64)
+    near = np.bitwise_count(codes[left][:, None] ^ codes[right]) <= max_bits  # the lower bound
+    if not cross:
+        np.fill_diagonal(near, False)
     a, b = np.nonzero(near)
-    near[a, b] = np.bitwise_count(fp[a] ^ fp[b]) <= max_bits  # the exact check
-    if cross:
-        near &= part[:, None] != part[None, :]
-    todo = near.any(axis=1)
-    for i in np.argsort(group, kind="stable"):
-        if not todo[i]:
-            continue
-        reached = np.zeros(len(fp), dtype=bool)
-        front = np.array([i])
-        reached[i] = True
-        while len(front):
-            new = near[front].any(axis=0) & ~reached
-            reached |= new
-            front = np.flatnonzero(new)
-        todo &= ~reached
-        for j in np.flatnonzero(reached):
-            if j != i:
-                yield int(group[j]), int(group[i])
+    near[a, b] = np.bitwise_count(bits[left][a] ^ bits[right][b]) <= max_bits  # the exact check
+    for rows, cols in groups(near):
+        forest.join([*fp[left][rows].tolist(), *fp[right][cols].tolist()])
+    return forest.links()
 
 
 def _link_units(max_bits: int):
     """Rows sorted by unit -> links; a unit may reach over batches and has 2 * CHUNK rows or so."""
     def flush(cols: list[np.ndarray]) -> list[tuple[int, int]]:
         _, _, i, j, part, fp, code = cols
-        return list(_forest(fp, fp.view(np.uint64), code.view(np.uint64), part, max_bits, bool(i[0] != j[0])))
+        if i[0] != j[0] and part.min() == part.max():
+            return []
+        return _links(fp, code, part, max_bits, bool(i[0] != j[0]))
 
     def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
