@@ -8,9 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import common as C
-from reviewlens.llm import classifier, embeddings, mixing, packing, quality_rules, sharding, simhash
+from reviewlens.llm import chat, classifier, embeddings, langid, mixing, packing, quality_rules, sharding, simhash, url_filters
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules, and a host list of one host in sixteen of the table's own (in use, the list is a table of its own)."""
+    pages = C.table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    host, _ = url_filters.host_and_path(F.col("url"))
+    hosts = pages.select(host.alias("host")).filter((F.col("host") != "") & F.md5("host").startswith("0")).distinct()
+    return url_filters.judge_urls(pages, rules, hosts).drop("url")
+
+
+OP1_SQL = r"""
+WITH p AS (SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+r(rule, h, q, action, rank) AS (VALUES ('example.net/en/', 'example.net', '/en/', 'allow', 1),
+    ('example.com/de/', 'example.com', '/de/', 'block', 2), ('org/fr/', 'org', '/fr/', 'allow', 3), ('net/', 'net', '/', 'block', 4)),
+b AS (SELECT page_id, host, path, (SELECT min(rank) FROM r WHERE (host = h OR ends_with(host, '.' || h))
+                                   AND starts_with(path, q)) AS rank FROM p)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN host <> '' AND md5(host) LIKE '0%' THEN 'block' ELSE 'allow' END) AS verdict
+FROM b LEFT JOIN r USING (rank)
+"""
 #: Production parameters, shared with the pipeline.
 SIMHASH = {"shingle": 3, "max_bits": 2}
 THRESHOLD = 0.3
@@ -69,6 +93,23 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_dedup(C.table(spark, sf_dir, "embeddings"), min_cosine=0.95)
 
 
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    languages, model = langid.fit(docs, remainder != 2)
+    return langid.predict(docs.select("doc_id", "text"), languages, model).select(
+        "doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+CONTROL_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.union(spark.createDataFrame(CONTROL_CONVERSATION, "conv_id long, turn long, role string, text string"))
+    return chat.digest_conversations(chat.format_conversations(chat.events_of(rows)))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", C.n_words(F.col("text")).alias("n_tokens"))
     return packing.pack_documents(docs, F.col("n_tokens"))
@@ -84,15 +125,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_source_mixing": op4_source_mixing,
     "op5_ring_sharding": op5_ring_sharding,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_language_mixture": op7_language_mixture,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_classifier": op10_quality_classifier,
 }
-_SQL = {"op4_source_mixing": OP4_SQL}
+_SQL = {"op1_url_filters": OP1_SQL, "op4_source_mixing": OP4_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
