@@ -1,0 +1,454 @@
+"""Each operator against a plain version, and on nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import hashlib
+import json
+import random
+import zlib
+
+import brute
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from reviewlens.llm import chat, classifier, components, embeddings, langid, mixing, packing, quality_rules, sharding, simhash
+from reviewlens.llm import common as C
+from reviewlens.llm import url_filters as U
+
+SF001 = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "wort " * 60_000 + "ende"
+
+
+def odd_documents():
+    """Null ids, texts and sources, empty and very long texts, repeated rows."""
+    r = random.Random(5)
+    prose = lambda n: " ".join(r.choice(["the", "of", "haed", "ston", "wher", "ting", "éau"]) + str(r.randrange(40)) for _ in range(n))
+    rows = [(i, prose(30 + i), "en", "ab"[i % 2], 1) for i in range(12)]
+    rows += [(None, prose(25), "en", "a", 1), (20, None, None, None, None), (21, "", "en", "a", 0), (22, " \n\t ", "en", None, 4),
+             (23, LONG, "de", "b", len(LONG)), (3, rows[3][1], "en", "b", 1), (3, rows[3][1], "en", "b", 1), (24, rows[5][1], "en", "c", 1)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(odd_documents(), DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# ---------------------------------------------------------------- url filters
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.example.net", "/en/x", "block")]
+
+
+def judged(spark, urls, **kw):
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    hosts = spark.createDataFrame([("bad.org",), ("unseen.org",)], "host string")
+    out = U.judge_urls(pages, rules, hosts, **kw).collect()
+    return {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out}
+
+
+@pytest.mark.parametrize("kw", [{}, {"keys_per_shard": 2, "broadcast_bytes": 0}])
+def test_url_verdicts(spark, kw):
+    urls = [None, "", "no scheme", "http://x.net", "http://x.NET/", "https://a.example.net/en/xy?q#f", "http://example.net/en/",
+            "http://bad.org/z", "http://sub.bad.org/z", "http://xnet/", "http://bad.org/z", "http://h?a://net/", "a://b.net/c://d"]
+    got = judged(spark, urls, **kw)
+    assert [got[i][2:] for i in range(len(urls))] == [
+        (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"), ("net/", "block"), ("a.example.net/en/x", "block"),
+        ("example.net/en/", "allow"), (None, "block"), (None, "allow"), (None, "allow"), (None, "block"), (None, "allow"), ("net/", "block")]
+    assert got[4][:2] == ("x.net", "/") and got[5][:2] == ("a.example.net", "/en/xy") and got[11][:2] == ("h", "")
+
+
+def test_url_empty_tables(spark):
+    assert judged(spark, []) == {}
+    pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
+    no_rules = spark.createDataFrame([], "host string, path string, action string")
+    no_hosts = spark.createDataFrame([], "host string")
+    assert [r.verdict for r in U.judge_urls(pages, no_rules, no_hosts).collect()] == ["allow"]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 400), st.integers(0, 4000), st.integers(0, 2 ** 32))
+def test_cascade_is_exact(n_listed, n_other, seed):
+    rng = np.random.default_rng(seed)
+    h1, h2 = rng.integers(0, 2 ** 63, (2, n_listed + n_other), dtype=np.uint64)
+    listed = np.arange(len(h1)) < n_listed
+    assert (U.is_listed(U.build_cascade(h1, h2, listed), h1, h2) == listed).all()
+
+
+# ---------------------------------------------------------------- simhash
+@pytest.mark.parametrize("text", [None, "", " \t\n", "One", "a B\u00c9 c", "a b c d e f a b c", "\x1fa\x0bb\x85c\u2003d e", LONG])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) == brute.fingerprint(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2 ** 64 - 1), st.lists(st.integers(0, 63), max_size=2), st.sampled_from([1, 2, 3, 4, 8]), st.integers(3, 7))
+def test_close_fingerprints_share_a_cell(fp, flips, width, blocks):
+    def code(x):
+        out = 0
+        for at in range(0, 64, width):
+            w = min(width, 64 - at)
+            out |= (1 << ((x >> at) & ((1 << w) - 1)).bit_count()) - 1 << at
+        return out
+    other = fp
+    for f in flips:
+        other ^= 1 << f
+    assert (code(fp) ^ code(other)).bit_count() <= (fp ^ other).bit_count()
+    assert any(code(fp) & m == code(other) & m for m in (x % 2 ** 64 for x in simhash.cell_masks(2, blocks, width)))
+
+
+@pytest.mark.parametrize("chunk", [simhash.CHUNK, 3])
+def test_near_links_of_crowded_cells(spark, chunk):
+    r = random.Random(1)
+    base = [r.getrandbits(64) for _ in range(4)] + [0, 2 ** 64 - 1]
+    fps = {b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64) if k % 3 else 0) for b in base for k in range(40)}
+    signed = [f - 2 ** 64 if f >> 63 else f for f in fps]
+    nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
+    links = simhash.near_links(nodes, chunk=chunk).collect()
+    got, want = brute.Union(), brute.Union()
+    for x in links:
+        got.join(x.a, x.b)
+    for a in signed:
+        for b in signed:
+            if a < b and ((a ^ b) % 2 ** 64).bit_count() <= 2:
+                want.join(a, b)
+    assert [got.find(f) for f in signed] == [want.find(f) for f in signed]
+
+
+def test_simhash_components(spark, docs, none):
+    rows = [(r.doc_id, r.fp, r.component_id) for r in simhash.simhash_components(
+        docs.withColumn("component_id", F.lit("clash"))).collect()]
+    assert len(rows) == docs.count()
+    want = brute.simhash_components([(i, t) for i, t, *_ in odd_documents() if i is not None])
+    for i, fp, comp in rows:
+        if i is None:
+            assert comp is None
+        else:
+            assert (fp % 2 ** 64, comp) == want[i]
+    assert {r[2] for r in rows if r[1] == 0} == {20}
+    assert simhash.simhash_components(none).count() == 0
+
+
+def test_components_of_chains_stars_and_hubs(spark):
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, k) for k in range(501, 800)] + [(7, 7), (None, 3)]
+    edges += [(r.randrange(1000, 1100), r.randrange(1000, 1100)) for _ in range(90)]
+    got = {x.node: x.root for x in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    u = brute.Union()
+    for a, b in edges:
+        if a is not None and a != b:
+            u.join(a, b)
+    assert got == {x: u.find(x) for x in list(u.up)}
+
+
+# ---------------------------------------------------------------- quality rules
+def test_rule_counts(spark, docs, none):
+    extra = [(90, "a\na\n b \n\nb\na", None, "x", 0), (91, "x# $y\x85z | <<>> & * %", None, "x", 0),
+             (92, "k " + "p q r s t u v w " * 3, None, "x", 0), (93, "p q r s t u v w x p q r s t u v w", None, None, 0)]
+    both = docs.union(spark.createDataFrame(extra, DOCS))
+    got = quality_rules.rule_counts(both.select("doc_id", "text", F.md5("text").alias("h"), F.lit(9).alias("n_words"))).collect()
+    texts = {hashlib.md5(t.encode()).hexdigest() if t is not None else None: t for _, t, *_ in odd_documents() + extra}
+    for r in got:
+        assert tuple(r[c] for c in quality_rules.RULES) == brute.rule_counts(texts[r.h]), r
+    assert quality_rules.quality_rules(none, with_text=True).count() == 0
+
+
+def test_shared_lines_are_removed_and_depleted_documents_rejected(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    boiler = "Subscribe to  OUR newsletter " + line(12)
+    rows = []
+    for i in range(60):  # 30 with the shared line and their own lines, 30 without
+        own = [line(15), line(15)]
+        rows.append((i, "\n".join(own + ([boiler.upper() if i % 4 else boiler] if i < 30 else [])), None, "h", 0))
+    rows += [(100 + i, boiler + "\n" + line(3), None, "h", 0) for i in range(5)]  # little else
+    copy = "\n".join(line(12) for _ in range(4))
+    rows += [(200 + i, copy, None, "h", 0) for i in range(80)]  # exact copies of one document
+    near = [line(20) for _ in range(4)]
+    rows += [(300 + i, "\n".join(near[:3] + [near[3] + " " + word()]), None, "h", 0) for i in range(25)]
+    rows += [(400, boiler + "\n" + line(3), None, None, 0), (401, None, None, None, 0)]  # other host: not over a limit there
+    docs = spark.createDataFrame(rows, DOCS).withColumn("kept", F.lit("clash"))
+    got = {x.doc_id: x for x in quality_rules.quality_rules(docs, with_text=True, min_documents=20).collect()}
+    want = brute.removed_words([(i, h, t) for i, t, _, h, _ in rows if i < 200 or i >= 400], 20, 0.01)
+    for i, text, *_ in rows:
+        if i < 200 or i >= 400:
+            assert got[i].removed_words == want[i]
+    assert all(got[i].kept for i in [*range(60), *range(200, 280), *range(300, 325)])
+    assert got[1].text == "\n".join(rows[1][1].split("\n")[:2]) and got[40].text == rows[40][1] and got[200].text == copy
+    assert not any(got[i].kept for i in [*range(100, 105), 400, 401])
+    assert got[401].text is None and got[401].base_failed
+
+
+# ---------------------------------------------------------------- mixing
+def test_targets_stop_at_the_limit_and_share_the_rest(spark, docs, none):
+    sizes = spark.createDataFrame([("a", 100), ("b", 10), ("c", 10), ("d", 880), (None, 0)], "source string, size long")
+    t = {r._source: r for r in mixing.source_rates(sizes, "source", "size").collect()}
+    # weights 1 2 3 1 2: b and c stop at 30, the rest goes to a and d by 1 : 1, of which a stops at 300
+    assert [t[s].target for s in ("a", "b", "c", "d", None)] == [300, 30, 30, 640, 0]
+    assert t[None].rate == 0
+    got = mixing.mix_sources(docs.withColumn("rate", F.lit("clash")), C.n_words(F.col("text"))).collect()
+    again = mixing.mix_sources(docs.orderBy(F.rand()), C.n_words(F.col("text"))).collect()
+    key = lambda rows: sorted((str(r.doc_id), str(r.text), str(r.source), r.size, r.copies) for r in rows)
+    assert key(got) == key(again) and len(got) == len(odd_documents())
+    assert all(0 <= r.copies <= 3 for r in got)
+    mixed = mixing.mix_sources(docs, C.n_words(F.col("text")))
+    assert mixing.emit_copies(mixed).count() == sum(r.copies for r in got)
+    assert mixing.mix_sources(none, C.n_words(F.col("text"))).count() == 0
+
+
+def test_taken_words_come_near_the_target(spark):
+    rows = [(i, "w " * (1 + i * 7919 % 50), None, f"s{i % 4}", 0) for i in range(8000)]
+    m = mixing.mix_sources(spark.createDataFrame(rows, DOCS), C.n_words(F.col("text")))
+    fraction = F.col("rate") - F.floor("rate")
+    for r in m.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("k"), F.max("target").alias("t"),
+                                     F.sum(F.col("size") ** 2 * fraction * (1 - fraction)).alias("var")).collect():
+        assert abs(r.k - r.t) < 4 * r["var"] ** 0.5 and abs(r.k / r.t - 1) < 0.1
+
+
+# ---------------------------------------------------------------- sharding
+@pytest.mark.parametrize("slack", [0.0, 0.1])
+def test_shards_are_balanced_and_slots_gapless(spark, docs, slack):
+    rows = [(i, i % 3) for i in range(2000)] + [(7, 1)] * 900 + [(None, k % 400) for k in range(600)]
+    df = spark.createDataFrame(rows, "k long, shard int")
+    df = df.withColumn("x", F.col("shard")).drop("shard")
+    got = sharding.shard_rows(df.withColumn("slot", F.lit("clash")), "k", 8, slack=slack).collect()
+    assert sorted((str(r.k), r.x) for r in got) == sorted((str(k), x) for k, x in rows)
+    by = {s: sorted(r.slot for r in got if r.shard == s) for s in range(8)}
+    assert all(v == list(range(len(v))) for v in by.values())
+    counts = [len(v) for v in by.values()]
+    assert max(counts) - min(counts) <= 1 if slack == 0 else max(counts) <= -(-1.1 * len(rows) // 8)
+    again = sharding.shard_rows(df.orderBy(F.rand()), "k", 8, slack=slack).collect()
+    key = lambda rs: sorted((str(r.k), r.x, r.shard, r.slot) for r in rs)
+    assert key(got) == key(again)
+    assert sharding.shard_rows(docs.limit(0), "doc_id", 8).count() == 0
+    assert sharding.shard_rows(docs, "doc_id", 8).count() == docs.count()
+
+
+def plain_ring(counts, n_shards, cap, buckets, vnodes):
+    """Bounded loads one unit at a time in the operator's order of rounds."""
+    ring = sharding.ring_positions(n_shards, vnodes, buckets)
+    order = {u: sorted(range(n_shards), key=lambda s: (min((p - u // 8) % buckets for p in ring[s]), s)) for u in counts}
+    left, free, out = dict(counts), list(cap), {}
+    for r in range(n_shards):
+        room = list(free)
+        for u in sorted(counts):
+            s = order[u][r]
+            got = min(left[u], room[s])
+            room[s] -= got
+            left[u] -= got
+            out[s] = out.get(s, 0) + got
+        free = room
+    return out
+
+
+def test_growth_moves_few_rows(spark):
+    df = spark.range(6000).withColumnRenamed("id", "k")
+    place = lambda n: {r.k: r.shard for r in sharding.shard_rows(df, "k", n, slack=0.1).collect()}
+    a, b = place(8), place(9)
+    moved = sum(a[k] != b[k] for k in a)
+    assert moved < 0.35 * len(a) and sum(b[k] == 8 for k in b) > 0.08 * len(b)
+
+
+def test_ring_against_plain_version(spark):
+    df = spark.range(3000).withColumnRenamed("id", "k")
+    got = {r.shard: r["count"] for r in sharding.shard_rows(df, "k", 5, slack=0.02).groupBy("shard").count().collect()}
+    pos = df.select(F.pmod(F.xxhash64(F.lit("key"), "k"), F.lit(4096)).alias("b"), F.pmod(F.shiftright(
+        C.null_first_row_hash(df, ["k"]), 17), F.lit(8)).alias("s")).groupBy("b", "s").count().collect()
+    assert got == plain_ring({r.b * 8 + r.s: r["count"] for r in pos}, 5, sharding.capacities(3000, 5, 0.02), 4096, 64)
+
+
+# ---------------------------------------------------------------- embeddings
+def test_embedding_links(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    x = [centres[i % 12] + rng.normal(size=16) * (0.02 + 0.05 * (i % 4)) for i in range(240)] + list(rng.normal(size=(60, 16)))
+    rows = [(i, [float(t) for t in v]) for i, v in enumerate(x)]
+    odd = [(900, None), (901, []), (902, [0.0] * 16), (903, [1.0] * 15 + [float("nan")]), (904, [1.0] * 15 + [None]),
+           (905, [float("inf")] * 16), (906, [1.0, 0.0]), (907, [2.0, 0.0]), (908, [1e308] * 16), (909, [1e-300] * 16), (None, rows[0][1])]
+    df = spark.createDataFrame([(i, v, "clash", 1) for i, v in rows + odd], "vec_id long, embedding array<double>, kept string, label int")
+    m = np.array([v for _, v in rows])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    near = m @ m.T >= 0.95
+    np.fill_diagonal(near, False)
+    u = brute.Union()
+    for a, b in zip(*np.nonzero(near)):
+        u.join(int(a), int(b))
+    for kw in ({}, {"chunk": 17}, {"chunk": 64, "max_pivots": 2}):
+        got = {r.vec_id: r for r in embeddings.embedding_dedup(df, **kw).collect()}
+        for i in range(300):
+            assert (got[i].n_links, got[i].component_id, got[i].kept) == (near[i].sum(), u.find(i), u.find(i) == i)
+        assert [got[i].n_links for i in range(900, 910)] == [0] * 6 + [1, 1, 1, 1]
+        assert got[907].component_id == 906 and got[None].n_links == 0 and got[None].kept
+    assert embeddings.embedding_dedup(df.limit(0)).count() == 0
+
+
+def test_repeated_vector_ids(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.embedding_dedup(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 2, 1)]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.integers(0, 2 ** 32), st.floats(0.3, 0.99), st.integers(1, 12))
+def test_partners_meet_in_a_cell(seed, cosine, n_pivots):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(60, 5))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    home, visits = embeddings.cells_of(x, x[:n_pivots], float(np.sqrt(2 - 2 * cosine)))
+    for a, b in zip(*np.nonzero(x @ x.T >= cosine)):
+        if home[a] > home[b]:
+            assert visits[a, home[b]]
+
+
+# ---------------------------------------------------------------- language
+def test_language_of_held_out_documents_and_mixtures(spark):
+    docs = C.table(spark, SF001, "documents")
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    names, model = langid.fit(docs, remainder != 2)
+    out = langid.predict(docs.withColumn("score", F.lit("clash")), names, model).filter(remainder == 2).collect()
+    assert np.mean([r.lang == r.lang_pred for r in out]) > 0.97 and all(0 <= r.score <= 1 for r in out)
+    en, de = (next(r.text for r in out if r.lang == x and 400 < len(r.text) < 1500) for x in ("en", "de"))
+    n = min(len(en), len(de))
+    main, share = langid.identify(en[:n] + "\n" + de[: n // 3], model.astype(float), names)
+    assert main == "en" and 0.6 < share < 0.9
+    for text in (None, "", " \n", "1234 !?"):
+        assert langid.identify(text, model.astype(float), names) == ("und", 0.0)
+    assert langid.identify("日本語", model.astype(float), names)[0] in names
+    names, model = langid.fit(docs.limit(0), remainder != 2)
+    assert names == [] and {r.lang_pred for r in langid.predict(docs.limit(3), names, model).collect()} == {"und"}
+
+
+def test_mixture_finds_the_proportions():
+    rng = np.random.default_rng(0)
+    p = rng.dirichlet(np.ones(200) * 0.1, size=3).T + 1e-9
+    count = rng.multinomial(5000, p @ [0.6, 0.3, 0.1])
+    part, _ = langid.mixture(p, count.astype(float), rounds=200)
+    assert np.abs(part - [0.6, 0.3, 0.1]).max() < 0.05
+
+
+# ---------------------------------------------------------------- chat
+PIECES = [*"a\\<>|/[]s\n", *chat.CONTROL, "INST", "start", "end", "é", "\u2028"]
+ANY_TEXT = st.lists(st.sampled_from(PIECES), max_size=12).map("".join) | st.text(max_size=8)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(ANY_TEXT, ANY_TEXT), max_size=5))
+def test_template_is_reversible(turns):
+    pieces = [chat.render(r, t) for r, t in turns]
+    assert chat.parse("".join(p for p, _, _ in pieces)) == turns
+    for (p, a, b), (_, t) in zip(pieces, turns):
+        assert chat.unescape(p[a:b]) == t
+        assert not any(c in p[a:b] for c in chat.CONTROL)
+
+
+def chat_digest(turns):
+    said = "".join(t for r, t in turns if r == "assistant")
+    return (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(),
+            len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("segment", [chat.SEGMENT_CHARS, 40])
+def test_conversations(spark, segment):
+    rows = [(1, 0, "user", "hi </s>"), (1, 1, "assistant", "[INST] \\ yes"), (1, 2, "user", None), (1, 3, "assistant", LONG),
+            (2, 0, None, "no role"), (2, None, "assistant", "no turn"), (2, 1, "user", "twice"), (2, 1, "user", "twice"),
+            (None, 0, "user", "no id"), (3, 0, "assistant", ""), (4, 0, "", "x"), (4, 0, "", "a")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, message string")
+    formatted = chat.format_conversations(chat.events_of(df), segment)
+    if segment == 40:
+        assert formatted.filter("conv_id = 1").count() > 1
+    got = {r.conv_id: r for r in chat.digest_conversations(formatted).collect()}
+    want = {}
+    key = lambda r: (r[0] or 0, -1 if r[1] is None else r[1], json.dumps({"role": r[2] or "", "text": hashlib.md5((r[3] or "").encode()).hexdigest()}))
+    for c, _, role, text in sorted(rows, key=key):
+        want.setdefault(c, []).append((role or "", text or ""))
+    assert set(got) == set(want)
+    for c, turns in want.items():
+        assert tuple(got[c])[1:5] == chat_digest(turns), c
+    assert chat.digest_conversations(chat.format_conversations(chat.events_of(df.limit(0)))).count() == 0
+
+
+def test_fold_of_events():
+    e = [("open", "assistant", None), ("delta", None, "a"), ("regenerate", None, None), ("delta", None, "b"), ("delta", None, None),
+         ("delta", None, "c"), ("seen", None, "x")]
+    assert chat.fold(iter(e)) == ("assistant", "bc")
+    assert chat.fold(iter([*e, ("edit", None, "new"), ("delta", None, "!")])) == ("assistant", "new!")
+    assert chat.fold(iter([("delta", None, "t")])) == ("", "t")
+
+
+# ---------------------------------------------------------------- packing
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=200))
+def test_bins_hold_what_they_say(sizes):
+    sizes = sorted(sizes, reverse=True)
+    lengths = (8, 16, 32, 64)
+    bins, offsets, caps = packing.pack(sizes, lengths, lambda n: 1 + n)
+    held = [0] * len(caps)
+    for s, b, o in zip(sizes, bins, offsets):
+        assert held[b] == o
+        held[b] += s
+    assert all(min(c for c in lengths if c >= h) == cap for h, cap in zip(held, caps))
+    assert len(caps) == 0 or sum(held) == sum(sizes)
+
+
+def test_best_fit_takes_the_least_room_and_the_cheapest_bin():
+    bins, offsets, caps = packing.pack([5, 4, 3, 1], (6, 8), lambda n: {6: 6, 8: 20}[n])
+    assert (bins, offsets, caps) == ([0, 1, 2, 0], [0, 0, 0, 5], [6, 6, 6])
+    _, _, caps = packing.pack([5, 1, 1, 1], (6, 8), lambda n: {6: 7, 8: 8}[n])
+    assert caps == [8]  # one long bin costs less for each token than two short ones
+
+
+def test_pack_documents(spark, docs, none):
+    sizes = docs.select("doc_id", C.n_words(F.col("text")).alias("n"), F.lit("clash").alias("bin"))
+    got = packing.pack_documents(sizes, F.col("n"), lengths=(64, 128, 512), per_task=50).collect()
+    total = {}
+    for r in got:
+        total.setdefault(r.doc_id, []).append((r.start, r.length))
+    want = {}
+    for i, t, *_ in odd_documents():
+        want.setdefault(i, []).append(len(brute.WORD.findall(t or "")))
+    assert {i: sum(n for _, n in v) for i, v in total.items()} == {i: sum(v) for i, v in want.items()}
+    by = {}
+    for r in got:
+        if r.length:
+            by.setdefault((r.bin, r.bin_length), []).append((r.offset, r.length))
+    for (_, cap), parts in by.items():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert cap / 2 < at <= cap or cap == 64 or at > 128
+    assert sum(1 for r in got if r.bin is None) == 3
+    assert packing.pack_documents(none.select("doc_id"), F.lit(None)).count() == 0
+
+
+# ---------------------------------------------------------------- classifier
+def test_classifier_on_held_out_documents(spark, docs, none):
+    sf = "/root/testdata/sf0.01"
+    d, labels = C.table(spark, sf, "documents"), C.table(spark, sf, "labels")
+    odd = labels.union(spark.createDataFrame([(None, 1, 0), (1, None, 0), (2, 7, 0)], labels.schema))
+    model = classifier.fit(d, odd, in_training=F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(5)) != 0)
+    truth = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    got = [r for r in classifier.classify(d.withColumn("score", F.lit("clash")), model).collect() if r.doc_id in truth]
+    assert len(got) > 40 and np.mean([r.predicted == truth[r.doc_id] for r in got]) > 0.95
+    out = classifier.classify(docs, model).collect()
+    assert len(out) == len(odd_documents()) and all(0 <= r.score <= 1 for r in out)
+    empty = {r.score for r in out if not (r.text or "").strip()}
+    assert len(empty) == 1
+    assert classifier.classify(none, model).count() == 0
+    unlearned = classifier.fit(none, labels.limit(0))
+    assert {r.score for r in classifier.classify(docs, unlearned).collect()} == {0.5}
+
+
+def test_scores_do_not_depend_on_blocks():
+    texts = [t for _, t, *_ in odd_documents()]
+    m = classifier.Model(np.random.default_rng(1).normal(size=classifier.BUCKETS).astype(np.float32), 0.1)
+    together = m.score(pa.array(texts))
+    assert np.allclose(together, [m.score(pa.array([t], pa.string()))[0] for t in texts], atol=1e-9)
