@@ -14,12 +14,8 @@ from pyspark.sql import functions as F
 from reviewlens.functions import numeric as N
 from reviewlens.functions import text as X
 from reviewlens.functions.sentiment import LABELS
-from reviewlens.operators.quantiles import group_quantiles, quantile_exprs
-
-
-def _labels(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([(lab, i) for i, lab in enumerate(LABELS)],
-                                           "sentiment string, label_order int")
+from reviewlens.operators.quantiles import group_quantiles
+from reviewlens.operators.textstats import Counted, count_values
 
 
 def sentiment_counts(df: DataFrame, label_col: str = "sentiment") -> DataFrame:
@@ -119,17 +115,12 @@ def rating_sentiment_crosstab(df: DataFrame, rating_col: str, label_col: str = "
             .orderBy("rating"))
 
 
-def _summary(v, probs=(0.25, 0.5, 0.75)):
-    q = quantile_exprs(v, list(probs))
-    return q
-
-
 def confidence_distribution(df: DataFrame, label_col: str = "sentiment",
                             score_col: str = "sentiment_score") -> DataFrame:
     """Per label: count, min, Q1, median, Q3, max, mean of the score (box / violin data).
 
     Scores are unbounded doubles and one label may hold most rows, so the quartiles come
-    from ``group_quantiles`` (range-partitioned ranks), not a per-label value map.
+    from ``group_quantiles`` (bracketed ranks), not a per-label value map.
     """
     base = (df.where(F.col(label_col).isin(list(LABELS)))
             .select(F.col(label_col).alias("sentiment"), F.col(score_col).cast("double").alias("s")))
@@ -145,10 +136,12 @@ def confidence_distribution(df: DataFrame, label_col: str = "sentiment",
 
 def length_distribution(df: DataFrame, text_col: str, label_col: str = "sentiment") -> DataFrame:
     """Per label: the same summary of text length, plus its population std (box ``sd``)."""
-    n = X.text_length(text_col).cast("double")
-    return (df.where(F.col(label_col).isin(list(LABELS))).groupBy(F.col(label_col).alias("sentiment"))
-            .agg(F.count(F.lit(1)).alias("count"), F.min(n).alias("min"), _summary(n).alias("_q"),
-                 F.max(n).alias("max"), F.avg(n).alias("mean"), F.stddev_pop(n).alias("std"))
+    rows = df.where(F.col(label_col).isin(list(LABELS))).select(F.col(label_col).alias("sentiment"), text_col)
+    s = Counted("length")
+    real = lambda c: c.cast("double")
+    return (count_values(rows, {"length": X.text_length(text_col)}, ["sentiment"]).groupBy("sentiment")
+            .agg(s.count().alias("count"), real(F.min(s.n)).alias("min"), s.quantiles((0.25, 0.5, 0.75)).alias("_q"),
+                 real(F.max(s.n)).alias("max"), s.mean().alias("mean"), s.std(ddof=0).alias("std"))
             .select("sentiment", "count", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                     F.col("_q")[2].alias("q3"), "max", "mean", "std"))
 

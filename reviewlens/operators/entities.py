@@ -32,24 +32,25 @@ def entity_count_histogram(df: DataFrame, id_col: str, bins: int = 50) -> DataFr
 
     Bins are left-closed, the last one also holds the maximum; when all counts are equal
     the range is widened by 0.5 on each side. Empty bins are present with count 0. The
-    second-level aggregation runs over one row per entity.
+    table is read once: per-entity counts are reduced to (count, entities) pairs, of which
+    there are at most about the square root of twice the rows, and bounds and bins come
+    from those. Lazy; no entity, no row.
     """
-    counts = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("x"))
-    counts = counts.select(F.col("x").cast("double").alias("x"))
-    # pass 1: min / max over one row per entity — two numbers reach the driver
-    lo, hi = counts.agg(F.min("x"), F.max("x")).first()
-    spark = df.sparkSession
-    schema = "bin bigint, bin_start double, bin_end double, count bigint"
-    if lo is None:
-        return spark.createDataFrame([], schema)
-    mn, mx = (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
-    width = (mx - mn) / bins
-    b = F.least(F.floor((F.col("x") - F.lit(mn)) * F.lit(float(bins)) / F.lit(mx - mn)).cast("bigint"),
-                F.lit(bins - 1))
-    hist = counts.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    allbins = spark.range(bins).select(F.col("id").alias("bin"))
-    return (allbins.join(hist, "bin", "left")
-            .select("bin", (F.lit(mn) + F.col("bin") * F.lit(width)).alias("bin_start"),
-                    (F.lit(mn) + (F.col("bin") + 1) * F.lit(width)).alias("bin_end"),
-                    F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
-            .orderBy("bin"))
+    per_entity = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("x"))
+    pairs = per_entity.groupBy("x").agg(F.count(F.lit(1)).alias("e"))
+    one = pairs.agg(F.min("x").cast("double").alias("lo"), F.max("x").cast("double").alias("hi"),
+                    F.collect_list(F.struct(F.col("x").cast("double").alias("x"), "e")).alias("pairs"))
+    same = F.col("lo") == F.col("hi")
+    one = one.where(F.col("lo").isNotNull()).select(
+        "pairs", F.when(same, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("mn"),
+        F.when(same, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("mx"))
+    binned = F.transform("pairs", lambda p: F.struct(
+        F.least(F.floor((p["x"] - F.col("mn")) * F.lit(float(bins)) / (F.col("mx") - F.col("mn"))).cast("bigint"),
+                F.lit(bins - 1).cast("bigint")).alias("bin"), p["e"].alias("e")))
+    hist = one.select("mn", ((F.col("mx") - F.col("mn")) / bins).alias("width"), binned.alias("binned"))
+    count = lambda b: F.aggregate(F.filter("binned", lambda p: p["bin"] == b), F.lit(0).cast("bigint"),
+                                  lambda acc, p: acc + p["e"])
+    rows = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint")), lambda b: F.struct(
+        b.alias("bin"), (F.col("mn") + b * F.col("width")).alias("bin_start"),
+        (F.col("mn") + (b + 1) * F.col("width")).alias("bin_end"), count(b).alias("count")))
+    return hist.select(F.inline(rows)).orderBy("bin")

@@ -1,8 +1,8 @@
 """Table profiling and data quality, fused into as few passes as possible.
 
-The reference rescans the table once per metric; here one aggregation computes every
-per-column count, and duplicate detection is one ``groupBy`` over all columns (partial
-aggregation map-side, so a heavily duplicated row is combined before the shuffle).
+One aggregation computes every per-column count, and duplicate detection is one ``groupBy``
+over a hash of the whole row (partial aggregation map-side, so a heavily duplicated row is
+combined before the shuffle).
 """
 
 from __future__ import annotations
@@ -40,63 +40,42 @@ def _groupable(df: DataFrame) -> list[str]:
     return cols
 
 
-# Candidate hash keys up to this many are broadcast for the exact second phase.
-DUP_CANDIDATE_BROADCAST_LIMIT = 1_000_000
-
-
-def _row_key(df: DataFrame) -> list[Column]:
-    """A 96-bit row fingerprint (xxhash64 + murmur3). Floats are normalised first
-    (−0.0 → 0.0, one NaN) so equal-by-grouping values hash equally."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            c = F.when(F.isnan(c), F.lit(float("nan"))).otherwise(c + F.lit(0.0))
-        cols.append(c)
-    return [F.xxhash64(*cols).alias("_h1"), F.hash(*cols).alias("_h2")]
-
-
-def distinct_count(df: DataFrame) -> tuple[int, int]:
-    """``(rows, distinct rows)`` of ``df`` over all its columns (nulls and NaN compare equal).
-
-    Exact, without shuffling whole rows: phase 1 groups a 96-bit row fingerprint (12 bytes
-    per row, pre-aggregated map-side); a fingerprint seen once is a distinct row. Phase 2
-    compares whole rows only for fingerprints seen more than once — their keys are
-    broadcast below a checked count, otherwise the exact ``groupBy`` over all columns is
-    used. Copies of one row, however many, are one fingerprint key and are combined in
-    each map task before any shuffle.
-    """
-    total, distinct, _ = _fingerprint_pass(df)
-    return total, distinct
+def _canonical(f: T.StructField) -> Column:
+    """A cell as text that equals another cell's only if the cells are equal (nulls too; -0.0 is 0.0, NaN is NaN)."""
+    c, t = F.col(f"`{f.name}`"), f.dataType
+    if isinstance(t, T.StringType):
+        s = F.concat(F.length(c).cast("string"), F.lit(":"), c)
+    elif isinstance(t, (T.FloatType, T.DoubleType)):
+        s = F.when(F.isnan(c), F.lit("NaN")).otherwise((c + F.lit(0.0)).cast("string"))
+    elif isinstance(t, T.TimestampType):
+        s = F.unix_micros(c).cast("string")
+    elif isinstance(t, T.BinaryType):
+        s = F.hex(c)
+    elif isinstance(t, T.MapType):
+        s = F.to_json(F.array_sort(F.map_entries(c)), {"ignoreNullFields": "false"})
+    elif isinstance(t, (T.ArrayType, T.StructType)):
+        s = F.to_json(c, {"ignoreNullFields": "false"})
+    else:
+        s = c.cast("string")
+    return F.coalesce(F.concat(s, F.lit(";")), F.lit("-;"))
 
 
-def _fingerprint_pass(df: DataFrame, sums: dict[str, Column] | None = None
-                      ) -> tuple[int, int, dict[str, int]]:
-    """``distinct_count`` plus the totals of per-row integer expressions ``sums``.
+def row_counts(df: DataFrame, sums: dict[str, Column] | None = None) -> DataFrame:
+    """One row: ``total_rows``, ``distinct_rows`` (nulls and NaN compare equal) and the totals of ``sums``.
 
-    The sums ride along in the phase-1 fingerprint aggregation, so a profile that needs
-    both cell counts and duplicates reads the table once instead of twice.
+    Rows are told by the SHA-256 of their canonical text, so 32 bytes per distinct row are
+    shuffled instead of whole rows, and copies of one row, however many, are combined in
+    each map task. ``sums`` are integer expressions per row that ride along, so a profile
+    that needs cell counts and duplicates reads the table once. Nothing runs until the
+    result is used.
     """
-    cols = _groupable(df)
     sums = sums or {}
-    extra = {f"_x{i}": e for i, e in enumerate(sums.values())}
-    keyed = df.select(*_row_key(df), *cols, *[e.cast("bigint").alias(n) for n, e in extra.items()])
-    fp = keyed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(n).alias(n) for n in extra])
-    s1 = fp.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total"),
-                F.count_if(F.col("_n") == 1).alias("singles"),
-                F.count_if(F.col("_n") > 1).alias("multi"),
-                *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in extra]).first()
-    total, singles, multi = int(s1["total"]), int(s1["singles"]), int(s1["multi"])
-    if multi == 0:
-        distinct = singles
-    elif multi <= DUP_CANDIDATE_BROADCAST_LIMIT:
-        cand = F.broadcast(fp.where(F.col("_n") > 1).select("_h1", "_h2"))
-        exact = keyed.select("_h1", "_h2", *cols).join(cand, ["_h1", "_h2"], "left_semi") \
-            .groupBy(*cols).count().count()
-        distinct = singles + exact
-    else:
-        distinct = df.groupBy(*cols).count().count()
-    return total, distinct, {name: int(s1[n]) for name, n in zip(sums, extra)}
+    names = {f"_x{i}": e for i, e in enumerate(sums.values())}
+    h = F.unhex(F.sha2(F.concat(*[_canonical(f) for f in df.schema.fields]), 256)).alias("_h")
+    groups = (df.select(h, *[e.cast("bigint").alias(n) for n, e in names.items()]).groupBy("_h")
+              .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(n).alias(n) for n in names]))
+    return groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"), F.count(F.lit(1)).alias("distinct_rows"),
+                      *[F.coalesce(F.sum(n), F.lit(0)).alias(out) for n, out in zip(names, sums)])
 
 
 def _missing_in_row(df: DataFrame) -> Column:
@@ -107,11 +86,9 @@ def _missing_in_row(df: DataFrame) -> Column:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows equal to an earlier row on all columns (nulls and NaN compare equal).
 
-    One row: ``total_rows``, ``distinct_rows``, ``duplicate_rows`` (see ``distinct_count``).
+    One row: ``total_rows``, ``distinct_rows``, ``duplicate_rows`` (see ``row_counts``).
     """
-    total, distinct = distinct_count(df)
-    return df.sparkSession.createDataFrame([(total, distinct, total - distinct)],
-                                           "total_rows bigint, distinct_rows bigint, duplicate_rows bigint")
+    return row_counts(df).withColumn("duplicate_rows", F.col("total_rows") - F.col("distinct_rows"))
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:
@@ -127,16 +104,10 @@ def _cells(df: DataFrame) -> DataFrame:
 
 
 def table_overview(df: DataFrame) -> DataFrame:
-    """total_rows, total_columns, missing_values, duplicate_rows (one row).
-
-    One read of the table: missing cells are summed inside the duplicate check's
-    fingerprint aggregation (``_fingerprint_pass``).
-    """
-    k = len(df.columns)
-    total, distinct, x = _fingerprint_pass(df, {"missing": _missing_in_row(df)})
-    return df.sparkSession.createDataFrame([(total, k, x["missing"], total - distinct)],
-                                           "total_rows bigint, total_columns bigint, missing_values bigint, "
-                                           "duplicate_rows bigint")
+    """total_rows, total_columns, missing_values, duplicate_rows (one row, one read of the table)."""
+    r = row_counts(df, {"missing_values": _missing_in_row(df)})
+    return r.select("total_rows", F.lit(len(df.columns)).cast("bigint").alias("total_columns"), "missing_values",
+                    (F.col("total_rows") - F.col("distinct_rows")).alias("duplicate_rows"))
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:
@@ -199,7 +170,7 @@ def quality_report(df: DataFrame, text_col: str | None = None, rating_col: str |
     rating_valid_pct) and overall_quality_score. Percentages are rounded to 2 dp before
     they are weighted, the score to 1 dp; without a text column the two remaining weights
     are renormalised (divided by 0.7). The cell counts are summed inside the duplicate
-    check's fingerprint aggregation (one read of the table); the arithmetic is on one row.
+    check's aggregation (one lazy read of the table); the arithmetic is on one row.
     """
     k = len(df.columns)
     one = lambda cond: F.when(cond, F.lit(1)).otherwise(F.lit(0))
@@ -208,11 +179,7 @@ def quality_report(df: DataFrame, text_col: str | None = None, rating_col: str |
         sums["_blank"] = one(X.collapse_whitespace(F.coalesce(F.col(text_col), F.lit("nan"))) == "")
     if rating_col:
         sums["_rvalid"] = one(N.nan_to_null(rating_col).isNotNull())
-    # one read of the table: the counts ride along in the fingerprint aggregation
-    total, distinct, x = _fingerprint_pass(df, sums)
-    names = ["_rows", *sums, "_distinct"]
-    j = df.sparkSession.createDataFrame([(total, *[x[n] for n in sums], distinct)],
-                                        ", ".join(f"{n} bigint" for n in names))
+    j = row_counts(df, sums).withColumnsRenamed({"total_rows": "_rows", "distinct_rows": "_distinct"})
     total_cells = F.col("_rows") * F.lit(k)
     completeness = N.round_half_even(
         (F.lit(1.0) - F.try_divide(F.col("_missing").cast("double"), total_cells)) * 100.0, 2)
@@ -240,7 +207,11 @@ def quality_report(df: DataFrame, text_col: str | None = None, rating_col: str |
 
 
 def completeness(df: DataFrame) -> DataFrame:
-    return quality_report(df).select("total_cells", "missing_cells", "completeness_score")
+    """total_cells, missing_cells and their score, from map-side counts (no row is shuffled)."""
+    missing = F.coalesce(F.sum(_missing_in_row(df)), F.lit(0)).cast("bigint")
+    one = df.agg((F.count(F.lit(1)) * F.lit(len(df.columns))).cast("bigint").alias("total_cells"), missing.alias("missing_cells"))
+    return one.withColumn("completeness_score", N.round_half_even(
+        (F.lit(1.0) - F.try_divide(F.col("missing_cells").cast("double"), F.col("total_cells"))) * 100.0, 2))
 
 
 def consistency(df: DataFrame) -> DataFrame:
@@ -277,7 +248,7 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None,
     """count, mean, std, min, 25/50/75 %, max per numeric column (exact quantiles by default).
 
     Moments and extremes come from one map-side aggregation; the exact quartiles of every
-    column come from one shared range-partitioned ranking (``wide_quantiles``), so no task
+    column come from one shared pass of bracketed ranks (``wide_quantiles``), so no task
     holds a column's distinct values. ``accuracy`` switches to ``percentile_approx``.
     """
     cols = numeric_columns(df, columns)
@@ -350,7 +321,7 @@ def iqr_outliers(df: DataFrame, columns: list[str] | None = None,
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(names):
         lo, hi = bounds[c]
-        v = F.col(c).cast("double")
+        v = N.nan_to_null(c).cast("double")  # Spark sorts NaN above every number
         aggs.append(F.count_if((v < F.lit(lo)) | (v > F.lit(hi))).alias(f"_o{i}"))
     one = df.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"_o{i}").cast("bigint").alias("outlier_count"),

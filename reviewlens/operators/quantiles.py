@@ -3,20 +3,28 @@
 ``percentile`` is exact with linear interpolation (pandas / numpy ``linear``), but it keeps
 a value → count map per group and merges every partial map in the one task that finalises
 the group. Its state therefore grows with the number of *distinct* values: fine for bounded
-domains (ratings, text lengths, word counts), not for arbitrary doubles at scale. For those,
-``group_quantiles`` ranks the pre-aggregated distinct values with a range shuffle, so no
-task ever holds more than one range partition, and a group holding a third of all rows is
-spread over many tasks. ``accuracy`` selects ``percentile_approx`` instead (rank error
+domains (ratings, pre-counted text lengths), not for arbitrary doubles at scale. For those,
+``group_quantiles`` brackets each rank with an approximate sketch and ranks only the values
+inside the bracket. ``accuracy`` selects ``percentile_approx`` instead (rank error
 ≤ 1/accuracy).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+#: Rank error of the sketches that bracket a rank is n / SKETCH_ACCURACY.
+SKETCH_ACCURACY = 10_000
+#: Brackets are narrowed until they should hold at most so many values.
+BRACKET_ROWS = 1_000_000
+#: Above so many groups the per-group numbers do not go through the driver.
+MAX_GROUPS = 10_000
+
 
 def quantile_exprs(v: Column, probs: Sequence[float], accuracy: int | None = None) -> Column:
     """Array of quantiles of ``v`` (exact by default); for bounded value domains."""
@@ -26,86 +34,149 @@ def quantile_exprs(v: Column, probs: Sequence[float], accuracy: int | None = Non
     return F.percentile_approx(v, list(probs), accuracy)
 
 
+@dataclass
+class _Bracket:
+    """The ranks ``r0, r1`` (0-based) of one probability of one group lie in values ``lo .. hi``."""
+
+    group: Row
+    p: float
+    n: int
+    lo: float
+    hi: float
+    rows: float  # values that it should hold
+
+    @property
+    def pos(self) -> float:
+        return self.p * (self.n - 1)
+
+    @property
+    def ranks(self) -> tuple[int, int]:
+        return math.floor(self.pos), math.ceil(self.pos)
+
+
+def _bracketed(d: DataFrame, keys: list[str], brackets: list[_Bracket]) -> DataFrame:
+    """Each value once per bracket of its group whose ``hi`` it does not exceed: ``(b, v)``, v NULL below ``lo``."""
+    spark = d.sparkSession
+    entry = [(i, b.lo, b.hi) for i, b in enumerate(brackets)]
+    if keys:
+        names = [f"_k{j}" for j in range(len(keys))]
+        table = spark.createDataFrame([(*[b.group[k] for k in keys], *e) for b, e in zip(brackets, entry)],
+                                      ", ".join([*(f"{n} {d.schema[k].dataType.simpleString()}" for n, k in zip(names, keys)),
+                                                 "b int, lo double, hi double"]))
+        same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+        # one row per group and probability: at most MAX_GROUPS groups
+        rows = d.join(F.broadcast(table), same)
+    else:
+        rows = d.select("v", F.inline(F.array(*[F.struct(F.lit(i).alias("b"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+                                                for i, lo, hi in entry])))
+    return rows.where(F.col("v") <= F.col("hi")).select("b", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
+
+
+def _narrow(d: DataFrame, keys: list[str], brackets: list[_Bracket], limit: int) -> None:
+    """Shrink the brackets that should hold more than ``limit`` values, from one sketch of the values inside each."""
+    grid = [i / 100 for i in range(101)]
+    while True:
+        wide = [b for b in brackets if b.rows > limit and b.lo < b.hi]
+        if not wide:
+            return
+        got = _bracketed(d, keys, wide).groupBy("b").agg(
+            F.count_if(F.col("v").isNull()).alias("below"), F.count("v").alias("m"),
+            F.percentile_approx("v", grid, SKETCH_ACCURACY).alias("q")).collect()  # 101 numbers per bracket
+        for r in got:
+            b = wide[r.b]
+            (r0, r1), e = b.ranks, 2 / SKETCH_ACCURACY
+            first = math.floor(((r0 - r.below - 1) / r.m - e) * 100)
+            last = math.ceil(((r1 - r.below + 2) / r.m + e) * 100)
+            lo, hi = (r.q[first] if first >= 0 else b.lo), (r.q[last] if last <= 100 else b.hi)
+            share = (min(last, 100) - max(first, 0)) / 100
+            if (lo, hi) == (b.lo, b.hi):
+                share = 0.0  # one value fills the bracket: nothing to narrow, few distinct values inside
+            b.lo, b.hi, b.rows = lo, hi, r.m * share
+
+
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    partitions: int | None = None) -> DataFrame:
+                    bracket_rows: int = BRACKET_ROWS, max_groups: int = MAX_GROUPS) -> DataFrame:
     """Exact linear-interpolation quantiles of ``value`` per ``keys`` group.
 
     Returns rows ``(*keys, p, value)``, one per group with at least one non-missing value
     and per probability (NULL/NaN values are skipped, as pandas does).
 
-    1. ``(keys, v) → count`` with partial aggregation: a hot value is one row per task;
-    2. range-partition the distinct values on ``(keys, v)``; inside each range partition a
-       running sum gives each value's local rank (the window is clustered on
-       ``(partition, keys)``, so a hot group is split across all range partitions);
-    3. per-(partition, group) totals — at most partitions × groups rows — give each
-       partition's rank offset and each group's size;
-    4. the two ranks around ``p·(n−1)`` are looked up with a range condition and
+    1. One aggregation gives each group's number of values and, from a mergeable sketch, a
+       value below and one above each wanted rank (small groups: everything).
+    2. A bracket that should still hold more than ``bracket_rows`` values is narrowed by a
+       sketch of the values inside it.
+    3. One aggregation counts the values below each bracket and the distinct values inside
+       it, and the two ranks around ``p·(n−1)`` are read off their running counts and
        interpolated as Spark's ``percentile`` does.
 
-    ``keys`` must have a schema-bounded domain (column names, sentiment labels): the
-    offsets and the rank lookups are broadcast, and their size is partitions × groups and
-    2 × groups × probabilities. No value reaches the driver.
+    Nothing depends on partition ids, so a plan may recompute or reuse any exchange. Only the
+    values inside the brackets are shuffled, pre-aggregated: a hot value is one row per task.
+    A few numbers per group and probability pass through the driver; with more than
+    ``max_groups`` groups each group's own ``percentile`` is used instead (same result).
     """
-    spark = df.sparkSession
-    keys = list(keys)
-    if not keys:
-        # one group. The key is 0 on every row that is kept (NULL values are dropped), but it
-        # is built from the value column: a literal would be constant-folded out of the join
-        # condition, turning the keyed rank lookup into a nested-loop join.
-        one = F.when(F.col(value).isNull(), F.lit(1)).otherwise(F.lit(0))
-        out = group_quantiles(df.withColumn("_all", one), ["_all"], value, probs, partitions)
-        return out.drop("_all")
-    parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys, probs = list(keys), [float(p) for p in probs]
     v = F.col(value).cast("double")
-    vals = (df.select(*keys, v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-            .groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c")))
-    ranged = vals.repartitionByRange(parts, *[F.col(k) for k in keys], F.col("v")) \
-        .withColumn("pid", F.spark_partition_id())
-    local = ranged.withColumn(
-        "cum", F.sum("c").over(Window.partitionBy("pid", *keys).orderBy("v")
-                               .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    totals = local.groupBy("pid", *keys).agg(F.sum("c").alias("t"))
-    offsets = totals.withColumn(
-        "off", F.coalesce(F.sum("t").over(Window.partitionBy(*keys).orderBy("pid")
-                                          .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # rank interval [lo, hi) of every distinct value inside its group
-    ranked = local.join(F.broadcast(offsets.select("pid", *keys, "off")), ["pid", *keys]) \
-        .select(*keys, "v", (F.col("off") + F.col("cum") - F.col("c")).alias("lo"),
-                (F.col("off") + F.col("cum")).alias("hi"))
-    sizes = totals.groupBy(*keys).agg(F.sum("t").alias("n"))
-    probs_col = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (sizes.select(*keys, "n", F.explode(probs_col).alias("p"))
-               .withColumn("pos", F.col("p") * (F.col("n") - 1))
-               .withColumn("r0", F.floor("pos").cast("bigint"))
-               .withColumn("r1", F.ceil("pos").cast("bigint")))
-    lookups = targets.select(*keys, "p", "pos", "r0", "r1",
-                             F.explode(F.array(F.col("r0"), F.col("r1"))).alias("r")).distinct()
-    hits = ranked.join(F.broadcast(lookups), keys).where((F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
-    pairs = hits.groupBy(*keys, "p", "pos", "r0", "r1").agg(
-        F.max(F.when(F.col("r") == F.col("r0"), F.col("v"))).alias("v0"),
-        F.max(F.when(F.col("r") == F.col("r1"), F.col("v"))).alias("v1"))
-    interp = (F.col("r1") - F.col("pos")) * F.col("v0") + (F.col("pos") - F.col("r0")) * F.col("v1")
-    return pairs.select(*keys, "p", F.when((F.col("r0") == F.col("r1")) | (F.col("v0") == F.col("v1")), F.col("v0"))
-                        .otherwise(interp).alias("value"))
-
-
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], partitions: int | None = None
-                    ) -> DataFrame:
+    d = df.select(*keys, v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    schema = ", ".join([*(f"`{k}` {d.schema[k].dataType.simpleString()}" for k in keys), "p double", "value double"])
+    e = 2 / SKETCH_ACCURACY
+    around = [min(1.0, max(0.0, q)) for p in probs for q in (p - e, p + e)]
+    groups = d.groupBy(*keys).agg(F.count("v").alias("n"), F.percentile_approx("v", around, SKETCH_ACCURACY).alias("q")) \
+        .limit(max_groups + 1).collect()
+    if len(groups) > max_groups:
+        each = d.groupBy(*keys).agg(F.percentile("v", probs).alias("_q"))
+        return each.select(*keys, F.posexplode("_q").alias("_i", "value")).select(
+            *keys, F.element_at(F.lit(probs), F.col("_i") + 1).alias("p"), "value")
+    brackets = []
+    for g in groups:
+        for i, p in enumerate(probs if g.n else []):
+            if g.n <= 10 * SKETCH_ACCURACY:
+                brackets.append(_Bracket(g, p, g.n, -math.inf, math.inf, g.n))
+            else:
+                lo = g.q[2 * i] if p - e > 0 else -math.inf
+                hi = g.q[2 * i + 1] if p + e < 1 else math.inf
+                brackets.append(_Bracket(g, p, g.n, lo, hi, g.n * 3 * e))
+    if not brackets:
+        return df.sparkSession.createDataFrame([], schema)
+    _narrow(d, keys, brackets, bracket_rows)
+    out, todo = {}, list(range(len(brackets)))
+    while todo:
+        some = [brackets[i] for i in todo]
+        counts = _bracketed(d, keys, some).groupBy("b", "v").agg(F.count(F.lit(1)).alias("c"))
+        cum = F.sum("c").over(Window.partitionBy("b").orderBy(F.col("v").asc_nulls_first())
+                              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        at = lambda k: F.element_at(F.lit([b.ranks[k] for b in some]).cast("array<bigint>"), F.col("b") + 1)
+        inside = lambda k: (at(k) >= F.col("cum") - F.col("c")) & (at(k) < F.col("cum"))
+        found = counts.withColumn("cum", cum).groupBy("b").agg(
+            F.max(F.when(inside(0), F.col("v"))).alias("v0"), F.max(F.when(inside(1), F.col("v"))).alias("v1")).collect()
+        again = []
+        for r in found:
+            b = some[r.b]
+            if r.v0 is None or r.v1 is None:  # the sketch missed its bound: look at everything
+                b.lo, b.hi = -math.inf, math.inf
+                again.append(todo[r.b])
+                continue
+            r0, r1 = b.ranks
+            same = r0 == r1 or r.v0 == r.v1
+            out[todo[r.b]] = r.v0 if same else (r1 - b.pos) * r.v0 + (b.pos - r0) * r.v1
+        todo = again
+    return df.sparkSession.createDataFrame([(*[b.group[k] for k in keys], b.p, out[i]) for i, b in enumerate(brackets)], schema)
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame:
     """Exact quantiles of one column: rows ``(p, value)`` (see ``group_quantiles``)."""
-    return group_quantiles(df, [], col, probs, partitions)
+    return group_quantiles(df, [], col, probs)
 
 
-def wide_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                   partitions: int | None = None) -> DataFrame:
+def wide_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Exact quantiles of several columns in one pass: rows ``(column_name, p, value)``.
 
     The columns are unpivoted into ``(column index, v)`` pairs, so every column shares the
-    same aggregation, range shuffle and rank lookup; an integer key hashes and sorts
-    cheaper than the name, which is attached to the few result rows.
+    same sketch and the same ranking pass; an integer key hashes cheaper than the name,
+    which is attached to the few result rows.
     """
     columns = list(columns)
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("_ci"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])))
     names = F.array(*[F.lit(c) for c in columns])
-    return group_quantiles(long, ["_ci"], "v", probs, partitions).select(
+    return group_quantiles(long, ["_ci"], "v", probs).select(
         F.element_at(names, F.col("_ci") + 1).alias("column_name"), "p", "value")

@@ -91,7 +91,7 @@ def test_exact_quantiles_match_percentile(spark):
     df = spark.range(0, 5000).select(((F.col("id") * 7919) % 1013).cast("double").alias("v"))
     probs = [0.25, 0.5, 0.75, 0.9]
     want = df.agg(F.percentile("v", probs).alias("q")).first().q
-    got = {r.p: r.value for r in quantiles.exact_quantiles(df, "v", probs, partitions=4).collect()}
+    got = {r.p: r.value for r in quantiles.exact_quantiles(df, "v", probs).collect()}
     for p, w in zip(probs, want):
         assert math.isclose(got[p], w, rel_tol=1e-12)
 
@@ -108,7 +108,7 @@ def test_group_quantiles_match_percentile_with_hot_group(spark):
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     want = {r.g: r.q for r in df.where(~F.isnan("v")).groupBy("g").agg(F.percentile("v", probs).alias("q")).collect()}
     got = {}
-    for r in quantiles.group_quantiles(df, ["g"], "v", probs, partitions=6).collect():
+    for r in quantiles.group_quantiles(df, ["g"], "v", probs).collect():
         got.setdefault(r.g, {})[r.p] = r.value
     assert set(got) == {"hot", "cold", "one"} and want["gone"] is None
     for g in got:
@@ -116,6 +116,42 @@ def test_group_quantiles_match_percentile_with_hot_group(spark):
             assert math.isclose(got[g][p], w, rel_tol=1e-12), (g, p, got[g][p], w)
 
 
+@pytest.mark.parametrize("bracket_rows", [quantiles.BRACKET_ROWS, 20])
+@pytest.mark.parametrize("reuse", ["true", "false"])
+@pytest.mark.parametrize("aqe", ["true", "false"])
+def test_quantiles_do_not_depend_on_the_optimizer(spark, aqe, reuse, bracket_rows):
+    # more rows than the sketch is exact for; hot values, a long tail, infinities in a group of their own
+    df = spark.range(0, 250_000).select(
+        F.when(F.col("id") % 5 == 0, F.lit("a")).otherwise(F.lit("b")).alias("g"),
+        F.when(F.col("id") % 3 == 0, F.lit(7.25)).when(F.col("id") % 1009 == 0, F.exp(F.col("id") % 500))
+        .otherwise((F.col("id") * 7919 % 250_007) / 7.0 - 100).alias("v"))
+    df = df.unionByName(spark.createDataFrame([("inf", float("inf")), ("inf", 1.0), ("inf", float("-inf"))], "g string, v double"))
+    probs = [0.0, 0.001, 0.25, 0.5, 0.9, 1.0]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.exchange.reuse")}
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", probs).alias("q")).collect()}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        got = quantiles.group_quantiles(df, ["g"], "v", probs, bracket_rows=bracket_rows).collect()
+        whole = quantiles.group_quantiles(df.where("g = 'b'"), [], "v", probs, bracket_rows=bracket_rows).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(got) == 18 and len(whole) == 6
+    for r in got:
+        assert r.value == want[r.g][probs.index(r.p)] or math.isclose(r.value, want[r.g][probs.index(r.p)], rel_tol=1e-12), r
+    assert all(math.isclose(r.value, want["b"][probs.index(r.p)], rel_tol=1e-12) for r in whole)
+
+
+def test_quantiles_of_many_groups_and_of_nothing(spark):
+    df = spark.range(0, 500).select((F.col("id") % 50).alias("g"), (F.col("id") * 13 % 101).cast("double").alias("v"))
+    key = lambda rows: sorted((r.g, r.p, round(r.value, 9)) for r in rows)
+    assert key(quantiles.group_quantiles(df, ["g"], "v", [0.1, 0.5], max_groups=10).collect()) == \
+        key(quantiles.group_quantiles(df, ["g"], "v", [0.1, 0.5]).collect())
+    assert quantiles.group_quantiles(df.where("v < 0"), ["g"], "v", [0.5]).count() == 0
+    assert quantiles.exact_quantiles(df.where("v < 0"), "v", [0.5]).count() == 0
+
+
 def test_wide_quantiles_one_pass_per_column(spark):
     df = spark.createDataFrame([(1.0, 10), (2.0, None), (2.0, 30), (5.0, 40), (None, 50)], "a double, b int")
     got = {(r.column_name, r.p): r.value for r in quantiles.wide_quantiles(df, ["a", "b"], [0.5, 0.75]).collect()}
@@ -310,15 +346,12 @@ def test_streaming_timeline(spark, tmp_path):
     assert rows.get(("2024-01-01", "positive")) == 1 and rows.get(("2024-01-02", "positive")) == 1
 
 
-def test_duplicates_fingerprint_paths(spark, monkeypatch):
+def test_duplicates_normalise_floats_and_nulls(spark):
     nan = float("nan")
     df = spark.createDataFrame([(nan, "a"), (nan, "a"), (-0.0, "b"), (0.0, "b"), (1.0, None), (None, "1.0")],
                                "x double, s string")
     d = profile.duplicate_rows(df).first()
     assert (d.total_rows, d.distinct_rows, d.duplicate_rows) == (6, 4, 2)
-    monkeypatch.setattr(profile, "DUP_CANDIDATE_BROADCAST_LIMIT", 0)   # force the exact groupBy path
-    d2 = profile.duplicate_rows(df).first()
-    assert (d2.total_rows, d2.distinct_rows, d2.duplicate_rows) == (6, 4, 2)
     big = spark.range(3000).select((F.col("id") % 1000).alias("k"), F.lit("x").alias("v"))
     assert profile.duplicate_rows(big).first().duplicate_rows == 2000
 
@@ -329,7 +362,50 @@ def test_distinct_count_exact_with_hot_copy(spark):
     rows = [("a",)] * 500 + [("b",), ("c",), (None,), (None,)] + [(f"t{i}",) for i in range(100)]
     df = spark.createDataFrame(rows, "text string")
     # a, b, c, NULL (NULLs group together, as in pandas duplicated) and 100 singletons
-    assert profile.distinct_count(df) == (len(rows), 104)
+    assert tuple(profile.row_counts(df).first()) == (len(rows), 104)
     r = textstats.text_cardinality(df, "text").first()
     assert (r.empty_count, r.unique_count) == (2, 103)
     assert profile.duplicate_rows(df).first().duplicate_rows == len(rows) - 104
+
+
+def test_duplicates_of_odd_types_and_completeness_of_maps(spark):
+    df = spark.sql("""SELECT * FROM VALUES
+        (map('a', 1, 'b', 2), array(1, null), named_struct('x', cast(null as string)), x'00', 'a:1'),
+        (map('b', 2, 'a', 1), array(1, null), named_struct('x', cast(null as string)), x'00', 'a:1'),
+        (map('b', 2, 'a', 1), array(1), named_struct('x', cast(null as string)), x'00', 'a:1'),
+        (null, array(1, null), null, x'00', null),
+        (null, array(1, null), named_struct('x', 'null'), x'00', '-') AS t(m, a, s, b, t)""")
+    d = profile.duplicate_rows(df).first()
+    assert (d.total_rows, d.distinct_rows, d.duplicate_rows) == (5, 4, 1)
+    c = profile.completeness(df).first()
+    assert (c.total_cells, c.missing_cells) == (25, 4)
+    empty = profile.table_overview(df.limit(0)).first()
+    assert tuple(empty) == (0, 5, 0, 0)
+
+
+def test_profiles_are_lazy_and_read_the_table_once(spark):
+    import re
+
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "plans only")
+    plans = [profile.duplicate_rows(df), profile.table_overview(df), profile.quality_report(df, "text"),
+             profile.consistency(df), textstats.text_cardinality(df, "text"), profile.completeness(df),
+             textstats.text_length_stats(df, "text"), entities.entity_count_histogram(df, "source")]
+    assert not seen.getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for p in plans:
+        text = p._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall("FileScan parquet", text)) == 1
+    assert "hashpartitioning" not in plans[5]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_outliers_ignore_nan(spark):
+    df = spark.createDataFrame([(float(i % 10),) for i in range(50)] + [(float("nan"),)] * 5, "v double")
+    assert profile.iqr_outliers(df).count() == 0
+
+
+def test_histogram_of_counts_edges(spark):
+    one = entities.entity_count_histogram(spark.createDataFrame([("a",), ("b",), (None,)], "k string"), "k", 4).collect()
+    assert [r["count"] for r in one] == [0, 0, 2, 0] and one[0].bin_start == 0.5 and one[-1].bin_end == 1.5
+    assert entities.entity_count_histogram(spark.createDataFrame([(None,)], "k string"), "k").count() == 0
