@@ -24,7 +24,8 @@ def sentiment_from_logits(neg: Column | str, neu: Column | str, pos: Column | st
     """Softmax over three logits → struct(label, score).
 
     Arg-max ties go to the first label (numpy ``argmax``); the score is the largest
-    probability, computed as ``1 / sum(exp(l_i - max))`` for numerical stability.
+    probability, computed as ``1 / sum(exp(l_i - max))`` for numerical stability. A null or
+    NaN logit means that the text was not scored: ('neutral', 0.0).
     """
     a, b, c = _c(neg).cast("double"), _c(neu).cast("double"), _c(pos).cast("double")
     m = F.greatest(a, b, c)
@@ -32,7 +33,11 @@ def sentiment_from_logits(neg: Column | str, neu: Column | str, pos: Column | st
     label = (F.when((a >= b) & (a >= c), F.lit(LABELS[0]))
              .when(b >= c, F.lit(LABELS[1]))
              .otherwise(F.lit(LABELS[2])))
-    return F.struct(label.alias("sentiment"), (F.lit(1.0) / total).alias("sentiment_score"))
+    ok = F.lit(True)
+    for x in (a, b, c):
+        ok = ok & x.isNotNull() & ~F.isnan(x)
+    return F.struct(F.when(ok, label).otherwise(F.lit(LABELS[1])).alias("sentiment"),
+                    F.when(ok, F.lit(1.0) / total).otherwise(F.lit(0.0)).alias("sentiment_score"))
 
 
 def neutral_on_empty(text: Column | str, scored: Column) -> Column:

@@ -27,11 +27,6 @@ DIGITS_PATTERN = r"\p{Nd}+"
 NOT_ASCII_LETTER_OR_WS = r"(?U)[^a-zA-Z" + _WS + r"]"
 # ---------------------------------------------------------------------------------------
 
-# Lookup dictionaries up to this many entries are inlined as a map literal; larger ones
-# go through a join (see ``lookup_tokens_df``).
-MAP_LITERAL_LIMIT = 512
-
-
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -187,44 +182,45 @@ def map_literal(mapping: Mapping[str, str]) -> Column:
 def lookup_tokens(c: Column | str, mapping: Mapping[str, str]) -> Column:
     """Replace each whitespace token by ``mapping[token]`` when present; join by space.
 
-    For dictionaries up to ``MAP_LITERAL_LIMIT`` entries (the map is an inline literal);
-    larger tables go through ``lookup_tokens_df``.
+    The mapping is a literal of the plan, given by the caller; a table of forms goes through
+    ``lookup_tokens_df``.
     """
-    if len(mapping) > MAP_LITERAL_LIMIT:
-        raise ValueError("dictionary too large for a literal; use lookup_tokens_df")
     m = map_literal(mapping)
     return F.array_join(
         F.transform(tokens(c), lambda t: F.coalesce(F.try_element_at(m, t), t)), " ")
 
 
-def lookup_tokens_df(df: DataFrame, key: str, col: str, table: DataFrame, form: str = "form",
-                     replacement: str = "replacement", out: str | None = None,
-                     broadcast_limit: int = 200_000) -> DataFrame:
-    """Token lookup against a (possibly large) ``(form, replacement)`` table.
+def lookup_tokens_df(df: DataFrame, col: str, table: DataFrame, form: str = "form",
+                     replacement: str = "replacement", out: str | None = None) -> DataFrame:
+    """Token lookup against a ``(form, replacement)`` table of any size; one plan at every size.
 
-    Small tables are inlined as a map literal (no shuffle). Larger ones: tokens are
-    exploded with their position, joined to the table (broadcast only below a checked row
-    count, otherwise a shuffle join that AQE can split on hot tokens), and re-assembled per
-    row in position order. A row's tokens are bounded by its own text length.
+    Rows get a generated id and are written once to the shared scratch folder (the id must
+    not change between the two reads). Tokens are exploded with their position, joined to the
+    table, and put together again per row in position order; the join is the optimizer's
+    choice (a broadcast of a small table, else a shuffle whose hot tokens AQE splits). Rows
+    stay apart whatever their other columns are. A form listed twice with one replacement
+    counts once; with two different ones the query fails, naming it. Null forms and forms
+    with a null replacement change nothing. A null text stays null, a blank one is ''.
     """
+    from reviewlens.session import shared_dir
+
     out = out or col
-    n = table.count()
-    if n <= MAP_LITERAL_LIMIT:
-        mapping = {r[0]: r[1] for r in table.select(form, replacement).collect()}
-        return df.withColumn(out, lookup_tokens(col, mapping))
-    t = table.select(F.col(form).alias("_form"), F.col(replacement).alias("_repl")) \
-        .dropDuplicates(["_form"])
-    if n <= broadcast_limit:
-        t = F.broadcast(t)
-    exploded = df.select(key, F.posexplode(tokens(col)).alias("_pos", "_tok"))
-    joined = exploded.join(t, exploded["_tok"] == t["_form"], "left") \
-        .select(key, "_pos", F.coalesce("_repl", "_tok").alias("_tok"))
-    regrouped = joined.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_tok"))),
-                                 lambda s: s["_tok"]), " ").alias("_looked_up"))
-    res = df.join(regrouped, key, "left").withColumn(
-        out, F.coalesce("_looked_up", F.when(F.col(col).isNotNull(), F.lit(""))))
-    return res.drop("_looked_up")
+    rid, pos, tok, rep = "_lk_id", "_lk_pos", "_lk_tok", "_lk_rep"
+    path = f"{shared_dir(df.sparkSession, 'lookup-rows')}/rows.parquet"
+    df.withColumn(rid, F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    forms = (table.select(F.col(form).alias("_lk_form"), F.col(replacement).alias(rep)).dropna()
+             .groupBy("_lk_form").agg(F.min(rep).alias("_lk_lo"), F.max(rep).alias("_lk_hi")))
+    clash = F.raise_error(F.concat(F.lit("conflicting replacements of the form "), F.col("_lk_form")))
+    forms = forms.select("_lk_form", F.when(F.col("_lk_lo") == F.col("_lk_hi"), F.col("_lk_lo"))
+                         .otherwise(clash.cast("string")).alias(rep))
+    exploded = rows.select(rid, F.posexplode(tokens(col)).alias(pos, tok))
+    joined = exploded.join(forms, F.col(tok) == F.col("_lk_form"), "left").select(rid, pos, F.coalesce(rep, tok).alias(tok))
+    regrouped = joined.groupBy(F.col(rid).alias("_lk_key")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, tok))), lambda s: s[tok]), " ").alias("_lk_out"))
+    text = F.coalesce("_lk_out", F.when(F.col(col).isNotNull(), F.lit("")))
+    res = rows.join(regrouped, F.col(rid) == F.col("_lk_key"), "left").withColumn(out, text)
+    return res.select(*[F.col(f"`{c}`") for c in [*df.columns, *([] if out in df.columns else [out])]])
 
 
 def bigrams(token_array: Column | str) -> Column:

@@ -143,19 +143,32 @@ def map_completions(df: DataFrame, request_col: str, fn: Callable[[pd.Series], p
     """Apply the caller's completion function to each request, in batches per task.
 
     ``fn`` maps a Series of JSON requests to a Series of JSON responses (or None on
-    failure); a batch that raises yields NULL responses for that batch only.
+    failure). A batch that raises, or answers another number of requests, is retried request
+    by request, so only a request that fails alone has a NULL response.
     """
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType())])
 
+    def answers(requests: pd.Series) -> list:
+        res = list(fn(requests))
+        if len(res) != len(requests):
+            raise ValueError("the number of responses differs from the number of requests")
+        return res
+
+    def alone(request) -> object:
+        try:
+            return answers(pd.Series([request], dtype=object))[0]
+        except Exception:
+            return None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for s in range(0, len(pdf), batch_size):
                 chunk = pdf.iloc[s:s + batch_size].copy()
                 try:
-                    res = pd.Series(list(fn(chunk[request_col])), index=chunk.index, dtype=object)
+                    res = answers(chunk[request_col])
                 except Exception:
-                    res = pd.Series([None] * len(chunk), index=chunk.index, dtype=object)
-                chunk[out] = res
+                    res = [alone(r) for r in chunk[request_col]]
+                chunk[out] = pd.Series(res, index=chunk.index, dtype=object)
                 yield chunk
     return df.mapInPandas(run, schema)
 

@@ -1,9 +1,9 @@
 """Column-role detection (text / rating / id / date), normalisation and validation.
 
-Detection is a metadata step: each rule is one aggregation whose one-row result comes back
-to the driver (bounded by the number of columns), and the chosen roles are returned as a
-small ``ColumnRoles`` value. The ``*_table`` variants return the evidence per column as a
-DataFrame.
+Detection is a metadata step over all rows: ``detect_roles`` takes one aggregation for all
+rules (one row, bounded by the number of columns, comes back to the driver) and an exact
+second one only for columns near a limit; the chosen roles are a small ``ColumnRoles`` value.
+The ``*_table`` variants return the evidence per column as a DataFrame.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from reviewlens.functions import text as X
 
 # --- fixed values: role-detection rules -------------------------------------------------
 TEXT_MIN_AVG_LENGTH = 50
-TEXT_SAMPLE_ROWS = 100
 RATING_NAME_WORDS = ("star", "rating", "score", "review")
 RATING_MAX_DISTINCT = 10
 ID_NAME_WORDS = ("id", "business", "user", "customer")
@@ -51,8 +50,8 @@ def _spark(df: DataFrame):
 
 
 def detect_text_table(df: DataFrame, key_col: str | None = None,
-                      sample_size: int = TEXT_SAMPLE_ROWS) -> DataFrame:
-    """Per string column: mean ``len(str(x))`` over the first ``sample_size`` rows.
+                      sample_size: int | None = None) -> DataFrame:
+    """Per string column: mean ``len(str(x))`` over all rows (with ``sample_size``, the first ones by ``key_col``).
 
     ``chosen`` marks the longest mean above 50 (ties → earlier column).
     """
@@ -60,8 +59,9 @@ def detect_text_table(df: DataFrame, key_col: str | None = None,
     schema = "column_name string, position int, avg_length double, chosen boolean"
     if not strings:
         return _spark(df).createDataFrame([], schema)
-    sample = (df.orderBy(key_col) if key_col else df).limit(sample_size)
-    a = sample.agg(*[F.avg(X.text_length(c)).alias(f"_l{i}") for i, c in strings])
+    if sample_size is not None:
+        df = (df.orderBy(key_col) if key_col else df).limit(sample_size)
+    a = df.agg(*[F.avg(X.text_length(c)).alias(f"_l{i}") for i, c in strings])
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"),
                               F.col(f"_l{i}").cast("double").alias("avg_length")) for i, c in strings])
     t = a.select(F.inline(rows))
@@ -71,53 +71,49 @@ def detect_text_table(df: DataFrame, key_col: str | None = None,
         "column_name", "position", "avg_length", F.col("_best").isNotNull().alias("chosen"))
 
 
-def _numeric_stats(df: DataFrame) -> list[tuple[int, str, int | None, float | None, float | None]]:
-    """(position, name, distinct, min, max) of numeric columns, two small passes.
+def _numeric(df: DataFrame) -> list[tuple[int, str]]:
+    return [(i, f.name) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, _NUMERIC)]
 
-    Pass 1: approximate distinct, min, max for every numeric column. Pass 2: exact distinct
-    via ``collect_set`` only for columns whose estimate is small, so no state grows with a
-    high-cardinality column.
-    """
-    cols = [(i, f.name) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, _NUMERIC)]
-    if not cols:
-        return []
-    aggs = []
-    for i, c in cols:
-        v = N.nan_to_null(c)
-        aggs += [F.approx_count_distinct(v).alias(f"_a{i}"), F.min(v).alias(f"_lo{i}"),
-                 F.max(v).alias(f"_hi{i}")]
-    r1 = df.agg(*aggs).first()
-    small = [(i, c) for i, c in cols if r1[f"_a{i}"] <= 3 * RATING_MAX_DISTINCT]
-    exact = {}
-    if small:
-        r2 = df.agg(*[F.size(F.collect_set(N.nan_to_null(c))).alias(f"_d{i}") for i, c in small]).first()
-        exact = {i: r2[f"_d{i}"] for i, _ in small}
-    return [(i, c, exact.get(i), r1[f"_lo{i}"], r1[f"_hi{i}"]) for i, c in cols]
+
+def _rating_name(c: str) -> bool:
+    return any(w in c.lower() for w in RATING_NAME_WORDS)
 
 
 def detect_rating_table(df: DataFrame) -> DataFrame:
-    """Per numeric column: distinct (exact when ≤ 30), min, max and both rating rules.
+    """Per numeric column: exact distinct values, min, max and both rating rules.
 
     ``by_name``: ≤10 distinct, min ≥ 0, max ≤ 10 and a rating-like name. ``by_range``
     (used only when no column passes by name): 3..10 distinct, min ≥ 1, max ≤ 10.
-    ``chosen`` marks the first column of the rule that applies.
+    ``chosen`` marks the first column of the rule that applies. Distinct values are counted
+    after a partial aggregation on (column, value), one read for all columns.
     """
-    stats = _numeric_stats(df)
-    rows = []
-    for i, c, d, lo, hi in stats:
-        named = any(w in c.lower() for w in RATING_NAME_WORDS)
-        ok = d is not None and lo is not None
-        by_name = bool(ok and d <= RATING_MAX_DISTINCT and lo >= 0 and hi <= 10 and named)
-        by_range = bool(ok and 3 <= d <= RATING_MAX_DISTINCT and lo >= 1 and hi <= 10)
-        rows.append((c, i, d, None if lo is None else float(lo), None if hi is None else float(hi),
-                     named, by_name, by_range))
-    first_name = next((r[1] for r in rows if r[6]), None)
-    first_range = next((r[1] for r in rows if r[7]), None)
-    pick = first_name if first_name is not None else first_range
-    out = [r + (r[1] == pick,) for r in rows]
-    return _spark(df).createDataFrame(out, "column_name string, position int, n_distinct bigint, "
-                                      "min_value double, max_value double, name_match boolean, "
-                                      "by_name boolean, by_range boolean, chosen boolean")
+    schema = ("column_name string, position int, n_distinct bigint, min_value double, max_value double, "
+              "name_match boolean, by_name boolean, by_range boolean, chosen boolean")
+    cols = _numeric(df)
+    if not cols:
+        return _spark(df).createDataFrame([], schema)
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), N.nan_to_null(c).cast("double").alias("v"))
+                                         for i, c in cols])))
+    each = (cells.groupBy("i", "v").agg(F.count(F.lit(1)).alias("_c")).groupBy("i")
+            .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    # one entry per numeric column; a table without rows still lists its columns
+    one = each.agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("n", "lo", "hi")))).alias("m"))
+    entries = []
+    for i, c in cols:
+        m = F.try_element_at(F.col("m"), F.lit(i))
+        n, lo, hi, named = F.coalesce(m["n"], F.lit(0)).cast("bigint"), m["lo"], m["hi"], _rating_name(c)
+        by_name = F.lit(named) & (n <= RATING_MAX_DISTINCT) & (lo >= 0) & (hi <= 10)
+        by_range = (n >= 3) & (n <= RATING_MAX_DISTINCT) & (lo >= 1) & (hi <= 10)
+        entries.append(F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"), n.alias("n_distinct"),
+                                lo.alias("min_value"), hi.alias("max_value"), F.lit(named).alias("name_match"),
+                                F.coalesce(by_name, F.lit(False)).alias("by_name"),
+                                F.coalesce(by_range, F.lit(False)).alias("by_range")))
+    first = lambda rule: F.array_min(F.transform(F.filter("rows", lambda x: x[rule]), lambda x: x["position"]))
+    t = one.select(F.array(*entries).alias("rows"))
+    t = t.withColumn("pick", F.coalesce(first("by_name"), first("by_range")))
+    return t.select("pick", F.inline("rows")).select(
+        "column_name", "position", "n_distinct", "min_value", "max_value", "name_match", "by_name", "by_range",
+        F.coalesce(F.col("position") == F.col("pick"), F.lit(False)).alias("chosen"))
 
 
 def detect_id_table(df: DataFrame) -> DataFrame:
@@ -145,36 +141,71 @@ def _date_candidates(df: DataFrame) -> list[tuple[int, str]]:
             and not isinstance(f.dataType, _NUMERIC + (T.BooleanType,))]
 
 
-def detect_date_table(df: DataFrame) -> DataFrame:
-    """Per date-named, non-numeric, non-derived column: share of values that parse.
+def _parsed(df: DataFrame, c: str):
+    if isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.col(c)
+    return F.try_to_timestamp(F.col(c).cast("string"))
 
-    The first candidate with some parseable value is chosen.
-    """
+
+def detect_date_candidates(df: DataFrame) -> DataFrame:
+    """Per date/time-named column (derived and numeric ones excluded), in column order: share of values that parse."""
     cands = _date_candidates(df)
-    schema = "column_name string, position int, parsed_share double, chosen boolean"
     if not cands:
-        return _spark(df).createDataFrame([], schema)
-
-    def parsed(c):
-        t = df.schema[c].dataType
-        if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            return F.col(c)
-        return F.try_to_timestamp(F.col(c).cast("string"))
-
-    a = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(parsed(c)).alias(f"_p{i}") for i, c in cands])
-    t = a.select(F.inline(F.array(*[
+        return _spark(df).createDataFrame([], "column_name string, position int, parsed_share double")
+    a = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(_parsed(df, c)).alias(f"_p{i}") for i, c in cands])
+    return a.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"),
                  F.try_divide(F.col(f"_p{i}").cast("double"), F.col("_n")).alias("parsed_share"))
         for i, c in cands])))
+
+
+def detect_date_table(df: DataFrame) -> DataFrame:
+    """``detect_date_candidates`` with ``chosen``: the first candidate with some parseable value."""
+    t = detect_date_candidates(df)
     best = t.where(F.col("parsed_share") > 0).orderBy("position").limit(1).select(F.col("position").alias("_best"))
     return t.join(best, t["position"] == best["_best"], "left").select(
         "column_name", "position", "parsed_share", F.col("_best").isNotNull().alias("chosen"))
 
 
-def detect_date_candidates(df: DataFrame) -> DataFrame:
-    """All date/time-named columns (derived and numeric columns excluded), in column order."""
-    rows = [(c, i) for i, c in _date_candidates(df)]
-    return _spark(df).createDataFrame(rows, "column_name string, position int")
+def detect_roles(df: DataFrame, key_col: str | None = None, sample_size: int | None = None) -> ColumnRoles:
+    """All four roles, by the rules of the ``detect_*_table`` functions.
+
+    One aggregation over all rows serves every rule; distinct counts are approximate in it,
+    and those within a fifth of a limit (or small enough to be a rating) are counted exactly in a
+    second one. ``sample_size`` limits the text rule to the first rows by ``key_col``.
+    """
+    strings = [(i, f.name) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.StringType)]
+    numbers = _numeric(df)
+    ids = [(i, f.name) for i, f in enumerate(df.schema.fields) if any(w in f.name.lower() for w in ID_NAME_WORDS)]
+    dates = _date_candidates(df)
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs += [F.avg(X.text_length(c)).alias(f"_l{i}") for i, c in strings]
+    for i, c in numbers:
+        v = N.nan_to_null(c)
+        aggs += [F.approx_count_distinct(v).alias(f"_a{i}"), F.min(v).alias(f"_lo{i}"), F.max(v).alias(f"_hi{i}")]
+    aggs += [F.approx_count_distinct(F.col(c), 0.02).alias(f"_u{i}") for i, c in ids]
+    aggs += [F.count(_parsed(df, c)).alias(f"_p{i}") for i, c in dates]
+    r = df.agg(*aggs).first()
+
+    rated = [(i, c) for i, c in numbers if r[f"_lo{i}"] is not None and r[f"_a{i}"] <= 2 * RATING_MAX_DISTINCT
+             and r[f"_lo{i}"] >= 0 and r[f"_hi{i}"] <= 10]
+    limit = ID_MIN_UNIQUE_RATIO * r["_n"]
+    near = [(i, c) for i, c in ids if 0.8 * limit <= r[f"_u{i}"] <= 1.2 * limit]
+    exact = [F.size(F.collect_set(N.nan_to_null(c))).alias(f"_a{i}") for i, c in rated]  # a few values each
+    exact += [F.count_distinct(F.col(c)).alias(f"_u{i}") for i, c in near]
+    got = {**r.asDict(), **(df.agg(*exact).first().asDict() if exact else {})}
+
+    if sample_size is not None:
+        text = _chosen(detect_text_table(df, key_col, sample_size))
+    else:
+        long = [(-r[f"_l{i}"], i, c) for i, c in strings if (r[f"_l{i}"] or 0) > TEXT_MIN_AVG_LENGTH]
+        text = min(long)[2] if long else None
+    few = [(i, c) for i, c in rated if got[f"_a{i}"] <= RATING_MAX_DISTINCT]
+    named = [c for _, c in few if _rating_name(c)]
+    ranged = [c for i, c in few if got[f"_a{i}"] >= 3 and got[f"_lo{i}"] >= 1]
+    return ColumnRoles(text=text, rating=next(iter(named + ranged), None),
+                       id=next((c for i, c in ids if got[f"_u{i}"] > limit), None),
+                       date=next((c for i, c in dates if r[f"_p{i}"] > 0), None))
 
 
 def _chosen(t: DataFrame) -> str | None:
@@ -182,14 +213,6 @@ def _chosen(t: DataFrame) -> str | None:
     return r[0] if r else None
 
 
-def detect_roles(df: DataFrame, key_col: str | None = None, sample_size: int = TEXT_SAMPLE_ROWS
-                 ) -> ColumnRoles:
-    return ColumnRoles(text=_chosen(detect_text_table(df, key_col, sample_size)),
-                       rating=_chosen(detect_rating_table(df)),
-                       id=_chosen(detect_id_table(df)),
-                       date=_chosen(detect_date_table(df)))
-
-
 def normalize_columns(df: DataFrame, roles: ColumnRoles) -> DataFrame:
     """Rename role columns to text / rating / id / date, one rename at a time.
 

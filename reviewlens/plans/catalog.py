@@ -189,7 +189,7 @@ def _text_table_sql() -> str:
     parts = [f"SELECT '{c}' AS column_name, {i} AS position, "
              f"round_even(avg(length(coalesce({c}, 'nan'))), 6) AS avg_length FROM s"
              for i, c in ((1, "business_id"), (3, "review_date"), (4, "text"))]
-    return WR(f""", s AS (SELECT * FROM reviews ORDER BY review_id LIMIT 100),
+    return WR(f""", s AS (SELECT * FROM reviews),
 t AS ({' UNION ALL '.join(parts)})
 SELECT column_name, position, avg_length,
   coalesce(position = (SELECT position FROM t WHERE avg_length > 50 ORDER BY avg_length DESC, position LIMIT 1), false) AS chosen
@@ -198,7 +198,7 @@ FROM t""")
 
 @q("detect_text_column", _text_table_sql())
 def detect_text_column(spark, sf):
-    t = roles.detect_text_table(reviews(spark, sf), "review_id")
+    t = roles.detect_text_table(reviews(spark, sf))
     return t.withColumn("avg_length", R("avg_length"))
 
 
@@ -208,7 +208,7 @@ def _rating_sql(table: str, cols: list[tuple[int, str]]) -> str:
         v = f"CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END"
         named = any(w in c.lower() for w in roles.RATING_NAME_WORDS)
         parts.append(f"SELECT '{c}' AS column_name, {i} AS position, "
-                     f"CASE WHEN count(DISTINCT {v}) <= 30 THEN count(DISTINCT {v}) END AS n_distinct, "
+                     f"count(DISTINCT {v}) AS n_distinct, "
                      f"min({v}) AS min_value, max({v}) AS max_value, {str(named).lower()} AS name_match FROM {table}")
     return f""", t AS ({' UNION ALL '.join(parts)}),
 f AS (SELECT *, coalesce(n_distinct <= 10 AND min_value >= 0 AND max_value <= 10 AND name_match, false) AS by_name,
@@ -249,10 +249,10 @@ def detect_date_column(spark, sf):
     return roles.detect_date_table(reviews(spark, sf)).withColumn("parsed_share", R("parsed_share"))
 
 
-@q("detect_date_candidates", W("""SELECT column_name, position FROM (
-  SELECT 'review_date' AS column_name, 3 AS position FROM scored LIMIT 1)"""))
+@q("detect_date_candidates", W("""SELECT 'review_date' AS column_name, 3 AS position,
+  round_even(count(try_cast(review_date AS TIMESTAMP)) / count(*), 6) AS parsed_share FROM scored"""))
 def detect_date_candidates(spark, sf):
-    return roles.detect_date_candidates(scored(spark, sf))
+    return roles.detect_date_candidates(scored(spark, sf)).withColumn("parsed_share", R("parsed_share"))
 
 
 def _roles_df(spark, rl: roles.ColumnRoles) -> DataFrame:
@@ -260,17 +260,20 @@ def _roles_df(spark, rl: roles.ColumnRoles) -> DataFrame:
                                  "role string, column_name string")
 
 
-@q("override_roles", """SELECT * FROM (VALUES ('text', 'text'), ('rating', 'stars'), ('id', 'business_id'),
-  ('date', 'review_date')) AS v(role, column_name)""")
+# the detected text, rating and date columns, and the id that the user chose
+@q("override_roles", f"""SELECT 'text' AS role, (SELECT max(column_name) FROM ({ORACLE["detect_text_column"]}) WHERE chosen) AS column_name
+UNION ALL SELECT 'rating', (SELECT max(column_name) FROM ({ORACLE["detect_rating_by_name"]}) WHERE chosen)
+UNION ALL SELECT 'id', 'business_id'
+UNION ALL SELECT 'date', (SELECT max(column_name) FROM ({ORACLE["detect_date_column"]}) WHERE chosen)""")
 def override_roles(spark, sf):
-    rl = roles.detect_roles(reviews(spark, sf), "review_id").override(text="Auto", id="business_id")
+    rl = roles.detect_roles(reviews(spark, sf)).override(text="Auto", id="business_id")
     return _roles_df(spark, rl)
 
 
 @q("normalize_columns", WR("SELECT review_id AS id, business_id, stars AS rating, review_date AS date, text FROM reviews"))
 def normalize_columns(spark, sf):
     df = reviews(spark, sf)
-    return roles.normalize_columns(df, roles.detect_roles(df, "review_id"))
+    return roles.normalize_columns(df, roles.detect_roles(df))
 
 
 def _validate_sql() -> str:
@@ -301,7 +304,7 @@ UNION ALL SELECT 'info', 'is_valid', 'true'""")
 @q("validate_table", _validate_sql())
 def validate_table(spark, sf):
     df = reviews(spark, sf)
-    return roles.validate_table(df, roles.detect_roles(df, "review_id"))
+    return roles.validate_table(df, roles.detect_roles(df))
 
 
 @q("schema_table", WR(""", c AS (
@@ -1068,11 +1071,11 @@ def review_prompt(spark, sf):
 def _answers(spark, sf) -> DataFrame:
     """A synthetic first answer per review, derived from its cleaned text."""
     s = scored(spark, sf)
-    return s.withColumn("answer", F.concat(F.lit("Themes: "), F.substring("clean_text_advanced", 1, 40))) \
+    return s.withColumn("answer", F.concat(F.lit("Themes: "), F.col("clean_text_advanced"))) \
         .withColumn("reasoning", F.when(F.col("sentiment") == "negative", F.lit("checked negative words")))
 
 
-@q("followup_conversation", W(f""", a AS (SELECT *, 'Themes: ' || substr(clean_text_advanced, 1, 40) AS answer,
+@q("followup_conversation", W(f""", a AS (SELECT *, 'Themes: ' || clean_text_advanced AS answer,
   CASE WHEN sentiment = 'negative' THEN 'checked negative words' END AS reasoning FROM scored)
 SELECT review_id, 1 AS turn, 'user' AS role, {_header_sql('text', 'sentiment', 'sentiment_score')} AS content,
   CAST(NULL AS VARCHAR) AS reasoning_details FROM a

@@ -409,3 +409,38 @@ def test_histogram_of_counts_edges(spark):
     one = entities.entity_count_histogram(spark.createDataFrame([("a",), ("b",), (None,)], "k string"), "k", 4).collect()
     assert [r["count"] for r in one] == [0, 0, 2, 0] and one[0].bin_start == 0.5 and one[-1].bin_end == 1.5
     assert entities.entity_count_histogram(spark.createDataFrame([(None,)], "k string"), "k").count() == 0
+
+
+def test_text_role_uses_every_row(spark):
+    # the long texts come after the first hundred rows
+    df = spark.range(400).select("id", F.when(F.col("id") < 200, "short").otherwise(F.repeat(F.lit("x"), 300)).alias("body"),
+                                 F.lit("y" * 60).alias("note"))
+    assert roles.detect_roles(df).text == "body"
+    assert [r.column_name for r in roles.detect_text_table(df).where("chosen").collect()] == ["body"]
+    assert roles.detect_roles(df, "id", sample_size=100).text == "note"
+
+
+def test_rating_table_counts_exactly_and_lists_empty_columns(spark):
+    df = spark.createDataFrame([(i, float(i % 31), None, float("nan")) for i in range(200)], "a int, stars double, b double, c double")
+    got = {r.column_name: r for r in roles.detect_rating_table(df).collect()}
+    assert (got["a"].n_distinct, got["stars"].n_distinct, got["b"].n_distinct, got["c"].n_distinct) == (200, 31, 0, 0)
+    assert not any(r.chosen for r in got.values())
+    assert roles.detect_rating_table(df.limit(0)).count() in (0, 4)
+    assert roles.detect_roles(df.limit(0)) == roles.ColumnRoles()
+
+
+def test_one_failing_request_loses_one_answer(spark):
+    def client(requests):
+        if any(r == "bad" for r in requests):
+            raise RuntimeError("refused")
+        return [r.upper() for r in requests]
+
+    df = spark.createDataFrame([(i, "bad" if i == 5 else f"r{i}") for i in range(40)], "i int, request string").coalesce(1)
+    got = {r.i: r.response for r in prompts.map_completions(df, "request", client).collect()}
+    assert got == {i: None if i == 5 else f"R{i}" for i in range(40)}
+
+
+def test_missing_logits_are_neutral(spark):
+    df = spark.createDataFrame([(1.0, None, 0.0), (float("nan"), 1.0, 0.0), (2.0, 1.0, 0.0)], "a double, b double, c double")
+    got = [tuple(r.s) for r in df.select(S.sentiment_from_logits("a", "b", "c").alias("s")).collect()]
+    assert got[:2] == [("neutral", 0.0)] * 2 and got[2][0] == "negative"

@@ -101,11 +101,24 @@ def test_stopwords_and_lookup(spark):
     assert r.l == "the feline be on the mat"
 
 
-def test_lookup_tokens_large_table_join_path(spark):
-    table = spark.createDataFrame([(f"w{i}", f"L{i}") for i in range(1000)], "form string, replacement string")
-    df = spark.createDataFrame([(1, "w1 x w999 w1"), (2, ""), (3, None)], "id int, t string")
-    out = {r.id: r.t for r in X.lookup_tokens_df(df, "id", "t", table).collect()}
-    assert out == {1: "L1 x L999 L1", 2: "", 3: None}
+def test_lookup_tokens_is_the_same_at_every_table_size(spark):
+    import pytest
+
+    small = [("w1", "L1"), ("w2", "L2 b"), ("w2", "L2 b"), (None, "x"), ("w3", None)]
+    large = small + [(f"z{i}", f"L{i}") for i in range(600)]
+    # repeated keys and repeated rows stay apart
+    df = spark.createDataFrame([(1, "w1 x w2 w1"), (1, "w2"), (1, "w2"), (2, ""), (3, None), (4, " w3 w9 ")], "id int, t string")
+    want = sorted([(1, "L1 x L2 b L1"), (1, "L2 b"), (1, "L2 b"), (2, ""), (3, None), (4, "w3 w9")], key=str)
+    for rows in (small, large):
+        table = spark.createDataFrame(rows, "form string, replacement string")
+        got = [tuple(r) for r in X.lookup_tokens_df(df, "t", table).collect()]
+        assert sorted(got, key=str) == want
+    assert [r.u for r in X.lookup_tokens_df(df.limit(0), "t", table, out="u").collect()] == []
+    clash = spark.createDataFrame([("w1", "a"), ("w1", "b")], "form string, replacement string")
+    with pytest.raises(Exception, match="conflicting replacements of the form w1"):
+        X.lookup_tokens_df(df, "t", clash).collect()
+    big = {f"z{i}": str(i) for i in range(600)}
+    assert df.limit(1).select(X.lookup_tokens(F.lit("z7 z599 q"), big).alias("x")).first().x == "7 599 q"
 
 
 def test_truncate_tokens(spark):
