@@ -22,9 +22,9 @@ from reviewlens.session import get_spark  # noqa: E402
 
 HEADLINE = [
     # full pipeline in one plan: scan → clean → lexicon score → crosstab
-    ("flagship", lambda s, d: flagship(s, d)),
+    ("flagship", lambda s, d: flagship(s, d, spread=True)),
     # the NLP stage written as a table (what the chart queries read)
-    ("score_stage", lambda s, d: FX.scored_plan(s, d)),
+    ("score_stage", lambda s, d: FX.scored_plan(s, d, spread=True)),
     ("sentiment_statistics", None),
     ("sentiment_timeline", None),
     ("word_frequencies", None),

@@ -72,17 +72,3 @@ def format_fixed(c: Column | str, digits: int = 1) -> Column:
 def format_thousands(c: Column | str) -> Column:
     """Python ``f'{n:,}'`` for integers: ``1234`` → ``1,234``."""
     return F.format_number(_c(c).cast("bigint"), 0)
-
-
-def guarded_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation over pairwise-complete rows; NULL for a constant column.
-
-    ``corr`` raises DIVIDE_BY_ZERO under ANSI mode for a zero variance, pandas gives NaN.
-    NaN inputs are treated as missing first, as pandas does.
-    """
-    a, b = nan_to_null(a), nan_to_null(b)
-    both = a.isNotNull() & b.isNotNull()
-    aa = F.when(both, a)
-    bb = F.when(both, b)
-    denom = F.sqrt(F.var_pop(aa) * F.var_pop(bb))
-    return F.when(denom > 0, F.try_divide(F.covar_pop(aa, bb), denom))

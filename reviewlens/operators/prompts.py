@@ -3,8 +3,8 @@
 Only the table work is done here: prompts are ``concat`` expressions, conversations are
 ``array<struct>`` columns, requests are ``to_json``, answers are parsed with ``from_json``.
 The network call is the caller's function, applied per Arrow batch by ``map_completions``.
-Prompt wording is this library's own; the structure (which fields, which order) follows
-the reference's two-step analysis chain.
+The fields and their order are those of a two-step analysis chain (analyse, then act);
+sections and requests are parameters with short defaults.
 """
 
 from __future__ import annotations
@@ -26,25 +26,20 @@ RESPONSE_SCHEMA = T.StructType([T.StructField("choices", T.ArrayType(T.StructTyp
     T.StructField("message", T.StructType([T.StructField("content", T.StringType()),
                                            T.StructField("reasoning_details", T.StringType())]))])))])
 
+#: Defaults; every operator takes its own sections or request.
 ANALYSIS_SECTIONS = (
-    "1. Themes: list the topics the customer raises (service, quality, price, experience, ...).",
-    "2. Sentiment per theme: positive, neutral or negative, each with a quote from the text.",
-    "3. Critical issues: problems that need attention now, with a severity (low, medium, high, critical).",
-    "4. Strengths: what the business did well and should keep doing.",
-    "5. Summary: a short structured wrap-up of the findings.",
+    "Topics the customer mentions, each with a verdict and a short quote",
+    "Problems, most urgent first",
+    "Praise worth keeping",
+    "Conclusion in two sentences",
 )
-ACTIONS_REQUEST = (
-    "Using your analysis, give concrete recommendations for the business in four groups: "
-    "actions for the next two days, improvements for the next two weeks, strategies for the next "
-    "three months, and the indicators to track. Keep each item specific, measurable and realistic.")
-EXECUTIVE_REQUEST = (
-    "Write an executive summary of at most 300 words for senior management with: a health score "
-    "from 1 to 10, the three main findings, the three most urgent actions, the expected business "
-    "impact, and next steps for this week.")
-CORPUS_REQUEST = (
-    "Analyse these reviews together: recurring patterns, root causes of negative and positive "
-    "experiences, competitive signals, five prioritised recommendations, and risks or missed "
-    "opportunities.")
+ACTIONS_REQUEST = "Turn this analysis into a dated list of actions, each with an owner and a measure of success."
+EXECUTIVE_REQUEST = "Summarise these figures for the management in half a page: state, causes, decisions to take."
+CORPUS_REQUEST = "Describe what these reviews have in common, where they disagree, and what to change first."
+
+
+def numbered(sections: Sequence[str]) -> str:
+    return "\n".join(f"{i}. {s}" for i, s in enumerate(sections, 1))
 
 
 def _c(c: Column | str) -> Column:
@@ -58,17 +53,19 @@ def review_header(text: Column | str, label: Column | str, score: Column | str,
                     F.lit("\n"))
 
 
-def review_prompt_col(text: Column | str, label: Column | str, score: Column | str) -> Column:
-    """Step-1 analysis prompt: the review, its label and confidence (as %), five sections."""
+def review_prompt_col(text: Column | str, label: Column | str, score: Column | str,
+                      sections: Sequence[str] = ANALYSIS_SECTIONS) -> Column:
+    """Step-1 analysis prompt: the review, its label and confidence (as %), the numbered ``sections``."""
     return F.concat(F.lit("You analyse customer feedback for a business.\n\n"),
                     review_header(text, label, score),
-                    F.lit("\nWork through these steps:\n" + "\n".join(ANALYSIS_SECTIONS)
+                    F.lit("\nWork through these steps:\n" + numbered(sections)
                           + "\nAnswer with headed sections and bullet points."))
 
 
 def review_prompt(df: DataFrame, text_col: str, label_col: str = "sentiment",
-                  score_col: str = "sentiment_score", out: str = "prompt") -> DataFrame:
-    return df.withColumn(out, review_prompt_col(text_col, label_col, score_col))
+                  score_col: str = "sentiment_score", out: str = "prompt",
+                  sections: Sequence[str] = ANALYSIS_SECTIONS) -> DataFrame:
+    return df.withColumn(out, review_prompt_col(text_col, label_col, score_col, sections))
 
 
 def message(role: str | Column, content: Column, reasoning: Column | None = None) -> Column:
@@ -83,13 +80,13 @@ def first_conversation(df: DataFrame, prompt_col: str = "prompt", out: str = "me
 
 def followup_conversation(df: DataFrame, text_col: str, answer_col: str, reasoning_col: str | None = None,
                           label_col: str = "sentiment", score_col: str = "sentiment_score",
-                          out: str = "messages") -> DataFrame:
-    """user(review) → assistant(answer 1, with its reasoning if any) → user(actions request)."""
+                          out: str = "messages", request: str = ACTIONS_REQUEST) -> DataFrame:
+    """user(review) → assistant(answer 1, with its reasoning if any) → user(``request``)."""
     reasoning = F.col(reasoning_col) if reasoning_col else None
     return df.withColumn(out, F.array(
         message("user", review_header(text_col, label_col, score_col)),
         message("assistant", F.coalesce(F.col(answer_col), F.lit("")), reasoning),
-        message("user", F.lit(ACTIONS_REQUEST))))
+        message("user", F.lit(request))))
 
 
 def request_payload(df: DataFrame, messages_col: str = "messages", model: str = "model-name",
@@ -174,8 +171,8 @@ def map_completions(df: DataFrame, request_col: str, fn: Callable[[pd.Series], p
 
 
 def corpus_prompt(df: DataFrame, key_col: str, text_col: str, label_col: str = "sentiment",
-                  score_col: str = "sentiment_score", quota: Sequence[tuple[str, int]] = DEFAULT_QUOTA
-                  ) -> DataFrame:
+                  score_col: str = "sentiment_score", quota: Sequence[tuple[str, int]] = DEFAULT_QUOTA,
+                  request: str = CORPUS_REQUEST) -> DataFrame:
     """One row: the quota sample numbered ``Review i (Sentiment: s, Score: p%)`` joined by
     ``---`` into one prompt, with the sample size and the label counts of the sample."""
     head = stratified_head(df, key_col, quota, label_col)
@@ -195,7 +192,7 @@ def corpus_prompt(df: DataFrame, key_col: str, text_col: str, label_col: str = "
     prompt = F.concat(F.lit("You advise a business on its customer feedback.\n\nHere are "),
                       F.col("sample_size").cast("string"),
                       F.lit(" reviews from different sentiment groups:\n\n"), F.col("_body"),
-                      F.lit("\n\n" + CORPUS_REQUEST))
+                      F.lit("\n\n" + request))
     return agg.select(prompt.alias("prompt"), F.col("sample_size").cast("bigint").alias("sample_size"),
                       *[F.col(f"{lab}_count").cast("bigint").alias(f"{lab}_count") for lab in LABELS])
 
@@ -216,9 +213,9 @@ def executive_stats_block(df: DataFrame, label_col: str = "sentiment",
     return a.select(F.concat(*lines).alias("stats_block"))
 
 
-def executive_prompt(df: DataFrame, label_col: str = "sentiment", score_col: str = "sentiment_score"
-                     ) -> DataFrame:
+def executive_prompt(df: DataFrame, label_col: str = "sentiment", score_col: str = "sentiment_score",
+                     request: str = EXECUTIVE_REQUEST) -> DataFrame:
     """Stats block + instructions; sent with reasoning off."""
     s = executive_stats_block(df, label_col, score_col)
     return s.select(F.concat(F.lit("You report customer-feedback results to the leadership team.\n"),
-                             F.col("stats_block"), F.lit("\n" + EXECUTIVE_REQUEST)).alias("prompt"))
+                             F.col("stats_block"), F.lit("\n" + request)).alias("prompt"))

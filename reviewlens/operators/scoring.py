@@ -11,7 +11,8 @@ A scorer is either
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 
 from reviewlens.functions import sentiment as S
 from reviewlens.functions import text as X
+from reviewlens.session import shared_dir
 
 
 def clean_pipeline(df: DataFrame, text_col: str, keep_original: bool = True) -> DataFrame:
@@ -132,52 +134,60 @@ def score_sentiment(df: DataFrame, text_col: str = "clean_text",
         {"sentiment": F.col("_scored.sentiment"), "sentiment_score": F.col("_scored.sentiment_score")}).drop("_scored")
 
 
-def sentiment_from_logits_df(df: DataFrame, neg: str, neu: str, pos: str) -> DataFrame:
-    s = S.sentiment_from_logits(neg, neu, pos)
-    return df.withColumn("_scored", s).withColumns(
-        {"sentiment": F.col("_scored.sentiment"), "sentiment_score": F.col("_scored.sentiment_score")}).drop("_scored")
+@dataclass(frozen=True)
+class WordModel:
+    """Multinomial naive Bayes: ``words`` has ``word, n0, n1, n2`` (one row per word and label counts in
+    the order of ``LABELS``); ``documents`` and ``tokens`` are totals per label, ``vocabulary`` the number of words."""
+
+    words: DataFrame
+    documents: tuple[int, int, int]
+    tokens: tuple[int, int, int]
+    vocabulary: int
 
 
-def trained_scorer_model(train: DataFrame, text_col: str, label_col: str,
-                         num_features: int = 1 << 18, max_iter: int = 50, reg: float = 0.01):
-    """Optional second scorer: Tokenizer → HashingTF → multinomial LogisticRegression.
+def _rows_on_disk(df: DataFrame, name: str) -> DataFrame:
+    path = f"{shared_dir(df.sparkSession, name)}/rows.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
-    ``label_col`` holds 0/1/2 for negative/neutral/positive. The fitted pipeline is applied
-    with ``trained_score``.
+
+def fit_word_model(train: DataFrame, text_col: str, label_col: str) -> WordModel:
+    """Optional second scorer, learned from all labelled rows in one pass of word counts.
+
+    ``label_col`` holds 0/1/2 for negative/neutral/positive; rows with other labels or null
+    are left out. Words are lower-cased whitespace tokens, counted with partial aggregation.
+    The word table stays distributed (written once to the shared folder); seven totals come
+    to the driver.
+    """
+    rows = train.where(F.col(label_col).isin(0, 1, 2)).select(F.col(label_col).alias("y"), F.lower(text_col).alias("t"))
+    words = rows.select("y", F.explode(X.tokens("t")).alias("word")).groupBy("word").agg(
+        *[F.count_if(F.col("y") == k).alias(f"n{k}") for k in range(3)])
+    words = _rows_on_disk(words, "word-model")
+    total = words.agg(F.count(F.lit(1)).alias("v"), *[F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"n{k}") for k in range(3)]).first()
+    docs = rows.agg(*[F.count_if(F.col("y") == k).alias(f"d{k}") for k in range(3)]).first()
+    return WordModel(words, tuple(docs), (total.n0, total.n1, total.n2), total.v)
+
+
+def trained_score(df: DataFrame, model: WordModel, text_col: str = "clean_text") -> DataFrame:
+    """Add ``sentiment`` (likeliest label, ties to the first) and ``sentiment_score`` (its probability).
+
+    The log-odds of a label are its prior (add-one) and, for each token, log((count + 1) /
+    (tokens + vocabulary)); words that no labelled text has count 0. Rows get a generated id
+    and are written once; their (row, word) counts meet the word table in a join whose hot
+    words AQE splits, and are summed per row. Null and empty texts are ('neutral', 0.0).
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, RegexTokenizer
-
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol="_ts_text", outputCol="_ts_tok", pattern=X.WS_RUN, toLowercase=True),
-        HashingTF(inputCol="_ts_tok", outputCol="_ts_tf", numFeatures=num_features),
-        LogisticRegression(featuresCol="_ts_tf", labelCol="_ts_label", family="multinomial",
-                           maxIter=max_iter, regParam=reg, probabilityCol="_ts_prob",
-                           rawPredictionCol="_ts_raw", predictionCol="_ts_pred"),
-    ])
-    data = train.select(F.coalesce(F.col(text_col), F.lit("")).alias("_ts_text"),
-                        F.col(label_col).cast("double").alias("_ts_label"))
-    return pipe.fit(data)
-
-
-def trained_score(df: DataFrame, model, text_col: str = "clean_text") -> DataFrame:
-    """Apply a fitted ``trained_scorer_model``: arg-max label and its probability."""
-    from pyspark.ml.functions import vector_to_array
-
-    scored = model.transform(df.withColumn("_ts_text", F.coalesce(F.col(text_col), F.lit(""))))
-    p = vector_to_array("_ts_prob")
-    n = F.size(p)
-    p0, p1 = p[0], F.when(n > 1, p[1]).otherwise(F.lit(0.0))
-    p2 = F.when(n > 2, p[2]).otherwise(F.lit(0.0))
-    res = S.neutral_on_empty(F.col(text_col), F.struct(
-        F.when((p0 >= p1) & (p0 >= p2), F.lit(S.LABELS[0])).when(p1 >= p2, F.lit(S.LABELS[1]))
-        .otherwise(F.lit(S.LABELS[2])).alias("sentiment"),
-        F.greatest(p0, p1, p2).alias("sentiment_score")))
-    keep = [c for c in df.columns if c not in ("sentiment", "sentiment_score")]
-    return scored.select(*keep, res["sentiment"].alias("sentiment"),
-                         res["sentiment_score"].alias("sentiment_score"))
-
-
-def lexicon_from(words: Iterable[str]) -> tuple[str, ...]:
-    return tuple(dict.fromkeys(w.strip() for w in words if w and w.strip()))
+    names = [c for c in df.columns if c not in ("sentiment", "sentiment_score")]
+    rid = "_ws_id"
+    rows = _rows_on_disk(df.select(*[F.col(f"`{c}`") for c in names], F.monotonically_increasing_id().alias(rid)), "scored-rows")
+    toks = X.tokens(F.lower(text_col))
+    counted = rows.select(rid, F.explode(toks).alias("word")).groupBy(rid, "word").agg(F.count(F.lit(1)).alias("n"))
+    sums = counted.join(model.words, "word").groupBy(F.col(rid).alias("_ws_key")).agg(
+        *[F.sum(F.col("n") * F.log(F.col(f"n{k}") + 1.0)).alias(f"_s{k}") for k in range(3)])
+    every = sum(model.documents) + 3.0
+    logit = lambda k: (F.lit(math.log((model.documents[k] + 1.0) / every)) + F.coalesce(f"_s{k}", F.lit(0.0))
+                       - F.col("_len") * F.lit(math.log(max(model.tokens[k] + model.vocabulary, 1))))
+    out = rows.withColumn("_len", F.size(toks)).join(sums, F.col(rid) == F.col("_ws_key"), "left")
+    out = out.withColumns({f"_l{k}": logit(k) for k in range(3)})
+    res = S.neutral_on_empty(F.col(text_col), S.sentiment_from_logits("_l0", "_l1", "_l2"))
+    return out.withColumn("_ws", res).select(*[F.col(f"`{c}`") for c in names], F.col("_ws.sentiment").alias("sentiment"),
+                                             F.col("_ws.sentiment_score").alias("sentiment_score"))

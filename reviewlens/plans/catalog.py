@@ -65,12 +65,6 @@ def T(spark, sf, name):
     return FX.table(spark, sf, name)
 
 
-def TB(spark, sf, name, key):
-    """A table for heavy per-row aggregation, spread over the cores when its scan is
-    narrower than the cluster (see ``io.balanced``)."""
-    return io.balanced(FX.table(spark, sf, name), key)
-
-
 def reviews(spark, sf):
     return FX.reviews(spark, sf)
 
@@ -83,10 +77,6 @@ def body(spark, sf):
     return reviews(spark, sf).select("business_id", "stars", "text")
 
 
-def tsql(name: str) -> str:
-    return name
-
-
 W, WS, WR = O.with_scored, O.SCORED_SQL, O.with_reviews
 BODY = "(SELECT business_id, stars, text FROM reviews)"
 LEN_NAN = "length(coalesce(text, 'nan'))"
@@ -153,7 +143,7 @@ def _reviews_csv(spark, sf) -> str:
 
 @q("scan_csv", WR(REVIEWS_AFTER_CSV))
 def scan_csv(spark, sf):
-    return io.scan_csv(spark, _reviews_csv(spark, sf))
+    return io.scan_csv(spark, _reviews_csv(spark, sf), multi_line=True)
 
 
 @q("scan_json", WR("SELECT review_id, business_id, stars, review_date, text FROM reviews"))
@@ -165,7 +155,41 @@ def scan_json(spark, sf):
 
 @q("scan_any", WR(REVIEWS_AFTER_CSV))
 def scan_any(spark, sf):
-    return io.read_table(spark, _reviews_csv(spark, sf))
+    return io.read_table(spark, _reviews_csv(spark, sf), multi_line=True)
+
+
+REVIEW_COLUMNS = ("review_id", "business_id", "stars", "review_date", "text")
+
+
+def _files(df: DataFrame, path: str) -> str:
+    """Rows ``file, value`` as one text file each."""
+    df.repartition("file").write.partitionBy("file").text(path)
+    return path
+
+
+def _json_files(spark, sf, name: str, content) -> str:
+    """The reviews in JSON files of 100 reviews each; ``content`` makes a file's text from its rows."""
+    rows = reviews(spark, sf).withColumn("file", F.floor(F.col("review_id") / 100))
+    files = rows.groupBy("file").agg(F.sort_array(F.collect_list(F.struct(*REVIEW_COLUMNS))).alias("rows"))
+    return _files(files.select("file", content.alias("value")), f"{shared_dir(spark, name)}/reviews.json")
+
+
+@q("scan_json_records", WR("SELECT review_id, business_id, stars, review_date, text FROM reviews"))
+def scan_json_records(spark, sf):
+    """Files that each hold one indented array."""
+    records = F.array_join(F.transform("rows", lambda x: F.concat(F.lit("  "), F.to_json(x))), ",\n")
+    path = _json_files(spark, sf, "reviews-records", F.concat(F.lit("[\n"), records, F.lit("\n]")))
+    return io.read_table(spark, path).select(*REVIEW_COLUMNS)
+
+
+@q("scan_json_columns", WR("SELECT review_id, business_id, stars, review_date, text FROM reviews"))
+def scan_json_columns(spark, sf):
+    """Files that each hold their columns, rows numbered from 0 in every file."""
+    column = lambda c: F.to_json(F.map_from_arrays(
+        F.transform("rows", lambda x, i: i.cast("string")), F.transform("rows", lambda x: x[c])))
+    parts = [F.concat(F.lit(f'  "{c}": '), column(c)) for c in REVIEW_COLUMNS]
+    path = _json_files(spark, sf, "reviews-columns", F.concat(F.lit("{\n"), F.concat_ws(",\n", *parts), F.lit("\n}")))
+    return io.read_table(spark, path).select(*REVIEW_COLUMNS)
 
 
 @q("sink_csv", W("SELECT review_id, sentiment, round_even(sentiment_score, 9) AS sentiment_score FROM scored"))
@@ -178,7 +202,7 @@ def sink_csv(spark, sf):
 
 @q("preview", WR("SELECT * FROM reviews ORDER BY review_id LIMIT 10"))
 def preview(spark, sf):
-    return io.preview(reviews(spark, sf), "review_id", 10)
+    return sampling.preview(reviews(spark, sf), "review_id", 10)
 
 
 # ============================================================================================
@@ -539,7 +563,7 @@ def _iqr_sql() -> str:
 
 @q("iqr_outliers", _iqr_sql())
 def iqr_outliers(spark, sf):
-    return profile.iqr_outliers(TB(spark, sf, "events", "event_id"))
+    return profile.iqr_outliers(T(spark, sf, "events"))
 
 
 def _corr_sql() -> str:
@@ -619,7 +643,7 @@ def _describe_sql() -> str:
 
 @q("describe_numeric", _describe_sql())
 def describe_numeric(spark, sf):
-    d = profile.describe_numeric(TB(spark, sf, "lineitem", "l_orderkey"))
+    d = profile.describe_numeric(T(spark, sf, "lineitem"))
     return d.select("column_name", "count", *[R(c, 9).alias(c) for c in ("mean", "std")], "min",
                     *[R(c).alias(c) for c in ("p25", "p50", "p75")], "max")
 
@@ -647,6 +671,22 @@ def entity_count_histogram(spark, sf):
     return h.select("bin", R("bin_start", 9).alias("bin_start"), R("bin_end", 9).alias("bin_end"), "count")
 
 
+# the entry points that return all statistics of one subject
+
+@q("text_statistics", f"""SELECT a.mean AS length_mean, a.median AS length_median, a.min AS length_min, a.max AS length_max, a.std AS length_std,
+  b.mean AS words_mean, b.median AS words_median, b.min AS words_min, b.max AS words_max, c.empty_count, c.unique_count
+FROM ({ORACLE["text_length_stats"]}) a, ({ORACLE["word_count_stats"]}) b, ({ORACLE["text_cardinality"]}) c""")
+def text_statistics(spark, sf):
+    return textstats.text_statistics(reviews(spark, sf), "text")
+
+
+@q("rating_analysis", f"""SELECT a.*, b.*, c.* FROM ({ORACLE["rating_statistics"]}) a, ({ORACLE["rating_percentiles"]}) b,
+  ({ORACLE["rating_concentration"]}) c""")
+def rating_analysis(spark, sf):
+    a = rating.rating_analysis(reviews(spark, sf), "stars")
+    return a.withColumns({c: R(c, 9) for c in ("p25", "p50", "p75", "p90")})
+
+
 # ============================================================================================
 # 2.6 sentiment statistics and chart data
 # ============================================================================================
@@ -799,6 +839,15 @@ def monthly_trend(spark, sf):
     return temporal.monthly_trend(reviews(spark, sf), "review_date")
 
 
+@q("temporal_patterns", f"""SELECT 'date_range' AS section, unnest(['start', 'end', 'span_days']) AS key,
+  unnest(["start", "end", CAST(span_days AS VARCHAR)]) AS value FROM ({ORACLE["date_range"]})
+UNION ALL SELECT 'frequency', 'daily_avg', CAST(daily_avg AS VARCHAR) FROM ({ORACLE["date_range"]})
+UNION ALL SELECT 'day_of_week_distribution', day_of_week, CAST(count AS VARCHAR) FROM ({ORACLE["day_of_week_counts"]})
+UNION ALL SELECT 'monthly_trend', month, CAST(count AS VARCHAR) FROM ({ORACLE["monthly_trend"]})""")
+def temporal_patterns(spark, sf):
+    return temporal.temporal_patterns(reviews(spark, sf), "review_date")
+
+
 @q("sentiment_timeline", W(f"""SELECT strftime(CAST({TS} AS DATE), '%Y-%m-%d') AS day, sentiment, count(*) AS count FROM scored
 WHERE {TS} IS NOT NULL GROUP BY 1, 2 ORDER BY 1, 2"""))
 def sentiment_timeline(spark, sf):
@@ -1028,19 +1077,33 @@ def lexicon_score(spark, sf):
                     R("sentiment_score", 9).alias("sentiment_score"))
 
 
-@q("trained_score")
+LABEL_SQL = "CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 2 ELSE 1 END"
+LOGIT_SQL = ", ".join(f"ln((d{k} + 1.0) / (d0 + d1 + d2 + 3.0)) + coalesce(s{k}, 0.0) - len * ln(w{k} + v) AS l{k}" for k in range(3))
+
+
+@q("trained_score", W(f""", train AS (
+  SELECT {LABEL_SQL} AS y, lower({O.clean_basic('d.text')}) AS t FROM documents d JOIN labels USING (doc_id)),
+tw AS (SELECT y, unnest({O.tokens('t')}) AS word FROM train),
+wc AS (SELECT word, {", ".join(f"count(*) FILTER (WHERE y = {k}) AS n{k}" for k in range(3))} FROM tw GROUP BY word),
+tot AS (SELECT count(*) AS v, {", ".join(f"sum(n{k}) AS w{k}" for k in range(3))} FROM wc),
+pri AS (SELECT {", ".join(f"count(*) FILTER (WHERE y = {k}) AS d{k}" for k in range(3))} FROM train),
+rw AS (SELECT review_id, clean_text, {O.tokens('lower(clean_text)')} AS toks FROM cleaned),
+rc AS (SELECT review_id, word, count(*) AS n FROM (SELECT review_id, unnest(toks) AS word FROM rw) GROUP BY ALL),
+sm AS (SELECT review_id, {", ".join(f"sum(n * ln(n{k} + 1.0)) AS s{k}" for k in range(3))} FROM rc JOIN wc USING (word) GROUP BY review_id),
+lg AS (SELECT review_id, clean_text, {LOGIT_SQL} FROM (SELECT *, len(toks) AS len FROM rw) LEFT JOIN sm USING (review_id), tot, pri)
+SELECT review_id, CASE WHEN clean_text = '' THEN 'neutral' WHEN l0 >= l1 AND l0 >= l2 THEN 'negative' WHEN l1 >= l2 THEN 'neutral' ELSE 'positive' END AS sentiment,
+  CASE WHEN clean_text = '' THEN 0.0 ELSE round_even(1.0 / (exp(l0 - greatest(l0, l1, l2)) + exp(l1 - greatest(l0, l1, l2)) + exp(l2 - greatest(l0, l1, l2))), 6) END AS sentiment_score
+FROM lg"""))
 def trained_score(spark, sf):
-    """Train on documents ⋈ labels (toxic → negative, quality → positive, else neutral),
+    """Learn from documents ⋈ labels (toxic → negative, quality → positive, else neutral),
     score every review."""
-    docs = T(spark, sf, "documents").select("doc_id", "text")
-    lab = T(spark, sf, "labels")
-    train = docs.join(lab, "doc_id").select(
+    train = T(spark, sf, "documents").select("doc_id", "text").join(T(spark, sf, "labels"), "doc_id").select(
         X.clean_basic("text").alias("clean_text"),
         F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1).alias("label"))
-    model = scoring.trained_scorer_model(train, "clean_text", "label", num_features=1 << 16, max_iter=20)
-    rev = scoring.clean_pipeline(reviews(spark, sf), "text")
+    model = scoring.fit_word_model(train, "clean_text", "label")
+    rev = reviews(spark, sf).select("review_id", X.clean_basic("text").alias("clean_text"))
     out = scoring.trained_score(rev, model, "clean_text")
-    return out.select("review_id", "sentiment", R("sentiment_score", 9).alias("sentiment_score"))
+    return out.select("review_id", "sentiment", R("sentiment_score").alias("sentiment_score"))
 
 
 # ============================================================================================
@@ -1057,17 +1120,27 @@ def _lit_sql(s: str) -> str:
     return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in parts)
 
 
-REVIEW_PROMPT_SQL = W(f"""SELECT review_id,
+def _review_prompt_sql(sections) -> str:
+    return W(f"""SELECT review_id,
   {_lit_sql("You analyse customer feedback for a business.\n\n")} || {_header_sql('text', 'sentiment', 'sentiment_score')}
-  || {_lit_sql(chr(10) + "Work through these steps:" + chr(10) + chr(10).join(prompts.ANALYSIS_SECTIONS) + chr(10) + "Answer with headed sections and bullet points.")} AS prompt
+  || {_lit_sql(chr(10) + "Work through these steps:" + chr(10) + prompts.numbered(sections) + chr(10) + "Answer with headed sections and bullet points.")} AS prompt
 FROM scored""")
 
 
-@q("review_prompt", REVIEW_PROMPT_SQL)
+@q("review_prompt", _review_prompt_sql(prompts.ANALYSIS_SECTIONS))
 def review_prompt(spark, sf):
     return prompts.review_prompt(scored(spark, sf), "text").select("review_id", "prompt")
 
 
+SHORT_SECTIONS = ("Main complaint", "Main praise", "Mood of the writer", "Next step for the business")
+
+
+@q("review_prompt_sections", _review_prompt_sql(SHORT_SECTIONS))
+def review_prompt_sections(spark, sf):
+    """The prompt with the caller's own sections."""
+    return prompts.review_prompt(scored(spark, sf), "text", sections=SHORT_SECTIONS).select("review_id", "prompt")
+
+
 def _answers(spark, sf) -> DataFrame:
     """A synthetic first answer per review, derived from its cleaned text."""
     s = scored(spark, sf)

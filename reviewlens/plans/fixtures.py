@@ -6,13 +6,11 @@ injected null ratings, unparseable dates and null texts; every row of ``document
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.operators.scoring import LexiconScorer, clean_pipeline, score_sentiment
-from reviewlens.session import shared_dir
+from reviewlens.session import path_state, shared_dir
 from reviewlens.sources.io import balanced
 
 # --- fixed values: the fixture lexicon (words that occur in the generated prose) -------
@@ -30,10 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # per-row text work dominates: spread a single-file table over the cores (a table that is
-    # already split into enough partitions is left as it is)
-    d = balanced(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+def reviews(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """The view; ``spread`` deals a scan of few partitions over the cores before per-row text work."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    if spread:
+        d = balanced(d, "doc_id")
     return d.select(
         F.col("doc_id").alias("review_id"),
         F.col("source").alias("business_id"),
@@ -47,9 +46,9 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_plan(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """``reviews`` + clean_text, clean_text_advanced, sentiment, sentiment_score (one plan)."""
-    return score_sentiment(clean_pipeline(reviews(spark, sf_dir), "text"), "clean_text", LEXICON)
+    return score_sentiment(clean_pipeline(reviews(spark, sf_dir, spread), "text"), "clean_text", LEXICON)
 
 
 _STAGED: dict[tuple, str] = {}
@@ -65,20 +64,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rather than being pushed, with the whole scoring expression, below the scoring
     projection. Keyed by session, input folder and input file state.
     """
-    src = f"{sf_dir.rstrip('/')}/documents.parquet"
-    try:
-        st = os.stat(src)
-        stamp = (st.st_size, st.st_mtime_ns)
-    except OSError:
-        stamp = None
-    key = (id(spark), os.path.abspath(sf_dir), stamp)
+    state = path_state(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), state)
     path = _STAGED.get(key)
-    local = path[len("file:"):] if path and path.startswith("file:") else path
-    if path is not None and "://" not in path and not os.path.exists(local):
-        path = None  # the scratch folder was cleaned up: stage again
-    if path is None:
+    if path is None or path_state(spark, path) is None:  # new input, or the scratch folder was cleaned up
         path = shared_dir(spark, "scored") + "/scored.parquet"
-        scored_plan(spark, sf_dir).write.mode("overwrite").parquet(path)
+        scored_plan(spark, sf_dir, spread=True).write.mode("overwrite").parquet(path)
         _STAGED[key] = path
     return spark.read.parquet(path)
 

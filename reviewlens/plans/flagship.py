@@ -13,5 +13,5 @@ from reviewlens.operators.charts import rating_sentiment_crosstab
 from reviewlens.plans.fixtures import scored_plan
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rating_sentiment_crosstab(scored_plan(spark, sf_dir), "stars")
+def flagship(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    return rating_sentiment_crosstab(scored_plan(spark, sf_dir, spread), "stars")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -40,9 +41,10 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
     The folder comes from ``spark.checkpoint.dir`` (or ``SparkContext.getCheckpointDir``).
-    Only a local-mode session without that setting gets a folder of its own under the
-    system temp dir, and the setting is then recorded on the session; on a cluster an
-    unset folder is an error, because a machine-local folder is not visible to executors.
+    Only a local-mode session without that setting (as in tests) gets a folder of its own
+    under the system temp dir, and the setting is then recorded on the session; on a cluster
+    an unset folder is an error, because a machine-local folder is not visible to executors.
+    Spark's writers make the folder; ``remove_scratch`` (also run at exit) removes it.
     """
     sc = spark.sparkContext
     base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -53,8 +55,38 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
     path = base.rstrip("/") + "/" + (name or "scratch") + "-" + uuid.uuid4().hex[:12]
-    if path.startswith("file:"):
-        os.makedirs(path[len("file:"):], exist_ok=True)
-    elif "://" not in path:
-        os.makedirs(path, exist_ok=True)
+    _MADE.append(path)
     return path
+
+
+#: Folders given out by ``shared_dir`` and not yet removed.
+_MADE: list[str] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove the folders that ``shared_dir`` gave out; tables read from them end with it."""
+    while _MADE:
+        fs, p = _file_system(spark, _MADE.pop())
+        fs.delete(p, True)
+
+
+def path_state(spark: SparkSession, path: str) -> tuple | None:
+    """Names, sizes and times of the files of ``path`` in whatever store it is; None if there is nothing."""
+    fs, p = _file_system(spark, path)
+    if not fs.exists(p):
+        return None
+    files = fs.listStatus(p)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    with contextlib.suppress(Exception):  # the session may have ended before
+        if spark is not None:
+            remove_scratch(spark)

@@ -76,7 +76,8 @@ def read_sheet_rows(data: bytes) -> list[list[str | None]]:
 def scan_excel(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     """First sheet of every ``.xlsx`` under ``path``; header from each file's first row.
 
-    All files must share the header of the first file.
+    All files must have the header of the first one, and no cell may lie beyond it; a file
+    that differs fails, so that no cell is dropped or put under another column's name.
     """
     from reviewlens.sources.io import NA_TOKENS, _typed, infer_csv_types
 
@@ -100,9 +101,13 @@ def scan_excel(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for blob in pdf["content"]:
-                rows = read_sheet_rows(bytes(blob))[1:]
+                head, *rows = read_sheet_rows(bytes(blob)) or [[]]
+                if [str(h) for h in head] != header:
+                    raise ValueError(f"a workbook has the header {head}, the first one has {header}")
                 width = len(header)
-                body = [(r + [None] * width)[:width] for r in rows]
+                if any(len(r) > width for r in rows):
+                    raise ValueError("a row has cells beyond the header")
+                body = [r + [None] * (width - len(r)) for r in rows]
                 yield pd.DataFrame(body, columns=header, dtype=object)
 
     raw = files.select("content").mapInPandas(parse, schema)

@@ -17,6 +17,9 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 # pandas' boolean spellings
 TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
+# numbers as they are written in a table
+INTEGER = r"^[+-]?[0-9]+$"
+NUMBER = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 # -------------------------------------------------------------------------------------------
 
 SUPPORTED = ("csv", "json", "xlsx", "xls", "parquet")
@@ -30,15 +33,18 @@ def _na_to_null(c: str, na_tokens) -> F.Column:
 def infer_csv_types(df: DataFrame, na_tokens=NA_TOKENS) -> dict[str, str]:
     """Per string column: bigint, double, boolean or string, from one aggregation pass.
 
-    A column is integer when every non-missing value casts to BIGINT, double when every one
-    casts to DOUBLE, boolean when every one is a pandas boolean spelling.
+    A column is integer when every non-missing value is written as an integer and fits
+    BIGINT, double when every one is a plain decimal number (not ``1d`` or ``2f``, which Java
+    would take) and not all are integers, boolean when every one is a pandas boolean spelling.
+    Anything else, such as ids of 20 digits, stays a string, so no value is lost.
     """
     aggs = []
     for i, c in enumerate(df.columns):
         v = _na_to_null(c, na_tokens)
         aggs += [F.count(v).alias(f"_n{i}"),
-                 F.count_if(F.trim(v).rlike(r"^[+-]?[0-9]+$")).alias(f"_i{i}"),
-                 F.count(F.trim(v).try_cast("double")).alias(f"_d{i}"),
+                 F.count_if(F.trim(v).rlike(INTEGER)).alias(f"_i{i}"),
+                 F.count(F.when(F.trim(v).rlike(INTEGER), F.trim(v).try_cast("bigint"))).alias(f"_f{i}"),
+                 F.count_if(F.trim(v).rlike(NUMBER)).alias(f"_d{i}"),
                  F.count_if(v.isin(list(TRUE_TOKENS + FALSE_TOKENS))).alias(f"_b{i}")]
     r = df.agg(*aggs).first()
     out = {}
@@ -49,7 +55,7 @@ def infer_csv_types(df: DataFrame, na_tokens=NA_TOKENS) -> dict[str, str]:
         elif r[f"_b{i}"] == n:
             out[c] = "boolean"
         elif r[f"_i{i}"] == n:
-            out[c] = "bigint"
+            out[c] = "bigint" if r[f"_f{i}"] == n else "string"
         elif r[f"_d{i}"] == n:
             out[c] = "double"
         else:
@@ -67,19 +73,21 @@ def _typed(df: DataFrame, types: dict[str, str], na_tokens) -> DataFrame:
         elif t == "string":
             e = v
         else:
-            e = F.trim(v).try_cast(t)
+            number = F.regexp_replace(F.trim(v), "^\\+", "") if t == "bigint" else F.trim(v)
+            e = number.try_cast(t)
         cols.append(e.alias(c))
     return df.select(*cols)
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             na_tokens=NA_TOKENS, infer: bool = True) -> DataFrame:
-    """CSV with header; quoted newlines and doubled quotes; pandas NA tokens → NULL.
+             na_tokens=NA_TOKENS, infer: bool = True, multi_line: bool = False) -> DataFrame:
+    """CSV with header and doubled quotes; pandas NA tokens → NULL.
 
-    With ``schema`` the columns are cast to it; otherwise types are inferred (see
+    Files are split, so a large one is read by many tasks. Files whose quoted cells hold line
+    breaks must be declared with ``multi_line=True``; each is then one task. With ``schema`` the columns are cast to it; otherwise types are inferred (see
     ``infer_csv_types``) unless ``infer=False`` (all strings).
     """
-    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    raw = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
            .option("quote", '"').option("mode", "PERMISSIVE").option("emptyValue", "")
            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
            .option("inferSchema", False).csv(path))
@@ -92,30 +100,59 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return _typed(raw, infer_csv_types(raw, na_tokens), na_tokens)
 
 
-def scan_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-              records_array: bool = False) -> DataFrame:
-    """JSON lines (scalable default) or one array of records per file (``records_array``).
+JSON_LAYOUTS = ("lines", "records", "columns")
+
+
+def json_layout(spark: SparkSession, path: str) -> str:
+    """``lines``, ``records`` or ``columns``, from the first two lines that are not blank.
 
-    A column-oriented file (``{"col": {"0": v, "1": w}, ...}``) is read as maps, exploded
-    to (row index, column, value) and pivoted back to rows; values arrive as strings.
+    ``[`` opens an array of records; a whole object on the first line with another line
+    after it is JSON lines; one object over several lines, or a single line whose values are
+    all objects, is a column-oriented file. All files of a folder have the first one's layout.
     """
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
-    if not records_array:
-        return reader.json(path)
-    df = reader.option("multiLine", True).json(path)
-    if df.columns and all(isinstance(f.dataType, T.StructType) for f in df.schema.fields) and "_corrupt_record" not in df.columns:
-        # column-oriented: every top-level value is an object keyed by row index
-        text = spark.read.option("wholetext", True).text(path)
-        m = text.select(F.from_json("value", "map<string,map<string,string>>").alias("m"))
-        cells = m.select(F.explode("m").alias("column", "vals")).select(
-            "column", F.explode("vals").alias("row", "value"))
-        cols = df.columns
-        wide = cells.groupBy(F.col("row").cast("bigint").alias("_row")).pivot("column", cols) \
-            .agg(F.first("value"))
-        return wide.orderBy("_row").drop("_row")
-    return df
+    import json
+
+    head = [r.value.strip() for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
+    if not head:
+        return "lines"
+    if head[0].startswith("["):
+        return "records"
+    try:
+        first = json.loads(head[0])
+    except ValueError:
+        return "columns"
+    if len(head) == 1 and isinstance(first, dict) and first and all(isinstance(v, dict) for v in first.values()):
+        return "columns"
+    return "lines"
+
+
+def scan_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+              layout: str = "lines") -> DataFrame:
+    """JSON ``lines`` (splittable), an array of ``records`` per file, or ``columns`` per file.
+
+    A column-oriented file (``{"col": {"0": v, "1": w}, ...}``) is read as maps, exploded to
+    (file, row, column, value) cells and pivoted back to rows, which are told by file and
+    row; columns are typed as in ``scan_csv`` (numbers in quotes too, as pandas does) unless
+    ``schema`` names their types. Such a file is one task, as its rows are complete only at
+    its end; an array of records is one task, too. ``auto`` asks ``json_layout``.
+    """
+    if layout == "auto":
+        layout = json_layout(spark, path)
+    if layout not in JSON_LAYOUTS:
+        raise ValueError(f"layout must be auto or one of {JSON_LAYOUTS}")
+    if layout != "columns":
+        reader = spark.read.option("multiLine", layout == "records")
+        return (reader.schema(schema) if schema is not None else reader).json(path)
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), "value")
+    cells = (text.select("_file", F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("_col", "_vals"))
+             .select("_file", "_col", F.explode("_vals").alias("_row", "_value")))
+    names = [r[0] for r in cells.select("_col").distinct().orderBy("_col").collect()]  # the columns of the table
+    typed = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema) if schema else None
+    if typed is not None:
+        names = [f.name for f in typed.fields]
+    wide = cells.groupBy("_file", "_row").pivot("_col", names).agg(F.first("_value")).select(*[F.col(f"`{n}`") for n in names])
+    types = {f.name: f.dataType.simpleString() for f in typed.fields} if typed is not None else infer_csv_types(wide, ())
+    return _typed(wide, types, ())
 
 
 def sink_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite") -> str:
@@ -138,7 +175,7 @@ def read_table(spark: SparkSession, path: str, **kw) -> DataFrame:
     if ext == "csv":
         return scan_csv(spark, path, **kw)
     if ext == "json":
-        return scan_json(spark, path, **kw)
+        return scan_json(spark, path, **{"layout": "auto", **kw})
     if ext in ("xlsx", "xls"):
         if ext == "xls":
             raise ValueError("legacy .xls workbooks are not supported; save as .xlsx")
@@ -150,11 +187,6 @@ def read_table(spark: SparkSession, path: str, **kw) -> DataFrame:
     raise ValueError(f"Unsupported file format: {ext}")
 
 
-def preview(df: DataFrame, key_col: str, n: int = 10) -> DataFrame:
-    """First ``n`` rows in ``key_col`` order (top-k)."""
-    return df.orderBy(key_col).limit(n)
-
-
 def balanced(df: DataFrame, key_col: str, min_partitions: int | None = None) -> DataFrame:
     """Spread a scan that has fewer partitions than the cluster has cores.
 

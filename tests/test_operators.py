@@ -283,7 +283,7 @@ def test_text_stats_null_as_nan(spark):
 def test_csv_scan_pandas_like(spark, tmp_path):
     p = tmp_path / "edge.csv"
     p.write_text('id,text,score,flag,note\n1,"line one\nline two",1.5,True,NA\n2,"say ""hi""",2,False,\n3,plain,,true,null\n')
-    df = io.scan_csv(spark, str(p))
+    df = io.scan_csv(spark, str(p), multi_line=True)
     pdf = pd.read_csv(p)
     assert dict(df.dtypes) == {"id": "bigint", "text": "string", "score": "double", "flag": "boolean", "note": "double"}
     got = df.orderBy("id").collect()
@@ -326,11 +326,11 @@ def test_excel_scan(spark, tmp_path):
 def test_json_records_and_columns(spark, tmp_path):
     rec = tmp_path / "rec.json"
     rec.write_text('[{"id": 1, "text": "a"}, {"id": 2, "text": "b"}]')
-    assert io.scan_json(spark, str(rec), records_array=True).count() == 2
+    assert io.scan_json(spark, str(rec), layout="records").count() == 2
     col = tmp_path / "col.json"
     col.write_text('{"id": {"0": 1, "1": 2}, "text": {"0": "a", "1": "b"}}')
-    out = io.scan_json(spark, str(col), records_array=True).collect()
-    assert [(r.id, r.text) for r in out] == [("1", "a"), ("2", "b")]
+    out = io.scan_json(spark, str(col), layout="columns").collect()
+    assert [(r.id, r.text) for r in out] == [(1, "a"), (2, "b")]
 
 
 def test_streaming_timeline(spark, tmp_path):
@@ -444,3 +444,89 @@ def test_missing_logits_are_neutral(spark):
     df = spark.createDataFrame([(1.0, None, 0.0), (float("nan"), 1.0, 0.0), (2.0, 1.0, 0.0)], "a double, b double, c double")
     got = [tuple(r.s) for r in df.select(S.sentiment_from_logits("a", "b", "c").alias("s")).collect()]
     assert got[:2] == [("neutral", 0.0)] * 2 and got[2][0] == "negative"
+
+
+def test_csv_loses_no_value_and_is_split(spark, tmp_path):
+    p = tmp_path / "codes.csv"
+    p.write_text("id,code,num,mixed,plus\n12345678901234567890,1d,1.5,7,+1\n12345678901234567891,2f,-2e3,x,2\n3,3,inf,,3\n")
+    df = io.scan_csv(spark, str(p))
+    assert dict(df.dtypes) == {"id": "string", "code": "string", "num": "double", "mixed": "string", "plus": "bigint"}
+    got = [tuple(r) for r in df.collect()]
+    assert got == [("12345678901234567890", "1d", 1.5, "7", 1), ("12345678901234567891", "2f", -2000.0, "x", 2),
+                   ("3", "3", float("inf"), None, 3)]
+    big = tmp_path / "big.csv"
+    big.write_text("a,b\n" + "".join(f"{i},{'x' * 50}\n" for i in range(4000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+        assert io.scan_csv(spark, str(big), infer=False).select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert io.scan_csv(spark, str(big)).agg(F.count("*"), F.sum("a")).first()[:] == (4000, 7998000)
+
+
+def test_json_layouts(spark, tmp_path):
+    def folder(name, *texts):
+        d = tmp_path / f"{name}.json"
+        d.mkdir()
+        for i, t in enumerate(texts):
+            (d / f"f{i}.json").write_text(t)
+        return str(d)
+
+    # rows of the same number in two files stay apart; numbers are typed, also in quotes; a cell may be missing or null
+    cols = folder("columns", '{\n "id": {"0": 1, "1": 2},\n "t": {"0": "a", "1": null}}', '{\n "id": {"0": "3", "5": 4}, "t": {"0": "c"}, "x": {"5": 1.5}}')
+    df = io.read_table(spark, cols)
+    assert dict(df.dtypes) == {"id": "bigint", "t": "string", "x": "double"}
+    assert sorted(df.collect(), key=str) == [(1, "a", None), (2, None, None), (3, "c", None), (4, None, 1.5)]
+    # an indented array; records whose columns are all objects; lines
+    assert [tuple(r) for r in io.read_table(spark, folder("array", '[\n  {"a": 1, "b": "x"},\n  {"a": 2}\n]')).collect()] == [(1, "x"), (2, None)]
+    objects = io.read_table(spark, folder("objects", '[{"p": {"x": 1}, "q": {"y": 2}}, {"p": {"x": 3}, "q": {"y": 4}}]'))
+    assert [(r.p.x, r.q.y) for r in objects.collect()] == [(1, 2), (3, 4)]
+    lines = io.read_table(spark, folder("lines", '{"p": {"x": 1}}\n{"p": {"x": 2}}\n'))
+    assert sorted(r.p.x for r in lines.collect()) == [1, 2]
+    one = io.read_table(spark, folder("oneline", '{"id": {"0": 1}, "t": {"0": "a"}}'))
+    assert [tuple(r) for r in one.collect()] == [(1, "a")]
+
+
+def test_excel_with_another_header_fails(spark, tmp_path):
+    from reviewlens.sources.excel import scan_excel
+
+    d = tmp_path / "books2"
+    d.mkdir()
+    _write_xlsx(d / "a.xlsx", ["id", "text"], [[1, "x"]])
+    _write_xlsx(d / "b.xlsx", ["text", "id"], [["y", 2]])
+    with pytest.raises(Exception, match="header"):
+        scan_excel(spark, str(d)).collect()
+    _write_xlsx(d / "b.xlsx", ["id", "text"], [[2, "y", 3]])
+    with pytest.raises(Exception, match="beyond the header"):
+        scan_excel(spark, str(d)).collect()
+
+
+def test_word_model(spark):
+    train = spark.createDataFrame([("bad awful bad", 0), ("fine ok", 1), ("great good great", 2), (None, 2), ("x", None), ("y", 7)], "t string, y int")
+    m = scoring.fit_word_model(train, "t", "y")
+    assert m.documents == (1, 1, 2) and m.tokens == (3, 2, 3) and m.vocabulary == 6
+    df = spark.createDataFrame([(1, "Bad bad"), (1, "great"), (2, "unseen"), (3, ""), (4, None), (1, "great")], "id int, t string")
+    got = sorted(((r.id, r.t or "", r.sentiment, r.sentiment_score) for r in scoring.trained_score(df, m, "t").collect()), key=str)
+    assert [g[:3] for g in got] == [(1, "Bad bad", "negative"), (1, "great", "positive"), (1, "great", "positive"),
+                                    (2, "unseen", "positive"), (3, "", "neutral"), (4, "", "neutral")]
+    a, b, c = (math.log((d + 1) / 7) + n * math.log(k + 1) - 2 * math.log(w + 6) for d, n, k, w in ((1, 2, 2, 3), (1, 0, 0, 2), (2, 0, 0, 3)))
+    assert math.isclose(got[0][3], math.exp(a) / (math.exp(a) + math.exp(b) + math.exp(c)), rel_tol=1e-12)
+    assert got[4][3] == 0.0 and got[5][3] == 0.0
+    nothing = scoring.fit_word_model(train.limit(0), "t", "y")
+    assert {r.sentiment for r in scoring.trained_score(df, nothing, "t").collect()} == {"negative", "neutral"}
+
+
+def test_scratch_is_removed_and_inputs_are_told_by_their_files(spark, tmp_path):
+    from reviewlens import session
+
+    p = session.shared_dir(spark, "probe") + "/t.parquet"
+    spark.range(3).write.parquet(p)
+    first = session.path_state(spark, p)
+    assert first and session.path_state(spark, str(tmp_path / "none")) is None
+    spark.range(4).write.mode("overwrite").parquet(p)
+    assert session.path_state(spark, p) != first
+    kept, session._MADE[:] = session._MADE[:-1], session._MADE[-1:]
+    session.remove_scratch(spark)
+    assert session.path_state(spark, p) is None
+    session._MADE[:] = kept
