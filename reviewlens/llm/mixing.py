@@ -69,7 +69,7 @@ def mix_sources(docs: DataFrame, size: Column, source: str = "source", doc_id: s
     rates = staged(source_rates(sized, source, "size", weights, max_rate), "mix-rates")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    joined = sized.join(rates.withColumnRenamed("_source", out_source),
+    joined = sized.join(rates.select(F.col("_source").alias(out_source), "source_size", "target", "rate"),
                         F.col(f"`{source}`").eqNullSafe(F.col(out_source)), "left")
     whole = F.floor("rate")
     u = unit_interval(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.col(f"`{text}`"), F.lit("")), seed)

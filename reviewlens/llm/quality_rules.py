@@ -156,13 +156,13 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", min
     new = (*RULES, "base_failed", "removed_words", "kept")
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
     rest = [c for c in docs.columns if c != text]
-    k1, k2, removed, copy = fresh(docs, "_key1", "_key2", "_removed", "_copy")
+    k1, k2, j1, j2, removed, copy = fresh(docs, "_key1", "_key2", "_join1", "_join2", "_removed", "_copy")
     t, h = F.col(f"`{text}`"), F.col(f"`{host}`")
     keys = dict(zip((k1, k2), text_key(t, h)))
-    over = (shared_lines(docs, host, text, min_documents, max_share).groupBy("_k1", "_k2")
+    over = (shared_lines(docs, host, text, min_documents, max_share).groupBy(F.col("_k1").alias(j1), F.col("_k2").alias(j2))
             .agg(F.sum("_words").alias("removed_words"), F.collect_set("_line").alias(removed)))
     rows = docs.withColumns({**keys, **({copy: t} if with_text else {})})
-    out = (rule_counts(rows, text).join(over, (F.col(k1) == F.col("_k1")) & (F.col(k2) == F.col("_k2")), "left")
+    out = (rule_counts(rows, text).join(over, (F.col(k1) == F.col(j1)) & (F.col(k2) == F.col(j2)), "left")
            .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
            .withColumn("base_failed", base_failed(min_words, max_repeat_percent)))
     left = F.col("n_words") - F.col("removed_words")

@@ -46,7 +46,7 @@ def shard_rows(df: DataFrame, key: str, n_shards: int = 8, slack: float = 0.0, v
     spark = df.sparkSession
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")])
     cols = list(df.columns)
-    unit, pos, rank = fresh(df, "_unit", "_pos", "_rank")
+    unit, pos, rank, segments = fresh(df, "_unit", "_pos", "_rank", "_segments")
     whole = null_first_row_hash(df, cols)
     h = F.coalesce(F.when(F.col(f"`{key}`").isNotNull(), F.xxhash64(F.lit("key"), F.col(f"`{key}`"))), whole)
     rows = df.select(*[F.col(f"`{c}`") for c in cols], h.alias(pos),
@@ -87,8 +87,8 @@ def shard_rows(df: DataFrame, key: str, n_shards: int = 8, slack: float = 0.0, v
 
     placed = (rows.withColumn(rank, F.row_number().over(
         W.partitionBy(unit).orderBy(pos, *[F.col(f"`{c}`") for c in cols])) - 1)
-        .join(F.broadcast(state.select(F.col("unit").alias(unit), F.col("segments").alias(f"{unit}_seg"))), unit))
-    seg = F.element_at(F.filter(F.col(f"{unit}_seg"), lambda x: x["first"] <= F.col(rank)), -1)
+        .join(F.broadcast(state.select(F.col("unit").alias(unit), F.col("segments").alias(segments))), unit))
+    seg = F.element_at(F.filter(F.col(segments), lambda x: x["first"] <= F.col(rank)), -1)
     return placed.withColumn(pos, seg).select(
         *[F.col(f"`{c}`") for c in cols], F.col(pos)["shard"].alias("shard"),
         (F.col(pos)["slot"] + F.col(rank) - F.col(pos)["first"]).alias("slot"))

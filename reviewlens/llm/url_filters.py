@@ -188,7 +188,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, hosts: DataFrame, url: str =
     host, path = host_and_path(F.col(f"`{url}`"))
     pages = pages.withColumn("host", host).withColumn("path", path)
     keep = [c for c in pages.columns if c not in new]
-    cand, keys, flags, best = fresh(pages, "_cand", "_keys", "_flags", "_best")
+    cand, keys, flags, best, h, p = fresh(pages, "_cand", "_keys", "_flags", "_best", "_h", "_p")
     # labels and characters of the rules: as many numbers as there are lengths, not rules
     shapes = rules.select(F.size(F.split("host", r"\.")).alias("labels"), F.char_length("path").alias("chars")).distinct().collect()
     label = F.split("host", r"\.")
@@ -230,7 +230,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, hosts: DataFrame, url: str =
     one = places.select("host", "path", F.explode(cand).alias("c"))
     first = (one.join(hits, (F.col("c.key.h1") == F.col("h1")) & (F.col("c.key.h2") == F.col("h2")))
              .groupBy("host", "path").agg(F.min("c").alias(best)))
-    first = staged(first.select(F.col("host").alias("_h"), F.col("path").alias("_p"), best), "url-verdicts")
-    return (pages.join(first, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
+    first = staged(first.select(F.col("host").alias(h), F.col("path").alias(p), best), "url-verdicts")
+    return (pages.join(first, (F.col("host") == F.col(h)) & (F.col("path") == F.col(p)), "left")
             .select(*[F.col(f"`{c}`") for c in keep], "host", "path", F.col(best)["rule"].alias("rule"),
                     F.coalesce(F.col(best)["verdict"], F.lit(default)).alias("verdict")))

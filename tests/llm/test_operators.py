@@ -452,3 +452,20 @@ def test_scores_do_not_depend_on_blocks():
     m = classifier.Model(np.random.default_rng(1).normal(size=classifier.BUCKETS).astype(np.float32), 0.1)
     together = m.score(pa.array(texts))
     assert np.allclose(together, [m.score(pa.array([t], pa.string()))[0] for t in texts], atol=1e-9)
+
+
+# ---------------------------------------------------------------- clashing names
+def test_columns_named_like_internal_ones_pass_through(spark, docs):
+    names = ("_k1", "_key1", "_key2", "_removed", "_copy", "_host", "_line", "_lines", "_x", "_h", "_p", "weight", "_source", "_src", "_key", "_fp",
+             "low", "root", "node", "_unit", "_pos", "_rank", "_segments", "unit", "segments", "left", "order", "_total", "_cand", "h1", "h2", "page_id")
+    wide = docs.withColumns({n: F.concat(F.lit(n), F.lit("!")) for n in names}).withColumn("url", F.lit("http://a.net/x"))
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    hosts = spark.createDataFrame([("a.org",)], "host string")
+    n = docs.count()
+    for out in (quality_rules.quality_rules(wide, with_text=True), mixing.mix_sources(wide, C.n_words(F.col("text"))),
+                simhash.simhash_components(wide), sharding.shard_rows(wide.drop("text"), "doc_id", 4),
+                U.judge_urls(wide, rules, hosts), U.judge_urls(wide, rules, hosts, broadcast_bytes=0),
+                packing.pack_documents(wide.drop("text"), F.lit(3))):
+        assert set(names) <= set(out.columns)
+        rows = out.collect()
+        assert len(rows) == n and all(r[x] == x + "!" for r in rows for x in names)
