@@ -147,8 +147,8 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", min
 
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat_percent`` of
     them in repeated windows. Lines over the limits (``shared_lines``) are removed; a document
-    is depleted if that leaves fewer than ``min_words`` words or less than ``min_left`` of
-    them. ``kept``: neither. With ``with_text`` the text comes too, without the removed lines.
+    is depleted if that leaves less than ``min_left`` of its words (a short document that
+    keeps most of its own words is not). ``kept``: neither. With ``with_text`` the text comes too, without the removed lines.
 
     Null or empty texts have no words, fail and stay null or empty. Repeated rows get equal
     verdicts. Columns of ``docs`` named like a result column are replaced.
@@ -166,7 +166,7 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", min
            .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
            .withColumn("base_failed", base_failed(min_words, max_repeat_percent)))
     left = F.col("n_words") - F.col("removed_words")
-    depleted = (F.col("removed_words") > 0) & ((left < min_words) | (left < min_left * F.col("n_words")))
+    depleted = (F.col("removed_words") > 0) & (left < min_left * F.col("n_words"))
     out = out.withColumn("kept", ~F.col("base_failed") & ~depleted)
     cols = [F.col(f"`{c}`") for c in rest] + [F.col(c) for c in new]
     if with_text:

@@ -169,7 +169,8 @@ def test_shared_lines_are_removed_and_depleted_documents_rejected(spark):
     for i in range(60):  # 30 with the shared line and their own lines, 30 without
         own = [line(15), line(15)]
         rows.append((i, "\n".join(own + ([boiler.upper() if i % 4 else boiler] if i < 30 else [])), None, "h", 0))
-    rows += [(100 + i, boiler + "\n" + line(3), None, "h", 0) for i in range(5)]  # little else
+    rows += [(100 + i, boiler + "\n" + line(6), None, "h", 0) for i in range(5)]  # little else
+    rows += [(110 + i, boiler + "\n" + line(9), None, "h", 0) for i in range(5)]  # short, but over a third is its own
     copy = "\n".join(line(12) for _ in range(4))
     rows += [(200 + i, copy, None, "h", 0) for i in range(80)]  # exact copies of one document
     near = [line(20) for _ in range(4)]
@@ -181,7 +182,8 @@ def test_shared_lines_are_removed_and_depleted_documents_rejected(spark):
     for i, text, *_ in rows:
         if i < 200 or i >= 400:
             assert got[i].removed_words == want[i]
-    assert all(got[i].kept for i in [*range(60), *range(200, 280), *range(300, 325)])
+    assert not any(got[i].base_failed for i in range(100, 115))
+    assert all(got[i].kept for i in [*range(60), *range(110, 115), *range(200, 280), *range(300, 325)])
     assert got[1].text == "\n".join(rows[1][1].split("\n")[:2]) and got[40].text == rows[40][1] and got[200].text == copy
     assert not any(got[i].kept for i in [*range(100, 105), 400, 401])
     assert got[401].text is None and got[401].base_failed
