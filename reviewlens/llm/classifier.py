@@ -80,8 +80,11 @@ class Model:
 
 
 def train(texts: list[str | None], labels: np.ndarray, dim: int = DIM, epochs: int = 8,
-          rate: float = 2.0, seed: int = 7) -> Model:
-    """Stochastic gradient descent, one document a step, on the softmax of the averaged vectors."""
+          min_steps: int = 8_000, rate: float = 2.0, seed: int = 7) -> Model:
+    """Stochastic gradient descent, one document a step, on the softmax of the averaged vectors.
+
+    ``epochs`` rounds over the documents, or as many as make ``min_steps`` steps.
+    """
     rng = np.random.default_rng(seed)
     rows: list[tuple[np.ndarray, np.ndarray]] = []
     for _, data, offsets in V.blocks(pa.array(texts, type=pa.string())):
@@ -93,6 +96,7 @@ def train(texts: list[str | None], labels: np.ndarray, dim: int = DIM, epochs: i
             rows.append((unique, (count / max(b - a, 1)).astype(np.float32)))
     vectors = (rng.uniform(-1, 1, (BUCKETS, dim)) / dim).astype(np.float32)
     weights, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
+    epochs = max(epochs, -(-min_steps // max(len(rows), 1)))
     steps, done = epochs * max(len(rows), 1), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):

@@ -5,7 +5,7 @@ import json
 import random
 import zlib
 
-import brute
+import llm_brute as brute
 import numpy as np
 import pyarrow as pa
 import pytest
