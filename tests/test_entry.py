@@ -44,3 +44,19 @@ def test_oracle_sample_sf0001(spark, duck, entry_mod, key):
         return sorted(out, key=str)
 
     assert norm(sdf) == norm(ddf)
+
+
+def test_entry_without_the_optional_folders(tmp_path):
+    """The training-data folders may be deleted; everything else still imports. Other import errors are raised."""
+    import shutil
+    import subprocess
+    import sys
+
+    shutil.copytree(os.path.join(ROOT, "reviewlens"), tmp_path / "reviewlens", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) >= 116 and set(o) <= set(q); assert 'pipeline' not in q"
+    run = lambda: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True,
+                                 env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert run().returncode == 0, run().stderr
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module\n")
+    assert "no_such_module" in run().stderr
