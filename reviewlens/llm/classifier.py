@@ -31,7 +31,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
     """
     starts, ends = V.words(data, offsets)
     of = V.owner(starts, offsets)
-    word = V.Hasher(data)(starts, ends)
+    word = V.word_hashes(data, starts, ends)
     pair = np.flatnonzero((word[1:] == word[:-1]) & (of[1:] == of[:-1])) + 1
     out = [((word % np.uint64(BUCKETS)).astype(np.int32), starts), (np.zeros(len(pair), np.int32), starts[pair])]
     space = V._SPACE[data]
@@ -69,11 +69,12 @@ class Model:
         for _, data, offsets in V.blocks(column):
             n = len(offsets) - 1
             total, count = np.zeros(n), np.zeros(n, np.int64)
-            for ids, at in features(data, offsets):
-                cuts = np.searchsorted(at, offsets)
-                sums = np.concatenate(([0.0], np.cumsum(self.margin[ids], dtype=np.float64)))
-                total += np.diff(sums[cuts])
-                count += np.diff(cuts)
+            for part, cut in V.parts(data, offsets):  # sums add up over the parts of a long text
+                for ids, at in features(part, cut):
+                    cuts = np.searchsorted(at, cut)
+                    sums = np.concatenate(([0.0], np.cumsum(self.margin[ids], dtype=np.float64)))
+                    total += np.diff(sums[cuts])
+                    count += np.diff(cuts)
             mean = total / np.maximum(count, 1)
             out.append(1.0 / (1.0 + np.exp(-np.clip(mean + self.bias, -500, 500))))
         return np.concatenate(out) if out else np.zeros(0)
@@ -88,9 +89,13 @@ def train(texts: list[str | None], labels: np.ndarray, dim: int = DIM, epochs: i
     rng = np.random.default_rng(seed)
     rows: list[tuple[np.ndarray, np.ndarray]] = []
     for _, data, offsets in V.blocks(pa.array(texts, type=pa.string())):
-        ids, at = (np.concatenate(x) for x in zip(*features(data, offsets)))
-        order = np.argsort(at, kind="stable")
-        ids, cuts = ids[order], np.searchsorted(at[order], offsets)
+        if len(offsets) == 2:
+            ids = np.concatenate([f for part, cut in V.parts(data, offsets) for f, _ in features(part, cut)])
+            cuts = np.array([0, len(ids)])
+        else:
+            ids, at = (np.concatenate(x) for x in zip(*features(data, offsets)))
+            order = np.argsort(at, kind="stable")
+            ids, cuts = ids[order], np.searchsorted(at[order], offsets)
         for a, b in zip(cuts[:-1], cuts[1:]):
             unique, count = np.unique(ids[a:b], return_counts=True)
             rows.append((unique, (count / max(b - a, 1)).astype(np.float32)))

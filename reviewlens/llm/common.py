@@ -9,6 +9,7 @@ from reviewlens.session import shared_dir
 
 #: A word is a run of characters other than ASCII white space.
 WORD_RE = r"[^\x20\x09-\x0D]+"
+WHITE = " \t\n\x0b\f\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +28,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def n_words(text: Column) -> Column:
-    """Number of words of a text (null: 0)."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
+    """Number of words of a text (null: 0): one letter stands for each word, and white space is dropped."""
+    return F.coalesce(F.char_length(F.translate(F.regexp_replace(text, WORD_RE, "x"), WHITE, "")), F.lit(0)).cast("long")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

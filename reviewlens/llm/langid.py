@@ -20,6 +20,7 @@ PENALTY = 3.0
 #: n-grams overlap: so many of them count as one observation in the confidence.
 OVERLAP = 3.0
 UNKNOWN = "und"
+_STEP = 1 << 20
 
 
 @cache
@@ -27,19 +28,29 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def ngrams(text: str) -> tuple[np.ndarray, bool]:
-    """Buckets of the three-letter n-grams of the lower-cased text, and whether it has a letter.
+def ngram_counts(text: str) -> np.ndarray | None:
+    """How often each bucket of three-letter n-grams of the lower-cased text occurs; None without a letter.
 
     Everything but letters is one kind of edge; an n-gram may begin or end with an edge but
-    does not reach over one.
+    does not reach over one. A long text is counted in steps.
     """
-    code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), dtype=np.uint32)
-    letter = _letters()[code]
-    code = np.where(letter, code, np.uint32(0x20))
-    ok = np.flatnonzero(letter[1:-1])
-    h = (code[:-2][ok] * np.uint32(0x9E3779B1) ^ code[1:-1][ok]) * np.uint32(0x85EBCA6B) ^ code[2:][ok]
-    h = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
-    return (h >> np.uint32(32 - BUCKET_BITS)).astype(np.int64), bool(len(ok))
+    text, total = text.lower(), None
+    for at in range(0, len(text), _STEP):
+        # each character of the step between its neighbours
+        piece = f"{text[at - 1] if at else ' '}{text[at:at + _STEP + 1]}"
+        if at + _STEP >= len(text):
+            piece += " "
+        code = np.frombuffer(piece.encode("utf-32-le"), dtype=np.uint32)
+        letter = _letters()[code]
+        code = np.where(letter, code, np.uint32(0x20))
+        ok = np.flatnonzero(letter[1:-1])
+        if not len(ok):
+            continue
+        h = (code[:-2][ok] * np.uint32(0x9E3779B1) ^ code[1:-1][ok]) * np.uint32(0x85EBCA6B) ^ code[2:][ok]
+        h = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+        count = np.bincount((h >> np.uint32(32 - BUCKET_BITS)).astype(np.int64), minlength=BUCKETS)
+        total = count if total is None else total + count
+    return total
 
 
 def mixture(likelihood: np.ndarray, count: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -60,10 +71,9 @@ def identify(text: str | None, model: np.ndarray, languages: list[str], penalty:
     The set of languages grows by the one that helps most while its gain in log-likelihood is
     above ``penalty * log(number of n-grams)``; the proportions are those of the set.
     """
-    buckets, has_letter = ngrams(text or "")
-    if not has_letter or not languages:
+    count = ngram_counts(text or "")
+    if count is None or not languages:
         return UNKNOWN, 0.0
-    count = np.bincount(buckets, minlength=BUCKETS)
     seen = np.flatnonzero(count)
     count, p = count[seen].astype(np.float64), model[seen]
     single = count @ np.log(p)
@@ -97,8 +107,9 @@ def fit(docs: DataFrame, in_training: Column, text: str = "text", lang: str = "l
         total: dict[str, np.ndarray] = {}
         for b in batches:
             for name, value in zip(*(c.to_pylist() for c in b.columns)):
-                got = np.bincount(ngrams(value)[0], minlength=BUCKETS)
-                total[name] = total[name] + got if name in total else got
+                got = ngram_counts(value)
+                if got is not None:
+                    total[name] = total[name] + got if name in total else got
         for name, c in total.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at])],

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.llm import textvec as V
-from reviewlens.llm.common import WORD_RE, fresh, staged
+from reviewlens.llm.common import fresh, n_words, staged
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -37,16 +38,16 @@ def document_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
     space = V._SPACE[data]
     starts, ends = V.spans(~space, offsets)
     of = V.owner(starts, offsets)
-    hasher = V.Hasher(data)
 
     line_starts, line_ends = V.spans(data != 0x0A, offsets)
-    filled = np.concatenate(([0], np.cumsum(~space)))
-    has_word = filled[line_ends] > filled[line_starts]
+    has_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends = line_starts[has_word], line_ends[has_word]
-    line_of = V.owner(line_starts, offsets)
-    _, again = _repeated(line_of, hasher(line_starts, line_ends))
+    line_of, view = V.owner(line_starts, offsets), memoryview(data)
+    lines = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(line_starts.tolist(), line_ends.tolist())),
+                        dtype=np.uint64, count=len(line_starts))
+    _, again = _repeated(line_of, lines)
 
-    window, first = V.windows(hasher(starts, ends), of, WINDOW)
+    window, first = V.windows(V.word_hashes(data, starts, ends), of, WINDOW)
     twice, _ = _repeated(of[first], window)
     edges = np.zeros(len(starts) + 1, dtype=np.int64)
     np.add.at(edges, first[twice], 1)
@@ -119,7 +120,7 @@ def shared_lines(docs: DataFrame, host: str = "source", text: str = "text", min_
     h, t = F.col(f"`{host}`"), F.col(f"`{text}`")
     k1, k2 = text_key(t, h)
     lines = F.transform(F.split(t, "\n"), lambda x: F.struct(
-        line_key(x).alias("line"), F.regexp_count(x, F.lit(WORD_RE)).alias("words")))
+        line_key(x).alias("line"), n_words(x).alias("words")))
     low = F.slice(F.array_sort(F.array_distinct(F.filter(F.transform("_lines", lambda x: x["line"]),
                                                          lambda x: x.isNotNull()))), 1, 2)
     low1, low2 = F.get("_low", F.lit(0)), F.get("_low", F.lit(1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -18,6 +19,8 @@ from reviewlens.llm.forest import Forest, groups
 #: Members of a grid cell that are compared in one piece; larger cells are compared piece by piece.
 CHUNK = 1024
 _STEP = 1 << 15
+_RUN_BYTES = 1 << 20
+_WHITE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -27,18 +30,43 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     occur and hash with XXH64, seed 42. Fewer words than a shingle: the whole sequence is one
     shingle. No word (or null): 0.
     """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
+    counts, total, held = np.zeros(64, dtype=np.int64), 0, []
+    for words in _word_runs((text or "").encode().lower()):
+        words = held + words
+        if len(words) >= shingle:
+            total += _count_bits(words, shingle, counts)
+            held = words[len(words) - shingle + 1:]
+        else:
+            held = words
+    if not total and held:
+        total = _count_bits(held, len(held), counts)
+    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0]) if total else 0
+
+
+def _word_runs(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in runs, so that a very long text is not a list of all its words at once."""
+    at = 0
+    while at < len(data):
+        end = at + _RUN_BYTES
+        if end < len(data) and (m := _WHITE.search(data, end)):
+            end = m.start()
+        elif end < len(data):
+            end = len(data)
+        yield data[at:end].split()
+        at = end
+
+
+def _count_bits(words: list[bytes], shingle: int, counts: np.ndarray) -> int:
+    """Adds to ``counts`` how many shingle hashes have each bit; the number of shingles."""
     joined = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[:-1]][:max(1, len(words) - shingle + 1)]
-    ends = ends[shingle - 1:] or ends[-1:]
-    xxh, counts = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
-    for i in range(0, len(starts), _STEP):
-        h = np.fromiter((xxh(joined[a:b - 1], 42) for a, b in zip(starts[i:i + _STEP], ends[i:i + _STEP])), dtype="<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
+    starts, ends = [0, *ends[:-1]], ends[shingle - 1:]
+    xxh = xxhash.xxh64_intdigest
+    h = np.fromiter((xxh(joined[a:b - 1], 42) for a, b in zip(starts, ends)), dtype="<u8", count=len(ends))
+    for i in range(0, len(h), _STEP):
+        bits = np.unpackbits(h[i:i + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return len(h)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:

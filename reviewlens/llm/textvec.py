@@ -1,7 +1,8 @@
 """Texts of an Arrow batch as one byte array: words, hashes and sums per text in numpy.
 
 Work is done per block of whole texts of about ``BLOCK_BYTES`` bytes, which stay in a core's
-cache; a single longer text is a block of its own. So memory does not depend on the batch.
+cache; a single longer text is a block of its own, whose costly parts are done piece by piece
+(``word_hashes``, ``parts``). So memory does not depend on the batch.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ def blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[i
 
 def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of ``values`` (one for each byte) over each text."""
+    if len(offsets) == 2:
+        return np.array([np.count_nonzero(values) if values.dtype == bool else values.sum()], dtype=np.int64)
     total = np.zeros(len(values) + 1, dtype=np.int64)
     np.cumsum(values, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
@@ -97,6 +100,35 @@ class Hasher:
         return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, taken over parts of about ``BLOCK_BYTES`` bytes of whole words."""
+    out, i = np.empty(len(starts), dtype=np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, side="right")))
+        base = starts[i]
+        out[i:j] = Hasher(data[base:ends[j - 1]])(starts[i:j] - base, ends[i:j] - base)
+        i = j
+    return out
+
+
+def parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A block as it is, or one long text in parts that are cut at a white-space byte, which ends one and begins the next."""
+    if len(offsets) != 2 or len(data) <= 2 * BLOCK_BYTES:
+        yield data, offsets
+        return
+    at = 0
+    while at < len(data):
+        end, width = len(data), BLOCK_BYTES
+        while at + width < len(data):
+            white = np.flatnonzero(_SPACE[data[at + width // 2:at + width]])
+            if len(white):
+                end = at + width // 2 + int(white[-1]) + 1
+                break
+            width *= 2
+        yield data[at:end], np.array([0, end - at])
+        at = end if end == len(data) else end - 1
+
+
 def windows(values: np.ndarray, groups: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first index of each run of ``width`` neighbours of one group, in order."""
     n = len(values) - width + 1

@@ -471,3 +471,34 @@ def test_columns_named_like_internal_ones_pass_through(spark, docs):
         assert set(names) <= set(out.columns)
         rows = out.collect()
         assert len(rows) == n and all(r[x] == x + "!" for r in rows for x in names)
+
+
+# ---------------------------------------------------------------- very long texts
+def test_long_texts_in_pieces_give_the_same(monkeypatch):
+    from reviewlens.llm import textvec
+
+    r = random.Random(9)
+    words = ["alpha", "b", "Gamma!", "éàü", "x" * 300, "beta|", "the", "the"]
+    text = "".join(r.choice(words) + r.choice([" ", "  ", "\n", "\t", " \n\n"]) for _ in range(3000)) + "end\n" + "y" * 5000
+    texts = [text, "short one", None, text[::-1], "z" * 4000, " " * 3000]
+    m = classifier.Model(np.random.default_rng(1).normal(size=classifier.BUCKETS).astype(np.float32), 0.1)
+    counts = lambda: {c: [int(v) for _, data, off in textvec.blocks(pa.array(texts)) for v in quality_rules.document_counts(data, off)[c]]
+                      for c in quality_rules.RULES}
+    whole = m.score(pa.array(texts)), counts(), [simhash.fingerprint(t) for t in texts], [langid.ngram_counts(t or "") for t in texts]
+    monkeypatch.setattr(textvec, "BLOCK_BYTES", 256)
+    monkeypatch.setattr(textvec.blocks, "__defaults__", (256,))
+    monkeypatch.setattr(simhash, "_RUN_BYTES", 100)
+    monkeypatch.setattr(langid, "_STEP", 64)
+    assert np.allclose(m.score(pa.array(texts)), whole[0], atol=2e-2)  # a pair of equal words over a cut is not seen
+    assert counts() == whole[1]
+    assert [tuple(whole[1][c][i] for c in quality_rules.RULES) for i in range(len(texts))] == [brute.rule_counts(t) for t in texts]
+    assert [simhash.fingerprint(t) for t in texts] == whole[2] == [brute.fingerprint(t) for t in texts]
+    for a, b in zip([langid.ngram_counts(t or "") for t in texts], whole[3]):
+        assert (a is None and b is None) or (a == b).all()
+
+
+def test_word_count_expression(spark):
+    texts = [None, "", " ", "a", " a  b\tc\x0bd\x0ce\rf\ng ", "é\x85ü \u2003 x", LONG]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.n for r in df.select("i", C.n_words(F.col("t")).alias("n")).orderBy("i").collect()]
+    assert got == [len(brute.WORD.findall(t or "")) for t in texts]
