@@ -4,9 +4,8 @@
 a value → count map per group and merges every partial map in the one task that finalises
 the group. Its state therefore grows with the number of *distinct* values: fine for bounded
 domains (ratings, pre-counted text lengths), not for arbitrary doubles at scale. For those,
-``group_quantiles`` brackets each rank with an approximate sketch and ranks only the values
-inside the bracket. ``accuracy`` selects ``percentile_approx`` instead (rank error
-≤ 1/accuracy).
+``group_quantiles`` narrows down the values that hold each rank with histograms and ranks
+only those. ``accuracy`` selects ``percentile_approx`` instead (rank error ≤ 1/accuracy).
 """
 
 from __future__ import annotations
@@ -18,12 +17,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-#: Rank error of the sketches that bracket a rank is n / SKETCH_ACCURACY.
-SKETCH_ACCURACY = 10_000
-#: Brackets are narrowed until they should hold at most so many values.
-BRACKET_ROWS = 1_000_000
+#: Buckets of one histogram.
+BUCKETS = 4096
+#: A range of values is narrowed until it holds at most so many, or is one value.
+RANGE_ROWS = 10_000
 #: Above so many groups the per-group numbers do not go through the driver.
 MAX_GROUPS = 10_000
+_LARGEST = 1.7976931348623157e308
 
 
 def quantile_exprs(v: Column, probs: Sequence[float], accuracy: int | None = None) -> Column:
@@ -35,131 +35,109 @@ def quantile_exprs(v: Column, probs: Sequence[float], accuracy: int | None = Non
 
 
 @dataclass
-class _Bracket:
-    """The ranks ``r0, r1`` (0-based) of one probability of one group lie in values ``lo .. hi``."""
+class _Rank:
+    """The value of rank ``r`` (0-based) of a group is in ``lo .. hi``, which holds ``m`` values after ``below`` others."""
 
     group: Row
-    p: float
-    n: int
+    r: int
     lo: float
     hi: float
-    rows: float  # values that it should hold
+    m: int
+    below: int = 0
+    value: float | None = None
 
     @property
-    def pos(self) -> float:
-        return self.p * (self.n - 1)
+    def narrow(self) -> tuple[float, float]:
+        """The bounds without infinities."""
+        return max(self.lo, -_LARGEST), min(self.hi, _LARGEST)
 
-    @property
-    def ranks(self) -> tuple[int, int]:
-        return math.floor(self.pos), math.ceil(self.pos)
 
+def _find(d: DataFrame, keys: list[str], ranks: list[_Rank], part: Column) -> list[tuple[_Rank, Row]]:
+    """For each rank the part of its range that holds it: rows ``c, lo, hi, before``.
 
-def _bracketed(d: DataFrame, keys: list[str], brackets: list[_Bracket]) -> DataFrame:
-    """Each value once per bracket of its group whose ``hi`` it does not exceed: ``(b, v)``, v NULL below ``lo``."""
+    ``part`` cuts a range (columns ``lo, hi``) in order of the values ``v``. One aggregation
+    over (range, part), then running counts inside each range; only parts that hold a rank
+    come to the driver.
+    """
     spark = d.sparkSession
-    entry = [(i, b.lo, b.hi) for i, b in enumerate(brackets)]
+    ranges: dict[tuple, list[_Rank]] = {}
+    for x in ranks:
+        ranges.setdefault((tuple(x.group[k] for k in keys), x.lo, x.hi), []).append(x)
+    entry = [(b, *x[0].narrow, x[0].lo, x[0].hi) for b, x in enumerate(ranges.values())]
+    names = ("b", "lo", "hi", "first", "last")
     if keys:
-        names = [f"_k{j}" for j in range(len(keys))]
-        table = spark.createDataFrame([(*[b.group[k] for k in keys], *e) for b, e in zip(brackets, entry)],
-                                      ", ".join([*(f"{n} {d.schema[k].dataType.simpleString()}" for n, k in zip(names, keys)),
-                                                 "b int, lo double, hi double"]))
-        same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
-        # one row per group and probability: at most MAX_GROUPS groups
-        rows = d.join(F.broadcast(table), same)
+        own = [f"_k{j}" for j in range(len(keys))]
+        types = [f"{n} {d.schema[k].dataType.simpleString()}" for n, k in zip(own, keys)]
+        table = spark.createDataFrame([(*g, *e) for (g, _, _), e in zip(ranges, entry)],
+                                      ", ".join([*types, "b int", *(f"{n} double" for n in names[1:])]))
+        # a few ranges for each of at most MAX_GROUPS groups
+        rows = d.join(F.broadcast(table), [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, own)])
     else:
-        rows = d.select("v", F.inline(F.array(*[F.struct(F.lit(i).alias("b"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
-                                                for i, lo, hi in entry])))
-    return rows.where(F.col("v") <= F.col("hi")).select("b", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
-
-
-def _narrow(d: DataFrame, keys: list[str], brackets: list[_Bracket], limit: int) -> None:
-    """Shrink the brackets that should hold more than ``limit`` values, from one sketch of the values inside each."""
-    grid = [i / 100 for i in range(101)]
-    while True:
-        wide = [b for b in brackets if b.rows > limit and b.lo < b.hi]
-        if not wide:
-            return
-        got = _bracketed(d, keys, wide).groupBy("b").agg(
-            F.count_if(F.col("v").isNull()).alias("below"), F.count("v").alias("m"),
-            F.percentile_approx("v", grid, SKETCH_ACCURACY).alias("q")).collect()  # 101 numbers per bracket
-        for r in got:
-            b = wide[r.b]
-            (r0, r1), e = b.ranks, 2 / SKETCH_ACCURACY
-            first = math.floor(((r0 - r.below - 1) / r.m - e) * 100)
-            last = math.ceil(((r1 - r.below + 2) / r.m + e) * 100)
-            lo, hi = (r.q[first] if first >= 0 else b.lo), (r.q[last] if last <= 100 else b.hi)
-            share = (min(last, 100) - max(first, 0)) / 100
-            if (lo, hi) == (b.lo, b.hi):
-                share = 0.0  # one value fills the bracket: nothing to narrow, few distinct values inside
-            b.lo, b.hi, b.rows = lo, hi, r.m * share
+        rows = d.select("v", F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, e)]) for e in entry])))
+    rows = rows.where((F.col("v") >= F.col("first")) & (F.col("v") <= F.col("last"))).select("b", "v", part.alias("part"))
+    parts = rows.groupBy("b", "part").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    cum = F.sum("c").over(Window.partitionBy("b").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    wanted = F.element_at(F.lit([sorted({x.r - x.below for x in g}) for g in ranges.values()]).cast("array<array<bigint>>"),
+                          F.col("b") + 1)
+    parts = parts.withColumn("before", cum - F.col("c"))
+    holds = F.exists(wanted, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("c")))
+    groups = list(ranges.values())
+    return [(x, p) for p in parts.where(holds).collect() for x in groups[p.b] if p.before <= x.r - x.below < p.before + p.c]
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    bracket_rows: int = BRACKET_ROWS, max_groups: int = MAX_GROUPS) -> DataFrame:
+                    range_rows: int = RANGE_ROWS, max_groups: int = MAX_GROUPS) -> DataFrame:
     """Exact linear-interpolation quantiles of ``value`` per ``keys`` group.
 
     Returns rows ``(*keys, p, value)``, one per group with at least one non-missing value
     and per probability (NULL/NaN values are skipped, as pandas does).
 
-    1. One aggregation gives each group's number of values and, from a mergeable sketch, a
-       value below and one above each wanted rank (small groups: everything).
-    2. A bracket that should still hold more than ``bracket_rows`` values is narrowed by a
-       sketch of the values inside it.
-    3. One aggregation counts the values below each bracket and the distinct values inside
-       it, and the two ranks around ``p·(n−1)`` are read off their running counts and
-       interpolated as Spark's ``percentile`` does.
-
-    Nothing depends on partition ids, so a plan may recompute or reuse any exchange. Only the
-    values inside the brackets are shuffled, pre-aggregated: a hot value is one row per task.
-    A few numbers per group and probability pass through the driver; with more than
-    ``max_groups`` groups each group's own ``percentile`` is used instead (same result).
+    1. One aggregation gives each group's count, smallest and largest value.
+    2. While the range that holds a wanted rank has more than ``range_rows`` values and is
+       not a single value, one aggregation counts it in ``BUCKETS`` equal steps; the bucket
+       that holds the rank, cut to the values found in it, is the next range. A range shrinks
+       by that factor at least, however the values are spread.
+    3. One aggregation counts the distinct values of the last ranges; the two ranks around
+       ``p·(n−1)`` are read off and interpolated as Spark's ``percentile`` does.
+
+    Nothing depends on partition ids, so a plan may recompute or reuse any exchange. Shuffled
+    are bucket counts and the values of the last ranges, pre-aggregated: a hot value is one
+    row per task. A few numbers per group and probability pass through the driver; with more
+    than ``max_groups`` groups each group's own ``percentile`` is used (same result).
     """
     keys, probs = list(keys), [float(p) for p in probs]
     v = F.col(value).cast("double")
     d = df.select(*keys, v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     schema = ", ".join([*(f"`{k}` {d.schema[k].dataType.simpleString()}" for k in keys), "p double", "value double"])
-    e = 2 / SKETCH_ACCURACY
-    around = [min(1.0, max(0.0, q)) for p in probs for q in (p - e, p + e)]
-    groups = d.groupBy(*keys).agg(F.count("v").alias("n"), F.percentile_approx("v", around, SKETCH_ACCURACY).alias("q")) \
+    groups = d.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")) \
         .limit(max_groups + 1).collect()
     if len(groups) > max_groups:
         each = d.groupBy(*keys).agg(F.percentile("v", probs).alias("_q"))
         return each.select(*keys, F.posexplode("_q").alias("_i", "value")).select(
             *keys, F.element_at(F.lit(probs), F.col("_i") + 1).alias("p"), "value")
-    brackets = []
-    for g in groups:
-        for i, p in enumerate(probs if g.n else []):
-            if g.n <= 10 * SKETCH_ACCURACY:
-                brackets.append(_Bracket(g, p, g.n, -math.inf, math.inf, g.n))
-            else:
-                lo = g.q[2 * i] if p - e > 0 else -math.inf
-                hi = g.q[2 * i + 1] if p + e < 1 else math.inf
-                brackets.append(_Bracket(g, p, g.n, lo, hi, g.n * 3 * e))
-    if not brackets:
-        return df.sparkSession.createDataFrame([], schema)
-    _narrow(d, keys, brackets, bracket_rows)
-    out, todo = {}, list(range(len(brackets)))
-    while todo:
-        some = [brackets[i] for i in todo]
-        counts = _bracketed(d, keys, some).groupBy("b", "v").agg(F.count(F.lit(1)).alias("c"))
-        cum = F.sum("c").over(Window.partitionBy("b").orderBy(F.col("v").asc_nulls_first())
-                              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        at = lambda k: F.element_at(F.lit([b.ranks[k] for b in some]).cast("array<bigint>"), F.col("b") + 1)
-        inside = lambda k: (at(k) >= F.col("cum") - F.col("c")) & (at(k) < F.col("cum"))
-        found = counts.withColumn("cum", cum).groupBy("b").agg(
-            F.max(F.when(inside(0), F.col("v"))).alias("v0"), F.max(F.when(inside(1), F.col("v"))).alias("v1")).collect()
-        again = []
-        for r in found:
-            b = some[r.b]
-            if r.v0 is None or r.v1 is None:  # the sketch missed its bound: look at everything
-                b.lo, b.hi = -math.inf, math.inf
-                again.append(todo[r.b])
-                continue
-            r0, r1 = b.ranks
-            same = r0 == r1 or r.v0 == r.v1
-            out[todo[r.b]] = r.v0 if same else (r1 - b.pos) * r.v0 + (b.pos - r0) * r.v1
-        todo = again
-    return df.sparkSession.createDataFrame([(*[b.group[k] for k in keys], b.p, out[i]) for i, b in enumerate(brackets)], schema)
+    groups = [g for g in groups if g.n]
+    wanted = {(i, r) for i, g in enumerate(groups) for p in probs for r in (math.floor(p * (g.n - 1)), math.ceil(p * (g.n - 1)))}
+    ranks = {(i, r): _Rank(groups[i], r, groups[i].lo, groups[i].hi, groups[i].n) for i, r in wanted}
+    for x in ranks.values():  # the ends are known
+        x.value = x.group.lo if x.r == 0 else x.group.hi if x.r == x.group.n - 1 else None
+    step = F.floor((F.greatest("v", "lo") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BUCKETS)
+    step = F.least(step, F.lit(BUCKETS - 1))
+    while wide := [x for x in ranks.values() if x.value is None and x.m > range_rows and x.narrow[0] < x.narrow[1]]:
+        for x, p in _find(d, keys, wide, step):
+            x.lo, x.hi, x.m, x.below = p.lo, p.hi, p.c, x.below + p.before
+            if p.lo == p.hi:
+                x.value = p.lo
+    if left := [x for x in ranks.values() if x.value is None]:
+        for x, p in _find(d, keys, left, F.col("v")):
+            x.value = p.lo
+    out = []
+    for i, g in enumerate(groups):
+        for p in probs:
+            pos = p * (g.n - 1)
+            r0, r1 = math.floor(pos), math.ceil(pos)
+            a, b = ranks[i, r0].value, ranks[i, r1].value
+            out.append((*[g[k] for k in keys], p, a if r0 == r1 or a == b else (r1 - pos) * a + (pos - r0) * b))
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame:
@@ -171,7 +149,7 @@ def wide_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
     """Exact quantiles of several columns in one pass: rows ``(column_name, p, value)``.
 
     The columns are unpivoted into ``(column index, v)`` pairs, so every column shares the
-    same sketch and the same ranking pass; an integer key hashes cheaper than the name,
+    same histograms and the same ranking pass; an integer key hashes cheaper than the name,
     which is attached to the few result rows.
     """
     columns = list(columns)

@@ -62,7 +62,8 @@ def r(expr: str, d: int = 6) -> str:
 
 
 def T(spark, sf, name):
-    return FX.table(spark, sf, name)
+    t = FX.table(spark, sf, name)
+    return io.balanced(t, t.columns[0]) if FX.SPREAD else t
 
 
 def reviews(spark, sf):
