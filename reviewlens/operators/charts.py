@@ -120,7 +120,7 @@ def confidence_distribution(df: DataFrame, label_col: str = "sentiment",
     """Per label: count, min, Q1, median, Q3, max, mean of the score (box / violin data).
 
     Scores are unbounded doubles and one label may hold most rows, so the quartiles come
-    from ``group_quantiles`` (bracketed ranks), not a per-label value map.
+    from ``group_quantiles`` (histogram-narrowed ranks), not a per-label value map.
     """
     base = (df.where(F.col(label_col).isin(list(LABELS)))
             .select(F.col(label_col).alias("sentiment"), F.col(score_col).cast("double").alias("s")))

@@ -248,7 +248,7 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None,
     """count, mean, std, min, 25/50/75 %, max per numeric column (exact quantiles by default).
 
     Moments and extremes come from one map-side aggregation; the exact quartiles of every
-    column come from one shared pass of bracketed ranks (``wide_quantiles``), so no task
+    column come from one shared ranking pass (``wide_quantiles``), so no task
     holds a column's distinct values. ``accuracy`` switches to ``percentile_approx``.
     """
     cols = numeric_columns(df, columns)
