@@ -96,6 +96,14 @@ def line_key(line: Column) -> Column:
     return F.when(norm != "", F.xxhash64(norm))
 
 
+def line_sign(line: Column, n: int = 3) -> Column:
+    """Smallest hash of ``n`` words in a row (of all words, if fewer); an edit elsewhere in the line leaves it as it is."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " ")), " ")
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
+    return F.get(F.transform(F.array(words), lambda w: F.array_min(F.transform(
+        starts(w), lambda i: F.xxhash64(F.slice(w, i, n))))), F.lit(0))
+
+
 def text_key(text: Column, host: Column) -> list[Column]:
     """Two 64-bit hashes that stand for a text on a host (nulls told from empty ones)."""
     both = [text.isNull(), F.coalesce(text, F.lit("")), host.isNull(), F.coalesce(host, F.lit(""))]
@@ -110,35 +118,44 @@ def shared_lines(docs: DataFrame, host: str = "source", text: str = "text", min_
     ``min_documents`` of them and in more than ``max_share`` of the host's distinct texts is
     over the limit.
 
-    Copies of one document say nothing about its lines, so a document is told by the smallest
-    line hash among its *other* lines: exact copies, and near copies that keep that line,
-    count once, while documents that share only the line count one by one. Equal rows (places
-    in equal texts, documents with a line) are reduced map-side before any shuffle, so a text
-    or line that a third of the rows hold is small when it is shuffled. Null hosts are one
-    host; null texts and blank lines hold no line.
+    Near copies of one document say nothing about its lines. Lines in more than
+    ``min_documents`` distinct texts are candidates; documents whose *other* lines have the
+    same smallest hash of three words (near copies, mostly) count once for each candidate, so
+    what counts does not depend on which lines are shared. A text of candidates only counts
+    for itself. Equal rows are reduced map-side before any shuffle, so a text or line that a
+    third of the rows hold is small when it is shuffled. Null hosts are one host; null texts
+    and blank lines hold no line.
     """
     h, t = F.col(f"`{host}`"), F.col(f"`{text}`")
     k1, k2 = text_key(t, h)
     lines = F.transform(F.split(t, "\n"), lambda x: F.struct(
-        line_key(x).alias("line"), n_words(x).alias("words")))
-    low = F.slice(F.array_sort(F.array_distinct(F.filter(F.transform("_lines", lambda x: x["line"]),
-                                                         lambda x: x.isNotNull()))), 1, 2)
-    low1, low2 = F.get("_low", F.lit(0)), F.get("_low", F.lit(1))
+        line_key(x).alias("line"), n_words(x).alias("words"), line_sign(x).alias("sign")))
     places = (docs.select(k1.alias("_k1"), k2.alias("_k2"), h.alias("_host"), lines.alias("_lines"))
-              .withColumn("_low", low)
-              .select("_k1", "_k2", "_host", "_low", F.posexplode("_lines").alias("_at", "_x"))
+              .select("_k1", "_k2", "_host", F.posexplode("_lines").alias("_at", "_x"))
               .filter(F.col("_x.line").isNotNull())
               .select("_k1", "_k2", "_host", "_at", F.col("_x.line").alias("_line"), F.col("_x.words").alias("_words"),
-                      F.coalesce(F.when(low1 != F.col("_x.line"), low1).otherwise(low2), F.lit(0)).alias("_doc")))
+                      F.col("_x.sign").alias("_sign")))
     places = staged(places.distinct(), "rule-lines")
-    texts = places.select("_k1", "_k2", "_host").distinct().groupBy("_host").agg(F.count("*").alias("_texts"))
-    over = (places.select("_host", "_line", "_doc").distinct()
+    candidates = staged(places.select("_k1", "_k2", "_host", "_line").distinct()
+                        .groupBy("_host", "_line").agg(F.count("*").alias("_n")).filter(F.col("_n") > min_documents)
+                        .select(F.col("_host").alias("_h"), F.col("_line").alias("_l")), "rule-candidates")
+    same = F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_line") == F.col("_l"))
+    shared = F.col("_l").isNotNull()
+    texts = (places.join(candidates, same, "left").groupBy("_k1", "_k2", "_host")
+             .agg(F.min(F.when(~shared, F.col("_sign"))).alias("_own"),
+                  F.collect_list(F.when(shared, F.struct("_line", "_words"))).alias("_shared"))
+             .filter(F.size("_shared") > 0)
+             .select("_k1", "_k2", "_host", F.explode("_shared").alias("_x"),
+                     F.when(F.col("_own").isNull(), F.col("_k2")).alias("_whole"), "_own")
+             .select("_k1", "_k2", "_host", "_whole", "_own", "_x.*"))
+    texts = staged(texts, "rule-shared")
+    per_host = places.select("_k1", "_k2", "_host").distinct().groupBy("_host").agg(F.count("*").alias("_texts"))
+    over = (texts.select("_host", "_line", "_whole", "_own").distinct()
             .groupBy("_host", "_line").agg(F.count("*").alias("_docs")).filter(F.col("_docs") > min_documents)
-            .join(texts.withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h")))
+            .join(per_host.withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h")))
             .filter(F.col("_docs") > max_share * F.col("_texts"))
             .select(F.col("_host").alias("_h"), F.col("_line").alias("_l")))
-    return (places.join(over, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_line") == F.col("_l")))
-            .select("_k1", "_k2", "_line", "_words"))
+    return texts.join(over, same).select("_k1", "_k2", "_line", "_words")
 
 
 def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", min_documents: int = 20,

@@ -189,6 +189,31 @@ def test_shared_lines_are_removed_and_depleted_documents_rejected(spark):
     assert got[401].text is None and got[401].base_failed
 
 
+def test_documents_that_share_several_lines_count_one_by_one(spark):
+    r = random.Random(4)
+    line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    menu, passage = [line(8) for _ in range(5)], [line(9) for _ in range(6)]
+    rows = [(i, "\n".join([*menu, line(14), line(14)]), None, "h", 0) for i in range(60)]
+    rows += [(100 + i, "\n".join([*menu, line(3)]), None, "h", 0) for i in range(9)]  # little else
+    # nothing but shared lines, each document another choice of them
+    rows += [(200 + i, "\n".join(x for k, x in enumerate(passage) if i + 1 >> k & 1), None, "h", 0) for i in range(63)]
+    rows += [(300 + i, line(30), None, "h", 0) for i in range(40)]
+    got = {x.doc_id: x for x in quality_rules.quality_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    want = brute.removed_words([(i, h, t) for i, t, _, h, _ in rows], 20, 0)
+    assert {i: x.removed_words for i, x in got.items()} == want
+    assert all(want[i] == 40 for i in range(60)) and all(want[200 + i] == got[200 + i].n_words for i in range(63))
+    assert {i for i, x in got.items() if x.kept} == {*range(60), *range(300, 340)}
+
+
+def test_near_copies_of_any_line_count_once(spark):
+    r = random.Random(6)
+    line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    text = [line(30) for _ in range(3)]
+    rows = [(i, "\n".join([*text[:i % 3], text[i % 3] + f" edit{i}", *text[i % 3 + 1:]]), None, "h", 0) for i in range(60)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(x.kept and x.removed_words == 0 for x in got)
+
+
 # ---------------------------------------------------------------- mixing
 def test_targets_stop_at_the_limit_and_share_the_rest(spark, docs, none):
     sizes = spark.createDataFrame([("a", 100), ("b", 10), ("c", 10), ("d", 880), (None, 0)], "source string, size long")
