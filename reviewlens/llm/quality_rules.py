@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.llm import textvec as V
-from reviewlens.llm.common import fresh, n_words, staged
+from reviewlens.llm.common import fresh, staged
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -90,18 +90,29 @@ def base_failed(min_words: int = 20, max_repeat_percent: int = 30) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
 
 
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, also where it is used several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _norm(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+
+
 def line_key(line: Column) -> Column:
     """Hash of a line without case, with runs of white space as one space; null if it has no word."""
-    norm = F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+    norm = _norm(line)
     return F.when(norm != "", F.xxhash64(norm))
 
 
-def line_sign(line: Column, n: int = 3) -> Column:
-    """Smallest hash of ``n`` words in a row (of all words, if fewer); an edit elsewhere in the line leaves it as it is."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " ")), " ")
-    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
-    return F.get(F.transform(F.array(words), lambda w: F.array_min(F.transform(
-        starts(w), lambda i: F.xxhash64(F.slice(w, i, n))))), F.lit(0))
+def line_facts(line: Column, n: int = 3) -> Column:
+    """``line``: see ``line_key``; ``words``; ``sign``: the smallest hash of ``n`` words in a row (of all, if fewer)."""
+    def of_words(norm: Column, words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
+        sign = F.array_min(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, n))))
+        return F.struct(F.xxhash64(norm).alias("line"), F.size(words).cast("long").alias("words"), sign.alias("sign"))
+
+    return _bind(_norm(line), lambda x: F.when(x != "", _bind(F.split(x, " "), lambda w: of_words(x, w))))
 
 
 def text_key(text: Column, host: Column) -> list[Column]:
@@ -110,13 +121,11 @@ def text_key(text: Column, host: Column) -> list[Column]:
     return [F.xxhash64(*both), F.xxhash64(F.lit("2"), *both)]
 
 
-def shared_lines(docs: DataFrame, host: str = "source", text: str = "text", min_documents: int = 20,
-                 max_share: float = 0.01) -> DataFrame:
+def shared_lines(docs: DataFrame, host: str = "source", text: str = "text", min_documents: int = 20) -> DataFrame:
     """The lines over the limits: ``_k1, _k2`` (see ``text_key``), ``_line`` and its ``_words``, a row per place.
 
     Per host the distinct documents that hold a line are counted; a line in more than
-    ``min_documents`` of them and in more than ``max_share`` of the host's distinct texts is
-    over the limit.
+    ``min_documents`` of them is over the limit, however large the host is.
 
     Near copies of one document say nothing about its lines. Lines in more than
     ``min_documents`` distinct texts are candidates; documents whose *other* lines have the
@@ -128,11 +137,10 @@ def shared_lines(docs: DataFrame, host: str = "source", text: str = "text", min_
     """
     h, t = F.col(f"`{host}`"), F.col(f"`{text}`")
     k1, k2 = text_key(t, h)
-    lines = F.transform(F.split(t, "\n"), lambda x: F.struct(
-        line_key(x).alias("line"), n_words(x).alias("words"), line_sign(x).alias("sign")))
+    lines = F.transform(F.split(t, "\n"), lambda x: line_facts(x))
     places = (docs.select(k1.alias("_k1"), k2.alias("_k2"), h.alias("_host"), lines.alias("_lines"))
               .select("_k1", "_k2", "_host", F.posexplode("_lines").alias("_at", "_x"))
-              .filter(F.col("_x.line").isNotNull())
+              .filter(F.col("_x").isNotNull())
               .select("_k1", "_k2", "_host", "_at", F.col("_x.line").alias("_line"), F.col("_x.words").alias("_words"),
                       F.col("_x.sign").alias("_sign")))
     places = staged(places.distinct(), "rule-lines")
@@ -149,17 +157,14 @@ def shared_lines(docs: DataFrame, host: str = "source", text: str = "text", min_
                      F.when(F.col("_own").isNull(), F.col("_k2")).alias("_whole"), "_own")
              .select("_k1", "_k2", "_host", "_whole", "_own", "_x.*"))
     texts = staged(texts, "rule-shared")
-    per_host = places.select("_k1", "_k2", "_host").distinct().groupBy("_host").agg(F.count("*").alias("_texts"))
     over = (texts.select("_host", "_line", "_whole", "_own").distinct()
             .groupBy("_host", "_line").agg(F.count("*").alias("_docs")).filter(F.col("_docs") > min_documents)
-            .join(per_host.withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h")))
-            .filter(F.col("_docs") > max_share * F.col("_texts"))
             .select(F.col("_host").alias("_h"), F.col("_line").alias("_l")))
     return texts.join(over, same).select("_k1", "_k2", "_line", "_words")
 
 
 def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", min_documents: int = 20,
-                  max_share: float = 0.01, min_words: int = 20, max_repeat_percent: int = 30,
+                  min_words: int = 20, max_repeat_percent: int = 30,
                   min_left: float = 0.3, with_text: bool = False) -> DataFrame:
     """The columns of ``docs`` but its text, the counts of ``RULES``, ``base_failed``, ``removed_words``, ``kept``.
 
@@ -177,7 +182,7 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", min
     k1, k2, j1, j2, removed, copy = fresh(docs, "_key1", "_key2", "_join1", "_join2", "_removed", "_copy")
     t, h = F.col(f"`{text}`"), F.col(f"`{host}`")
     keys = dict(zip((k1, k2), text_key(t, h)))
-    over = (shared_lines(docs, host, text, min_documents, max_share).groupBy(F.col("_k1").alias(j1), F.col("_k2").alias(j2))
+    over = (shared_lines(docs, host, text, min_documents).groupBy(F.col("_k1").alias(j1), F.col("_k2").alias(j2))
             .agg(F.sum("_words").alias("removed_words"), F.collect_set("_line").alias(removed)))
     rows = docs.withColumns({**keys, **({copy: t} if with_text else {})})
     out = (rule_counts(rows, text).join(over, (F.col(k1) == F.col(j1)) & (F.col(k2) == F.col(j2)), "left")

@@ -205,6 +205,15 @@ def test_documents_that_share_several_lines_count_one_by_one(spark):
     assert {i for i, x in got.items() if x.kept} == {*range(60), *range(300, 340)}
 
 
+@pytest.mark.parametrize("others", [100, 2600])
+def test_a_line_is_over_the_limit_on_hosts_of_any_size(spark, others):
+    rows = [(i, f"own words {i} a b\nsubscribe to our letter", None, "h", 0) for i in range(25)]
+    rows += [(100 + i, f"another text {i} of this host", None, "h", 0) for i in range(others)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.removed_words for r in quality_rules.quality_rules(docs).collect()}
+    assert {i for i, n in got.items() if n} == set(range(25)) and {got[i] for i in range(25)} == {4}
+
+
 def test_near_copies_of_any_line_count_once(spark):
     r = random.Random(6)
     line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
