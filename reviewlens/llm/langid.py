@@ -65,15 +65,17 @@ def mixture(likelihood: np.ndarray, count: np.ndarray, rounds: int = 30) -> tupl
     return part, float(count @ np.log(likelihood @ part))
 
 
-def identify(text: str | None, model: np.ndarray, languages: list[str], penalty: float = PENALTY) -> tuple[str, float]:
-    """Main language and a score in [0, 1]: its proportion times how sure it is against the other single languages.
+def proportions(text: str | None, model: np.ndarray, languages: list[str],
+                penalty: float = PENALTY) -> tuple[list[tuple[str, float]], float]:
+    """The languages of a text with their proportions, largest first (none: no letter), and a score in [0, 1].
 
     The set of languages grows by the one that helps most while its gain in log-likelihood is
-    above ``penalty * log(number of n-grams)``; the proportions are those of the set.
+    above ``penalty * log(number of n-grams)``; the proportions are those of the set. The score
+    is the largest proportion; of one language, how sure it is against the other single ones.
     """
     count = ngram_counts(text or "")
     if count is None or not languages:
-        return UNKNOWN, 0.0
+        return [], 0.0
     seen = np.flatnonzero(count)
     count, p = count[seen].astype(np.float64), model[seen]
     single = count @ np.log(p)
@@ -89,9 +91,14 @@ def identify(text: str | None, model: np.ndarray, languages: list[str], penalty:
         if level - best <= penalty * np.log(count.sum() + 1):
             break
         chosen, part, best = tried, new_part, level
-    main = int(part.argmax())
-    return languages[chosen[main]], float(min(1.0, part[main]) * sure[chosen[main]] / sure.sum()) if len(chosen) == 1 else \
-        float(min(1.0, part[main]))
+    found = [(languages[chosen[i]], float(min(1.0, part[i]))) for i in np.argsort(-part, kind="stable")]
+    return found, found[0][1] if len(chosen) > 1 else float(sure[chosen[0]] / sure.sum())
+
+
+def identify(text: str | None, model: np.ndarray, languages: list[str], penalty: float = PENALTY) -> tuple[str, float]:
+    """The main language of ``proportions`` and its score; ``und`` and 0 without a letter."""
+    found, score = proportions(text, model, languages, penalty)
+    return (found[0][0] if found else UNKNOWN), score
 
 
 def fit(docs: DataFrame, in_training: Column, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -131,21 +138,29 @@ def fit(docs: DataFrame, in_training: Column, text: str = "text", lang: str = "l
 
 
 def predict(docs: DataFrame, languages: list[str], model: np.ndarray, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; ``und`` and 0 for a text that is null or has no letter.
+    """``docs`` with ``languages``, ``lang_pred`` and ``score``.
 
-    Only the text is read for the prediction. Columns named like the two are replaced.
+    ``languages``: the chosen set as an array of ``lang, share``, largest share first;
+    ``lang_pred`` its first; ``score`` as in ``proportions``. A text that is null or has no
+    letter has an empty array, ``und`` and 0. Only the text is read for the prediction.
+    Columns named like the three are replaced.
     """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
+    new = ("languages", "lang_pred", "score")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
     at, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast((languages, model))
+    pairs = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, p = shared.value
         p = p.astype(np.float64)
         for b in batches:
-            got = [identify(t, p, names) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
-                [*b.schema.names, "lang_pred", "score"])
-
-    return docs.mapInArrow(in_task, T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()),
-                                                  T.StructField("score", T.DoubleType())]))
+            got = [proportions(t, p, names) for t in b.column(at).to_pylist()]
+            found = pa.array([[{"lang": n, "share": x} for n, x in g[0]] for g in got], pairs)
+            yield pa.RecordBatch.from_arrays([*b.columns, found, pa.array([g[1] for g in got], pa.float64())],
+                                             [*b.schema.names, "languages", "score"])
+
+    pair = T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])
+    out = docs.mapInArrow(in_task, T.StructType([*docs.schema, T.StructField("languages", T.ArrayType(pair)),
+                                                 T.StructField("score", T.DoubleType())]))
+    main = F.coalesce(F.get("languages", F.lit(0))["lang"], F.lit(UNKNOWN))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "languages", main.alias("lang_pred"), "score")

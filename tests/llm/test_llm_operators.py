@@ -362,6 +362,24 @@ def test_language_of_held_out_documents_and_mixtures(spark):
     assert names == [] and {r.lang_pred for r in langid.predict(docs.limit(3), names, model).collect()} == {"und"}
 
 
+def test_each_document_keeps_its_languages_and_their_shares(spark):
+    docs = C.table(spark, SF001, "documents")
+    names, model = langid.fit(docs, F.lit(True))
+    pure = {r.lang: r.text for r in docs.filter("lang is not null and n_chars between 1000 and 4000").orderBy("doc_id").collect()}
+    n = min(map(len, pure.values()))
+    assert n >= 1000 and len(pure) > 2
+    a, b, c = sorted(pure)[:3]
+    texts = [pure[a][:n] + "\n" + pure[b][: n // 2], pure[a][: n // 3] + "\n" + pure[b][: n // 3] + "\n" + pure[c][:n], pure[b][:n], "12 !", None]
+    rows = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "i int, text string, languages string")
+    got = {r.i: r for r in langid.predict(rows, names, model).collect()}
+    assert [x.lang for x in got[0].languages] == [a, b] and abs(got[0].languages[0].share - 2 / 3) < 0.1
+    assert got[1].languages[0].lang == c and {x.lang for x in got[1].languages} == {a, b, c}
+    assert [x.lang for x in got[2].languages] == [b] and got[3].languages == got[4].languages == []
+    for i, r in got.items():
+        assert (r.lang_pred, r.score) == langid.identify(texts[i], model.astype(float), names)
+        assert not r.languages or abs(sum(x.share for x in r.languages) - 1) < 1e-6 and r.lang_pred == r.languages[0].lang
+
+
 def test_mixture_finds_the_proportions():
     rng = np.random.default_rng(0)
     p = rng.dirichlet(np.ones(200) * 0.1, size=3).T + 1e-9
