@@ -7,6 +7,8 @@ that passes a schema skips that pass.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,30 +105,77 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 JSON_LAYOUTS = ("lines", "records", "columns")
 
 
-def json_layout(spark: SparkSession, path: str) -> str:
-    """``lines``, ``records`` or ``columns``, from the first two lines that are not blank.
-
-    ``[`` opens an array of records; a whole object on the first line with another line
-    after it is JSON lines; one object over several lines, or a single line whose values are
-    all objects, is a column-oriented file. All files of a folder have the first one's layout.
-    """
+def _layout(first: str, alone: bool) -> str:
+    """A layout, or ``lines of objects`` / ``object`` (several lines, one line) if all values on the first line are objects."""
     import json
 
-    head = [r.value.strip() for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
-    if not head:
-        return "lines"
-    if head[0].startswith("["):
+    if first.startswith("["):
         return "records"
     try:
-        first = json.loads(head[0])
+        row = json.loads(first)
     except ValueError:
         return "columns"
-    if len(head) == 1 and isinstance(first, dict) and first and all(isinstance(v, dict) for v in first.values()):
-        return "columns"
-    return "lines"
+    if not (isinstance(row, dict) and row and all(isinstance(v, dict) for v in row.values())):
+        return "lines"
+    return "object" if alone else "lines of objects"
+
+
+def json_layouts(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of each layout in ``JSON_LAYOUTS`` (blank files: none), each told by its own first line that is not blank.
+
+    ``[`` opens an array of records; a whole object on the first line with another line
+    after it is JSON lines; one object over several lines is a column-oriented file, as is a
+    single line whose values are all objects, unless a file of several lines beside it shows
+    that the rows themselves are such objects. One aggregation by file; file names come to
+    the driver.
+    """
+    lines = (spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
+                                          F.col("_metadata.file_block_start").alias("block"))
+             .withColumn("at", F.struct("block", F.monotonically_increasing_id().alias("row")))
+             .select("file", "at", F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"))
+             .where(F.col("value") != ""))
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("first"), F.count("*").alias("n"))
+    told = F.udf(lambda first, alone: _layout(first, alone), "string")(F.col("first"), F.col("n") == 1)
+    found: dict[str, list[str]] = {}
+    for r in heads.select("file", told.alias("layout")).orderBy("file").collect():
+        found.setdefault(r.layout, []).append(r.file)
+    rows = found.pop("lines of objects", [])
+    ones = found.pop("object", [])
+    out = {"lines": found.get("lines", []) + rows + (ones if rows else []), "records": found.get("records", []),
+           "columns": found.get("columns", []) + ([] if rows else ones)}
+    return {k: v for k, v in out.items() if v}
+
+
+def _literal_path(uri: str) -> str:
+    """The path of a file's URI, with the characters that Spark would take for a pattern escaped."""
+    from urllib.parse import unquote
+
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(uri))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    """Rows of all parts by column name; a column of two numeric types becomes double, of other types text."""
+    types: dict[str, set[str]] = {}
+    for p in parts:
+        for c, t in p.dtypes:
+            types.setdefault(c, set()).add(t)
+    out = None
+    for p in parts:
+        cols = []
+        for f in p.schema.fields:
+            v = F.col(f"`{f.name}`")
+            if len(types[f.name]) > 1:
+                if types[f.name] <= {"bigint", "double"}:
+                    v = v.cast("double")
+                else:
+                    v = F.to_json(v) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else v.cast("string")
+            cols.append(v.alias(f.name))
+        p = p.select(*cols)
+        out = p if out is None else out.unionByName(p, allowMissingColumns=True)
+    return out
 
 
-def scan_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+def scan_json(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
               layout: str = "lines") -> DataFrame:
     """JSON ``lines`` (splittable), an array of ``records`` per file, or ``columns`` per file.
 
@@ -134,10 +183,14 @@ def scan_json(spark: SparkSession, path: str, schema: T.StructType | str | None
     (file, row, column, value) cells and pivoted back to rows, which are told by file and
     row; columns are typed as in ``scan_csv`` (numbers in quotes too, as pandas does) unless
     ``schema`` names their types. Such a file is one task, as its rows are complete only at
-    its end; an array of records is one task, too. ``auto`` asks ``json_layout``.
+    its end; an array of records is one task, too. ``auto`` asks ``json_layouts``; files of
+    several layouts are read by layout and their rows put together by column name.
     """
     if layout == "auto":
-        layout = json_layout(spark, path)
+        found = json_layouts(spark, path)
+        if len(found) > 1:
+            return _union([scan_json(spark, [_literal_path(f) for f in files], schema, kind) for kind, files in found.items()])
+        layout = next(iter(found), "lines")
     if layout not in JSON_LAYOUTS:
         raise ValueError(f"layout must be auto or one of {JSON_LAYOUTS}")
     if layout != "columns":

@@ -488,6 +488,29 @@ def test_json_layouts(spark, tmp_path):
     assert [tuple(r) for r in one.collect()] == [(1, "a")]
 
 
+def test_json_layout_is_told_per_file(spark, tmp_path):
+    def folder(name, *texts):
+        d = tmp_path / f"{name}.json"
+        d.mkdir()
+        for i, t in enumerate(texts):
+            (d / f"f {i}.json").write_text(t)
+        return str(d)
+
+    def rows(path):
+        return sorted([r.id, r.t] for r in io.read_table(spark, path).select("id", "t").collect())
+
+    columns = ['{"id": {"0": 1, "1": 2}, "t": {"0": "a", "1": "b"}}', '{"id": {"0": 3, "1": 4}, "t": {"0": "c", "1": "d"}}']
+    assert rows(folder("one-line", *columns)) == [[1, "a"], [2, "b"], [3, "c"], [4, "d"]]
+    mixed = [columns[0], '\n[\n {"id": 3, "t": "c"}, {"id": 4, "t": "d"}\n]', '{"id": 5, "t": "e"}\n{"id": 6, "t": "f"}\n',
+             '{"t": "g", "id": 7}', '{\n "id": {"0": 8},\n "t": {"0": "h"}\n}', "", " \n"]
+    want = [[i, "_abcdefgh"[i]] for i in range(1, 9)]
+    assert rows(folder("mixed", *mixed)) == rows(folder("mixed2", *mixed[::-1])) == want
+    assert rows(folder("types", columns[0], '{"id": "x", "t": "y"}\n{"id": "z", "t": "z"}')) == [["1", "a"], ["2", "b"], ["x", "y"], ["z", "z"]]
+    # a file of one row beside files of more rows like it is JSON lines, too
+    nested = io.read_table(spark, folder("nested", '{"p": {"x": 1}}', '{"p": {"x": 2}}\n{"p": {"x": 3}}'))
+    assert sorted(r.p.x for r in nested.collect()) == [1, 2, 3]
+
+
 def test_excel_with_another_header_fails(spark, tmp_path):
     from reviewlens.sources.excel import scan_excel
 
