@@ -13,6 +13,8 @@ from reviewlens.llm.queries import SIMHASH, THRESHOLD
 from reviewlens.session import shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words a document must have before and after the quality rules take lines out of it.
+MIN_WORDS = 20
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +24,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without the lines over the limits."""
-    out = quality_rules.quality_rules(docs.select(*COLUMNS), with_text=True).filter("kept")
+    """Documents that pass the quality rules, without the lines over the limits; what is left has ``MIN_WORDS``, too."""
+    out = quality_rules.quality_rules(docs.select(*COLUMNS), min_words=MIN_WORDS, with_text=True)
+    out = out.filter(F.col("kept") & (F.col("n_words") - F.col("removed_words") >= MIN_WORDS))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 

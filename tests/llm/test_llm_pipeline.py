@@ -68,6 +68,14 @@ def test_stages_on_odd_documents(spark):
     assert kept == sorted([str(c) for c in {c for _, c in groups.values()}] + ["None"])
 
 
+def test_rules_leave_no_document_under_the_minimum(spark):
+    words = lambda n, tag: " ".join(f"{tag}w{k}" for k in range(n))
+    shared = words(41, "s")
+    rows = [(i, shared + "\n" + words(19 + i % 2, f"d{i}"), "en", "h", 0) for i in range(30)]
+    out = P.rules(spark, spark.createDataFrame(rows, DOCS), SF001).collect()
+    assert {r.doc_id: r.text for r in out} == {i: t.split("\n")[1] for i, t, *_ in rows if i % 2}
+
+
 @pytest.mark.parametrize("i", range(5))
 def test_stages_on_empty_tables(spark, i):
     assert P.STAGES[i][1](spark, spark.createDataFrame([], DOCS), SF001).count() == 0
