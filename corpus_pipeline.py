@@ -31,15 +31,19 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id (a document without id stays).
+    """One document of each group of near copies: the one with the smallest id (null last), then the smallest row hash.
 
-    Rows that repeat an id are copies of one document; one of them stays.
+    A row is told by its id and a hash of all its columns, so an id may occur with several
+    texts, and documents without id are in groups like others.
     """
-    groups = simhash.simhash_components(docs.select("doc_id", "text"), **SIMHASH)
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
-    named = docs.select(*COLUMNS).filter("doc_id is not null")
-    kept = named.join(C.staged(first, "dedup-first"), F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.select(*COLUMNS).filter("doc_id is null"))
+    parts = [x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]
+    rows = docs.select(*COLUMNS, F.xxhash64(*parts).alias("_k1"), F.xxhash64(F.lit("2"), *parts).alias("_k2"))
+    row = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_k1", "_k2").alias("_row")
+    groups = simhash.simhash_components(rows.select(row, "text"), doc_id="_row", **SIMHASH)
+    first = groups.select(F.col("component_id._k1").alias("_f1"), F.col("component_id._k2").alias("_f2")).distinct()
+    first = C.staged(first, "dedup-first")
+    kept = rows.join(first, (F.col("_k1") == F.col("_f1")) & (F.col("_k2") == F.col("_f2")), "left_semi")
+    return kept.dropDuplicates(["_k1", "_k2"]).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,6 +76,16 @@ def test_rules_leave_no_document_under_the_minimum(spark):
     assert {r.doc_id: r.text for r in out} == {i: t.split("\n")[1] for i, t, *_ in rows if i % 2}
 
 
+def test_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    text = lambda tag: " ".join(f"{tag}{k}" for k in range(60))
+    rows = [(1, text("a"), "en", "s", 0), (1, text("b"), "en", "t", 0), (1, text("b"), "en", "t", 0),  # an id with two texts
+            (2, text("c"), "en", "s", 0), (5, text("d"), "en", "s", 0), (5, text("c"), "en", "t", 0), (4, text("d"), "en", "t", 0),
+            *[(None, text("e"), "en", "s", i) for i in range(6)], (None, text("f"), "en", "s", 0), (9, text("f"), "en", "s", 0)]
+    out = P.dedup(spark, spark.createDataFrame(rows, DOCS).repartition(5), SF001).collect()
+    got = sorted((r.text[0], r.doc_id, r.source) for r in out)
+    assert got == [("a", 1, "s"), ("b", 1, "t"), ("c", 2, "s"), ("d", 4, "t"), ("e", None, "s"), ("f", 9, "s")]
+
+
 @pytest.mark.parametrize("i", range(5))
 def test_stages_on_empty_tables(spark, i):
     assert P.STAGES[i][1](spark, spark.createDataFrame([], DOCS), SF001).count() == 0
