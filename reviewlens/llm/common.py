@@ -16,15 +16,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Spark removes the shuffle files of a finished query at once if this is set.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, name: str, free_shuffles: bool = False) -> DataFrame:
     """``df`` written to the shared folder (``spark.checkpoint.dir``) and read back.
 
     Cuts the lineage: a lost executor re-reads files instead of running ``df`` again, and
-    several consumers read one result.
+    several consumers read one result. With ``free_shuffles`` the executors' shuffle files of
+    the write go when it is done, so a chain of large steps needs the disk of one.
     """
-    path = f"{shared_dir(df.sparkSession, name)}/t.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark, name)}/t.parquet"
+    before = spark.conf.get(FREE_SHUFFLES)
+    if free_shuffles:
+        spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def table_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of values that the driver has (also of no rows)."""
+    return spark.createDataFrame(rows, schema)
 
 
 def n_words(text: Column) -> Column:

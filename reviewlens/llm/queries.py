@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import common as C
-from reviewlens.llm import chat, classifier, embeddings, langid, mixing, packing, quality_rules, sharding, simhash, url_filters
+from reviewlens.llm import chat, classifier, embeddings, langid, mixing, packing, quality_rules, sharding, simhash, suffixes, url_filters
 
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -124,6 +124,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes"))
+    return suffixes.remove_repeats(docs, length=100).select(
+        "doc_id", F.col("n_bytes").cast("long").alias("n_bytes"),
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -135,6 +143,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 _SQL = {"op1_url_filters": OP1_SQL, "op4_source_mixing": OP4_SQL}
 
