@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import common as C
-from reviewlens.llm import chat, classifier, embeddings, langid, mixing, packing, quality_rules, sharding, simhash, suffixes, url_filters
+from reviewlens.llm import chat, classifier, embeddings, langid, merkle, mixing, packing, quality_rules, sharding, simhash, suffixes, url_filters
 
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -124,6 +124,59 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    first = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0,
+                      merkle.leaf_digest(*first, F.translate("text", upper, upper.lower())))
+    return merkle.audit(merkle.build_manifest(docs, merkle.leaf_digest(*first, F.col("text")), claimed=tampered)).drop("source")
+
+
+def _op11_sql(levels: int = 6) -> str:
+    """Levels of both trees spelled out (``16 ** levels`` leaves a source)."""
+    value = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    start = " || ".join(value(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = ("xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), "
+           "lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), "
+           "lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)")
+    ctes = [f"""d AS (SELECT doc_id, source, sha256({start} || {value('text')}) AS leaf,
+      CASE WHEN ({crc}) % 5 = 0 THEN sha256({start} || {value(lower)}) END AS tampered FROM documents)""",
+            """s0 AS (SELECT *, leaf AS digest, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+      count(*) OVER (PARTITION BY source) AS cnt FROM d)"""]
+
+    def tree(t: str, key: str) -> None:
+        for k in range(levels):
+            ctes.append(f"""{t}r{k} AS (SELECT {key}, idx // 16 AS run, string_agg(digest, '' ORDER BY idx) AS digests, any_value(cnt) AS cnt
+      FROM {t}{k} WHERE cnt > 1 GROUP BY {key}, idx // 16)""")
+            ctes.append(f"""{t}{k + 1} AS (SELECT {key}, run AS idx, sha256(digests) AS digest, (cnt + 15) // 16 AS cnt FROM {t}r{k})""")
+
+    def fold(name: str, base: str, t: str, key: str, place: str) -> None:
+        """``base`` with its proof and folded digest carried up the levels of tree ``t``."""
+        for k in range(levels):
+            at = f"({place} // {16 ** k}) % 16"
+            left, right = f"substr(r.digests, 1, 64 * ({at}))", f"substr(r.digests, 64 * ({at}) + 65)"
+            ctes.append(f"""{name}{k} AS (SELECT b.* EXCLUDE (proof, folded), b.proof || coalesce({left} || {right}, '') AS proof,
+      CASE WHEN r.digests IS NULL THEN b.folded ELSE sha256({left} || b.folded || {right}) END AS folded
+      FROM {base} b LEFT JOIN {t}r{k} r ON b.{key} IS NOT DISTINCT FROM r.{key} AND b.{place} // {16 ** (k + 1)} = r.run)""")
+            base = f"{name}{k}"
+
+    tree("s", "source")
+    roots = " UNION ALL ".join(f"SELECT source, digest FROM s{k} WHERE cnt = 1" for k in range(levels + 1))
+    ctes.append(f"roots AS ({roots})")
+    ctes.append("t0 AS (SELECT 0 AS one, source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS cnt FROM roots)")
+    tree("t", "one")
+    ctes.append("root AS (" + " UNION ALL ".join(f"SELECT digest FROM t{k} WHERE cnt = 1" for k in range(levels + 1)) + ")")
+    ctes.append("""b AS (SELECT 0 AS one, s0.doc_id, s0.source, s0.leaf, s0.idx, t0.idx AS top, t0.digest AS subroot, '' AS proof,
+      coalesce(s0.tampered, s0.leaf) AS folded FROM s0 JOIN t0 ON s0.source IS NOT DISTINCT FROM t0.source)""")
+    fold("p", "b", "s", "source", "idx")
+    fold("q", f"p{levels - 1}", "t", "one", "top")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, leaf, subroot, root.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root.digest AS verified
+FROM q{levels - 1}, root"""
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes"))
     return suffixes.remove_repeats(docs, length=100).select(
@@ -143,9 +196,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
-_SQL = {"op1_url_filters": OP1_SQL, "op4_source_mixing": OP4_SQL}
+_SQL = {"op1_url_filters": OP1_SQL, "op4_source_mixing": OP4_SQL, "op11_merkle_manifest": _op11_sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
