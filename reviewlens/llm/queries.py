@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import common as C
-from reviewlens.llm import chat, classifier, embeddings, langid, merkle, mixing, packing, quality_rules, sharding, simhash, suffixes, url_filters
+from reviewlens.llm import chat, classifier, embeddings, langid, merkle, mixing, packing, quality_rules, sharding, simhash, suffixes, url_filters, whitening
 
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -177,6 +177,11 @@ SELECT doc_id, leaf, subroot, root.digest AS root, sha256(proof) AS proof_sha256
 FROM q{levels - 1}, root"""
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = C.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors, k=4).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes"))
     return suffixes.remove_repeats(docs, length=100).select(
@@ -197,6 +202,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
 _SQL = {"op1_url_filters": OP1_SQL, "op4_source_mixing": OP4_SQL, "op11_merkle_manifest": _op11_sql()}
