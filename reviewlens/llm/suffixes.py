@@ -305,7 +305,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = rows.select("doc", "row", "text").filter(F.octet_length("text") >= length)
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(shuffles, 2 * size // ((length - gram) * BUCKET_UNITS) + 1)
+    buckets = max(shuffles, 2 * size // ((length - gram + 1) * BUCKET_UNITS) + 1)
 
     found, last = [], None
     for width in sorted({length - gram + 1, min(8, length - gram + 1), 1}, reverse=True):

@@ -43,14 +43,9 @@ def quantised(vector: Column, scale: int = 256) -> Column:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[np.ndarray]:
-    """Vectors as rows, shorter ones ending in zeros."""
+    """The lists of the first column as rows."""
     for b in batches:
-        lists = b.column(0)
-        size, flat = np.diff(lists.offsets.to_numpy()), lists.values.to_numpy(zero_copy_only=False)
-        flat = flat[lists.offsets[0].as_py():lists.offsets[-1].as_py()]
-        out = np.zeros((len(size), dim), np.int64)
-        out[np.arange(dim) < size[:, None]] = flat
-        yield out
+        yield b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
 
 
 def _packed(dim: int) -> Callable:
@@ -220,6 +215,7 @@ def whiten(rows: DataFrame, vector: str = "embedding", k: int = 4, scale: int =
     v = F.col(f"`{vector}`")
     x = rows.filter(usable(v)).select(quantised(v, scale).alias("x"), *[F.col(f"`{c}`").alias(a) for c, a in zip(rest, names)])
     dim = int(x.agg(F.max(F.size("x"))).first()[0] or 0)
+    x = x.withColumn("x", F.concat("x", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("x"))))
     fit = fit_list(x.select("x"), dim)
     c = leading_components(fit, k)
     schema = T.StructType([*[T.StructField(a, rows.schema[r].dataType) for r, a in zip(rest, names)],
