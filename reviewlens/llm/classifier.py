@@ -22,8 +22,11 @@ BUCKETS = 1 << BUCKET_BITS
 TRAIN_DOCUMENTS = 6_000
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``(buckets, byte positions)`` of the features of a block of texts, by kind of feature.
+def features(data: np.ndarray, offsets: np.ndarray, before: np.uint64 | None = None
+             ) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.uint64 | None]:
+    """``(buckets, byte positions)`` of the features of a block of texts, by kind of feature, and its last word's hash.
+
+    ``before`` is the hash of the word before a part of a long text.
 
     Words and pairs of neighbouring equal words (bucket 0 stands for all such pairs), and the
     n-grams of bytes inside words, where one white-space byte on either side marks the word's
@@ -33,6 +36,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
     of = V.owner(starts, offsets)
     word = V.word_hashes(data, starts, ends)
     pair = np.flatnonzero((word[1:] == word[:-1]) & (of[1:] == of[:-1])) + 1
+    if before is not None and len(word):
+        pair = np.concatenate(([0] if word[0] == before else [], pair)).astype(np.int64)
     out = [((word % np.uint64(BUCKETS)).astype(np.int32), starts), (np.zeros(len(pair), np.int32), starts[pair])]
     space = V._SPACE[data]
     byte = np.where(space, np.uint8(0x20), data)
@@ -53,7 +58,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
         code ^= code >> np.uint32(15)
         code *= np.uint32(0x2C1B3C6D)
         out.append(((code >> np.uint32(32 - BUCKET_BITS)).astype(np.int32), at))
-    return out
+    return out, word[-1] if len(word) else before
+
+
+def part_features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(buckets, byte positions, offsets)`` of each kind of feature, by parts of a long text; the parts have what the whole has."""
+    last = None
+    for part, cut in V.parts(data, offsets):
+        kinds, last = features(part, cut, last)
+        for ids, at in kinds:
+            yield ids, at, cut
 
 
 @dataclass
@@ -69,12 +83,11 @@ class Model:
         for _, data, offsets in V.blocks(column):
             n = len(offsets) - 1
             total, count = np.zeros(n), np.zeros(n, np.int64)
-            for part, cut in V.parts(data, offsets):  # sums add up over the parts of a long text
-                for ids, at in features(part, cut):
-                    cuts = np.searchsorted(at, cut)
-                    sums = np.concatenate(([0.0], np.cumsum(self.margin[ids], dtype=np.float64)))
-                    total += np.diff(sums[cuts])
-                    count += np.diff(cuts)
+            for ids, at, cut in part_features(data, offsets):  # sums add up over the parts of a long text
+                cuts = np.searchsorted(at, cut)
+                sums = np.concatenate(([0.0], np.cumsum(self.margin[ids], dtype=np.float64)))
+                total += np.diff(sums[cuts])
+                count += np.diff(cuts)
             mean = total / np.maximum(count, 1)
             out.append(1.0 / (1.0 + np.exp(-np.clip(mean + self.bias, -500, 500))))
         return np.concatenate(out) if out else np.zeros(0)
@@ -90,10 +103,10 @@ def train(texts: list[str | None], labels: np.ndarray, dim: int = DIM, epochs: i
     rows: list[tuple[np.ndarray, np.ndarray]] = []
     for _, data, offsets in V.blocks(pa.array(texts, type=pa.string())):
         if len(offsets) == 2:
-            ids = np.concatenate([f for part, cut in V.parts(data, offsets) for f, _ in features(part, cut)])
+            ids = np.concatenate([f for f, _, _ in part_features(data, offsets)])
             cuts = np.array([0, len(ids)])
         else:
-            ids, at = (np.concatenate(x) for x in zip(*features(data, offsets)))
+            ids, at = (np.concatenate(x) for x in zip(*features(data, offsets)[0]))
             order = np.argsort(at, kind="stable")
             ids, cuts = ids[order], np.searchsorted(at[order], offsets)
         for a, b in zip(cuts[:-1], cuts[1:]):
@@ -128,24 +141,29 @@ def _id_key(doc_id: Column) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, in_training: Column,
                   limit: int) -> DataFrame:
-    """``text, label`` of at most ``limit`` labelled documents, chosen by a hash of the id.
+    """``text, label`` of at most ``limit`` labelled documents, one row an id, chosen by a hash of the id.
 
-    The chosen ids (at most ``limit`` rows) are broadcast, so documents are not shuffled.
+    An id that ``labels`` holds several times has its smallest label; one that ``docs`` holds
+    several times, the text with the smallest hash. The chosen ids (at most ``limit`` rows) are
+    broadcast, so documents are not shuffled; of the chosen ones, one text an id leaves a task.
     """
     chosen = (labels.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{label}`").alias("_label"))
               .filter(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & in_training)
-              .orderBy(F.xxhash64("_id"), "_id", "_label").limit(limit))
+              .groupBy("_id").agg(F.min("_label").alias("_label"))
+              .orderBy(F.xxhash64("_id"), "_id").limit(limit))
     chosen = staged(chosen, "classifier-ids")
-    return docs.select(F.col(f"`{doc_id}`").alias("_d"), F.col(f"`{text}`").alias("_text")).join(
-        F.broadcast(chosen), F.col("_d") == F.col("_id")).select("_id", "_text", "_label")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("_d"), F.col(f"`{text}`").alias("_text")).join(
+        F.broadcast(chosen), F.col("_d") == F.col("_id"))
+    first = F.min(F.struct(F.xxhash64("_text"), F.col("_text").alias("_text"))).alias("_first")
+    return rows.groupBy("_id", "_label").agg(first).select("_id", F.col("_first._text").alias("_text"), "_label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
         in_training: Column | None = None, limit: int = TRAIN_DOCUMENTS) -> Model:
     """The model learned from labelled documents (``in_training`` is a condition on ``_id``).
 
-    Training runs in one task on the bounded sample; only the margins (4 bytes a bucket) come
-    to the driver. Without any labelled document every score is 0.5.
+    The sample is gathered by all tasks; training runs in one task on it (``limit`` rows at
+    most), and only the margins (4 bytes a bucket) come to the driver. Without any labelled document every score is 0.5.
     """
     rows = training_rows(docs, labels, doc_id, text, label, F.lit(True) if in_training is None else in_training, limit)
 
@@ -156,8 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             m = train([t for _, t, _ in got], np.array([y for _, _, y in got]))
             yield pa.RecordBatch.from_pydict({"margin": [m.margin.tobytes()], "bias": [m.bias]})
 
-    # at most `limit` rows: the training sample, not the corpus
-    model = rows.coalesce(1).mapInArrow(in_task, "margin binary, bias double").first()
+    # a shuffle of at most `limit` rows: what is before it (the scan of the corpus) stays in as many tasks as it has
+    model = rows.repartition(1).mapInArrow(in_task, "margin binary, bias double").first()
     if model is None:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     return Model(np.frombuffer(model["margin"], np.float32), model["bias"])
@@ -167,9 +185,9 @@ def classify(docs: DataFrame, model: Model, text: str = "text", threshold: float
     """``docs`` with ``score`` (probability of label 1) and ``predicted`` (1 if score >= threshold).
 
     Only the text is read for the score. Null and empty texts get the score of no features.
-    Columns of ``docs`` named like the two are replaced.
+    Columns of ``docs`` named like the two, in any case, are replaced.
     """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("score", "predicted")])
     at = docs.columns.index(text)
     cast = model.margin, model.bias
     shared = docs.sparkSession.sparkContext.broadcast(cast)

@@ -105,14 +105,10 @@ def line_key(line: Column) -> Column:
     return F.when(norm != "", F.xxhash64(norm))
 
 
-def line_facts(line: Column, n: int = 3) -> Column:
-    """``line``: see ``line_key``; ``words``; ``sign``: the smallest hash of ``n`` words in a row (of all, if fewer)."""
-    def of_words(norm: Column, words: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-        sign = F.array_min(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, n))))
-        return F.struct(F.xxhash64(norm).alias("line"), F.size(words).cast("long").alias("words"), sign.alias("sign"))
-
-    return _bind(_norm(line), lambda x: F.when(x != "", _bind(F.split(x, " "), lambda w: of_words(x, w))))
+def line_facts(line: Column) -> Column:
+    """``line``: see ``line_key``; ``words``; null if the line has no word."""
+    return _bind(_norm(line), lambda x: F.when(x != "", F.struct(
+        F.xxhash64(x).alias("line"), (F.char_length(x) - F.char_length(F.replace(x, F.lit(" "))) + 1).cast("long").alias("words"))))
 
 
 def text_key(text: Column, host: Column) -> list[Column]:
@@ -121,68 +117,67 @@ def text_key(text: Column, host: Column) -> list[Column]:
     return [F.xxhash64(*both), F.xxhash64(F.lit("2"), *both)]
 
 
-def shared_lines(docs: DataFrame, host: str = "source", text: str = "text", min_documents: int = 20) -> DataFrame:
+def shared_lines(docs: DataFrame, host: str = "source", text: str = "text", min_documents: int = 20,
+                 copies: DataFrame | None = None) -> DataFrame:
     """The lines over the limits: ``_k1, _k2`` (see ``text_key``), ``_line`` and its ``_words``, a row per place.
 
     Per host the distinct documents that hold a line are counted; a line in more than
-    ``min_documents`` of them is over the limit, however large the host is.
-
-    Near copies of one document say nothing about its lines. Lines in more than
-    ``min_documents`` distinct texts are candidates; documents whose *other* lines have the
-    same smallest hash of three words (near copies, mostly) count once for each candidate, so
-    what counts does not depend on which lines are shared. A text of candidates only counts
-    for itself. Equal rows are reduced map-side before any shuffle, so a text or line that a
-    third of the rows hold is small when it is shuffled. Null hosts are one host; null texts
-    and blank lines hold no line.
+    ``min_documents`` of them is over the limit, however large the host is. A document is a
+    distinct text. A caller that wants near copies to count once gives ``copies``: ``_k1, _k2``
+    (from ``text_key``) and ``document``; texts with one ``document`` count as one.
+
+    Equal rows are reduced map-side before any shuffle, so a text or line that a third of the
+    rows hold is small when it is shuffled. Null hosts are one host; null texts and blank lines
+    hold no line.
     """
     h, t = F.col(f"`{host}`"), F.col(f"`{text}`")
     k1, k2 = text_key(t, h)
-    lines = F.transform(F.split(t, "\n"), lambda x: line_facts(x))
+    lines = F.transform(F.split(t, "\n"), line_facts)
     places = (docs.select(k1.alias("_k1"), k2.alias("_k2"), h.alias("_host"), lines.alias("_lines"))
               .select("_k1", "_k2", "_host", F.posexplode("_lines").alias("_at", "_x"))
               .filter(F.col("_x").isNotNull())
-              .select("_k1", "_k2", "_host", "_at", F.col("_x.line").alias("_line"), F.col("_x.words").alias("_words"),
-                      F.col("_x.sign").alias("_sign")))
+              .select("_k1", "_k2", "_host", "_at", F.col("_x.line").alias("_line"), F.col("_x.words").alias("_words")))
     places = staged(places.distinct(), "rule-lines")
-    candidates = staged(places.select("_k1", "_k2", "_host", "_line").distinct()
-                        .groupBy("_host", "_line").agg(F.count("*").alias("_n")).filter(F.col("_n") > min_documents)
-                        .select(F.col("_host").alias("_h"), F.col("_line").alias("_l")), "rule-candidates")
+
+    def counted(held: DataFrame, name: str) -> DataFrame:
+        """The lines that more than ``min_documents`` of the first columns hold."""
+        return staged(held.distinct().groupBy("_host", "_line").agg(F.count("*").alias("_n")).filter(F.col("_n") > min_documents)
+                      .select(F.col("_host").alias("_h"), F.col("_line").alias("_l")), name)
+
     same = F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_line") == F.col("_l"))
-    shared = F.col("_l").isNotNull()
-    texts = (places.join(candidates, same, "left").groupBy("_k1", "_k2", "_host")
-             .agg(F.min(F.when(~shared, F.col("_sign"))).alias("_own"),
-                  F.collect_list(F.when(shared, F.struct("_line", "_words"))).alias("_shared"))
-             .filter(F.size("_shared") > 0)
-             .select("_k1", "_k2", "_host", F.explode("_shared").alias("_x"),
-                     F.when(F.col("_own").isNull(), F.col("_k2")).alias("_whole"), "_own")
-             .select("_k1", "_k2", "_host", "_whole", "_own", "_x.*"))
-    texts = staged(texts, "rule-shared")
-    over = (texts.select("_host", "_line", "_whole", "_own").distinct()
-            .groupBy("_host", "_line").agg(F.count("*").alias("_docs")).filter(F.col("_docs") > min_documents)
-            .select(F.col("_host").alias("_h"), F.col("_line").alias("_l")))
-    return texts.join(over, same).select("_k1", "_k2", "_line", "_words")
+    over = counted(places.select("_k1", "_k2", "_host", "_line"), "rule-over")
+    found = places.join(over, same).select("_k1", "_k2", "_host", "_line", "_words")
+    if copies is None:
+        return found.select("_k1", "_k2", "_line", "_words")
+    # no line has more documents than texts, so only these lines are counted again
+    found = staged(found, "rule-found")
+    group = copies.select("_k1", "_k2", F.xxhash64("document").alias("_d1"), F.xxhash64(F.lit("2"), "document").alias("_d2")).distinct()
+    held = found.join(group, ["_k1", "_k2"], "left").select(
+        F.coalesce("_d1", "_k1").alias("_k1"), F.coalesce("_d2", "_k2").alias("_k2"), "_host", "_line")
+    return found.join(counted(held, "rule-counted"), same).select("_k1", "_k2", "_line", "_words")
 
 
 def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", min_documents: int = 20,
                   min_words: int = 20, max_repeat_percent: int = 30,
-                  min_left: float = 0.3, with_text: bool = False) -> DataFrame:
+                  min_left: float = 0.3, with_text: bool = False, copies: DataFrame | None = None) -> DataFrame:
     """The columns of ``docs`` but its text, the counts of ``RULES``, ``base_failed``, ``removed_words``, ``kept``.
 
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat_percent`` of
     them in repeated windows. Lines over the limits (``shared_lines``) are removed; a document
     is depleted if that leaves less than ``min_left`` of its words (a short document that
     keeps most of its own words is not). ``kept``: neither. With ``with_text`` the text comes too, without the removed lines.
+    ``copies``: texts that count as one document (see ``shared_lines``).
 
     Null or empty texts have no words, fail and stay null or empty. Repeated rows get equal
-    verdicts. Columns of ``docs`` named like a result column are replaced.
+    verdicts. Columns of ``docs`` named like a result column, in any case, are replaced.
     """
     new = (*RULES, "base_failed", "removed_words", "kept")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
     rest = [c for c in docs.columns if c != text]
     k1, k2, j1, j2, removed, copy = fresh(docs, "_key1", "_key2", "_join1", "_join2", "_removed", "_copy")
     t, h = F.col(f"`{text}`"), F.col(f"`{host}`")
     keys = dict(zip((k1, k2), text_key(t, h)))
-    over = (shared_lines(docs, host, text, min_documents).groupBy(F.col("_k1").alias(j1), F.col("_k2").alias(j2))
+    over = (shared_lines(docs, host, text, min_documents, copies).groupBy(F.col("_k1").alias(j1), F.col("_k2").alias(j2))
             .agg(F.sum("_words").alias("removed_words"), F.collect_set("_line").alias(removed)))
     rows = docs.withColumns({**keys, **({copy: t} if with_text else {})})
     out = (rule_counts(rows, text).join(over, (F.col(k1) == F.col(j1)) & (F.col(k2) == F.col(j2)), "left")

@@ -64,15 +64,14 @@ def line_key(line):
     return " ".join(WORD.findall(line.lower()))
 
 
-def removed_words(rows, min_documents, max_share):
-    """rows: (doc_id, host, text) -> {doc_id: words in lines over the limits}; hash order is free, so no copies here."""
-    held, texts = {}, {}
+def removed_words(rows, min_documents, document=None):
+    """rows: (doc_id, host, text) -> {doc_id: words in lines that more documents of the host hold}.
+
+    ``document``: text -> what it counts as (the text itself, if not given).
+    """
+    held, document = {}, document or {}
     for _, host, text in rows:
-        keys = [line_key(x) for x in (text or "").split("\n")]
-        keys = {k for k in keys if k}
-        if keys:
-            texts.setdefault(host, set()).add(text)
-        for k in keys:
-            held.setdefault((host, k), set()).add(text)
-    over = {(h, k) for (h, k), t in held.items() if len(t) > min_documents and len(t) > max_share * len(texts[h])}
+        for k in {line_key(x) for x in (text or "").split("\n")} - {""}:
+            held.setdefault((host, k), set()).add(document.get(text, text))
+    over = {hk for hk, t in held.items() if len(t) > min_documents}
     return {i: sum(len(WORD.findall(x)) for x in (t or "").split("\n") if (h, line_key(x)) in over) for i, h, t in rows}

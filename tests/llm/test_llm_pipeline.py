@@ -1,6 +1,7 @@
 """The pipeline's stages against plain versions, and on odd and empty tables."""
 
 import os
+import random
 import sys
 
 import llm_brute as brute
@@ -18,7 +19,7 @@ from reviewlens.llm import quality_rules, queries  # noqa: E402
 
 def test_stages_are_the_dealt_operators_in_order():
     assert [n for n, _ in P.STAGES] == ["quality classifier", "quality rules", "simhash near-dedup", "source mixing", "best-fit packing"]
-    assert len(queries.queries()) == 10 and set(queries.oracle_sql()) <= set(queries.queries())
+    assert len(queries.queries()) == 13 and set(queries.oracle_sql()) <= set(queries.queries())
 
 
 def test_pipeline_against_plain_versions(spark, tmp_path):
@@ -76,6 +77,19 @@ def test_rules_leave_no_document_under_the_minimum(spark):
     assert {r.doc_id: r.text for r in out} == {i: t.split("\n")[1] for i, t, *_ in rows if i % 2}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_of_a_cluster_of_near_copies_one_document_is_left(spark, seed):
+    r = random.Random(seed)
+    line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    text = [line(12) for _ in range(40)]
+    rows = [(i, "\n".join([*text[:i], text[i] + " more", *text[i + 1:]]), "en", "h", 0) for i in range(40)]
+    rows += [(100 + i, line(60), "en", "h", 0) for i in range(5)]
+    out = P.dedup(spark, P.rules(spark, spark.createDataFrame(rows, DOCS), SF001), SF001).collect()
+    groups = brute.simhash_components([(i, t) for i, t, *_ in rows])
+    assert sorted(x.doc_id for x in out) == sorted({c for _, c in groups.values()})
+    assert all(x.text == dict((i, t) for i, t, *_ in rows)[x.doc_id] for x in out)
+
+
 def test_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark):
     text = lambda tag: " ".join(f"{tag}{k}" for k in range(60))
     rows = [(1, text("a"), "en", "s", 0), (1, text("b"), "en", "t", 0), (1, text("b"), "en", "t", 0),  # an id with two texts
