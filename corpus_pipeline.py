@@ -24,8 +24,16 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without the lines over the limits; what is left has ``MIN_WORDS``, too."""
-    out = quality_rules.quality_rules(docs.select(*COLUMNS), min_words=MIN_WORDS, with_text=True)
+    """Documents that pass the quality rules, without the lines over the limits; what is left has ``MIN_WORDS``, too.
+
+    Near copies (SimHash groups, as the next stage finds them) count as one document of their
+    host, so the lines of a group of copies are not taken for lines that many documents share.
+    """
+    docs = docs.select(*COLUMNS)
+    row = F.struct(*[k.alias(n) for k, n in zip(quality_rules.text_key(F.col("text"), F.col("source")), ("_k1", "_k2"))])
+    groups = simhash.simhash_components(docs.select(row.alias("_row"), "text"), doc_id="_row", **SIMHASH)
+    copies = C.staged(groups.select("_row._k1", "_row._k2", F.xxhash64("component_id").alias("document")).distinct(), "rule-copies")
+    out = quality_rules.quality_rules(docs, min_words=MIN_WORDS, with_text=True, copies=copies)
     out = out.filter(F.col("kept") & (F.col("n_words") - F.col("removed_words") >= MIN_WORDS))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
