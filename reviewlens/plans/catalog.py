@@ -1278,9 +1278,16 @@ def map_completions(spark, sf):
     return prompts.parse_response(done, "response").select("review_id", "content")
 
 
+def _register() -> None:
+    """The other modules of queries register theirs when they are imported."""
+    from reviewlens.plans import catalog_charts  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _register()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _register()
     return dict(ORACLE)

@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "reviewlens",
@@ -59,6 +59,13 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
     return path
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: one result for several consumers, and no lineage to run again."""
+    path = f"{shared_dir(df.sparkSession, name)}/t.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Folders given out by ``shared_dir`` and not yet removed.
 _MADE: list[str] = []
 
