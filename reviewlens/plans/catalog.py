@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.functions import numeric as N
+from reviewlens.functions import phrases as P
 from reviewlens.functions import sentiment as S
 from reviewlens.functions import text as X
 from reviewlens.functions.stopwords import ENGLISH as ENGLISH_STOPWORDS
@@ -962,13 +963,42 @@ def letters_only(spark, sf):
     return reviews(spark, sf).select("review_id", X.letters_only("text").alias("text"))
 
 
-LOWER_LETTERS = f"lower({letters_only_sql('text')})"
+# The prose has no apostrophes: contractions are put in place of some of its words.
+_CONTRACTED = ((" of ", " I'd've ", " I would have "), (" der ", " won’t ", " will not "), (" de ", " they'll ", " they will "))
 
 
-@q("expand_contractions", WR(f"SELECT review_id, {lookup_sql(LOWER_LETTERS, CONTRACTIONS)} AS text FROM reviews"))
+def _contracted_sql(which: int) -> str:
+    e = "text"
+    for row in _CONTRACTED:
+        e = f"replace({e}, '{row[0]}', '{row[which]}')"
+    return e
+
+
+@q("expand_contractions", WR(f"SELECT review_id, {_contracted_sql(2)} AS text FROM reviews"))
 def expand_contractions(spark, sf):
-    return reviews(spark, sf).select(
-        "review_id", X.lookup_tokens(F.lower(X.letters_only("text")), CONTRACTIONS).alias("text"))
+    text = F.col("text")
+    for word, short, _ in _CONTRACTED:
+        text = F.replace(text, F.lit(word), F.lit(short))
+    raw = reviews(spark, sf).select("review_id", text.alias("text"))
+    return raw.select("review_id", P.replace_phrases("text", P.contractions()).alias("text"))
+
+
+# Phrases that begin with or hold one another: the longer one wins wherever it is there.
+_PHRASES = {"of the": "<1>", "of": "<2>", "the": "<3>", "and the": "<4>", "and": "<5>", "in der": "<6>", "der": "<7>", "in": "<8>"}
+
+
+def _phrases_sql() -> str:
+    near, e = r"[^\p{L}\p{M}\p{N}_]", "text"
+    for phrase, value in sorted(_PHRASES.items(), key=lambda x: -len(x[0])):
+        p = phrase.replace(" ", r"\s+")
+        for _ in range(2):  # a match takes the character after it, so every other one of a row is found at first
+            e = f"regexp_replace({e}, '(?i)(^|{near}){p}($|{near})', '\\1{value}\\2', 'g')"
+    return e
+
+
+@q("replace_phrases", WR(f"SELECT review_id, {_phrases_sql()} AS text FROM reviews"))
+def replace_phrases(spark, sf):
+    return reviews(spark, sf).select("review_id", P.replace_phrases("text", _PHRASES, keep_case=False).alias("text"))
 
 
 @q("lowercase", WR("SELECT review_id, lower(text) AS text FROM reviews"))
