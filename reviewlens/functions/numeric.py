@@ -22,7 +22,7 @@ def trunc_int(c: Column | str) -> Column:
 
 
 def nan_to_null(c: Column | str) -> Column:
-    """pandas has one notion of missing; Spark keeps NaN apart from NULL."""
+    """The number as double, NaN as null: pandas has one notion of missing, Spark keeps NaN apart from NULL."""
     c = _c(c)
     return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 

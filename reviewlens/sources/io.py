@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewlens.sources.csv_records import read_csv_records
+
 # --- fixed values: pandas' default missing-value tokens for read_csv ----------------------
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -86,10 +88,11 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     """CSV with header and doubled quotes; pandas NA tokens → NULL.
 
     Files are split, so a large one is read by many tasks. Files whose quoted cells hold line
-    breaks must be declared with ``multi_line=True``; each is then one task. With ``schema`` the columns are cast to it; otherwise types are inferred (see
-    ``infer_csv_types``) unless ``infer=False`` (all strings).
+    breaks must be declared with ``multi_line=True``: they are split, too, and read twice, once
+    to tell where records begin (see ``csv_records``). With ``schema`` the columns are cast to it;
+    otherwise types are inferred (see ``infer_csv_types``) unless ``infer=False`` (all strings).
     """
-    raw = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    raw = read_csv_records(spark, path) if multi_line else (spark.read.option("header", True).option("escape", '"')
            .option("quote", '"').option("mode", "PERMISSIVE").option("emptyValue", "")
            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
            .option("inferSchema", False).csv(path))
@@ -154,18 +157,28 @@ def _literal_path(uri: str) -> str:
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
-    """Rows of all parts by column name; a column of two numeric types becomes double, of other types text."""
+    """Rows of all parts by column name, no value changed.
+
+    A column of whole and decimal numbers is double if double holds each of its whole numbers
+    exactly (one look at those columns), and text if it does not; one of other types is text.
+    """
     types: dict[str, set[str]] = {}
     for p in parts:
         for c, t in p.dtypes:
             types.setdefault(c, set()).add(t)
+    number = {c for c, t in types.items() if t == {"bigint", "double"}}
+    for p in parts:
+        whole = [c for c, t in p.dtypes if t == "bigint" and c in number]
+        if whole:
+            exact = p.agg(*[F.coalesce(F.bool_and(F.abs(F.col(f"`{c}`").cast("decimal(20,0)")) <= 2 ** 53), F.lit(True)) for c in whole]).first()
+            number -= {c for c, ok in zip(whole, exact) if not ok}
     out = None
     for p in parts:
         cols = []
         for f in p.schema.fields:
             v = F.col(f"`{f.name}`")
             if len(types[f.name]) > 1:
-                if types[f.name] <= {"bigint", "double"}:
+                if f.name in number:
                     v = v.cast("double")
                 else:
                     v = F.to_json(v) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else v.cast("string")
@@ -237,7 +250,7 @@ def read_table(spark: SparkSession, path: str, **kw) -> DataFrame:
         return scan_excel(spark, path, **kw)
     if ext == "parquet":
         return spark.read.parquet(path)
-    raise ValueError(f"Unsupported file format: {ext}")
+    raise ValueError(f"no reader for files that end in {ext!r}; there is one for {', '.join(SUPPORTED)}")
 
 
 def balanced(df: DataFrame, key_col: str, min_partitions: int | None = None) -> DataFrame:
