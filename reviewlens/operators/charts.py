@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from reviewlens.functions import numeric as N
 from reviewlens.functions import text as X
 from reviewlens.functions.sentiment import LABELS
-from reviewlens.operators.quantiles import group_quantiles
+from reviewlens.operators.quantiles import group_quantiles, group_summary
 from reviewlens.operators.textstats import Counted, count_values
 
 
@@ -45,13 +45,8 @@ def _median(df: DataFrame, score_col: str) -> DataFrame:
 
 
 def sentiment_score_overview(df: DataFrame, score_col: str = "sentiment_score") -> DataFrame:
-    avg = df.agg(F.avg(score_col).alias("average_sentiment_score"),
-                 F.lit(None).cast("double").alias("median_sentiment_score"))
-    med = _median(df, score_col).select(F.lit(None).cast("double").alias("average_sentiment_score"),
-                                        "median_sentiment_score")
-    # two one-row frames folded into one row (no join)
-    return avg.unionByName(med).agg(F.max("average_sentiment_score").alias("average_sentiment_score"),
-                                    F.max("median_sentiment_score").alias("median_sentiment_score"))
+    s = group_summary(df.select(F.col(score_col).alias("s")), [], "s", [0.5])
+    return s.agg(F.max("mean").alias("average_sentiment_score"), F.max(F.col("q")[0]).alias("median_sentiment_score"))
 
 
 def confidence_by_sentiment(df: DataFrame, label_col: str = "sentiment",
@@ -120,18 +115,13 @@ def confidence_distribution(df: DataFrame, label_col: str = "sentiment",
     """Per label: count, min, Q1, median, Q3, max, mean of the score (box / violin data).
 
     Scores are unbounded doubles and one label may hold most rows, so the quartiles come
-    from ``group_quantiles`` (histogram-narrowed ranks), not a per-label value map.
+    from ``group_summary`` (two reads), not a per-label value map.
     """
     base = (df.where(F.col(label_col).isin(list(LABELS)))
             .select(F.col(label_col).alias("sentiment"), F.col(score_col).cast("double").alias("s")))
-    stats = base.groupBy("sentiment").agg(F.count("s").alias("count"), F.min("s").alias("min"),
-                                          F.max("s").alias("max"), F.avg("s").alias("mean"))
-    probs = (0.25, 0.5, 0.75)
-    q = (group_quantiles(base, ["sentiment"], "s", probs).groupBy("sentiment")
-         .agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in zip(probs, ("q1", "median", "q3"))]))
-    # at most one row per label on each side
-    return stats.join(F.broadcast(q), "sentiment", "left").select(
-        "sentiment", "count", "min", "q1", "median", "q3", "max", "mean")
+    return group_summary(base, ["sentiment"], "s", (0.25, 0.5, 0.75)).select(
+        "sentiment", F.col("n").alias("count"), F.col("low").alias("min"), *[F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))],
+        F.col("high").alias("max"), "mean")
 
 
 def length_distribution(df: DataFrame, text_col: str, label_col: str = "sentiment") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from reviewlens.functions import numeric as N
 from reviewlens.functions import text as X
-from reviewlens.operators.quantiles import quantile_exprs, wide_quantiles
+from reviewlens.operators.quantiles import quantile_exprs, wide_quantiles, wide_summary
 
 
 def _missing_expr(df: DataFrame, name: str) -> Column:
@@ -247,41 +247,33 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None,
                      accuracy: int | None = None) -> DataFrame:
     """count, mean, std, min, 25/50/75 %, max per numeric column (exact quantiles by default).
 
-    Moments and extremes come from one map-side aggregation; the exact quartiles of every
-    column come from one shared ranking pass (``wide_quantiles``), so no task
-    holds a column's distinct values. ``accuracy`` switches to ``percentile_approx``.
+    Two reads (``wide_summary``): moments, ends and brackets first, then the ranks inside the
+    brackets, so no task holds a column's distinct values. ``accuracy`` switches to
+    ``percentile_approx``, all in one read.
     """
     cols = numeric_columns(df, columns)
+    schema = "column_name string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
     if not cols:
-        return df.sparkSession.createDataFrame([], "column_name string, count bigint, mean double, "
-                                               "std double, min double, p25 double, p50 double, "
-                                               "p75 double, max double")
+        return df.sparkSession.createDataFrame([], schema)
     probs = [0.25, 0.5, 0.75]
-    aggs = []
-    for i, c in enumerate(cols):
-        v = N.nan_to_null(c)
-        aggs += [F.count(v).alias(f"_n{i}"), F.avg(v).alias(f"_a{i}"), F.stddev_samp(v).alias(f"_s{i}"),
-                 F.min(v).alias(f"_lo{i}"), F.max(v).alias(f"_hi{i}")]
-        if accuracy is not None:
-            aggs.append(quantile_exprs(v, probs, accuracy).alias(f"_q{i}"))
-    one = df.agg(*aggs)
-    rows = [F.struct(F.lit(i).alias("_ord"), F.lit(c).alias("column_name"),
-                     F.col(f"_n{i}").cast("bigint").alias("count"),
-                     F.col(f"_a{i}").alias("mean"), F.col(f"_s{i}").alias("std"),
-                     F.col(f"_lo{i}").cast("double").alias("min"),
-                     *([F.col(f"_q{i}")[j].alias(n) for j, n in enumerate(("p25", "p50", "p75"))]
-                       if accuracy is not None else []),
-                     F.col(f"_hi{i}").cast("double").alias("max"))
-            for i, c in enumerate(cols)]
-    stats = one.select(F.inline(F.array(*rows)))
-    if accuracy is None:
-        q = (wide_quantiles(df, cols, probs)
-             .groupBy("column_name")
-             .agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
-                    for p, n in zip(probs, ("p25", "p50", "p75"))]))
-        # both sides have one row per column: a bounded join
-        stats = stats.join(F.broadcast(q), "column_name", "left")
-    return stats.orderBy("_ord").select("column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    if accuracy is not None:
+        aggs = []
+        for i, c in enumerate(cols):
+            v = N.nan_to_null(c)
+            aggs += [F.count(v).alias(f"_n{i}"), F.avg(v).alias(f"_a{i}"), F.stddev_samp(v).alias(f"_s{i}"),
+                     F.min(v).alias(f"_lo{i}"), F.max(v).alias(f"_hi{i}"), quantile_exprs(v, probs, accuracy).alias(f"_q{i}")]
+        rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"_n{i}").alias("n"), F.col(f"_a{i}").alias("mean"), F.col(f"_s{i}").alias("std"),
+                         F.col(f"_lo{i}").alias("low"), F.col(f"_hi{i}").alias("high"), F.col(f"_q{i}").alias("q")) for i, c in enumerate(cols)]
+        stats = df.agg(*aggs).select(F.inline(F.array(*rows)))
+    else:
+        stats = wide_summary(df, cols, probs)
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "_ord int, _name string")
+    # one row per column on either side; columns without a value are listed, too
+    out = names.join(F.broadcast(stats), F.col("_name") == F.col("column_name"), "left")
+    return out.orderBy("_ord").select(
+        F.col("_name").alias("column_name"), F.coalesce("n", F.lit(0)).cast("bigint").alias("count"), "mean", "std",
+        F.col("low").cast("double").alias("min"), *[F.col("q")[j].alias(q) for j, q in enumerate(("p25", "p50", "p75"))],
+        F.col("high").cast("double").alias("max"))
 
 
 def iqr_bounds(df: DataFrame, columns: list[str] | None = None,
