@@ -143,10 +143,10 @@ def predict(docs: DataFrame, languages: list[str], model: np.ndarray, text: str
     ``languages``: the chosen set as an array of ``lang, share``, largest share first;
     ``lang_pred`` its first; ``score`` as in ``proportions``. A text that is null or has no
     letter has an empty array, ``und`` and 0. Only the text is read for the prediction.
-    Columns named like the three are replaced.
+    Columns named like the three, in any case, are replaced.
     """
     new = ("languages", "lang_pred", "score")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
     at, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast((languages, model))
     pairs = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 

@@ -74,11 +74,11 @@ def pack_documents(docs: DataFrame, size: Column, lengths: tuple[int, ...] = LEN
     are dealt out evenly to tasks of about ``per_task``, whatever their keys, and each task packs its
     own; ``bin`` is unique over all tasks. Only the columns given move, so leave texts out.
     Repeated rows are packed as often as they occur. Columns of ``docs`` named like a result
-    column are replaced.
+    column, in any case, are replaced.
     """
     new = ("piece", "start", "length", "bin", "bin_length", "offset")
     top = max(lengths)
-    keep = [c for c in docs.columns if c not in new]
+    keep = [c for c in docs.columns if c.lower() not in new]
     total, = fresh(docs, "_total")
     pieces = (docs.select(*[F.col(f"`{c}`") for c in keep], F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long").alias(total))
               .withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(total) / top) - 1, F.lit(0)).cast("int"))))

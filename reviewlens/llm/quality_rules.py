@@ -77,9 +77,9 @@ def rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     ``n_words``; ``word_chars``: code points in words; ``n_symbols``: characters of
     ``#*$%&|<>``; ``n_dup_lines``: lines with a word that equal an earlier line;
     ``n_repeat_words``: words inside a window of 8 words that the text has twice or more.
-    Columns named like a count are replaced.
+    Columns named like a count, in any case, are replaced.
     """
-    rest = [c for c in docs.columns if c != text and c not in RULES]
+    rest = [c for c in docs.columns if c != text and c.lower() not in RULES]
     schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema
     for c in RULES:
         schema = schema.add(c, "long")

@@ -190,9 +190,9 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Documents without id take part in links and get their component's smallest id (null if
     all ids are null). Repeated rows stay, with one component. Columns of ``docs`` named like
-    a result column are replaced.
+    a result column, in any case, are replaced.
     """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("fp", "component_id")])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("fp", "component_id")])
     key, = fresh(docs, "_fp")
     prints = staged(fingerprints(docs, text, shingle), "simhash-fp")
     nodes = staged(prints.groupBy("fp").agg(F.min(f"`{doc_id}`").alias("low")), "simhash-nodes")

@@ -182,12 +182,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, hosts: DataFrame, url: str =
     verdicts come back by (host, path).
 
     Null URLs and URLs without ``://`` have an empty host and path, which only ``default``
-    fits. Repeated rows stay. Columns of ``pages`` named like a result column are replaced.
+    fits. Repeated rows stay. Columns of ``pages`` named like a result column, in any case, are replaced.
     """
     new = ("host", "path", "rule", "verdict")
     host, path = host_and_path(F.col(f"`{url}`"))
     pages = pages.withColumn("host", host).withColumn("path", path)
-    keep = [c for c in pages.columns if c not in new]
+    keep = [c for c in pages.columns if c.lower() not in new]
     cand, keys, flags, best, h, p = fresh(pages, "_cand", "_keys", "_flags", "_best", "_h", "_p")
     # labels and characters of the rules: as many numbers as there are lengths, not rules
     shapes = rules.select(F.size(F.split("host", r"\.")).alias("labels"), F.char_length("path").alias("chars")).distinct().collect()

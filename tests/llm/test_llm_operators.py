@@ -614,6 +614,25 @@ def test_columns_named_like_internal_ones_pass_through(spark, docs):
         assert len(rows) == n and all(r[x] == x + "!" for r in rows for x in names)
 
 
+def test_columns_named_like_results_in_other_case_are_replaced(spark, docs):
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    hosts = spark.createDataFrame([("a.org",)], "host string")
+    model = classifier.Model(np.zeros(classifier.BUCKETS, np.float32), 0.0)
+    table = np.full((langid.BUCKETS, 1), 1 / langid.BUCKETS, np.float32)
+    n = docs.count()
+    for clash, run in ((("FP", "Component_ID"), simhash.simhash_components), (("Score", "LANG_PRED"), lambda d: langid.predict(d, ["en"], table)),
+                       (("SCORE", "Predicted"), lambda d: classifier.classify(d, model)), (("KEPT", "N_words"), quality_rules.quality_rules),
+                       (("HOST", "Verdict"), lambda d: U.judge_urls(d.withColumn("url", F.lit("http://a.net/x")), rules, hosts)),
+                       (("BIN", "Start"), lambda d: packing.pack_documents(d.drop("text"), F.lit(3))),
+                       (("COPIES", "Rate"), lambda d: mixing.mix_sources(d, C.n_words(F.col("text")))),
+                       (("SHARD", "Slot"), lambda d: sharding.shard_rows(d.drop("text"), "doc_id", 4))):
+        out = run(docs.withColumns({c: F.lit("clash") for c in clash}))
+        low = [c.lower() for c in out.columns]
+        assert len(set(low)) == len(low) and {c.lower() for c in clash} <= set(low)
+        rows = out.collect()
+        assert len(rows) == n and not any(r[c.lower()] == "clash" for r in rows for c in clash)
+
+
 # ---------------------------------------------------------------- very long texts
 def test_long_texts_in_pieces_give_the_same(monkeypatch):
     from reviewlens.llm import textvec
