@@ -36,6 +36,11 @@ def collapse_whitespace(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_c(c), WS_RUN, " "))
 
 
+def is_blank(c: Column | str) -> Column:
+    """Whether a text has nothing but white space; the search ends at the first other character."""
+    return ~_c(c).rlike(r"(?U)" + NON_WS)
+
+
 def clean_basic(c: Column | str) -> Column:
     """null or '' → ''; CR/LF → space; whitespace collapsed and trimmed."""
     c = _c(c)

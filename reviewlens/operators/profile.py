@@ -176,7 +176,7 @@ def quality_report(df: DataFrame, text_col: str | None = None, rating_col: str |
     one = lambda cond: F.when(cond, F.lit(1)).otherwise(F.lit(0))
     sums = {"_missing": _missing_in_row(df)}
     if text_col:
-        sums["_blank"] = one(X.collapse_whitespace(F.coalesce(F.col(text_col), F.lit("nan"))) == "")
+        sums["_blank"] = one(X.is_blank(F.coalesce(F.col(text_col), F.lit("nan"))))
     if rating_col:
         sums["_rvalid"] = one(N.nan_to_null(rating_col).isNotNull())
     j = row_counts(df, sums).withColumnsRenamed({"total_rows": "_rows", "distinct_rows": "_distinct"})
@@ -221,7 +221,7 @@ def consistency(df: DataFrame) -> DataFrame:
 def text_validity(df: DataFrame, text_col: str) -> DataFrame:
     """Blank-after-strip texts (a null text is the string 'nan', not blank) and valid %."""
     n = F.count(F.lit(1))
-    blank = F.count_if(X.collapse_whitespace(F.coalesce(F.col(text_col), F.lit("nan"))) == "")
+    blank = F.count_if(X.is_blank(F.coalesce(F.col(text_col), F.lit("nan"))))
     return df.agg(blank.cast("bigint").alias("text_empty_count"),
                   N.round_half_even((F.lit(1.0) - F.try_divide(blank.cast("double"), n)) * 100.0, 2)
                   .alias("text_valid_pct"))

@@ -117,19 +117,19 @@ def parse_response(df: DataFrame, response_col: str, content_out: str = "content
     return df.withColumns({content_out: c, reasoning_out: r})
 
 
-def chain_result(df: DataFrame, response1_col: str, response2_col: str) -> DataFrame:
+def chain_result(df: DataFrame, response1_col: str, response2_col: str, failed: str = "no recommendations: the request failed") -> DataFrame:
     """Outcome of the two-step chain as columns ``analysis``, ``recommendations``,
     ``reasoning_trace`` and ``ok``.
 
     Step 1 without an answer → every field NULL and ok = false. Step 2 without an answer →
-    a fixed error text and no reasoning trace.
+    the text ``failed`` and no reasoning trace.
     """
     c1, r1 = parse_response_cols(response1_col)
     c2, _ = parse_response_cols(response2_col)
     ok1 = c1.isNotNull()
     return df.withColumns({
         "analysis": F.when(ok1, c1),
-        "recommendations": F.when(ok1, F.coalesce(c2, F.lit("Error generating recommendations"))),
+        "recommendations": F.when(ok1, F.coalesce(c2, F.lit(failed))),
         "reasoning_trace": F.when(ok1 & c2.isNotNull(), r1),
         "ok": ok1,
     })

@@ -92,9 +92,11 @@ def detect_rating_table(df: DataFrame) -> DataFrame:
     cols = _numeric(df)
     if not cols:
         return _spark(df).createDataFrame([], schema)
-    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), N.nan_to_null(c).cast("double").alias("v"))
+    # whole and decimal numbers are told by their digits: a double does not tell all of them apart
+    digits = lambda c: F.col(f"`{c}`").cast("string") if isinstance(df.schema[c].dataType, (T.LongType, T.DecimalType)) else F.lit(None)
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), N.nan_to_null(c).alias("v"), digits(c).cast("string").alias("d"))
                                          for i, c in cols])))
-    each = (cells.groupBy("i", "v").agg(F.count(F.lit(1)).alias("_c")).groupBy("i")
+    each = (cells.groupBy("i", "v", "d").agg(F.count(F.lit(1)).alias("_c")).groupBy("i")
             .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
     # one entry per numeric column; a table without rows still lists its columns
     one = each.agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("n", "lo", "hi")))).alias("m"))

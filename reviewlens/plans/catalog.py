@@ -1278,7 +1278,7 @@ p AS (SELECT conv_id, turn, CASE kind WHEN 'full' THEN text WHEN 'no_content' TH
 pairs AS (SELECT a.conv_id, a.turn, a.content AS c1, a.reasoning AS r1, b.content AS c2
   FROM p a LEFT JOIN p b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2)
 SELECT conv_id, turn, c1 AS analysis,
-  CASE WHEN c1 IS NOT NULL THEN coalesce(c2, 'Error generating recommendations') END AS recommendations,
+  CASE WHEN c1 IS NOT NULL THEN coalesce(c2, 'no recommendations: the request failed') END AS recommendations,
   CASE WHEN c1 IS NOT NULL AND c2 IS NOT NULL THEN r1 END AS reasoning_trace, c1 IS NOT NULL AS ok FROM pairs""")
 def chain_result(spark, sf):
     r = _responses(spark, sf)
@@ -1310,7 +1310,7 @@ def map_completions(spark, sf):
 
 def _register() -> None:
     """The other modules of queries register theirs when they are imported."""
-    from reviewlens.plans import catalog_charts  # noqa: F401
+    from reviewlens.plans import catalog_charts, catalog_scoring  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

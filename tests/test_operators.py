@@ -238,7 +238,7 @@ def test_chain_result(spark):
     df = spark.createDataFrame([(1, ok, ok), (2, ok, None), (3, None, ok)], "id int, r1 string, r2 string")
     out = {r.id: (r.analysis, r.recommendations, r.reasoning_trace, r.ok) for r in prompts.chain_result(df, "r1", "r2").collect()}
     assert out[1] == ("A", "A", "R", True)
-    assert out[2] == ("A", "Error generating recommendations", None, True)
+    assert out[2] == ("A", "no recommendations: the request failed", None, True)
     assert out[3] == (None, None, None, False)
 
 
