@@ -228,6 +228,60 @@ def lookup_tokens_df(df: DataFrame, col: str, table: DataFrame, form: str = "for
     return res.select(*[F.col(f"`{c}`") for c in [*df.columns, *([] if out in df.columns else [out])]])
 
 
+#: Forms that are sent to the tasks at most, in bytes; more of them meet the tokens in a join.
+LOOKUP_BYTES = 64 << 20
+
+
+def _lookup_in_rows(forms: list[str], values: list[str], at: int):
+    """Tokens (a list in column ``at``) replaced by their value, a batch at a time."""
+    def in_task(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        keys, new = pa.array(forms, pa.string()), pa.array(values, pa.string())
+        for b in batches:
+            lists = b.column(at)
+            flat = lists.flatten()
+            found = new.take(pc.index_in(flat, value_set=keys))
+            sizes = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0))])
+            done = pa.ListArray.from_arrays(sizes, pc.coalesce(found, flat))
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], done, *b.columns[at + 1:]], schema=pa.schema(
+                [*list(b.schema)[:at], pa.field(b.schema.names[at], done.type), *list(b.schema)[at + 1:]]))
+    return in_task
+
+
+def lookup_tokens_table(df: DataFrame, col: str, table: DataFrame, form: str = "form", replacement: str = "replacement",
+                        out: str | None = None, send_bytes: int = LOOKUP_BYTES) -> DataFrame:
+    """``lookup_tokens_df`` without moving rows: only the table's forms that occur in the texts go to the tasks.
+
+    The distinct tokens (combined in each task before they are shuffled) meet the table first;
+    what is found, as a rule a small part of the table, is measured and sent to the tasks, where
+    each row's tokens are looked up. If it is larger than ``send_bytes``, ``lookup_tokens_df``
+    does the work. Same result and same rules in both cases.
+    """
+    from reviewlens.session import staged
+
+    out = out or col
+    rows = df.select(F.explode(F.array_distinct(tokens(col))).alias("_token")).distinct()
+    known = (table.select(F.col(form).alias("_form"), F.col(replacement).alias("_new")).dropna()
+             .groupBy("_form").agg(F.min("_new").alias("lo"), F.max("_new").alias("hi")))
+    clash = F.raise_error(F.concat(F.lit("conflicting replacements of the form "), F.col("_form"))).cast("string")
+    known = known.select("_form", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(clash).alias("_new"))
+    found = staged(rows.join(known, F.col("_token") == F.col("_form")).select("_form", "_new"), "lookup-found")
+    size = found.agg(F.sum(F.octet_length("_form") + F.octet_length("_new") + 16)).first()[0] or 0
+    if size > send_bytes:
+        return lookup_tokens_df(df, col, table, form, replacement, out)
+    pairs = found.orderBy("_form").collect()  # at most ``send_bytes``
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    wide = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)],
+                     F.coalesce(tokens(F.col(f"`{col}`")), F.array().cast("array<string>")).alias("_tokens"))
+    done = wide.mapInArrow(_lookup_in_rows([r[0] for r in pairs], [r[1] for r in pairs], len(names)), wide.schema)
+    source = F.col(names[df.columns.index(col)])
+    text = F.when(source.isNotNull(), F.array_join("_tokens", " "))
+    return done.select(*[(text if c == out else F.col(n)).alias(c) for c, n in zip(df.columns, names)],
+                       *([] if out in df.columns else [text.alias(out)]))
+
+
 def bigrams(token_array: Column | str) -> Column:
     """Adjacent token pairs joined by a space; empty for fewer than two tokens.
 

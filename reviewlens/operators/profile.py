@@ -8,6 +8,7 @@ combined before the shuffle).
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from reviewlens.functions import numeric as N
 from reviewlens.functions import text as X
 from reviewlens.operators.quantiles import quantile_exprs, wide_quantiles, wide_summary
+from reviewlens.session import staged
 
 
 def _missing_expr(df: DataFrame, name: str) -> Column:
@@ -32,12 +34,17 @@ def numeric_columns(df: DataFrame, columns: list[str] | None = None) -> list[str
     return names
 
 
-def _groupable(df: DataFrame) -> list[str]:
-    bad = (T.MapType, T.VariantType) if hasattr(T, "VariantType") else (T.MapType,)
-    cols = [f.name for f in df.schema.fields if not isinstance(f.dataType, bad)]
-    if len(cols) != len(df.columns):
-        raise ValueError("duplicate detection does not support MAP or VARIANT columns")
-    return cols
+def _positive_zero(c: Column, t: T.DataType) -> Column:
+    """``c`` with 0.0 for -0.0 at any depth."""
+    if isinstance(t, (T.FloatType, T.DoubleType)):
+        return c + F.lit(0.0).cast(t)
+    if isinstance(t, T.ArrayType) and any(x in t.simpleString() for x in ("float", "double")):
+        return F.transform(c, lambda x: _positive_zero(x, t.elementType))
+    if isinstance(t, T.StructType) and any(x in t.simpleString() for x in ("float", "double")):
+        return F.when(c.isNotNull(), F.struct(*[_positive_zero(c[f.name], f.dataType).alias(f.name) for f in t.fields]))
+    if isinstance(t, T.MapType) and any(x in t.valueType.simpleString() for x in ("float", "double")):
+        return F.transform_values(c, lambda k, v: _positive_zero(v, t.valueType))
+    return c
 
 
 def _canonical(f: T.StructField) -> Column:
@@ -52,9 +59,9 @@ def _canonical(f: T.StructField) -> Column:
     elif isinstance(t, T.BinaryType):
         s = F.hex(c)
     elif isinstance(t, T.MapType):
-        s = F.to_json(F.array_sort(F.map_entries(c)), {"ignoreNullFields": "false"})
+        s = F.to_json(F.array_sort(F.map_entries(_positive_zero(c, t))), {"ignoreNullFields": "false"})
     elif isinstance(t, (T.ArrayType, T.StructType)):
-        s = F.to_json(c, {"ignoreNullFields": "false"})
+        s = F.to_json(_positive_zero(c, t), {"ignoreNullFields": "false"})
     else:
         s = c.cast("string")
     return F.coalesce(F.concat(s, F.lit(";")), F.lit("-;"))
@@ -71,7 +78,7 @@ def row_counts(df: DataFrame, sums: dict[str, Column] | None = None) -> DataFram
     """
     sums = sums or {}
     names = {f"_x{i}": e for i, e in enumerate(sums.values())}
-    h = F.unhex(F.sha2(F.concat(*[_canonical(f) for f in df.schema.fields]), 256)).alias("_h")
+    h = _row_hash(df).alias("_h")
     groups = (df.select(h, *[e.cast("bigint").alias(n) for n, e in names.items()]).groupBy("_h")
               .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(n).alias(n) for n in names]))
     return groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"), F.count(F.lit(1)).alias("distinct_rows"),
@@ -91,9 +98,49 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return row_counts(df).withColumn("duplicate_rows", F.col("total_rows") - F.col("distinct_rows"))
 
 
+def _row_hash(df: DataFrame) -> Column:
+    return F.unhex(F.sha2(F.concat(*[_canonical(f) for f in df.schema.fields]), 256))
+
+
+def _has_places(df: DataFrame) -> bool:
+    """Whether each row is a row of a Parquet file as it is: a scan under projections that give the same values each time."""
+    plan = df._jdf.queryExecution().analyzed()
+    nodes = [line.strip(" :+-") for line in plan.toString().splitlines() if line.strip()]
+    return (all(re.match(r"(Project|SubqueryAlias|Relation)\b", n) for n in nodes) and plan.deterministic()
+            and any(n.startswith("Relation") and n.endswith("parquet") for n in nodes))
+
+
+def repeated_places(df: DataFrame) -> DataFrame:
+    """``_file, _row``: the places (file, row number) of rows that equal an earlier one, for a plain scan of Parquet files.
+
+    The first place of each row hash wins. Shuffled are hash and place, about 50 bytes a row,
+    and copies are combined in each task first; no row moves.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
+    keyed = staged(df.select(_row_hash(df).alias("_h"), F.xxhash64("_metadata.file_path").alias("_file"), place["row"].alias("_row")), "row-places")
+    at = F.struct("_file", "_row")
+    first = keyed.groupBy("_h").agg(F.min(at).alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    return keyed.join(first.select(F.col("_h").alias("_g"), "_first"), F.col("_h") == F.col("_g")).where(at != F.col("_first")).select("_file", "_row")
+
+
 def distinct_rows(df: DataFrame) -> DataFrame:
-    _groupable(df)
-    return df.dropDuplicates()
+    """One row of each group of equal rows (nulls and NaN compare equal); columns of any type, maps too.
+
+    A scan of Parquet files keeps the first place of each row: the places of the others, few
+    as a rule, are taken out of a second scan (sent to the tasks if Spark finds them small
+    enough), so whole rows do not move. Other inputs are grouped by the row's hash, of which
+    each task passes on one row.
+    """
+    if _has_places(df):
+        gone = staged(repeated_places(df), "row-repeats")
+        names = [f"_c{i}" for i in range(len(df.columns))]
+        rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)], F.xxhash64("_metadata.file_path").alias("_at_file"),
+                         F.col("_metadata.row_index").alias("_at_row"))
+        rows = rows.join(gone, (F.col("_at_file") == F.col("_file")) & (F.col("_at_row") == F.col("_row")), "left_anti")
+        return rows.select(*[F.col(n).alias(c) for c, n in zip(df.columns, names)])
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)])
+    one = df.groupBy(_row_hash(df).alias("_h")).agg(F.first(whole).alias("_r"))
+    return one.select(*[F.col("_r")[f"_c{i}"].alias(c) for i, c in enumerate(df.columns)])
 
 
 def _cells(df: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions import text as X
 from reviewlens.operators import ledger, linear, prompts
-from reviewlens.plans.catalog import ORACLE, R, T, _stub_completion, q, reviews, scored
+from reviewlens.plans import oracle_views as O
+from reviewlens.plans.catalog import ORACLE, R, T, W, _stub_completion, q, reviews, scored
 from reviewlens.session import shared_dir
 
 
@@ -26,3 +27,17 @@ def complete_requests(spark, sf):
     req = prompts.request_payload(p, "messages", model="analysis-model").select("review_id", "request")
     done = ledger.complete_requests(req, "request", _stub_completion, shared_dir(spark, "ledger"))
     return prompts.parse_response(done, "response").select("review_id", "content")
+
+
+# Forms from the documents' own words: a quarter of those of four letters or more (by MD5) lose their last letter.
+_FORM_SQL = "len({w}) >= 4 AND substr(md5({w}), 1, 1) IN ('0', '1', '2', '3')"
+
+
+@q("lemmatize_table", W(f"""SELECT review_id, array_to_string(list_transform({O.tokens('clean_text_advanced')},
+  lambda t: CASE WHEN {_FORM_SQL.format(w='t')} THEN left(t, len(t) - 1) ELSE t END), ' ') AS text FROM scored"""))
+def lemmatize_table(spark, sf):
+    s = scored(spark, sf).select("review_id", F.col("clean_text_advanced").alias("text"))
+    word = F.col("form")
+    forms = s.select(F.explode(X.tokens("text")).alias("form")).distinct().where(
+        (F.char_length(word) >= 4) & F.substring(F.md5(word.cast("binary")), 1, 1).isin("0", "1", "2", "3"))
+    return X.lookup_tokens_table(s, "text", forms.select("form", F.substring(word, F.lit(1), F.char_length(word) - 1).alias("replacement")))

@@ -24,10 +24,6 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-#: The bench sets this: scans with fewer partitions than cores are dealt over the cores first.
-SPREAD = False
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -35,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def reviews(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """The view; ``spread`` deals a scan of few partitions over the cores before per-row text work."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    if spread or SPREAD:
+    if spread:
         d = balanced(d, "doc_id")
     return d.select(
         F.col("doc_id").alias("review_id"),

@@ -133,3 +133,46 @@ def test_blank_is_what_strips_to_nothing(spark):
 def test_new_queries_run(spark):
     for key in ("complete_requests",):
         assert catalog.queries()[key](spark, SF001).count() > 0
+
+
+# ---------------------------------------------------------------- token table, distinct rows
+def test_token_table_gives_the_same_whatever_its_size(spark):
+    texts = ["the cats ran", "  cats   and dogs ", "", " ", None, "no hits here", "dogs dogs"] * 3
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "i int, t string, _token string").repartition(3)
+    table = spark.createDataFrame([("cats", "cat"), ("dogs", "dog"), ("ran", "run"), ("dogs", "dog"), (None, "n"), ("here", None), ("unseen", "u")],
+                                  "form string, replacement string")
+    forms = {"cats": "cat", "dogs": "dog", "ran": "run"}
+    want = {i: None if t is None else " ".join(forms.get(w, w) for w in t.split()) for i, t in enumerate(texts)}
+    for kw in ({}, {"send_bytes": 0}, {"out": "o"}):
+        out = X.lookup_tokens_table(df, "t", table, **kw)
+        got = {r.i: r for r in out.collect()}
+        name = kw.get("out", "t")
+        assert {i: r[name] for i, r in got.items()} == want and got[0]["_token"] == "x"
+        if "send_bytes" not in kw:
+            assert "Exchange" not in out.drop("x")._jdf.queryExecution().optimizedPlan().toString()
+    clash = table.union(spark.createDataFrame([("cats", "c")], table.schema))
+    with pytest.raises(Exception, match="conflicting"):
+        X.lookup_tokens_table(df, "t", clash).collect()
+    assert X.lookup_tokens_table(df.limit(0), "t", table).count() == 0
+
+
+def test_distinct_rows_of_files_and_of_other_inputs(spark, tmp_path):
+    rows = [(i % 7, float("nan") if i % 2 else None, {"k": i % 3}, [0.0 if i % 4 else -0.0], "é" * (i % 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "a int, b double, m map<string,int>, l array<double>, t string").repartition(6)
+    df.write.parquet(str(tmp_path / "t"))
+    files = spark.read.parquet(str(tmp_path / "t"))
+    assert profile._has_places(files) and profile._has_places(files.select("m", (F.col("a") + 1).alias("z")))
+    for other in (df, files.union(files), files.where("a > 1"), files.withColumn("r", F.rand()), files.select(F.explode("l"))):
+        assert not profile._has_places(other)
+    key = lambda r: str((r.a, "nan" if r.b is not None and math.isnan(r.b) else r.b, sorted(r.m.items()), r.t))
+    want = sorted({key(r) for r in df.collect()})
+    for one in (files, df, files.union(files)):
+        assert sorted(key(r) for r in profile.distinct_rows(one).collect()) == want
+    gone = profile.repeated_places(files)
+    assert gone.count() == 200 - len(want) and [t for _, t in gone.dtypes] == ["bigint", "bigint"]
+    assert profile.distinct_rows(files.limit(0)).count() == 0
+
+
+def test_distinct_rows_does_not_shuffle_rows(spark):
+    plan = catalog.queries()["distinct_rows"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan  # the second scan meets a small staged table
