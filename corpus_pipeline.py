@@ -51,7 +51,12 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = groups.select(F.col("component_id._k1").alias("_f1"), F.col("component_id._k2").alias("_f2")).distinct()
     first = C.staged(first, "dedup-first")
     kept = rows.join(first, (F.col("_k1") == F.col("_f1")) & (F.col("_k2") == F.col("_f2")), "left_semi")
-    return kept.dropDuplicates(["_k1", "_k2"]).select(*COLUMNS)
+    # rows equal in all columns have one key: only those, few as a rule, are grouped as whole rows
+    twice = rows.groupBy(F.col("_k1").alias("_t1"), F.col("_k2").alias("_t2")).agg(F.count("*").alias("_n")).filter("_n > 1")
+    twice = C.staged(twice.select("_t1", "_t2"), "dedup-twice")
+    again = (F.col("_k1") == F.col("_t1")) & (F.col("_k2") == F.col("_t2"))
+    return (kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["_k1", "_k2"]))
+            .select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +66,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in training sequences (see ``packing.pack_documents``)."""
-    sizes = docs.select("doc_id", C.n_words(F.col("text")).alias("n_tokens"))
+    """Pieces of documents and their places in training sequences (see ``packing.pack_documents``).
+
+    ``row_key``, a hash of all columns, tells the pieces of two documents that share an id, or
+    have none; equal rows (copies that the mix emits) share it and are interchangeable.
+    """
+    key = F.lower(F.lpad(F.hex(C.null_first_row_hash(docs, list(COLUMNS))), 16, "0"))
+    sizes = docs.select("doc_id", key.alias("row_key"), C.n_words(F.col("text")).alias("n_tokens"))
     return packing.pack_documents(sizes, F.col("n_tokens"))
 
 
