@@ -56,7 +56,8 @@ def mix_sources(docs: DataFrame, size: Column, source: str = "source", doc_id: s
 
     A document is taken floor(rate) times, and once more if a number in [0, 1) hashed from
     its id and ``seed`` is below the fraction of the rate: reruns agree, and no document is
-    taken more than ``max_rate`` times. Rows without id use their text as key. Sizes are
+    taken more than ``max_rate`` times. Rows without id use their text as key; rows that repeat
+    an id are drawn alike, all or none. Sizes are
     summed per source before any shuffle; ``docs`` is not shuffled (the rates, one row per
     source, are broadcast after a count of their rows, else joined by a shuffle whose skewed
     sources AQE splits). Null sources are one source. Columns of ``docs`` named like a

@@ -208,8 +208,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, hosts: DataFrame, url: str =
         F.lit("block").alias("verdict"), key_hash(F.lit("host"), F.col("host")).alias("key"))))
     sorted_options = F.array_sort(F.filter(F.array(*options), lambda x: x.isNotNull()))
 
-    places = pages.select("host", "path").distinct().withColumn(cand, sorted_options)
-    universe = places.select(F.explode(F.transform(cand, lambda x: x["key"])).alias("k")).select("k.h1", "k.h2").distinct()
+    # keys are made where the pages are read: 16 bytes of each distinct one are shuffled, not the URLs
+    key_rows = pages.select("host", "path").select(F.explode(F.transform(sorted_options, lambda x: x["key"])).alias("k"))
+    universe = key_rows.select("k.h1", "k.h2").distinct()
     listed = (rules.select(key_hash(F.col("action"), F.col("host"), F.col("path")).alias("k"))
               .union(hosts.select(key_hash(F.lit("host"), F.col("host")).alias("k"))).select("k.h1", "k.h2"))
     filters, shards = cascades(universe, listed, keys_per_shard)
@@ -224,7 +225,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, hosts: DataFrame, url: str =
     if size <= broadcast_bytes:
         asked = pages.withColumn(cand, sorted_options).withColumn(keys, F.transform(cand, lambda x: x["key"]))
         return judged(listed_flags(asked, keys, filters, shards, flags), keep)
-    places = staged(places, "url-places")
+    places = staged(pages.select("host", "path").distinct().withColumn(cand, sorted_options), "url-places")
     hits = staged(listed_keys(places.select(F.explode(F.transform(cand, lambda x: x["key"])).alias("k")).select("k.h1", "k.h2"),
                               filters, shards), "url-hits")
     one = places.select("host", "path", F.explode(cand).alias("c"))

@@ -404,6 +404,38 @@ def test_mixture_finds_the_proportions():
     assert np.abs(part - [0.6, 0.3, 0.1]).max() < 0.05
 
 
+def test_the_chosen_set_is_the_best_of_all_sets():
+    """A plain EM on every set of four languages, with the penalty for each further one, against the growing set."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(5)
+    letters, n = "abcdefghijklmnop", 0
+    speak = [rng.dirichlet(np.ones(len(letters)) * 0.25) for _ in range(4)]
+    prose = lambda k, words: " ".join("".join(rng.choice(list(letters), 4, p=speak[k])) for _ in range(words))
+    counts = [langid.ngram_counts(prose(k, 4000)) + 0.1 for k in range(4)]
+    model = np.stack([c / c.sum() for c in counts], axis=1)
+    for mix in ((0,), (1,), (0, 1), (2, 3), (1, 2), (0, 2, 3)):
+        text = " ".join(prose(k, 150) for k in mix)
+        count = langid.ngram_counts(text)
+        seen = np.flatnonzero(count)
+        c, p = count[seen].astype(float), model[seen]
+        best = {}
+        for size in range(1, 5):
+            for ks in combinations(range(4), size):
+                part = np.full(size, 1 / size)
+                for _ in range(500):
+                    joint = p[:, ks] * part
+                    part = (c / joint.sum(axis=1)) @ joint / c.sum()
+                best[ks] = (c @ np.log(p[:, ks] @ part) - langid.PENALTY * np.log(c.sum() + 1) * (size - 1), part)
+        want = max(best, key=lambda ks: best[ks][0])
+        got, score = langid.proportions(text, model, list("wxyz"))
+        assert sorted(x for x, _ in got) == ["wxyz"[k] for k in want] == ["wxyz"[k] for k in mix]
+        shares = dict(zip(("wxyz"[k] for k in want), best[want][1]))
+        assert all(abs(shares[x] - v) < 0.02 for x, v in got) and (len(mix) == 1 or score == got[0][1])
+        n += 1
+    assert n == 6
+
+
 # ---------------------------------------------------------------- chat
 PIECES = [*"a\\<>|/[]s\n", *chat.CONTROL, "INST", "start", "end", "é", "\u2028"]
 ANY_TEXT = st.lists(st.sampled_from(PIECES), max_size=12).map("".join) | st.text(max_size=8)
@@ -475,6 +507,52 @@ def test_best_fit_takes_the_least_room_and_the_cheapest_bin():
     assert caps == [8]  # one long bin costs less for each token than two short ones
 
 
+def plain_pack(sizes, lengths, cost):
+    """Best fit by looking at every open bin: -> bin of each size, contents and capacity of each bin."""
+    room, since, held, out = [], [], [], []
+    for t, size in enumerate(sizes):
+        fits = [b for b, r in enumerate(room) if r >= size and r > 0]
+        if fits:
+            b = min(fits, key=lambda b: (room[b], -since[b]))  # of equally good ones the last to get its room
+        else:
+            spare = max(0, sum(sizes[t + 1:]) - sum(room))
+            cap = min((c for c in sorted(lengths) if c >= size), key=lambda c: (cost(c) / min(c, size + spare), -c))
+            b = len(room)
+            room.append(cap)
+            since.append(t)
+            held.append(0)
+        room[b] -= size
+        since[b] = t
+        held[b] += size
+        out.append(b)
+    return out, held, [min(c for c in lengths if c >= h) for h in held]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_equals_plain_best_fit(seed):
+    r = random.Random(seed)
+    lengths = ((8, 16, 32, 64), (512, 1024, 2048), (50,))[seed % 3]
+    sizes = sorted((r.randint(1, max(lengths)) if r.random() < 0.3 else r.randint(1, max(lengths) // 8) for _ in range(300)), reverse=True)
+    bins, offsets, caps = packing.pack(sizes, lengths)
+    want, held, shrunk = plain_pack(sizes, lengths, packing.sequence_cost)
+    assert bins == want and caps == shrunk
+    filled = {}
+    for b, o, n in zip(bins, offsets, sizes):
+        assert o == filled.get(b, 0)
+        filled[b] = o + n
+    assert [filled[b] for b in range(len(caps))] == held
+
+
+def test_lots_are_packed_as_well_as_all_together():
+    r = random.Random(1)
+    sizes = [min(8192, int(r.lognormvariate(5.5, 1.2)) + 1) for _ in range(60_000)]
+    cost = lambda caps: sum(map(packing.sequence_cost, caps))
+    whole = packing.pack(sorted(sizes, reverse=True))[2]
+    lots = [c for i in range(0, len(sizes), packing.PIECES_PER_TASK)
+            for c in packing.pack(sorted(sizes[i:i + packing.PIECES_PER_TASK], reverse=True))[2]]
+    assert cost(lots) < 1.005 * cost(whole) and sum(lots) < 1.005 * sum(whole)
+
+
 def test_pack_documents(spark, docs, none):
     sizes = docs.select("doc_id", C.n_words(F.col("text")).alias("n"), F.lit("clash").alias("bin"))
     got = packing.pack_documents(sizes, F.col("n"), lengths=(64, 128, 512), per_task=50).collect()
