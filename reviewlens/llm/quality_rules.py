@@ -179,7 +179,6 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", min
     keys = dict(zip((k1, k2), text_key(t, h)))
     over = (shared_lines(docs, host, text, min_documents, copies).groupBy(F.col("_k1").alias(j1), F.col("_k2").alias(j2))
             .agg(F.sum("_words").alias("removed_words"), F.collect_set("_line").alias(removed)))
-    over = staged(over, "rule-removed")  # its size is known: if it is small, Spark sends it to the rows and no text moves
     rows = docs.withColumns({**keys, **({copy: t} if with_text else {})})
     out = (rule_counts(rows, text).join(over, (F.col(k1) == F.col(j1)) & (F.col(k2) == F.col(j2)), "left")
            .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
