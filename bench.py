@@ -20,8 +20,6 @@ from reviewlens.plans import fixtures as FX  # noqa: E402
 from reviewlens.plans.flagship import flagship  # noqa: E402
 from reviewlens.session import get_spark, shared_dir  # noqa: E402
 
-TABLES = ("documents", "lineitem", "orders", "labels")  # what the headline queries read
-
 HEADLINE = [
     # full pipeline in one plan: scan → clean → lexicon score → crosstab
     ("flagship", flagship),
@@ -54,7 +52,7 @@ def main():
     # the test tables are one row group each, so one task would read them: the timed queries read a
     # copy in as many files as there are cores, made once and not timed
     parts, spread = spark.sparkContext.defaultParallelism, shared_dir(spark, "bench-tables")
-    for name in TABLES:
+    for name in FX.TABLES:
         spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").repartition(parts).write.parquet(f"{spread}/{name}.parquet")
     qs = catalog.queries()
     results = {}
