@@ -32,7 +32,7 @@ def reviews(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame
     """The view; ``spread`` deals a scan of few partitions over the cores before per-row text work."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     if spread:
-        d = balanced(d, "doc_id")
+        d = balanced(d, "doc_id", path=f"{sf_dir.rstrip('/')}/documents.parquet")
     return d.select(
         F.col("doc_id").alias("review_id"),
         F.col("source").alias("business_id"),

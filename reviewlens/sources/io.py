@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewlens.session import path_state
 from reviewlens.sources.csv_records import read_csv_records
 
 # --- fixed values: pandas' default missing-value tokens for read_csv ----------------------
@@ -253,14 +254,23 @@ def read_table(spark: SparkSession, path: str, **kw) -> DataFrame:
     raise ValueError(f"no reader for files that end in {ext!r}; there is one for {', '.join(SUPPORTED)}")
 
 
-def balanced(df: DataFrame, key_col: str, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan that has fewer partitions than the cluster has cores.
+#: Bytes of input that a task of heavy per-row text work gets, about.
+TASK_BYTES = 24 << 20
 
-    A single-file table arrives as one task; per-row text work then runs on one core. Only
-    then is it hash-partitioned on ``key_col`` (deterministic on retry); a large input that
-    is already split is left untouched.
+
+def balanced(df: DataFrame, key_col: str, min_partitions: int | None = None, path: str | None = None) -> DataFrame:
+    """Spread a scan that has fewer partitions than its per-row text work needs.
+
+    A single-file table arrives as one task; per-row text work then runs on one core. At least
+    as many partitions as the cluster has cores are made, and with ``path`` (the scanned file or
+    folder) one for each ``TASK_BYTES`` of its files, so tasks stay short however large the
+    input is. A scan that has enough of them is left untouched; another one is hash-partitioned
+    on ``key_col`` (deterministic on retry).
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if path is not None:
+        target = max(target, sum(size for _, size, _ in path_state(spark, path) or ()) // TASK_BYTES)
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, key_col)
