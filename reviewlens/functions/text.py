@@ -8,7 +8,10 @@ whitespace class.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +28,9 @@ EMAIL_PATTERN = r"(?U)" + NON_WS + r"+@" + NON_WS + r"+"
 AMPM_PATTERN = r"(?U)\b(am|pm|AM|PM)\b"
 DIGITS_PATTERN = r"\p{Nd}+"
 NOT_ASCII_LETTER_OR_WS = r"(?U)[^a-zA-Z" + _WS + r"]"
+DIGITS_OR_PUNCTUATION = "[" + "".join("\\" + c for c in PUNCTUATION) + r"0123456789\p{Nd}]+"
+# What every lower-case match of AMPM_PATTERN is, tried without Unicode word boundaries.
+AMPM_LIKELY = r"[ap]m(?![a-z])(?<![a-z]..)"
 # ---------------------------------------------------------------------------------------
 
 def _c(c: Column | str) -> Column:
@@ -90,27 +96,37 @@ def clean_advanced(c: Column | str) -> Column:
     return F.when(c.isNull() | (c == ""), F.lit("")).otherwise(out)
 
 
-def clean_advanced_df(df: DataFrame, in_col: str, out_col: str) -> DataFrame:
+def clean_advanced_df(df: DataFrame, in_col: str, out_col: str, collapsed: bool = False) -> DataFrame:
     """``clean_advanced`` as staged projections with literal guards (same result).
 
     Each regex runs only on rows containing the literal it needs (``http``/``www``, ``@``,
-    ``am``/``pm`` after lower-casing); on other rows it could not match. Each stage is its
-    own projection over a column reference, so the guard does not duplicate the upstream
-    expression and Catalyst keeps the stages apart (the column is referenced three times).
+    ``am``/``pm`` after lower-casing); on other rows it could not match. Digits and
+    punctuation go in one pass. Each stage is its own projection over a column reference, so
+    the guard does not duplicate the upstream expression and Catalyst keeps the stages apart
+    (the column is referenced three times). ``collapsed`` says that ``in_col`` is the output
+    of ``collapse_whitespace`` or ``clean_basic``: its gaps are then put right by literal
+    replacements, and by the regex only where a gap was wider than four spaces.
     """
-    s1, s2, s3 = "_ca1", "_ca2", "_ca3"
+    stages = [f"_ca{i}" for i in range(1, 6)]
+    s1, s2, s3, s4, s5 = stages
     x = F.col(in_col)
     out = df.withColumn(s1, lowercase(x))
     c1 = F.col(s1)
-    out = out.withColumn(s2, F.when((F.instr(c1, "http") > 0) | (F.instr(c1, "www") > 0), strip_urls(c1))
-                         .otherwise(c1))
+    out = out.withColumn(s2, F.when(c1.contains("http") | c1.contains("www"), strip_urls(c1)).otherwise(c1))
     c2 = F.col(s2)
-    out = out.withColumn(s3, F.when(F.instr(c2, "@") > 0, strip_emails(c2)).otherwise(c2))
+    out = out.withColumn(s3, F.when(c2.contains("@"), strip_emails(c2)).otherwise(c2))
     c3 = F.col(s3)
-    ampm = F.when((F.instr(c3, "am") > 0) | (F.instr(c3, "pm") > 0), strip_ampm(c3)).otherwise(c3)
-    rest = collapse_whitespace(strip_punctuation(strip_digits(ampm)))
+    likely = (c3.contains("am") | c3.contains("pm")) & c3.rlike(AMPM_LIKELY)
+    out = out.withColumn(s4, F.regexp_replace(F.when(likely, strip_ampm(c3)).otherwise(c3), DIGITS_OR_PUNCTUATION, ""))
+    rest = F.col(s4)
+    if collapsed:
+        halved = F.replace(F.replace(rest, F.lit("  "), F.lit(" ")), F.lit("  "), F.lit(" "))
+        out = out.withColumn(s5, halved)
+        rest = F.trim(F.when(F.col(s5).contains("  "), F.regexp_replace(s5, " +", " ")).otherwise(F.col(s5)))
+    else:
+        rest = collapse_whitespace(rest)
     out = out.withColumn(out_col, F.when(x.isNull() | (x == ""), F.lit("")).otherwise(rest))
-    return out.drop(s1, s2, s3)
+    return out.drop(*stages)
 
 
 def newline_to_space(c: Column | str) -> Column:
@@ -166,6 +182,17 @@ def count_in(token_array: Column, words: Iterable[str]) -> Column:
     return F.size(F.filter(token_array, lambda x: _in_list(x, words)))
 
 
+def count_in_clean(c: Column | str, words: Iterable[str]) -> Column:
+    """``count_in`` over the tokens of ``split_clean`` text, without making them: only texts that hold a word are searched."""
+    c = _c(c)
+    words = [w for w in dict.fromkeys(words) if w != "" and " " not in w]
+    if not words:
+        return F.when(c.isNotNull(), F.lit(0))
+    there = reduce(or_, [c.contains(w) for w in words])
+    found = F.regexp_count(c, F.lit("(?<![^ ])(?:" + "|".join(re.escape(w) for w in words) + ")(?![^ ])"))
+    return F.when(there, found).when(c.isNotNull(), F.lit(0))
+
+
 def remove_stopwords(c: Column | str, stopwords: Iterable[str] | None = None) -> Column:
     """Drop stop-words from the whitespace tokens, keep duplicates and order, join by space."""
     if stopwords is None:

@@ -31,7 +31,7 @@ def clean_pipeline(df: DataFrame, text_col: str, keep_original: bool = True) ->
     ``keep_original`` is accepted for API parity and ignored (the input column stays).
     """
     out = df.withColumn("clean_text", X.clean_basic(text_col))
-    return X.clean_advanced_df(out, "clean_text", "clean_text_advanced")
+    return X.clean_advanced_df(out, "clean_text", "clean_text_advanced", collapsed=True)
 
 
 @dataclass(frozen=True)
@@ -46,27 +46,25 @@ class LexiconScorer:
         return S.lexicon_struct(text, self.positive, self.negative, self.neutral_logit)
 
     def apply(self, df: DataFrame, text_col: str) -> DataFrame:
-        """Staged form used by ``score_sentiment``: tokens, then hit counts, then softmax.
+        """Staged form used by ``score_sentiment``: cleaned text, then hit counts, then softmax.
 
         Each stage is its own projection, so the regex cleaning runs once per row and the
         hit counts (referenced several times by the softmax) are computed once. When the
         frame already holds ``clean_text_advanced`` derived from ``clean_text`` (the
-        ``clean_pipeline`` contract), those tokens are reused.
+        ``clean_pipeline`` contract), it is reused. Hits are tokens of that text, which is
+        whitespace-normalised; the tokens themselves are not made.
         """
-        # ``clean_advanced`` output is whitespace-normalised, so a plain split gives its tokens
-        # (plus one '' for empty text, which no lexicon word matches): no second regex pass
         if text_col == "clean_text" and "clean_text_advanced" in df.columns:
-            toks = X.split_clean("clean_text_advanced")
+            t = df.withColumn("_lx_text", F.col("clean_text_advanced"))
         else:
-            toks = X.split_clean(X.clean_advanced(text_col))
-        t = df.withColumn("_lx_toks", toks)
-        t = t.withColumns({"_lx_neg": X.count_in(F.col("_lx_toks"), self.negative),
-                           "_lx_pos": X.count_in(F.col("_lx_toks"), self.positive)})
+            t = df.withColumn("_lx_text", X.clean_advanced(text_col))
+        t = t.withColumns({"_lx_neg": X.count_in_clean("_lx_text", self.negative),
+                           "_lx_pos": X.count_in_clean("_lx_text", self.positive)})
         res = S.neutral_on_empty(text_col, S.sentiment_from_logits("_lx_neg", F.lit(self.neutral_logit), "_lx_pos"))
         t = t.withColumn("_lx", res)
         return t.withColumns({"sentiment": F.col("_lx.sentiment"),
                               "sentiment_score": F.col("_lx.sentiment_score")}) \
-            .drop("_lx_toks", "_lx_neg", "_lx_pos", "_lx")
+            .drop("_lx_text", "_lx_neg", "_lx_pos", "_lx")
 
 
 @dataclass(frozen=True)
