@@ -19,6 +19,8 @@ from reviewlens.session import staged
 BUCKETS = 1 << 15
 #: Partial gradients that reach the driver in a step.
 SUMS = 8
+#: Words that a task works on at a time (one text, if it has more).
+WORDS = 1 << 18
 K = len(LABELS)
 
 
@@ -36,6 +38,15 @@ def features(words: pa.ListArray, buckets: int) -> tuple[np.ndarray, np.ndarray,
     return of, ids, np.sqrt(count / size[of])
 
 
+def pieces(words: pa.ListArray, limit: int) -> Iterator[tuple[int, int]]:
+    """``start, rows`` of neighbouring texts with at most ``limit`` words together, or of one text."""
+    ends, a = words.offsets.to_numpy(), 0
+    while a < len(words):
+        z = max(int(np.searchsorted(ends, ends[a] + limit, "right")) - 1, a + 1)
+        yield a, z - a
+        a = z
+
+
 @dataclass(frozen=True)
 class LinearModel:
     """``weights[label, bucket]`` and ``bias[label]``; a text's logit is the sum of its features' weights plus the bias."""
@@ -58,14 +69,15 @@ def _gradient(model: LinearModel) -> Callable:
         for b in batches:
             if not b.num_rows:
                 continue
-            words, slot = b.column(0), b.column(2)[0].as_py()
-            of, ids, value = features(words, buckets)
-            back = model.probabilities(len(words), of, ids, value)
-            back[np.arange(len(words)), b.column(1).to_numpy()] -= 1.0
-            for k in range(K):
-                total[k * buckets:(k + 1) * buckets] += np.bincount(ids, weights=back[of, k] * value, minlength=buckets)
-            total[-K - 1:-1] += back.sum(axis=0)
-            total[-1] += len(words)
+            slot = b.column(2)[0].as_py()
+            for a, n in pieces(b.column(0), WORDS):
+                of, ids, value = features(b.column(0).slice(a, n), buckets)
+                back = model.probabilities(n, of, ids, value)
+                back[np.arange(n), b.column(1).slice(a, n).to_numpy()] -= 1.0
+                for k in range(K):
+                    total[k * buckets:(k + 1) * buckets] += np.bincount(ids, weights=back[of, k] * value, minlength=buckets)
+                total[-K - 1:-1] += back.sum(axis=0)
+                total[-1] += n
         if slot is not None:
             yield pa.RecordBatch.from_pydict({"slot": [slot % SUMS], "task": [slot], "total": [total.tobytes()]})
     return in_task
@@ -109,26 +121,28 @@ def fit_linear_model(train: DataFrame, text_col: str, label_col: str, steps: int
 def linear_score(df: DataFrame, model: LinearModel, text_col: str = "clean_text") -> DataFrame:
     """``df`` with ``sentiment`` (likeliest label, ties to the first) and ``sentiment_score`` (its probability).
 
-    Rows are scored where they are read: no id, no join, no shuffle. Null and empty texts are
-    ('neutral', 0.0). Columns named like the two, in any case, are replaced.
+    Rows are scored where they are read: no id, no join, no shuffle. Only hashed words go to
+    Python, ``WORDS`` are worked on at a time. Null and empty texts are ('neutral', 0.0). Columns named like the two, in any case, are replaced.
     """
     keep = [c for c in df.columns if c.lower() not in ("sentiment", "sentiment_score")]
-    names = [f"_c{i}" for i in range(len(keep))]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)],
-                     F.when(text != "", hashed_words(text, model.weights.shape[1])).alias("_words"))
     shared = df.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # as large as the parameter ``buckets`` says
+    result = T.StructType([T.StructField("sentiment", T.StringType()), T.StructField("sentiment_score", T.DoubleType())])
 
-    def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(result)
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = LinearModel(*shared.value)
-        for b in batches:
-            words = b.column(b.num_columns - 1)
-            empty = words.is_null().to_numpy(zero_copy_only=False)
-            p = m.probabilities(len(words), *features(words.fill_null([]) if empty.any() else words, m.weights.shape[1]))
-            label, score = np.where(empty, 1, p.argmax(axis=1)), np.where(empty, 0.0, p.max(axis=1))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([LABELS[i] for i in label], pa.string()), pa.array(score, pa.float64())],
-                                             [*b.schema.names[:-1], "sentiment", "sentiment_score"])
-
-    schema = T.StructType([*rows.drop("_words").schema, T.StructField("sentiment", T.StringType()), T.StructField("sentiment_score", T.DoubleType())])
-    out = rows.mapInArrow(in_task, schema)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "sentiment", "sentiment_score")
+        for column in batches:
+            empty = column.is_null().to_numpy(zero_copy_only=False)
+            words = column.fill_null([]) if empty.any() else column
+            p = np.concatenate([np.zeros((0, K)), *(m.probabilities(n, *features(words.slice(a, n), m.weights.shape[1]))
+                                                    for a, n in pieces(words, WORDS))])
+            label, best = np.where(empty, 1, p.argmax(axis=1)), np.where(empty, 0.0, p.max(axis=1))
+            yield pa.StructArray.from_arrays([pa.array(LABELS, pa.string()).take(pa.array(label)), pa.array(best, pa.float64())],
+                                             ["sentiment", "sentiment_score"])
+
+    names = [f"_c{i}" for i in range(len(keep))]
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)],
+                     F.when(text != "", hashed_words(text, model.weights.shape[1])).alias("_words"))
+    out = rows.withColumn("_scored", score("_words"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "_scored.sentiment", "_scored.sentiment_score")
