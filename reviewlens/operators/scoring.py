@@ -15,13 +15,16 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlens.functions import sentiment as S
 from reviewlens.functions import text as X
+from reviewlens.operators.linear import WORDS, pieces
 from reviewlens.session import shared_dir
 
 
@@ -166,26 +169,46 @@ def fit_word_model(train: DataFrame, text_col: str, label_col: str) -> WordModel
     return WordModel(words, tuple(docs), (total.n0, total.n1, total.n2), total.v)
 
 
+@F.arrow_udf(T.StructType([T.StructField("word", T.ArrayType(T.StringType())), T.StructField("n", T.ArrayType(T.LongType()))]))
+def _word_counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The distinct words of each list, and how often each is in it."""
+    for lists in batches:
+        done = []
+        for a, rows in pieces(lists, WORDS):
+            part = lists.slice(a, rows)
+            coded = part.flatten().dictionary_encode()
+            width = max(len(coded.dictionary), 1)
+            of = np.repeat(np.arange(rows), np.diff(part.offsets.to_numpy()))
+            pair, n = np.unique(of * width + coded.indices.to_numpy(), return_counts=True)
+            ends = pa.array(np.searchsorted(pair, np.arange(rows + 1) * width), pa.int32())
+            words = coded.dictionary.take(pa.array(pair % width))
+            done.append(pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, pa.array(n))], ["word", "n"]))
+        yield pa.concat_arrays(done) if done else pa.array([], pa.struct({"word": pa.list_(pa.string()), "n": pa.list_(pa.int64())}))
+
+
 def trained_score(df: DataFrame, model: WordModel, text_col: str = "clean_text") -> DataFrame:
     """Add ``sentiment`` (likeliest label, ties to the first) and ``sentiment_score`` (its probability).
 
     The log-odds of a label are its prior (add-one) and, for each token, log((count + 1) /
     (tokens + vocabulary)); words that no labelled text has count 0. Rows get a generated id
-    and are written once; their (row, word) counts meet the word table in a join whose hot
-    words AQE splits, and are summed per row. Null and empty texts are ('neutral', 0.0).
+    and are written once; words are counted where a row is read, and the (row, word) counts
+    meet the word table in a join whose hot words AQE splits, and are summed per row. The sums
+    meet the rows' ids and whatever columns are asked for; a text that is not asked for stays
+    where it is. Null and empty texts are ('neutral', 0.0).
     """
     names = [c for c in df.columns if c not in ("sentiment", "sentiment_score")]
     rid = "_ws_id"
     rows = _rows_on_disk(df.select(*[F.col(f"`{c}`") for c in names], F.monotonically_increasing_id().alias(rid)), "scored-rows")
     toks = X.tokens(F.lower(text_col))
-    counted = rows.select(rid, F.explode(toks).alias("word")).groupBy(rid, "word").agg(F.count(F.lit(1)).alias("n"))
+    words = rows.select(rid, F.coalesce(toks, F.array().cast("array<string>")).alias("_toks")).select(rid, _word_counts("_toks").alias("_w"))
+    counted = words.select(rid, F.explode(F.arrays_zip("_w.word", "_w.n")).alias("_p")).select(rid, "_p.word", "_p.n")
     sums = counted.join(model.words, "word").groupBy(F.col(rid).alias("_ws_key")).agg(
         *[F.sum(F.col("n") * F.log(F.col(f"n{k}") + 1.0)).alias(f"_s{k}") for k in range(3)])
     every = sum(model.documents) + 3.0
     logit = lambda k: (F.lit(math.log((model.documents[k] + 1.0) / every)) + F.coalesce(f"_s{k}", F.lit(0.0))
                        - F.col("_len") * F.lit(math.log(max(model.tokens[k] + model.vocabulary, 1))))
-    out = rows.withColumn("_len", F.size(toks)).join(sums, F.col(rid) == F.col("_ws_key"), "left")
+    out = rows.withColumns({"_len": F.size(toks), "_text": F.substring(text_col, 1, 1)}).join(sums, F.col(rid) == F.col("_ws_key"), "left")
     out = out.withColumns({f"_l{k}": logit(k) for k in range(3)})
-    res = S.neutral_on_empty(F.col(text_col), S.sentiment_from_logits("_l0", "_l1", "_l2"))
+    res = S.neutral_on_empty("_text", S.sentiment_from_logits("_l0", "_l1", "_l2"))
     return out.withColumn("_ws", res).select(*[F.col(f"`{c}`") for c in names], F.col("_ws.sentiment").alias("sentiment"),
                                              F.col("_ws.sentiment_score").alias("sentiment_score"))
