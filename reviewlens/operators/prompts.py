@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,8 +142,10 @@ def map_completions(df: DataFrame, request_col: str, fn: Callable[[pd.Series], p
 
     ``fn`` maps a Series of JSON requests to a Series of JSON responses (or None on
     failure). A batch that raises, or answers another number of requests, is retried request
-    by request, so only a request that fails alone has a NULL response.
+    by request, so only a request that fails alone has a NULL response. Rows stay Arrow data;
+    only ``batch_size`` requests at a time become Python objects.
     """
+    at = df.columns.index(request_col)
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType())])
 
     def answers(requests: pd.Series) -> list:
@@ -157,17 +160,17 @@ def map_completions(df: DataFrame, request_col: str, fn: Callable[[pd.Series], p
         except Exception:
             return None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for s in range(0, len(pdf), batch_size):
-                chunk = pdf.iloc[s:s + batch_size].copy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, batch_size):
+                chunk = b.slice(s, batch_size)
+                requests = pd.Series(chunk.column(at).to_pylist(), dtype=object)
                 try:
-                    res = answers(chunk[request_col])
+                    res = answers(requests)
                 except Exception:
-                    res = [alone(r) for r in chunk[request_col]]
-                chunk[out] = pd.Series(res, index=chunk.index, dtype=object)
-                yield chunk
-    return df.mapInPandas(run, schema)
+                    res = [alone(r) for r in requests]
+                yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(res, pa.string(), from_pandas=True)], [*chunk.schema.names, out])
+    return df.mapInArrow(run, schema)
 
 
 def corpus_prompt(df: DataFrame, key_col: str, text_col: str, label_col: str = "sentiment",
