@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlens.session import path_state
+from reviewlens.session import path_state, staged
 from reviewlens.sources.csv_records import read_csv_records
 
 # --- fixed values: pandas' default missing-value tokens for read_csv ----------------------
@@ -46,10 +46,11 @@ def infer_csv_types(df: DataFrame, na_tokens=NA_TOKENS) -> dict[str, str]:
     aggs = []
     for i, c in enumerate(df.columns):
         v = _na_to_null(c, na_tokens)
+        begins = F.substring(F.ltrim(v), 1, 1).isin(list("+-.0123456789iI"))  # as any number does: a text is not searched
         aggs += [F.count(v).alias(f"_n{i}"),
-                 F.count_if(F.trim(v).rlike(INTEGER)).alias(f"_i{i}"),
-                 F.count(F.when(F.trim(v).rlike(INTEGER), F.trim(v).try_cast("bigint"))).alias(f"_f{i}"),
-                 F.count_if(F.trim(v).rlike(NUMBER)).alias(f"_d{i}"),
+                 F.count_if(begins & F.trim(v).rlike(INTEGER)).alias(f"_i{i}"),
+                 F.count(F.when(begins & F.trim(v).rlike(INTEGER), F.trim(v).try_cast("bigint"))).alias(f"_f{i}"),
+                 F.count_if(begins & F.trim(v).rlike(NUMBER)).alias(f"_d{i}"),
                  F.count_if(v.isin(list(TRUE_TOKENS + FALSE_TOKENS))).alias(f"_b{i}")]
     r = df.agg(*aggs).first()
     out = {}
@@ -101,6 +102,8 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
         st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
         types = {f.name: f.dataType.simpleString() for f in st.fields}
         return _typed(raw, types, na_tokens)
+    if multi_line and infer and raw.columns:
+        raw = staged(raw, "csv-cells")  # records are put together once, for their types and for the caller
     if not infer:
         return raw.select(*[_na_to_null(c, na_tokens).alias(c) for c in raw.columns])
     return _typed(raw, infer_csv_types(raw, na_tokens), na_tokens)
@@ -136,9 +139,9 @@ def json_layouts(spark: SparkSession, path: str) -> dict[str, list[str]]:
     lines = (spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
                                           F.col("_metadata.file_block_start").alias("block"))
              .withColumn("at", F.struct("block", F.monotonically_increasing_id().alias("row")))
-             .select("file", "at", F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"))
-             .where(F.col("value") != ""))
-    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("first"), F.count("*").alias("n"))
+             .where(F.col("value").rlike(r"\S")))
+    heads = (lines.groupBy("file").agg(F.min_by("value", "at").alias("first"), F.count("*").alias("n"))
+             .withColumn("first", F.regexp_replace("first", r"^\s+|\s+$", "")))
     told = F.udf(lambda first, alone: _layout(first, alone), "string")(F.col("first"), F.col("n") == 1)
     found: dict[str, list[str]] = {}
     for r in heads.select("file", told.alias("layout")).orderBy("file").collect():
@@ -218,8 +221,12 @@ def scan_json(spark: SparkSession, path: str | list[str], schema: T.StructType |
     if typed is not None:
         names = [f.name for f in typed.fields]
     wide = cells.groupBy("_file", "_row").pivot("_col", names).agg(F.first("_value")).select(*[F.col(f"`{n}`") for n in names])
-    types = {f.name: f.dataType.simpleString() for f in typed.fields} if typed is not None else infer_csv_types(wide, ())
-    return _typed(wide, types, ())
+    if typed is not None:
+        return _typed(wide, {f.name: f.dataType.simpleString() for f in typed.fields}, ())
+    if not names:
+        return _typed(wide, {}, ())
+    wide = staged(wide, "json-columns")  # rows are put together once, for their types and for the caller
+    return _typed(wide, infer_csv_types(wide, ()), ())
 
 
 def sink_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite") -> str:
