@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewlens.session import staged
+
 QUOTE, COMMA = '"', ","
 #: Complete record, end of a record that began earlier, whole block inside one cell, beginning of a record that goes on.
 WHOLE, END, MIDDLE, BEGIN = 0, 1, 2, 3
@@ -135,7 +137,7 @@ def csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     state = (F.coalesce(F.col("mark.fixed"), F.lit(0)) + F.col("so_far") - F.col("turn") - F.coalesce(F.col("mark.so_far"), F.lit(0))) % 2 == 1
     states = (counted.withColumn("mark", mark).withColumn("inside", state)
               .groupBy(F.col("file").alias("_f"), F.col("block").alias("_b")).agg(F.min_by("inside", "seq").alias("inside")))
-    # one row a split of the input: a few bytes for each 128 MB
+    states = staged(states, "csv-states")  # one row a split of the input: a few bytes for each 128 MB
     pieces = (lines.join(F.broadcast(states), (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")))
               .select("file", "block", "value", "inside").mapInArrow(_pieces, "file string, block long, n long, kind long, value string"))
     whole = pieces.where(F.col("kind") == WHOLE).select("file", "block", "n", "value")
@@ -156,11 +158,33 @@ def header_names(header: str) -> list[str]:
     return [n + str(i) if low.count(n.lower()) > 1 else n for i, n in enumerate(names)]
 
 
+def _first_lines(spark: SparkSession, path: str | list[str]) -> tuple[str] | None:
+    """The first line of the first file, if it is a whole record there; None sends the caller to the records."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    heads = lines.where(F.col("block") == 0).mapInArrow(_first_of_run, "file string, value string")
+    top = heads.groupBy("file").agg(F.count("*").alias("n"), F.first("value").alias("value")).orderBy("file").first()
+    if top is None or top.n != 1 or ends_inside(top.value, False) or not top.value.removesuffix("\r"):
+        return None
+    return (top.value.removesuffix("\r"),)
+
+
+def _first_of_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``file, value`` of the first row of each run of a file's rows."""
+    before = None
+    for b in batches:
+        if b.num_rows:
+            files = b.column(0).to_pylist()
+            keep = [i for i, f in enumerate(files) if f != (files[i - 1] if i else before)]
+            before = files[-1]
+            yield b.select([0, 2]).take(pa.array(keep, pa.int64()))
+
+
 def read_csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """CSV files with a header, all columns as text; the header of the first file names the columns."""
     records = csv_records(spark, path)
     is_head = (F.col("block") == 0) & (F.col("n") == 0)
-    top = records.where(is_head).orderBy("file").select("value").first()
+    top = _first_lines(spark, path) or records.where(is_head).orderBy("file").select("value").first()
     if top is None:
         return spark.createDataFrame([], T.StructType([]))
     names = header_names(top[0])
