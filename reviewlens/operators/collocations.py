@@ -57,40 +57,34 @@ def neighbour_counts(df: DataFrame, text_col: str, stopwords: Iterable[str] | No
             .groupBy("group", "word", "next").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _folded(counts: DataFrame, keys: list[str], word: str) -> DataFrame:
-    """``counts`` (``keys``, ``word``, ``n``) with ``form``: the singular of a word in -s (not -ss) that occurs, too."""
-    singular = F.when(F.col(word).endswith("s") & ~F.col(word).endswith("ss"), F.substring(F.col(word), F.lit(1), F.char_length(word) - 1))
-    there = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(word).alias("_single"))
-    same = F.col("_candidate") == F.col("_single")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return (counts.withColumn("_candidate", singular).join(there, same, "left")
-            .withColumn("form", F.coalesce("_single", word)).drop("_candidate", "_single", *[f"_{k}" for k in keys]))
+def _base(word: Column, plurals: bool) -> Column:
+    """A word in -s (not -ss) without it. No base ends in -s but those in -ss, so a base stands for itself and for its plural only."""
+    return F.when(word.endswith("s") & ~word.endswith("ss"), F.substring(word, F.lit(1), F.char_length(word) - 1)).otherwise(word) if plurals else word
+
+
+def _folded(counts: DataFrame, keys: list[str], word: str, plurals: bool) -> DataFrame:
+    """``keys, base, itself, n`` of ``counts`` by base, ``itself``: the base occurs, not its plural only. One aggregation."""
+    base = _base(F.col(word), plurals)
+    return counts.groupBy(*keys, base.alias("base")).agg(F.sum("n").alias("n"), F.bool_or(F.col(word) == base).alias("itself"))
+
+
+def _form(base: str = "base", itself: str = "itself") -> Column:
+    return F.when(F.col(itself), F.col(base)).otherwise(F.concat(base, F.lit("s")))
 
 
 def _tables(df: DataFrame, text_col: str, stopwords: Iterable[str] | None, by: str | None, cleaned: bool,
             plurals: bool) -> tuple[DataFrame, DataFrame]:
-    """Words (``group, word, form, n``) and pairs (``group, word, next, n, left, right, total, score``)."""
+    """Words (``group, base, form, n``) and pairs (``group, word, next, n, left, right, total, score`` and the forms of both words)."""
     near = staged(neighbour_counts(df, text_col, stopwords, by, cleaned), "collocation-neighbours")
-    words = near.groupBy("group", "word").agg(F.sum("n").alias("n"))
-    pairs = near.where(F.col("next").isNotNull())
-    if plurals:
-        words = _folded(words, ["group"], "word")
-        pairs = (_folded(pairs, ["group", "word"], "next").groupBy("group", "word", F.col("form").alias("next"))
-                 .agg(F.sum("n").alias("n")))
-    else:
-        words = words.withColumn("form", F.col("word"))
-    words = staged(words, "collocation-words")
-    forms = words.groupBy("group", "form").agg(F.sum("n").alias("c"))
-    counted = words.select("group", "word", "form").join(forms.select(F.col("group").alias("_g"), F.col("form").alias("_f"), "c"),
-                                                         F.col("group").eqNullSafe(F.col("_g")) & (F.col("form") == F.col("_f")))
-    counted = staged(counted.select("group", "word", "form", "c"), "collocation-forms")
-    totals = words.groupBy("group").agg(F.sum("n").alias("total"))
-    for column, out in (("word", "left"), ("next", "right")):
-        side = counted.select(F.col("group").alias("_g"), F.col("word").alias("_w"), F.col("form").alias(f"{out}_form"), F.col("c").alias(out))
-        pairs = pairs.join(side, F.col("group").eqNullSafe(F.col("_g")) & (F.col(column) == F.col("_w"))).drop("_g", "_w")
-    pairs = pairs.join(totals.withColumnRenamed("group", "_g"), F.col("group").eqNullSafe(F.col("_g"))).drop("_g")
-    return words, pairs.withColumn("score", log_likelihood_ratio(F.col("n"), F.col("left"), F.col("right"), F.col("total")))
+    words = staged(_folded(near, ["group"], "word", plurals).select("group", "base", _form().alias("form"), "n"), "collocation-words")
+    pairs = _folded(near.where(F.col("next").isNotNull()), ["group", "word"], "next", plurals)
+    totals = words.groupBy(F.col("group").alias("_g")).agg(F.sum("n").alias("total"))
+    for key, out in ((_base(F.col("word"), plurals), "left"), (F.col("base"), "right")):
+        side = words.select(F.col("group").alias("_g"), F.col("base").alias("_b"), F.col("form").alias(f"{out}_form"), F.col("n").alias(out))
+        # the word first: rows are sorted by it, and there are few groups
+        pairs = pairs.join(side, (key == F.col("_b")) & F.col("group").eqNullSafe(F.col("_g"))).drop("_g", "_b")
+    pairs = pairs.join(totals, F.col("group").eqNullSafe(F.col("_g"))).drop("_g")
+    return words, pairs.withColumn("next", _form()).withColumn("score", log_likelihood_ratio(F.col("n"), F.col("left"), F.col("right"), F.col("total")))
 
 
 def collocations(df: DataFrame, text_col: str, threshold: float = THRESHOLD, stopwords: Iterable[str] | None = None,
