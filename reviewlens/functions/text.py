@@ -259,14 +259,31 @@ def lookup_tokens_df(df: DataFrame, col: str, table: DataFrame, form: str = "for
 LOOKUP_BYTES = 64 << 20
 
 
-def _lookup_in_rows(forms: list[str], values: list[str], at: int):
-    """Tokens (a list in column ``at``) replaced by their value, a batch at a time."""
+#: Tokens that a task looks up at a time, about (one text, if it has more).
+LOOKUP_TOKENS = 1 << 20
+
+
+def _token_pieces(batches, at: int, limit: int):
+    """Slices of batches with at most ``limit`` tokens in the lists of column ``at``, or of one row."""
+    import numpy as np
+
+    for b in batches:
+        ends, a = b.column(at).offsets.to_numpy(), 0
+        while a < b.num_rows:
+            z = max(int(np.searchsorted(ends, ends[a] + limit, "right")) - 1, a + 1)
+            yield b.slice(a, z - a)
+            a = z
+
+
+def _lookup_in_rows(table, at: int, limit: int = LOOKUP_TOKENS):
+    """Tokens (a list in column ``at``) replaced by their value; ``table`` is a broadcast Arrow stream of forms and values."""
     def in_task(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        keys, new = pa.array(forms, pa.string()), pa.array(values, pa.string())
-        for b in batches:
+        keys, new = pa.ipc.open_stream(pa.py_buffer(table.value)).read_all().combine_chunks().columns
+        keys, new = (c.combine_chunks() for c in (keys, new))
+        for b in _token_pieces(batches, at, limit):
             lists = b.column(at)
             flat = lists.flatten()
             found = new.take(pc.index_in(flat, value_set=keys))
@@ -277,6 +294,16 @@ def _lookup_in_rows(forms: list[str], values: list[str], at: int):
     return in_task
 
 
+def _arrow_stream(pairs) -> bytes:
+    import pyarrow as pa
+
+    table = pa.table({"form": pa.array([r[0] for r in pairs], pa.string()), "value": pa.array([r[1] for r in pairs], pa.string())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 def lookup_tokens_table(df: DataFrame, col: str, table: DataFrame, form: str = "form", replacement: str = "replacement",
                         out: str | None = None, send_bytes: int = LOOKUP_BYTES) -> DataFrame:
     """``lookup_tokens_df`` without moving rows: only the table's forms that occur in the texts go to the tasks.
@@ -298,11 +325,11 @@ def lookup_tokens_table(df: DataFrame, col: str, table: DataFrame, form: str = "
     size = found.agg(F.sum(F.octet_length("_form") + F.octet_length("_new") + 16)).first()[0] or 0
     if size > send_bytes:
         return lookup_tokens_df(df, col, table, form, replacement, out)
-    pairs = found.orderBy("_form").collect()  # at most ``send_bytes``
+    sent = df.sparkSession.sparkContext.broadcast(_arrow_stream(found.orderBy("_form").collect()))  # at most ``send_bytes``
     names = [f"_c{i}" for i in range(len(df.columns))]
     wide = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)],
                      F.coalesce(tokens(F.col(f"`{col}`")), F.array().cast("array<string>")).alias("_tokens"))
-    done = wide.mapInArrow(_lookup_in_rows([r[0] for r in pairs], [r[1] for r in pairs], len(names)), wide.schema)
+    done = wide.mapInArrow(_lookup_in_rows(sent, len(names)), wide.schema)
     source = F.col(names[df.columns.index(col)])
     text = F.when(source.isNotNull(), F.array_join("_tokens", " "))
     return done.select(*[(text if c == out else F.col(n)).alias(c) for c, n in zip(df.columns, names)],
